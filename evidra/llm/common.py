@@ -15,6 +15,27 @@ DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class Memo(dict):
+    """What a function gives for a word, computed once. trim() starts a new generation once this one has grown over the cap; words
+    of the last generation that come again are carried over, so that frequent words stay and memory is bounded."""
+
+    def __init__(self, function, cap: int = 250_000) -> None:
+        super().__init__()
+        self.function, self.cap, self.old = function, cap, {}
+
+    def __missing__(self, word):
+        found = self.old.get(word)
+        if found is None:
+            found = self.function(word)
+        self[word] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.cap:
+            self.old = dict(self)
+            self.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, table
+from .common import DOC_COLUMNS, Memo, stored, table
 
 WIDTH = 16
 STRIDE = 4
@@ -38,7 +38,8 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def norm(word: bytes) -> str:
-    return _EDGE.sub("", word.decode("utf-8", "replace").lower())
+    x = word.decode("utf-8", "replace").lower()
+    return x if x.isalpha() else _EDGE.sub("", x)
 
 
 def item_words(text: str | None) -> list[str]:
@@ -59,21 +60,16 @@ class Items:
 
 
 class Coder:
-    """Word ids of texts; -1 for words that no item has, -2 for tokens of punctuation alone, which are left out."""
+    """Word ids of texts; -1 for words that no item has. Tokens of punctuation alone are left out."""
 
     def __init__(self, vocab: dict[str, int]) -> None:
-        self.vocab, self.known = vocab, {}
+        self.known = Memo(lambda w: vocab.get(x, -1) if (x := norm(w)) else -2)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words, known = (text or "").encode("utf-8", "replace").split(), self.known
-        if len(known) > 300_000:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                x = norm(w)
-                known[w] = self.vocab.get(x, -1) if x else -2
-        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        return ids[ids != -2]
+        self.known.trim()
+        words = (text or "").encode("utf-8", "replace").split()
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        return ids[ids != -2] if len(ids) and ids.min() == -2 else ids
 
 
 def passages_of(n: int, width: int = WIDTH, stride: int = STRIDE) -> np.ndarray:
@@ -96,24 +92,35 @@ def load_items(rows: list) -> Items:
     return Items(ids, words, answers, vocab)
 
 
-def document_frequencies(docs: DataFrame, items: Items) -> None:
-    """Sets idf: over disjoint passages of WIDTH words of all documents."""
+def coded(docs: DataFrame, items: Items) -> DataFrame:
+    """(doc_id as text, ids): word ids of every whole text, written once for the passes that follow."""
     shared = docs.sparkSession.sparkContext.broadcast(items.vocab)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = Coder(shared.value)
-        size = len(shared.value)
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [coder(t).astype("<i4").tobytes() for t in pdf["text"]]})
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return stored(rows.mapInPandas(run, "doc_id string, ids binary"), "coded")
+
+
+def document_frequencies(docs: DataFrame, items: Items) -> None:
+    """Sets idf: over disjoint passages of WIDTH words of all coded documents."""
+    size = len(items.vocab)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(size, np.int64), 0
         for pdf in batches:
-            for text in pdf["text"]:
-                ids = coder(text)
+            for raw in pdf["ids"]:
+                ids = np.frombuffer(raw, "<i4")
                 n += -(-len(ids) // WIDTH)
                 at = np.flatnonzero(ids >= 0)
                 np.add.at(df, np.unique(at // WIDTH * size + ids[at]) % size, 1)
         rows = np.flatnonzero(df)
         yield pd.DataFrame({"word": np.append(rows, -1), "df": np.append(df[rows], n)})
 
-    got = docs.select("text").mapInPandas(run, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toPandas()
+    got = docs.select("ids").mapInPandas(run, "word long, df long").groupBy("word").agg(F.sum("df").alias("df")).toPandas()
     n = int(got.loc[got["word"] < 0, "df"].sum()) + len(items.ids)
     df = np.zeros(len(items.vocab))
     df[got.loc[got["word"] >= 0, "word"]] = got.loc[got["word"] >= 0, "df"]
@@ -161,11 +168,10 @@ def latent_space(docs: DataFrame, items: Items, dims: int = DIMS, seed: int = 11
         np.add.at(out, x[x >= 0], (idf[x[x >= 0], None] * y[owner[x >= 0]]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        coder, out = Coder(m.vocab), np.zeros((size, dims), np.float32)
+        m, out = shared.value, np.zeros((size, dims), np.float32)
         for pdf in batches:
-            for text in pdf["text"]:
-                ids = coder(text)
+            for raw in pdf["ids"]:
+                ids = np.frombuffer(raw, "<i4")
                 starts = np.arange(0, len(ids), WIDTH)
                 starts = starts[window_shares(ids, starts, m) >= SHARE] if len(ids) else starts
                 if len(starts):
@@ -183,7 +189,7 @@ def latent_space(docs: DataFrame, items: Items, dims: int = DIMS, seed: int = 11
         yield pd.DataFrame({"word": list(out), "y": [y.astype("<f4").tobytes() for y in out.values()]}).astype({"word": "int64"})
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    got = docs.select("text").mapInPandas(run, "word long, y binary").repartition(n, "word").mapInPandas(fold_rows, "word long, y binary").toPandas()
+    got = docs.select("ids").mapInPandas(run, "word long, y binary").repartition(n, "word").mapInPandas(fold_rows, "word long, y binary").toPandas()
     total = np.zeros((size, dims), np.float32)
     for w, y in zip(got["word"], got["y"]):
         total[w] += np.frombuffer(y, "<f4")
@@ -238,17 +244,16 @@ def verify(ids: np.ndarray, at: int, item: int, m: Items) -> tuple[float, float]
 
 
 def search(docs: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, item_id, lcs_share, answer_share, cosine): verified pairs, the best window of each."""
-    kind = dict(docs.dtypes)["doc_id"]
+    """(doc_id, item_id, lcs_share, answer_share, cosine) of coded documents: verified pairs, the best window of each."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        coder, rows = Coder(m.vocab), m.idf[:, None] * m.basis
+        rows = m.idf[:, None] * m.basis
         for pdf in batches:
             found = []
-            for key, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = coder(text)
+            for key, raw in zip(pdf["doc_id"], pdf["ids"]):
+                ids = np.frombuffer(raw, "<i4")
                 starts = passages_of(len(ids))
                 if not len(starts):
                     continue
@@ -274,9 +279,8 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
                 found += best.values()
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "lcs_share", "answer_share", "cosine"])
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = rows.mapInPandas(run, "doc_id string, item_id string, lcs_share double, answer_share double, cosine double")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("item_id", F.col("item_id").cast("long"))
+    out = docs.mapInPandas(run, "doc_id string, item_id string, lcs_share double, answer_share double, cosine double")
+    return out.withColumn("item_id", F.col("item_id").cast("long"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -289,13 +293,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK
         rows = benchmark.select(*columns).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).orderBy("item_id", "text").collect()
         items = load_items(rows)
         if items.ids:
-            document_frequencies(docs, items)
-            latent_space(docs, items)
-            found = search(docs, items)
+            ids = coded(docs, items)
+            document_frequencies(ids, items)
+            latent_space(ids, items)
+            found = search(ids, items)
             out = found if out is None else out.unionByName(found)
+    kind = dict(docs.dtypes)["doc_id"]
     if out is None:
-        kind = dict(docs.dtypes)["doc_id"]
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, lcs_share double, answer_share double, cosine double")
+    out = out.withColumn("doc_id", F.col("doc_id").cast(kind))
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("lcs_share", "answer_share", "cosine")])
 
 

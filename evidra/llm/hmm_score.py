@@ -14,6 +14,7 @@ untrained model. An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, fold, table, words_col
+from .common import Memo, ascii_lower, cut, fold, table, words_col
 
 STATES = 4
 ROUNDS = 3
@@ -89,14 +90,19 @@ def initial(words: Words, states: int = STATES, seed: int = 7) -> Hmm:
     return Hmm(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def encode(texts, words: Words) -> list[np.ndarray]:
+def class_memo(words: Words) -> Memo:
+    own = words.classes
+    return Memo(lambda w: own.get(w) or min(len(w), LENGTHS))
+
+
+def encode(texts, memo: Memo) -> list[np.ndarray]:
     """Class ids of each text, the end included."""
-    out, get = [], words.classes.get
+    memo.trim()
+    out = []
     for t in texts:
         raw = (t or "").encode("utf-8", "replace").lower().split()
-        ids = [get(w) or (len(w) if len(w) < LENGTHS else LENGTHS) for w in raw]
-        ids.append(0)
-        out.append(np.array(ids, np.int32))
+        raw.append(b"")  # of length 0: the end
+        out.append(np.fromiter(map(memo.__getitem__, raw), np.int32, len(raw)))
     return out
 
 
@@ -185,9 +191,10 @@ def estep(docs: DataFrame, hmm: Hmm, words: Words) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hmm, words = model.value, vocab.value
         k = len(hmm.start)
+        memo = class_memo(words)
         like, start, moves, emit = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((words.size, k))
         for pdf in batches:
-            seqs = encode(pdf["text"], words)
+            seqs = encode(pdf["text"], memo)
             for group in batches_of(seqs):
                 x = expectations([seqs[i] for i in group], hmm, words.size)
                 like, start, moves, emit = like + x[0], start + x[1], moves + x[2], emit + x[3]
@@ -234,11 +241,16 @@ def score(docs: DataFrame, hmm: Hmm, words: Words, counts: DataFrame) -> DataFra
         row = TaskContext.get().partitionId() << 36
         denom = -np.log10(words.total + words.kinds + 1)
         tail = -np.log10(words.tail_n + words.tail_v + 1)
-        top = {w: np.log10(c + 1) for w, c in words.counts.items()}
-        classes = words.classes
+        logs = np.log10(np.fromiter(words.counts.values(), float, len(words.counts)) + 1).tolist()
+        memo, top = class_memo(words), dict(zip(words.counts, logs))
+        # words with counts at hand: the gain of the base, and inside a tail class the same gain
+        gain = Memo(lambda w: top.get(w, 0.0))
+        known_in_tail = Memo(lambda w: 0.0 if w in words.classes else top.get(w, 0.0))
         end = (np.log10(words.n_docs + 1), int(words.n_docs > 0))
         for pdf in batches:
-            seqs = encode(pdf["text"], words)
+            gain.trim()
+            known_in_tail.trim()
+            seqs = encode(pdf["text"], memo)
             like = np.empty(len(seqs))
             for group in batches_of(seqs):
                 like[group] = forward([seqs[i] for i in group], hmm)
@@ -246,18 +258,10 @@ def score(docs: DataFrame, hmm: Hmm, words: Words, counts: DataFrame) -> DataFra
             main, rest = [], []
             for i, (key, text, seq) in enumerate(zip(pdf["doc_id"], pdf["text"], seqs)):
                 raw = (text or "").encode("utf-8", "replace").lower().split()
-                base, inside, known, missing = end[0], 0.0, end[1], {}
-                if (seq <= LENGTHS).sum() > 1:
-                    inside = float(tail[seq[(seq <= LENGTHS) & (seq > 0)]].sum())
-                for w in raw:
-                    v = top.get(w)
-                    if v is None:
-                        missing[w] = missing.get(w, 0) + 1
-                    else:
-                        base += v
-                        known += 1
-                        if w not in classes:
-                            inside += v
+                inside = float(tail[seq[(seq <= LENGTHS) & (seq > 0)]].sum()) + sum(map(known_in_tail.__getitem__, raw))
+                base = end[0] + sum(map(gain.__getitem__, raw))
+                missing = Counter(w for w in raw if w not in top)
+                known = end[1] + len(raw) - missing.total()
                 main.append((row + i, key, len(seq), known, base + len(seq) * denom, like[i] + inside, f" {row + i}", 0))
                 rest += [(row + i, None, 0, 0, 0.0, 0.0, w.decode(), n) for w, n in missing.items()]
             row += len(seqs)

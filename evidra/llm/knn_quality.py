@@ -12,15 +12,17 @@ the score is the share of label 1 (0.5 without any). Repeated rows are scored al
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import Memo, fold, table
 
 PER_CLASS = 1500
 DIMS = 48
@@ -38,33 +40,31 @@ def shape(word: str) -> str:
 
 
 def _hash(s: str, n: int) -> int:
-    import zlib
-
     return zlib.crc32(s.encode("utf-8", "replace")) % n
 
 
 class Features:
+    """Hashed counts; the features of a word are computed once and kept in rows of a table."""
+
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.codes = Memo(self._code)
+
+    @staticmethod
+    def _code(word: bytes) -> int:
+        """Three hashes in one number: shape, word, and the word itself for repeats."""
+        w = word.decode("utf-8", "replace")
+        return _hash(shape(w), SHAPES) | _hash(w.lower(), WORDS) << 10 | (zlib.crc32(word) & 0x7FFFFFFF) << 20
 
     def matrix(self, texts: list[str]) -> np.ndarray:
         """Counts [text, feature], dense: for blocks of bounded size."""
-        known = self.known
-        if len(known) > 200_000:
-            known.clear()
-        ids, n = [], []
-        for t in texts:
-            words = re.split(r"[\x20\x09-\x0D]+", t.strip("\x20\x09\x0a\x0b\x0c\x0d")) if t else []
-            words = [w for w in words if w]
-            for w in words:
-                if w not in known:
-                    known[w] = (_hash(shape(w), SHAPES), _hash(w.lower(), WORDS), _hash("=" + w, 1 << 31))
-            ids += [known[w] for w in words]
-            n.append(len(words))
+        self.codes.trim()
+        words = [t.encode("utf-8", "replace").split() for t in texts]
+        n = [len(w) for w in words]
+        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(words)), np.int64, sum(n))
         out = np.zeros(len(texts) * FEATURES, np.float32)
-        if not ids:
+        if not len(code):
             return out.reshape(len(texts), FEATURES)
-        x = np.array(ids, np.int64)
+        x = np.column_stack([code & 1023, code >> 10 & 1023, code >> 20])
         doc = np.repeat(np.arange(len(texts)), n)
         base = doc * FEATURES
         first = np.concatenate([[True], doc[1:] != doc[:-1]])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import Memo, table, text_bytes
 
 WINDOW = 35
 CHUNK_BYTES = 6_000_000
@@ -28,12 +28,11 @@ BUCKET_CHUNK_BYTES = 12_000_000
 BASE = 0x9E3779B97F4A7C15  # odd
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    for w in set(words):
-        if w not in known:
-            known[w] = digest(w)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+WORDS = Memo(xxhash.xxh64_intdigest)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
 
 
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
@@ -65,8 +64,8 @@ def _words(texts) -> list[list[bytes]]:
 
 def chunk_hashes(docs: list[list[bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Window hashes of all documents in order, and how many windows each has."""
-    known: dict[bytes, int] = {}
-    each = [window_hashes(word_hashes(w, known), size) for w in docs]
+    WORDS.trim()
+    each = [window_hashes(word_hashes(w), size) for w in docs]
     return (np.concatenate(each) if each else np.empty(0, np.uint64)), np.array([len(x) for x in each], np.int64)
 
 
