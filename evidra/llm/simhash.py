@@ -1,19 +1,25 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Every document gets a 64-bit fingerprint of its three-word shingles (another length is a parameter). Distinct fingerprints are
-compared, never documents. Each fingerprint has a row of a pivot table: its Hamming distances to fixed reference fingerprints. By the
-triangle inequality two fingerprints within r bits differ by at most r in each coordinate, so pairs with a larger coordinate
-difference are discarded and only survivors are verified. Pairs meet in groups that equal bits define: two fingerprints within three
-bits agree on one of four 16-bit blocks and on one of four 12-bit blocks of the rest, so sixteen keys of 28 bits lose no link.
-Inside a group the links are reduced to a spanning forest at once, and components are found by distributed min-label contraction.
+Every document gets a fingerprint of its word shingles. Distinct fingerprints are compared, never documents. Each fingerprint has a row
+of a pivot table: its Hamming distances to fixed reference fingerprints. By the triangle inequality two fingerprints within r bits
+differ by at most r in each coordinate, so pairs with a larger coordinate difference are discarded and only survivors are verified.
+Pairs meet in groups that equal bits define. Inside a group the links are reduced to a spanning forest at once, and components are
+found by distributed min-label contraction.
+
+Two settings: NARROW has 64 bits and links at 3 or fewer differing bits; two such fingerprints agree on one of four 16-bit blocks and
+on one of four 12-bit blocks of the rest, so that sixteen keys of 28 bits lose no link. WIDE has 384 bits of distinct five-word
+shingles and links where the share of differing bits says that the Jaccard similarity is 0.8 or more (within one standard deviation);
+its keys are 27 bands of 14 bits, of which a pair at 0.8 shares one with probability 0.94, at 0.85 with 0.99.
 
 Null or wordless texts have fingerprint zero and link like others. Equal rows and equal fingerprints share a component. Rows with a
-null doc_id get a component_id only through other rows. An empty table gives no rows. Other columns are ignored.
+null doc_id link only by an equal fingerprint of a row with an id, else their component_id is null. An empty table gives no rows.
+Other columns are ignored by the query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,55 +29,93 @@ from pyspark.sql import functions as F
 
 from .common import DOC_COLUMNS, cut, stored, table
 
-RADIUS = 3
-PIVOTS = 24
 TILE = 1024
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints from a fixed seed."""
-    return np.random.default_rng(20240229).integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
+@dataclass(frozen=True)
+class Setting:
+    shingle: int = 3
+    words: int = 1  #: of 64 bits
+    radius: int = 3
+    pivots: int = 24
+    band: int = 0  #: bits of a band; 0: the exact keys of 64-bit fingerprints
+    distinct: bool = False  #: count equal shingles once
+
+    def __post_init__(self) -> None:
+        if self.band == 0 and (self.radius > 3 or self.words != 1):
+            raise ValueError("the exact keys lose no link up to a radius of 3 of 64 bits")
+
+
+NARROW = Setting()
+WIDE = Setting(shingle=5, words=6, radius=65, pivots=8, band=14, distinct=True)
+
+
+def pivots(s: Setting) -> np.ndarray:
+    """Reference fingerprints [pivot, word] from a fixed seed."""
+    return np.random.default_rng(20240229).integers(0, (1 << 64) - 1, (s.pivots, s.words), dtype=np.uint64, endpoint=True)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int16)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def _more(h: np.ndarray, words: int) -> np.ndarray:
+    """[shingle, word]: the hash itself, then further bits by mixing it."""
+    out = np.empty((len(h), words), np.uint64)
+    out[:, 0] = h
+    for j in range(1, words):
+        x = h + np.uint64(j * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        out[:, j] = x ^ x >> np.uint64(31)
+    return out
+
+
+def fingerprint(text: str | None, s: Setting = NARROW) -> bytes:
+    """Little-endian bits; a bit is set if it is in over half the shingles' hashes."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return bytes(8 * s.words)
     line = b" ".join(words)
-    if len(words) <= shingle:
+    if len(words) <= s.shingle:
         hashes = np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
     else:
         ends = np.cumsum([len(w) + 1 for w in words])
-        starts, stops = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist()
+        starts, stops = np.concatenate([[0], ends[:-1]])[: len(words) - s.shingle + 1].tolist(), (ends[s.shingle - 1 :] - 1).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(starts))
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    on = bits.sum(0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(on, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    if s.distinct:
+        hashes = np.unique(hashes)
+    total = np.zeros(64 * s.words, np.int64)
+    for lo in range(0, len(hashes), 4080):  # sums of 255 rows fit in a byte
+        part = _more(hashes[lo : lo + 4080], s.words).astype("<u8").view(np.uint8)
+        bits = np.unpackbits(part, axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):
+            total += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, s: Setting = NARROW) -> DataFrame:
+    """(doc_id, fp)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [fingerprint(t, s) for t in pdf["text"]]})
 
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, fp long")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, fp binary")
     return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 class _Forest:
     def __init__(self, n: int) -> None:
-        self.up = np.arange(n)
+        self.up = list(range(n))
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
             self.up[x] = self.up[self.up[x]]
             x = self.up[x]
-        return int(x)
+        return x
 
     def join(self, x: int, y: int) -> bool:
         a, b = self.root(x), self.root(y)
@@ -85,86 +129,101 @@ class _Forest:
         return all(self.root(i) == first for i in range(lo + 1, hi))
 
 
-def linked(fp: np.ndarray, table: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links within one group. fp: distinct uint64; table: [fp, pivot] distances.
+def linked(fp: np.ndarray, near_table: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the links within one group. fp: [fingerprint, word]; near_table: [fingerprint, pivot] distances.
 
     Tiles bound the memory; two tiles that already hang together are skipped, so a dense group costs about its size times a tile.
     """
-    forest, n = _Forest(len(fp)), len(fp)
+    n = len(fp)
+    forest = _Forest(n)
     for j in range(0, n, TILE):
         for i in [j, *range(0, j, TILE)]:
             lo, hi = slice(i, min(i + TILE, n)), slice(j, min(j + TILE, n))
             if n > TILE and forest.root(i) == forest.root(j) and forest.one(i, lo.stop) and forest.one(j, hi.stop):
                 continue
             near = np.ones((lo.stop - i, hi.stop - j), bool)
-            for p in range(table.shape[1]):
-                near &= np.abs(table[lo, p][:, None] - table[hi, p][None, :]) <= radius
+            for p in range(near_table.shape[1]):
+                near &= np.abs(near_table[lo, p][:, None] - near_table[hi, p][None, :]) <= radius
             a, b = np.nonzero(near)
             keep = a + i < b + j
             a, b = a[keep] + i, b[keep] + j
-            keep = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-            for x, y in zip(a[keep].tolist(), b[keep].tolist()):
-                if forest.join(x, y):
-                    yield x, y
-
-
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """prints: distinct fp. Returns (a, b): links that span every component of the graph of fingerprints within the radius."""
-    if radius > 3:
-        raise ValueError("the grouping keys lose no link up to a radius of 3")
-    refs = pivots()
+            for k in range(0, len(a), 65536):  # survivors are verified
+                x, y = a[k : k + 65536], b[k : k + 65536]
+                ok = distance(fp[x], fp[y]) <= radius
+                for u, v in zip(x[ok].tolist(), y[ok].tolist()):
+                    if forest.join(u, v):
+                        yield u, v
+
+
+def group_keys(fp: np.ndarray, s: Setting) -> Iterator[np.ndarray]:
+    """Keys of fingerprints [fingerprint, word]: two that link share at least one (see the module's text)."""
+    if s.band:
+        bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+        for b in range(bits.shape[1] // s.band):
+            part = bits[:, b * s.band : (b + 1) * s.band]
+            yield (part << np.arange(s.band)).sum(1) | b << s.band
+        return
+    fp = fp[:, 0]
+    for i in range(4):
+        block = fp >> np.uint64(16 * i) & np.uint64(0xFFFF)
+        low = fp & np.uint64((1 << 16 * i) - 1)
+        rest = low | fp >> np.uint64(16 * (i + 1)) << np.uint64(16 * i) if i < 3 else low
+        for j in range(4):
+            sub = rest >> np.uint64(12 * j) & np.uint64(0xFFF)
+            yield (np.uint64(4 * i + j) << np.uint64(28) | block << np.uint64(12) | sub).astype(np.int64)
+
+
+def links(heads: DataFrame, s: Setting = NARROW) -> DataFrame:
+    """heads: distinct (fp, head). Returns (a, b), heads whose links span every component of the graph of linked fingerprints."""
+    refs = pivots(s)
+
+    def matrix(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column), "<u8").reshape(-1, s.words)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-            for i in range(4):
-                block = fp >> np.uint64(16 * i) & np.uint64(0xFFFF)
-                low = fp & np.uint64((1 << 16 * i) - 1)
-                rest = low | fp >> np.uint64(16 * (i + 1)) << np.uint64(16 * i) if i < 3 else low
-                for j in range(4):
-                    sub = rest >> np.uint64(12 * j) & np.uint64(0xFFF)
-                    key = np.uint64(4 * i + j) << np.uint64(28) | block << np.uint64(12) | sub
-                    yield pd.DataFrame({"key": key.astype(np.int64), "fp": pdf["fp"]})
+            for key in group_keys(matrix(pdf["fp"]), s) if len(pdf) else ():
+                yield pd.DataFrame({"key": key, "head": pdf["head"], "fp": pdf["fp"]})
+
+    def solve(key: np.ndarray, head: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+        cuts = np.flatnonzero(np.diff(key)) + 1
+        starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
+        size = stops - starts
+        found: list[tuple[int, int]] = []
+        two = starts[size == 2]  # most groups are pairs: all at once
+        if len(two):
+            x, y = fp[two], fp[two + 1]
+            ok = np.ones(len(two), bool)
+            for r in refs:
+                ok &= np.abs(distance(x, r) - distance(y, r)) <= s.radius
+            ok[ok] = distance(x[ok], y[ok]) <= s.radius
+            found += zip(head[two[ok]].tolist(), head[two[ok] + 1].tolist())
+        more = size > 2
+        for a, b in zip(starts[more].tolist(), stops[more].tolist()):
+            part = fp[a:b]
+            near = np.column_stack([distance(part, r) for r in refs])
+            found += [(int(head[a + x]), int(head[a + y])) for x, y in linked(part, near, s.radius)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sorted rows come in; a group may reach over several batches."""
-        key = np.empty(0, np.int64)
-        fp = np.empty(0, np.int64)
-
-        def solve(key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-            big = stops - starts > 1
-            found: list[tuple[int, int]] = []
-            bits = fp.view(np.uint64)
-            two = starts[stops - starts == 2]  # most groups are pairs: all at once
-            if len(two):
-                x, y = bits[two], bits[two + 1]
-                ok = np.ones(len(two), bool)
-                for r in refs:
-                    ok &= np.abs(np.bitwise_count(x ^ r).astype(np.int8) - np.bitwise_count(y ^ r).astype(np.int8)) <= radius
-                ok[ok] = np.bitwise_count(x[ok] ^ y[ok]) <= radius
-                found += zip(fp[two[ok]].tolist(), fp[two[ok] + 1].tolist())
-            for s, e in zip(starts[big].tolist(), stops[big].tolist()):
-                if e - s > 2:
-                    part = bits[s:e]
-                    rows = np.bitwise_count(part[:, None] ^ refs[None, :]).astype(np.int8)
-                    found += [(int(fp[s + x]), int(fp[s + y])) for x, y in linked(part, rows, radius)]
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
+        key, head, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, s.words), np.uint64)
         for pdf in batches:
-            key, fp = np.concatenate([key, pdf["key"].to_numpy(np.int64)]), np.concatenate([fp, pdf["fp"].to_numpy(np.int64)])
+            if not len(pdf):
+                continue
+            key, head = np.concatenate([key, pdf["key"].to_numpy(np.int64)]), np.concatenate([head, pdf["head"].to_numpy(np.int64)])
+            fp = np.vstack([fp, matrix(pdf["fp"])])
             if key[0] == key[-1]:
                 continue
-            at = np.searchsorted(key, key[-1])
-            yield solve(key[:at], fp[:at])
-            key, fp = key[at:], fp[at:]
+            at = int(np.searchsorted(key, key[-1]))
+            yield solve(key[:at], head[:at], fp[:at])
+            key, head, fp = key[at:], head[at:], fp[at:]
         if len(key):
-            yield solve(key, fp)
+            yield solve(key, head, fp)
 
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = prints.select("fp").mapInPandas(keys, "key long, fp long")
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInPandas(group, "a long, b long").distinct()
+    n = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = heads.where("head is not null").select(F.col("head").cast("long").alias("head"), "fp").mapInPandas(keys, "key long, head long, fp binary")
+    return keyed.repartition(n, "key").sortWithinPartitions("key", "head").mapInPandas(group, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,34 +238,31 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: neighbours below u, and u, hang on the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = cut(small)
-        now = after.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        edges = after
+        edges = cut(small)
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if size == now:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         size = now
 
 
-def group(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+def group(docs: DataFrame, s: Setting = NARROW) -> DataFrame:
     """(doc_id, fp, component_id)."""
-    prints = stored(fingerprints(docs.select("doc_id", "text"), shingle), "fingerprints")
-    heads = prints.groupBy("fp").agg(F.min("doc_id").alias("head"))
-    edges = links(heads, radius)
-    nodes = components(edges)
-    # labels are fingerprints; a component is named by the least doc_id of its fingerprints
-    comp = heads.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "head", F.coalesce("label", "fp").alias("label"))
-    least = comp.groupBy("label").agg(F.min("head").alias("component_id"))
-    named = comp.join(least, "label").select("fp", "component_id")
+    prints = stored(fingerprints(docs.select("doc_id", "text"), s), "fingerprints")
+    heads = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("head")))
+    # a node is the least doc_id of its fingerprint, so the least node of a component is its least doc_id
+    nodes = components(links(heads, s))
+    named = heads.join(nodes, F.col("head") == F.col("node"), "left").select("fp", F.coalesce("label", "head").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = group(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # the bytes are little-endian, the text is not
+    return found.select("doc_id", F.lower(F.hex(F.concat(*[F.substring("fp", i, 1) for i in range(8, 0, -1)]))).alias("fingerprint"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the least doc_id. Shingles of five words; rows of the same doc_id stay together."""
+    """One document of each group stays: that with the least doc_id (all of its rows). Documents with a null id stay."""
     docs = docs.select(*DOC_COLUMNS)
-    heads = group(docs, shingle=5).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi")
+    gone = group(docs, WIDE).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
