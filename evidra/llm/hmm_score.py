@@ -65,8 +65,20 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, n_docs: int, classes: int = CLASSES, head: int = HEAD) -> Words:
-    """counts must be stored: it is read twice."""
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
+    """counts must be stored: it is read three times.
+
+    The head is cut at a count: of logarithmic bins of counts, as many of the highest as hold at most head words. So no task sends more
+    than its share of the head to the driver, at any number of tasks.
+    """
+    level = F.floor(F.log2("c") * 16)
+    sizes = sorted(((r["l"], r["n"]) for r in counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, room = None, head
+    for at, n in sizes:
+        if n > room:
+            break
+        least, room = at, room - n
+    top = counts.where(level >= least).collect() if least is not None else []
+    top.sort(key=lambda r: (-r["c"], r["word"]))
     own = {r["word"].encode("utf-8", "replace"): LENGTHS + 1 + i for i, r in enumerate(top[:classes])}
     known = {r["word"].encode("utf-8", "replace"): r["c"] for r in top}
     length = F.least(F.octet_length("word"), F.lit(LENGTHS))
