@@ -27,9 +27,9 @@ from .common import DOC_COLUMNS, Memo, stored, table
 
 WIDTH = 16
 STRIDE = 4
-DIMS = 64
+DIMS = 256
 COSINE = 0.6
-SHARE = 0.45  #: least share of a window's squared weight in words of the items
+SHARE = 0.55  #: least share of a window's squared weight in words of the items
 LCS = 0.8
 ANSWER = 0.8
 MIN_WORDS = 6
@@ -72,13 +72,6 @@ class Coder:
         return ids[ids != -2] if len(ids) and ids.min() == -2 else ids
 
 
-def passages_of(n: int, width: int = WIDTH, stride: int = STRIDE) -> np.ndarray:
-    """Starts of windows; the last one ends with the text."""
-    if n <= width:
-        return np.zeros(min(n, 1), np.int64)
-    return np.append(np.arange(0, n - width, stride), n - width)
-
-
 def load_items(rows: list) -> Items:
     vocab: dict[str, int] = {}
     ids, words, answers = [], [], []
@@ -130,23 +123,58 @@ def document_frequencies(docs: DataFrame, items: Items) -> None:
     items.other = float(np.median(idf)) if len(idf) else 0.0
 
 
-def window_shares(ids: np.ndarray, starts: np.ndarray, items: Items) -> np.ndarray:
-    inside = np.where(ids >= 0, items.idf[np.maximum(ids, 0)], 0.0) ** 2
-    total = np.where(ids >= 0, inside, items.other**2)
-    stops = np.minimum(starts + WIDTH, len(ids))
-    cum = lambda x: np.concatenate([[0.0], np.cumsum(x)])
-    a, b = cum(inside), cum(total)
-    got, all_ = a[stops] - a[starts], b[stops] - b[starts]
-    return np.where(all_ > 1e-9, got / np.maximum(all_, 1e-9), 0.0)
-
-
-def sums(ids: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sum of rows[word id] over each window."""
-    at = starts[:, None] + np.arange(WIDTH)[None, :]
-    ok = at < len(ids)
-    x = ids[np.minimum(at, len(ids) - 1)]
-    ok &= x >= 0
-    return np.einsum("pwd,pw->pd", rows[np.maximum(x, 0)], ok.astype(np.float32))
+@dataclass
+class Windows:
+    """Windows of several documents that mostly hold words of the items."""
+
+    ids: np.ndarray  #: word ids of the documents, one after the other
+    start: np.ndarray
+    end: np.ndarray  #: of the window, within its document
+    doc: np.ndarray  #: number of its document
+    first: np.ndarray  #: where each document begins, and the end of the last
+
+    def sums(self, rows: np.ndarray) -> np.ndarray:
+        """Sum of rows[word id] over each window."""
+        at = self.start[:, None] + np.arange(WIDTH)[None, :]
+        x = self.ids[np.minimum(at, len(self.ids) - 1)]
+        ok = (at < self.end[:, None]) & (x >= 0)
+        return np.einsum("pwd,pw->pd", rows[np.maximum(x, 0)], ok.astype(np.float32))
+
+    def part(self, lo: int, hi: int) -> Windows:
+        return Windows(self.ids, self.start[lo:hi], self.end[lo:hi], self.doc[lo:hi], self.first)
+
+
+def windows(docs: list[np.ndarray], items: Items, stride: int, share: float = SHARE) -> Windows:
+    """Of all windows of the documents, those whose squared weight lies in words of the items to the given share."""
+    n = np.array([len(d) for d in docs], np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    ids = np.concatenate(docs) if len(docs) else np.empty(0, np.int32)
+    count = np.where(n > WIDTH, -(-(n - WIDTH) // stride) + 1, np.minimum(n, 1))
+    doc = np.repeat(np.arange(len(docs)), count)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    # the last window of a document ends with it
+    start = first[doc] + np.minimum(k * stride, np.maximum(n[doc] - WIDTH, 0))
+    end = np.minimum(start + WIDTH, first[doc + 1])
+    square = (items.idf**2)[np.maximum(ids, 0)].astype(np.float64)
+    inside = np.where(ids >= 0, square, 0.0)
+    a, b = (np.concatenate([[0.0], np.cumsum(x)]) for x in (inside, np.where(ids >= 0, square, items.other**2)))
+    got, total = a[end] - a[start], b[end] - b[start]
+    keep = (got > 1e-6) & (got >= share * total)
+    return Windows(ids, start[keep], end[keep], doc[keep], first)
+
+
+def groups_of(raws: list[bytes], limit: int = 400_000) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Coded documents in groups of about limit words, each with the number of its first document."""
+    lo, size, group = 0, 0, []
+    for i, raw in enumerate(raws):
+        x = np.frombuffer(raw, "<i4")
+        if group and size + len(x) > limit:
+            yield lo, group
+            lo, size, group = i, 0, []
+        group.append(x)
+        size += len(x)
+    if group:
+        yield lo, group
 
 
 def latent_space(docs: DataFrame, items: Items, dims: int = DIMS, seed: int = 11) -> None:
@@ -158,24 +186,25 @@ def latent_space(docs: DataFrame, items: Items, dims: int = DIMS, seed: int = 11
     omega = np.random.default_rng(seed).standard_normal((size, dims)).astype(np.float32)
     tied = items.idf[:, None] * omega
 
-    def back(ids: np.ndarray, starts: np.ndarray, out: np.ndarray, idf: np.ndarray, rows: np.ndarray) -> None:
-        y = sums(ids, starts, rows)
-        at = (starts[:, None] + np.arange(WIDTH)[None, :]).reshape(-1)
-        owner = np.repeat(np.arange(len(starts)), WIDTH)
-        ok = at < len(ids)
-        at, owner = at[ok], owner[ok]
-        x = ids[at]
-        np.add.at(out, x[x >= 0], (idf[x[x >= 0], None] * y[owner[x >= 0]]))
+    def back(w: Windows, out: np.ndarray, idf: np.ndarray) -> None:
+        """Adds A'(A R) of these passages, each of unit length near enough, so that junk that repeats a word weighs as any other."""
+        for lo in range(0, len(w.start), 1024):
+            part = w.part(lo, lo + 1024)
+            y = part.sums(tied) / np.maximum(part.sums((idf * idf)[:, None]), 1e-9)
+            at = part.start[:, None] + np.arange(WIDTH)[None, :]
+            ok = at < part.end[:, None]
+            owner, x = np.nonzero(ok)[0], part.ids[at[ok]]
+            owner, x = owner[x >= 0], x[x >= 0]
+            order = np.argsort(x, kind="stable")
+            x, owner = x[order], owner[order]
+            edge = np.flatnonzero(np.diff(x, prepend=-1))
+            out[x[edge]] += idf[x[edge], None] * np.add.reduceat(y[owner], edge, axis=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, out = shared.value, np.zeros((size, dims), np.float32)
         for pdf in batches:
-            for raw in pdf["ids"]:
-                ids = np.frombuffer(raw, "<i4")
-                starts = np.arange(0, len(ids), WIDTH)
-                starts = starts[window_shares(ids, starts, m) >= SHARE] if len(ids) else starts
-                if len(starts):
-                    back(ids, starts, out, m.idf, tied)
+            for _, docs in groups_of(pdf["ids"].tolist()):
+                back(windows(docs, m, WIDTH), out, m.idf)
         rows = np.flatnonzero(out.any(1))
         yield pd.DataFrame({"word": rows, "y": [r.astype("<f4").tobytes() for r in out[rows]]})
 
@@ -193,14 +222,12 @@ def latent_space(docs: DataFrame, items: Items, dims: int = DIMS, seed: int = 11
     total = np.zeros((size, dims), np.float32)
     for w, y in zip(got["word"], got["y"]):
         total[w] += np.frombuffer(y, "<f4")
-    starts = [passages_of(len(w), WIDTH, WIDTH // 2) for w in items.words]
-    for w, s in zip(items.words, starts):  # the items' own passages belong to the matrix too
-        back(w, s, total, items.idf, tied)
+    own = windows(items.words, items, WIDTH // 2, 0.0)
+    back(own, total, items.idf)  # the items' own passages belong to the matrix too
     items.basis = np.linalg.qr(total.astype(np.float64))[0].astype(np.float32)
-    rows = items.idf[:, None] * items.basis
-    vectors = np.vstack([sums(w, s, rows) for w, s in zip(items.words, starts)])
+    vectors = own.sums(items.idf[:, None] * items.basis)
     items.passages = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    items.owner = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
+    items.owner = own.doc
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -219,28 +246,38 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 
 def verify(ids: np.ndarray, at: int, item: int, m: Items) -> tuple[float, float]:
     """(share of the item in its LCS with the text around the window, share of the answer found there). The text is a stretch of at
-    most 1.25 times the item, tried over the window's neighbourhood."""
+    most 1.25 times the item; only stretches with enough words of the item are tried, the one with the most first."""
     words = m.words[item]
     n = len(words)
     lo, hi = max(0, at - n), min(len(ids), at + WIDTH + n)
     near = ids[lo:hi]
-    hits = np.flatnonzero(np.isin(near, words))
-    if len(hits) < LCS * n:
+    mine = set(words.tolist())
+    hits = np.fromiter((x in mine for x in near.tolist()), np.int32, len(near))
+    need = n if n < MIN_WORDS else LCS * n
+    if hits.sum() < need:
         return 0.0, 0.0
-    reach = n + n // 4 + 1
+    reach = min(n + n // 4 + 1, len(near))
+    count = np.cumsum(np.concatenate([[0], hits]))
+    count = count[reach:] - count[:-reach]
     best, place = 0, 0
-    for s in range(0, max(1, len(near) - reach + max(1, n // 8)), max(1, n // 8)):
-        got = lcs(words, near[s : s + reach])
-        if got > best:
-            best, place = got, s
+    step = max(1, n // 8)
+    tries = [int(count.argmax()), *(i for i in range(0, len(count), step) if count[i] >= need)]
+    for s in tries:
+        if count[s] >= need:
+            got = lcs(words, near[s : s + reach])
+            if got > best:
+                best, place = got, s
+            if best >= need:
+                break
     if n < MIN_WORDS:
-        runs = [(near[s : s + n] == words).all() for s in range(len(near) - n + 1)]
-        best = n if any(runs) else 0
+        best = n if any((near[s : s + n] == words).all() for s in range(len(near) - n + 1)) else 0
+    if best < need:
+        return best / n, 0.0
     answer = m.answers[item]
     if answer is None:
         rare = np.unique(words)
         answer = rare[np.argsort(-m.idf[rare], kind="stable")[: max(1, n // 4)]]
-    return best / n, float(np.isin(answer, near[place : place + reach + n]).mean())
+    return best / n, float(np.isin(answer, near[max(0, place - n) : place + reach + n]).mean())
 
 
 def search(docs: DataFrame, items: Items) -> DataFrame:
@@ -252,30 +289,28 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
         rows = m.idf[:, None] * m.basis
         for pdf in batches:
             found = []
-            for key, raw in zip(pdf["doc_id"], pdf["ids"]):
-                ids = np.frombuffer(raw, "<i4")
-                starts = passages_of(len(ids))
-                if not len(starts):
-                    continue
-                starts = starts[window_shares(ids, starts, m) >= SHARE]
-                best: dict[int, tuple] = {}
-                for lo in range(0, len(starts), 512):
-                    part = starts[lo : lo + 512]
-                    v = sums(ids, part, rows)
-                    length = np.linalg.norm(v, axis=1, keepdims=True)
-                    cos = v / np.maximum(length, 1e-9) @ m.passages.T
-                    w, p = np.nonzero((cos >= COSINE) & (length > 1e-6))
-                    done = set()
-                    for x, y in sorted(zip(w.tolist(), p.tolist()), key=lambda t: -cos[t]):
-                        item = int(m.owner[y])
+            for first, docs in groups_of(pdf["ids"].tolist()):
+                every = windows(docs, m, STRIDE)
+                best: dict[tuple[int, int], tuple] = {}
+                done = set()
+                for lo in range(0, len(every.start), 1024):
+                    w = every.part(lo, lo + 1024)
+                    v = w.sums(rows)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                    cos = v @ m.passages.T
+                    at, p = np.nonzero(cos >= COSINE)
+                    order = np.argsort(-cos[at, p], kind="stable")
+                    for x, y in zip(at[order].tolist(), p[order].tolist()):
+                        item, doc = int(m.owner[y]), int(w.doc[x])
+                        where = int(w.start[x] - w.first[doc])
                         # a window near one that was tried reaches the same text
-                        mark = (item, int(part[x]) // max(WIDTH, len(m.words[item]) // 2))
-                        if mark in done or item in best:
+                        mark = (doc, item, where // max(WIDTH, len(m.words[item]) // 2))
+                        if mark in done or (doc, item) in best:
                             continue
                         done.add(mark)
-                        share, answer = verify(ids, int(part[x]), item, m)
+                        share, answer = verify(docs[doc], where, item, m)
                         if share >= LCS and answer >= ANSWER:
-                            best[item] = (key, str(m.ids[item]), share, answer, float(cos[x, y]))
+                            best[doc, item] = (pdf["doc_id"].iloc[first + doc], str(m.ids[item]), share, answer, float(cos[x, y]))
                 found += best.values()
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "lcs_share", "answer_share", "cosine"])
 
