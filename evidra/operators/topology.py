@@ -3,115 +3,112 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import neighbours
+BLOCK = 1000
+MAX_POINTS = 2_000_000  #: the last forest is one task of as many edges
 
 
-def persistence(points: DataFrame, start_k: int = 8) -> DataFrame:
+def tree(d2: np.ndarray) -> list[tuple[int, int, float]]:
+    """Minimum spanning tree of a small matrix of squared distances (Prim)."""
+    n = len(d2)
+    best, near = d2[0].copy(), np.zeros(n, int)
+    done = np.zeros(n, bool)
+    done[0] = True
+    out = []
+    for _ in range(n - 1):
+        j = int(np.where(done, np.inf, best).argmin())
+        out.append((int(near[j]), j, float(best[j])))
+        done[j] = True
+        closer = d2[j] < best
+        best, near = np.where(closer, d2[j], best), np.where(closer, j, near)
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Indices of the edges of a minimum spanning forest (Kruskal); ties by the ends."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    keep = []
+    for i in np.lexsort((b, a, d)):
+        x, y = root(int(a[i])), root(int(b[i]))
+        if x != y:
+            up[x] = y
+            keep.append(i)
+    return np.array(keep, int)
+
+
+def persistence(points: DataFrame, block: int = BLOCK) -> DataFrame:
     """(length): the n - 1 edge lengths of the minimum spanning tree of points (id long, x array<double>).
 
-    Boruvka rounds over a nearest-neighbour graph: each component takes its shortest edge that leaves it; once no edge of the graph
-    leaves a component, the graph is made anew between components with more neighbours. Edges and components stay in Spark.
+    Points are dealt to blocks; the tree of all points lies in the union of the trees of every two blocks, each made in a task of its
+    own (two blocks at a time are the unit of work, as all distances of an exact tree must be seen by someone). Forests of groups of
+    edges shrink that union until one last forest is left.
     """
-    points = points.select(F.col("id").cast("long").alias("id"), "x").checkpoint()
+    points = points.select(F.col("id").cast("long").alias("id"), "x")
     n = points.count()
-    if n < 2:
-        return points.sparkSession.createDataFrame([], "length double")
-    k = min(start_k, n - 1)
-    comp = points.select("id", F.col("id").alias("c")).checkpoint()
-    edges = _graph(points, k)
-    lengths, left = None, n
-    while left > 1:
-        e = edges.join(comp.withColumnsRenamed({"id": "a", "c": "ca"}), "a").join(comp.withColumnsRenamed({"id": "b", "c": "cb"}), "b").where("ca <> cb")
-        both = e.select(F.col("ca").alias("c"), F.struct("d", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).alias("e"))
-        both = both.unionByName(e.select(F.col("cb").alias("c"), F.struct("d", F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).alias("e")))
-        best = both.groupBy("c").agg(F.min("e").alias("e"))
-        # an edge may leave a component by a shorter way than the graph holds: only edges within the reach of k neighbours are safe
-        safe = best.join(_reach(edges, comp, k, n), "c").where(F.col("e.d") <= F.col("reach")).select("e.*").distinct().checkpoint()
-        if safe.isEmpty():
-            k = min(2 * k, n - 1)
-            edges = _graph(points, k)
-            continue
-        lengths = safe.select("d") if lengths is None else lengths.unionByName(safe.select("d"))
-        comp = _merge(comp, safe).checkpoint()
-        left = comp.select("c").distinct().count()
-    return lengths.select(F.sqrt("d").alias("length"))
-
-
-def _graph(points: DataFrame, k: int) -> DataFrame:
-    near = neighbours.knn(points, points, k, exclude_self=True)
-    return near.select(F.col("id").alias("a"), F.col("neighbour").alias("b"), F.col("distance2").alias("d")).checkpoint()
-
-
-def _reach(edges: DataFrame, comp: DataFrame, k: int, n: int) -> DataFrame:
-    """(c, reach): no point of the component has a neighbour outside the graph that is nearer than this."""
-    far = edges.groupBy("a").agg(F.max("d").alias("far"))
-    if k >= n - 1:
-        far = far.withColumn("far", F.lit(float("inf")))
-    return comp.join(far, F.col("id") == F.col("a")).groupBy("c").agg(F.min("far").alias("reach"))
-
-
-def _merge(comp: DataFrame, joined: DataFrame) -> DataFrame:
-    """Components that edges join take their least label: labels spread until nothing changes."""
-    pairs = joined.select("lo", "hi").checkpoint()
-    label = comp.select(F.col("c").alias("node")).distinct().withColumn("m", F.col("node")).checkpoint()
-    while True:
-        links = pairs.unionByName(pairs.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        other = links.join(label.withColumnsRenamed({"node": "hi", "m": "om"}), "hi").groupBy(F.col("lo").alias("node")).agg(F.min("om").alias("om"))
-        new = label.join(other, "node", "left").select("node", F.least("m", F.coalesce("om", "m")).alias("to"), "m")
-        # follow the label of the label as well
-        hop = new.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-        new = new.join(hop, "to", "left").select("node", F.least("to", F.coalesce("to2", "to")).alias("m"), F.col("m").alias("old")).checkpoint()
-        if new.where("m <> old").isEmpty():
-            return comp.join(new.select(F.col("node").alias("c"), "m"), "c").select("id", F.col("m").alias("c"))
-        label = new.drop("old")
+    if n > MAX_POINTS:
+        raise ValueError(f"at most {MAX_POINTS} points")
+    blocks = max(1, -(-n // block))
+    p = points.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    other = F.sequence(F.lit(0), F.lit(blocks - 1))
+    pairs = p.select("id", "x", "blk", F.explode(other).alias("o"))
+    pairs = pairs.where((F.col("o") != F.col("blk")) | F.lit(blocks == 1))
+    pairs = pairs.select("id", "x", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
+    edges = pairs.groupBy("lo", "hi").applyInPandas(_pair_tree, "a long, b long, d double")
+    groups = max(1, blocks // 4)
+    while groups > 1:
+        part = F.pmod(F.xxhash64("a", "b"), F.lit(groups)).cast("int")
+        edges = edges.withColumn("g", part).groupBy("g").applyInPandas(_forest, "a long, b long, d double")
+        groups //= 8
+    last = edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_forest, "a long, b long, d double")
+    return last.select(F.sqrt("d").alias("length"))
+
+
+def _pair_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    x, ids = np.vstack(pdf["x"]).astype(np.float64), pdf["id"].to_numpy()
+    square = (x * x).sum(1)
+    d2 = np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0)
+    out = []
+    for i, j, _ in tree(d2):
+        # the edge is measured again by differences: the same pair has the same length in every task
+        a, b = sorted((i, j), key=lambda k: ids[k])
+        out.append((ids[a], ids[b], float(((x[a] - x[b]) ** 2).sum())))
+    return pd.DataFrame(out, columns=["a", "b", "d"])
+
+
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.drop_duplicates(["a", "b"]).reset_index(drop=True)
+    return pdf.iloc[forest(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["d"].to_numpy())][["a", "b", "d"]]
 
 
 def summary(lengths: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """One row: n_edges, longest, groups (edges over Q3 + 3 IQR, plus one) and the Wasserstein distance from an earlier barcode.
-
-    Barcodes are sorted and the shorter is padded with zeros at its low end.
-    """
-    q = lengths.agg(F.percentile("length", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n_edges"), F.max("length").alias("longest")).first()
-    if not q["n_edges"]:
-        return lengths.agg(F.lit(0).alias("n_edges"), F.lit(None).cast("double").alias("longest"), F.lit(1).alias("groups"), F.lit(0.0).alias("wasserstein"))
-    cut = q["q"][1] + 3 * (q["q"][1] - q["q"][0])
+    """One row: n_edges, longest, groups (edges over Q3 + 3 IQR, plus one) and the Wasserstein distance from an earlier barcode."""
+    q = lengths.agg(F.percentile("length", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"]
+    cut = q[1] + 3 * (q[1] - q[0]) if q else 0.0
     out = lengths.agg(F.count(F.lit(1)).alias("n_edges"), F.max("length").alias("longest"), (F.count_if(F.col("length") > cut) + 1).alias("groups"))
     return out.withColumn("wasserstein", F.lit(wasserstein(lengths, previous)) if previous is not None else F.lit(None).cast("double"))
 
 
 def wasserstein(a: DataFrame, b: DataFrame) -> float:
-    """Mean absolute difference of the barcodes sorted from the longest down."""
-    from pyspark.sql import Window
-
-    def ranked(df: DataFrame, name: str) -> DataFrame:
-        # barcodes are grouped by value first: the ranks are ranges
-        sizes = df.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-        w = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
-        runs = sizes.withColumn("hi", F.sum("n").over(w))
-        return runs.select(F.explode(F.sequence(F.col("hi") - F.col("n") + 1, F.col("hi"))).alias("r"), F.col("length").alias(name))
-
-    j = ranked(a, "x").join(ranked(b, "y"), "r", "full")
-    return float(j.agg(F.avg(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))))).first()[0] or 0.0)
+    """Mean absolute difference of two barcodes sorted from the longest down, the shorter padded with zeros (bounded, as they are)."""
+    w = Window.partitionBy("side").orderBy(F.desc("length"))
+    both = a.select(F.lit(0).alias("side"), "length").unionByName(b.select(F.lit(1).alias("side"), "length"))
+    ranked = both.withColumn("r", F.row_number().over(w)).groupBy("r").agg(
+        F.sum(F.when(F.col("side") == 0, F.col("length")).otherwise(0.0)).alias("x"), F.sum(F.when(F.col("side") == 1, F.col("length")).otherwise(0.0)).alias("y")
+    )
+    return float(ranked.agg(F.avg(F.abs(F.col("x") - F.col("y")))).first()[0] or 0.0)
 
 
 def betti(lengths: DataFrame, radii: list[float]) -> DataFrame:
     """(radius, components) at each radius."""
     row = lengths.agg(*[(F.count_if(F.col("length") > r) + 1).alias(str(i)) for i, r in enumerate(radii)]).first()
     return lengths.sparkSession.createDataFrame([(float(r), int(row[i])) for i, r in enumerate(radii)], "radius double, components long")
-
-
-def check_tree(points: np.ndarray) -> np.ndarray:
-    """Reference barcode of a small array, for tests."""
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-    best, done, out = d[0].copy(), np.zeros(len(d), bool), []
-    done[0] = True
-    for _ in range(len(d) - 1):
-        best[done] = np.inf
-        j = int(best.argmin())
-        out.append(best[j])
-        done[j] = True
-        best = np.minimum(best, d[j])
-    return np.sort(out)

@@ -615,7 +615,7 @@ def spectral_contributions(spark, d):
 @query
 def topology_barcode(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
-    return rounded(topology.persistence(v, 16))
+    return rounded(topology.persistence(v))
 
 
 # ------------------------------------------------------------------------------------------------ calibration
