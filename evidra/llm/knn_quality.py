@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, fold, table
+from .common import Memo, cut, fold, table
 
 PER_CLASS = 1500
 DIMS = 48
@@ -123,7 +123,10 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     for label, n in counts.items():
         rate = int(min(1.0, per_class / n) * 1_000_000)
         keep = keep | ((F.col("label") == label) & (F.pmod(F.xxhash64(F.lit("quality-sample"), "doc_id"), F.lit(1_000_000)) < rate))
-    marks = marks.where(keep).select(F.col("doc_id").alias("_id"), "label")
+    # the sample's ids are counted before they are broadcast; were they more than the bound, an ordinary join would do
+    marks = cut(marks.where(keep).select(F.col("doc_id").alias("_id"), "label"))
+    if marks.count() <= 4 * per_class * max(1, len(counts)):
+        marks = F.broadcast(marks)
     rows = docs.join(marks, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("string").alias("key"), "label", F.coalesce("text", F.lit("")).alias("text"))
     return rows
 
