@@ -27,6 +27,7 @@ from .common import Memo, ascii_lower, cut, fold, table, words_col
 
 STATES = 4
 ROUNDS = 3
+SHRINK = 10.0  #: tokens of a class at which its counts and independence weigh alike
 CLASSES = 8192
 HEAD = 131_072
 LENGTHS = 24
@@ -230,10 +231,14 @@ def fit(docs: DataFrame, words: Words, states: int = STATES, rounds: int = ROUND
             break
         at = {int(c): row for c, row in zip(got["cell"], got.drop(columns="cell").to_numpy())}
         course.append(float(at[-100][0]))
-        emit = np.outer((words.class_n + 1) / (words.class_n + 1).sum(), np.full(states, 20.0))  # a weak prior
+        gamma = np.zeros((words.size, states))
         for c, row in at.items():
             if c >= 0:
-                emit[c] += row
+                gamma[c] = row
+        # expected counts of rare classes are drawn towards independence of the state: their total stays the class's count
+        share = gamma.sum(0) / gamma.sum()
+        sure = (words.class_n / (words.class_n + SHRINK))[:, None]
+        emit = gamma * sure + np.outer(words.class_n + 1, share) * (1 - sure)
         start = at[-1] + 1.0
         move = np.array([at[-2 - i] for i in range(states)]) + 1.0
         hmm = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))

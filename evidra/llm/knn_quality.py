@@ -127,7 +127,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     marks = cut(marks.where(keep).select(F.col("doc_id").alias("_id"), "label"))
     if marks.count() <= 4 * per_class * max(1, len(counts)):
         marks = F.broadcast(marks)
-    rows = docs.join(marks, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("string").alias("key"), "label", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("string").alias("key"), "label", F.coalesce("text", F.lit("")).alias("text"))
     return rows
 
 
