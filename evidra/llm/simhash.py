@@ -7,9 +7,11 @@ Pairs meet in groups that equal bits define. Inside a group the links are reduce
 found by distributed min-label contraction.
 
 Two settings: NARROW has 64 bits and links at 3 or fewer differing bits; two such fingerprints agree on one of four 16-bit blocks and
-on one of four 12-bit blocks of the rest, so that sixteen keys of 28 bits lose no link. WIDE has 384 bits of distinct five-word
-shingles and links where the share of differing bits says that the Jaccard similarity is 0.8 or more (within one standard deviation);
-its keys are 27 bands of 14 bits, of which a pair at 0.8 shares one with probability 0.94, at 0.85 with 0.99.
+on one of four 12-bit blocks of the rest, so that sixteen keys of 28 bits lose no link. WIDE links where the Jaccard similarity of the
+sets of distinct five-word shingles is 0.8 or more, computed from the sets. Its 384 bits only propose: pairs meet where one of 16 keys
+of three least hashes is equal (at 0.8 one is with probability 0.99999) and stay within 96 bits (the mean at 0.8 is 58 with a deviation
+of 7; at most 72 and 7.7 for sets of a few shingles). Then all pairs of each component that is proposed are verified, in pairs of blocks
+of bounded size, so that a large component is many tasks.
 
 Null or wordless texts have fingerprint zero and link like others. Equal rows and equal fingerprints share a component. Rows with a
 null doc_id link only by an equal fingerprint of a row with an id, else their component_id is null. An empty table gives no rows.
@@ -18,6 +20,7 @@ Other columns are ignored by the query.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,16 +41,18 @@ class Setting:
     words: int = 1  #: of 64 bits
     radius: int = 3
     pivots: int = 24
-    band: int = 0  #: bits of a band; 0: the exact keys of 64-bit fingerprints
+    keys: int = 0  #: keys of three least hashes; 0: the exact keys of 64-bit fingerprints
     distinct: bool = False  #: count equal shingles once
 
     def __post_init__(self) -> None:
-        if self.band == 0 and (self.radius > 3 or self.words != 1):
+        if self.keys == 0 and (self.radius > 3 or self.words != 1):
             raise ValueError("the exact keys lose no link up to a radius of 3 of 64 bits")
 
 
 NARROW = Setting()
-WIDE = Setting(shingle=5, words=6, radius=65, pivots=8, band=14, distinct=True)
+WIDE = Setting(shingle=5, words=6, radius=96, pivots=8, keys=16, distinct=True)
+JACCARD = (4, 5)  #: least similarity of a link of WIDE
+BLOCK = 256  #: sets of a block
 
 
 def pivots(s: Setting) -> np.ndarray:
@@ -71,11 +76,11 @@ def _more(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str | None, s: Setting = NARROW) -> bytes:
-    """Little-endian bits; a bit is set if it is in over half the shingles' hashes."""
+def shingles(text: str | None, s: Setting = NARROW) -> np.ndarray:
+    """Hashes of the text's shingles, sorted if they are distinct."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return bytes(8 * s.words)
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
     if len(words) <= s.shingle:
         hashes = np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
@@ -84,8 +89,17 @@ def fingerprint(text: str | None, s: Setting = NARROW) -> bytes:
         starts, stops = np.concatenate([[0], ends[:-1]])[: len(words) - s.shingle + 1].tolist(), (ends[s.shingle - 1 :] - 1).tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops)), np.uint64, len(starts))
-    if s.distinct:
-        hashes = np.unique(hashes)
+    return np.unique(hashes) if s.distinct else hashes
+
+
+def fingerprint(text: str | None, s: Setting = NARROW) -> bytes:
+    """Little-endian bits; a bit is set if it is in over half the shingles' hashes."""
+    return majority(shingles(text, s), s)
+
+
+def majority(hashes: np.ndarray, s: Setting) -> bytes:
+    if not len(hashes):
+        return bytes(8 * s.words)
     total = np.zeros(64 * s.words, np.int64)
     for lo in range(0, len(hashes), 4080):  # sums of 255 rows fit in a byte
         part = _more(hashes[lo : lo + 4080], s.words).astype("<u8").view(np.uint8)
@@ -107,6 +121,37 @@ def fingerprints(docs: DataFrame, s: Setting = NARROW) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+_ODD = np.random.default_rng(20240301).integers(0, 1 << 63, 3 * WIDE.keys, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_keys(hashes: np.ndarray, s: Setting) -> bytes:
+    """Keys of a set of shingles, each of its least hashes under three functions."""
+    if not len(hashes):
+        return bytes(8 * s.keys)
+    least = np.full(3 * s.keys, ~np.uint64(0))
+    for lo in range(0, len(hashes), 4096):
+        x = hashes[None, lo : lo + 4096] * _ODD[:, None]
+        np.minimum(least, (x ^ x >> np.uint64(32)).min(1), out=least)
+    least = least.reshape(s.keys, 3)
+    return b"".join(struct.pack("<Q", xxhash.xxh64_intdigest(k.tobytes(), i)) for i, k in enumerate(least))
+
+
+def sketches(docs: DataFrame, s: Setting = WIDE) -> DataFrame:
+    """(doc_id, fp, digest, keys): fingerprint, digest and keys of the set of shingles."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, text in zip(pdf["doc_id"], pdf["text"]):
+                x = shingles(text, s)
+                rows.append((key, majority(x, s), xxhash.xxh128_digest(x.tobytes()), least_keys(x, s)))
+            yield pd.DataFrame(rows, columns=["doc_id", "fp", "digest", "keys"])
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, fp binary, digest binary, keys binary")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 class _Forest:
     def __init__(self, n: int) -> None:
         self.up = list(range(n))
@@ -155,14 +200,8 @@ def linked(fp: np.ndarray, near_table: np.ndarray, radius: int) -> Iterator[tupl
                         yield u, v
 
 
-def group_keys(fp: np.ndarray, s: Setting) -> Iterator[np.ndarray]:
-    """Keys of fingerprints [fingerprint, word]: two that link share at least one (see the module's text)."""
-    if s.band:
-        bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-        for b in range(bits.shape[1] // s.band):
-            part = bits[:, b * s.band : (b + 1) * s.band]
-            yield (part << np.arange(s.band)).sum(1) | b << s.band
-        return
+def group_keys(fp: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of 64-bit fingerprints [fingerprint, 1]: two that link share at least one (see the module's text)."""
     fp = fp[:, 0]
     for i in range(4):
         block = fp >> np.uint64(16 * i) & np.uint64(0xFFFF)
@@ -174,7 +213,7 @@ def group_keys(fp: np.ndarray, s: Setting) -> Iterator[np.ndarray]:
 
 
 def links(heads: DataFrame, s: Setting = NARROW) -> DataFrame:
-    """heads: distinct (fp, head). Returns (a, b), heads whose links span every component of the graph of linked fingerprints."""
+    """heads: distinct (fp, head), with keys if the setting has them. Returns (a, b), heads whose links span every component of the graph of linked fingerprints."""
     refs = pivots(s)
 
     def matrix(column) -> np.ndarray:
@@ -182,7 +221,9 @@ def links(heads: DataFrame, s: Setting = NARROW) -> DataFrame:
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key in group_keys(matrix(pdf["fp"]), s) if len(pdf) else ():
+            if not len(pdf):
+                continue
+            for key in np.frombuffer(b"".join(pdf["keys"]), "<i8").reshape(-1, s.keys).T if s.keys else group_keys(matrix(pdf["fp"])):
                 yield pd.DataFrame({"key": key, "head": pdf["head"], "fp": pdf["fp"]})
 
     def solve(key: np.ndarray, head: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
@@ -222,7 +263,7 @@ def links(heads: DataFrame, s: Setting = NARROW) -> DataFrame:
             yield solve(key, head, fp)
 
     n = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = heads.where("head is not null").select(F.col("head").cast("long").alias("head"), "fp").mapInPandas(keys, "key long, head long, fp binary")
+    keyed = heads.where("head is not null").select(F.col("head").cast("long").alias("head"), "fp", *["keys"] * bool(s.keys)).mapInPandas(keys, "key long, head long, fp binary")
     return keyed.repartition(n, "key").sortWithinPartitions("key", "head").mapInPandas(group, "a long, b long").distinct()
 
 
@@ -255,6 +296,82 @@ def group(docs: DataFrame, s: Setting = NARROW) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def alike(sets: list[np.ndarray], left: int | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs of sets whose Jaccard similarity is JACCARD or more; with left, of the pairs of one of
+    the first left sets and one of the others."""
+    num, den = JACCARD
+    n = np.array([len(x) for x in sets], np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(int(code.max()) + 1, bool)
+    forest, out = _Forest(len(sets)), []
+    for i in range(len(sets) - 1 if left is None else left):
+        first = i + 1 if left is None else left
+        mark[code[begin[i] : begin[i + 1]]] = True
+        both = np.add.reduceat(mark[code[begin[first] :]], begin[first:-1] - begin[first], dtype=np.int64)
+        mark[code[begin[i] : begin[i + 1]]] = False
+        for j in np.flatnonzero((num + den) * both >= num * (n[i] + n[first:])).tolist():
+            if forest.join(i, j + first):
+                out.append((i, j + first))
+        if len(out) == len(sets) - 1:
+            break
+    return out
+
+
+def verified(docs: DataFrame, proposed: DataFrame, s: Setting = WIDE) -> DataFrame:
+    """proposed: (node, label) of components(). Returns (a, b), links that span what hangs together within each proposed component."""
+    every = proposed.unionByName(proposed.select(F.col("label").alias("node"), "label").distinct())
+    large = every.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).where("blocks > 1")
+    every = every.join(F.broadcast(large), "label", "left").select("node", "label", F.coalesce("blocks", F.lit(1)).cast("long").alias("blocks"))
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["members"] = [shingles(t, s).astype("<u8").tobytes() for t in pdf.pop("text")]
+            yield pdf
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(every, "node")
+    rows = rows.select("node", "label", "blocks", "text").mapInPandas(cut_up, "node long, label long, blocks long, members binary")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    rows = rows.where(F.length("members") > 0).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("label", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "members")
+
+    def solve(part: list[tuple]) -> list[tuple[int, int]]:
+        lo, hi = part[0][1:3]
+        nodes, sets = [r[4] for r in part], [np.frombuffer(r[5], "<u8") for r in part]
+        left = None if lo == hi else sum(r[3] == lo for r in part)
+        if len(part) < 2 or left in (0, len(part)):
+            return []
+        return [(nodes[x], nodes[y]) for x, y in alike(sets, left)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows come in; a pair of blocks may reach over several batches."""
+        part: list[tuple] = []
+        for pdf in batches:
+            found = []
+            for r in pdf.itertuples(index=False, name=None):
+                if part and part[0][:3] != r[:3]:
+                    found += solve(part)
+                    part = []
+                part.append(r)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        if part:
+            yield pd.DataFrame(solve(part), columns=["a", "b"], dtype="int64")
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "mine", "node")
+    return rows.mapInPandas(run, "a long, b long").where("a <> b").distinct()
+
+
+def near_copies(docs: DataFrame, s: Setting = WIDE) -> DataFrame:
+    """(doc_id, fp, component_id) by exact similarity of the sets of shingles."""
+    docs = docs.select("doc_id", "text")
+    prints = stored(sketches(docs, s), "sketches")
+    heads = cut(prints.groupBy("fp", "digest").agg(F.min("doc_id").alias("head"), F.first("keys").alias("keys")))
+    nodes = components(verified(docs, components(links(heads, s)), s))
+    named = heads.join(nodes, F.col("head") == F.col("node"), "left").select("fp", "digest", F.coalesce("label", "head").alias("component_id"))
+    return prints.select("doc_id", "fp", "digest").join(named, ["fp", "digest"]).select("doc_id", "fp", "component_id")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = group(table(spark, sf_dir, "documents"))
     # the bytes are little-endian, the text is not
@@ -264,5 +381,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the least doc_id (all of its rows). Documents with a null id stay."""
     docs = docs.select(*DOC_COLUMNS)
-    gone = group(docs, WIDE).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
+    gone = near_copies(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
     return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")

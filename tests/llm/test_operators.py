@@ -242,6 +242,50 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert sorted(r["doc_id"] for r in simhash.stage(spark, docs, "").collect()) == [1, 4]
 
 
+def test_stage_decides_by_the_similarity_of_five_word_shingles(spark):
+    """Pairs at 0.8 and a little above go, pairs a little below stay."""
+    rng = np.random.default_rng(1)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs, like = [], set()
+    for k in range(400):
+        n = int(rng.integers(8, 250))
+        base = [f"k{k}w{i}" for i in range(n)]
+        grown = base + [f"k{k}v{i}" for i in range(int(rng.uniform(0.1, 0.45) * n))]  # one contains the other
+        a, b = len(base) - 4, len(grown) - 4
+        if k % 2:  # of equal size
+            m = int(rng.uniform(0.05, 0.2) * n)
+            grown = base[: n - m] + [f"k{k}v{i}" for i in range(m)]
+            a, b = n - m - 4, n - 4 + m
+        if a / b >= 0.8:
+            like.add(2 * k + 1)
+        docs += [row(2 * k, " ".join(base))[:5], row(2 * k + 1, " ".join(grown))[:5]]
+    kept = {r["doc_id"] for r in simhash.stage(spark, spark.createDataFrame(docs, schema), "").collect()}
+    assert set(range(800)) - kept == like and 100 < len(like) < 300
+
+
+def test_blocks_of_a_large_component_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(60)]
+    texts_ = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.choice(60, int(rng.integers(0, 5)), replace=False):
+            w[k] = f"x{i}y{k}"
+        texts_.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts_)]
+    label = {i: i for i in range(60)}
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    label[i] = min(label[i], label[j])
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    proposed = spark.createDataFrame([(i, 0) for i in range(1, 60)], "node long, label long")
+    got = {r["node"]: r["label"] for r in simhash.components(simhash.verified(docs, proposed)).collect()}
+    assert {i: got.get(i, i) for i in label} == label and len(set(label.values())) > 5
+
+
 # ---------------------------------------------------------------- 6
 
 
