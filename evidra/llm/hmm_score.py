@@ -1,11 +1,13 @@
 """Language-model scores of whole texts by a hidden Markov model.
 
-Words of the training documents are counted in Spark. The CLASSES most frequent words are observation classes of their own; every
-other word, known or not, belongs to the class of its byte length, and inside a class its probability is (c + 1) / (N + V + 1) of the
-class, so that each text has a true probability. Baum-Welch: each partition runs scaled forward and backward recursions over all its
-training texts and sends expected counts, which Spark adds up; the bounded model (states x classes) is re-estimated on the driver and
-broadcast. Scores come from one scaled forward recursion over each whole text; counts of the words beyond the HEAD most frequent are
-joined by word, so that nothing that grows with the corpus is broadcast.
+Words of the training documents are counted in Spark. Baum-Welch: each partition runs scaled forward and backward recursions over all
+its training texts and sends expected counts, which Spark adds up. In all rounds but the last the CLASSES most frequent words are
+observation classes of their own and every other word belongs to the class of its byte length, so that the model is bounded,
+re-estimated on the driver and broadcast. The last round unties these classes: it gathers the expected counts of every training word,
+as a table (word x state) in Spark, and each word has emissions of its own. A word that was never seen has the weight of a count of
+zero, so that each text has a true probability. Scores come from one scaled forward recursion over each whole text; the emissions of
+the HEAD most frequent words are broadcast, those of all others are joined by word, once for each group of texts, so that nothing that
+grows with the corpus is broadcast.
 
 Tokens are lower-cased (A-Z) words and one end a text. Null text is empty. Rows are scored one by one: repeated rows get equal scores,
 null ids are kept (and count as training rows by the crc of an empty id). With no training rows every probability is that of an
@@ -14,16 +16,15 @@ untrained model. An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, ascii_lower, cut, fold, table, words_col
+from .common import Memo, ascii_lower, cut, fold, stored, table, words_col
 
 STATES = 4
 ROUNDS = 3
@@ -32,6 +33,8 @@ CLASSES = 8192
 HEAD = 131_072
 LENGTHS = 24
 BATCH_TOKENS = 250_000
+GROUP_DOCS = 2_000
+UNKNOWN = 1  #: class of words that were never seen, once the classes are untied
 
 
 @dataclass
@@ -39,6 +42,7 @@ class Hmm:
     start: np.ndarray  #: [state]
     move: np.ndarray  #: [state, state]
     emit: np.ndarray  #: [class, state]
+    table: DataFrame | None = None  #: once untied: (word, c, e0, e1, ...) of all words without a class of their own
 
 
 @dataclass
@@ -53,6 +57,7 @@ class Words:
     tail_n: np.ndarray
     tail_v: np.ndarray
     class_n: np.ndarray
+    table: DataFrame | None = None  #: (word, c) of all words
 
     @property
     def size(self) -> int:
@@ -92,7 +97,7 @@ def vocabulary(counts: DataFrame, n_docs: int, classes: int = CLASSES, head: int
         tail_n[min(len(w), LENGTHS)] -= known[w]
         tail_v[min(len(w), LENGTHS)] -= 1
     class_n = np.concatenate([[n_docs], tail_n[1:], [known[w] for w in own]])
-    return Words(own, known, total + n_docs, kinds + (n_docs > 0), n_docs, tail_n, tail_v, class_n)
+    return Words(own, known, total + n_docs, kinds + (n_docs > 0), n_docs, tail_n, tail_v, class_n, counts)
 
 
 def initial(words: Words, states: int = STATES, seed: int = 7) -> Hmm:
@@ -199,7 +204,7 @@ def expectations(seqs: list[np.ndarray], hmm: Hmm, size: int) -> tuple[float, np
 def estep(docs: DataFrame, hmm: Hmm, words: Words) -> DataFrame:
     """(cell, counts, texts): one row for each class, partition sums added up in Spark. Cells below zero hold starts, moves and likelihood."""
     sc = docs.sparkSession.sparkContext
-    model, vocab = sc.broadcast(hmm), sc.broadcast(words)
+    model, vocab = sc.broadcast(hmm), sc.broadcast(replace(words, table=None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hmm, words = model.value, vocab.value
@@ -222,81 +227,181 @@ def estep(docs: DataFrame, hmm: Hmm, words: Words) -> DataFrame:
     return rows.groupBy("cell").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)])
 
 
+class OpenCoder(Memo):
+    """Class ids of words; words without a class are numbered on from size, in the order of tail."""
+
+    def __init__(self, own: dict[bytes, int], size: int) -> None:
+        super().__init__(None)
+        self.own, self.size, self.tail = own, size, []
+
+    def __missing__(self, word):
+        found = self.own.get(word)
+        if found is None:
+            found = self.size + len(self.tail)
+            self.tail.append(word)
+        self[word] = found
+        return found
+
+
+def gather(docs: DataFrame, hmm: Hmm, words: Words) -> DataFrame:
+    """Like estep(), with a row for every word: word is set (and cell is -200) for words without a class of their own."""
+    sc = docs.sparkSession.sparkContext
+    model, vocab = sc.broadcast(hmm), sc.broadcast(replace(words, table=None))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hmm, words = model.value, vocab.value
+        k, size = len(hmm.start), words.size
+        like, start, moves, own = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+        seen = False
+        for pdf in batches:
+            for lo in range(0, len(pdf), GROUP_DOCS):
+                coder = OpenCoder(words.classes | {b"": 0}, size)
+                seqs = encode(pdf["text"].iloc[lo : lo + GROUP_DOCS], coder)
+                tied = np.fromiter((min(len(w), LENGTHS) for w in coder.tail), np.int64, len(coder.tail))
+                open_hmm = Hmm(hmm.start, hmm.move, np.vstack([hmm.emit, hmm.emit[tied]]))
+                emit = np.zeros((size + len(tied), k))
+                for group in batches_of(seqs):
+                    x = expectations([seqs[i] for i in group], open_hmm, len(emit))
+                    like, start, moves, emit = like + x[0], start + x[1], moves + x[2], emit + x[3]
+                own, seen = own + emit[:size], True
+                tail = pd.Series([w.decode("utf-8", "replace") for w in coder.tail], dtype=object)
+                yield pd.DataFrame({"cell": -200, "word": tail} | {f"s{j}": emit[size:, j] for j in range(k)})
+        if seen:
+            rows = np.flatnonzero(own.any(1))
+            cells = np.concatenate([rows, [-1], -2 - np.arange(k), [-100]])
+            data = np.vstack([own[rows], start[None], moves, np.full((1, k), like)])
+            yield pd.DataFrame({"cell": cells, "word": pd.Series([None] * len(cells), dtype=object)} | {f"s{j}": data[:, j] for j in range(k)})
+
+    k = len(hmm.start)
+    rows = docs.select("text").mapInPandas(run, "cell long, word string, " + ", ".join(f"s{j} double" for j in range(k)))
+    return rows.groupBy("cell", "word").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)])
+
+
+def _cells(got: pd.DataFrame, size: int, states: int) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    at = {int(c): row for c, row in zip(got["cell"], got.drop(columns="cell").to_numpy(float))}
+    gamma = np.zeros((size, states))
+    for c, row in at.items():
+        if c >= 0:
+            gamma[c] = row
+    return at, gamma
+
+
+def _moves(at: dict[int, np.ndarray], states: int) -> tuple[np.ndarray, np.ndarray]:
+    start = at[-1] + 1.0
+    move = np.array([at[-2 - i] for i in range(states)]) + 1.0
+    return start / start.sum(), move / move.sum(1, keepdims=True)
+
+
 def fit(docs: DataFrame, words: Words, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, list[float]]:
-    """Baum-Welch over all rows of docs; the log likelihood before each round."""
+    """Baum-Welch over all rows of docs, the last round for every word; the log likelihood before each round."""
     hmm, course = initial(words, states), []
-    for _ in range(rounds):
+    for _ in range(rounds - 1):
         got = estep(docs, hmm, words).toPandas()
         if not len(got):
             break
-        at = {int(c): row for c, row in zip(got["cell"], got.drop(columns="cell").to_numpy())}
+        at, gamma = _cells(got, words.size, states)
         course.append(float(at[-100][0]))
-        gamma = np.zeros((words.size, states))
-        for c, row in at.items():
-            if c >= 0:
-                gamma[c] = row
         # expected counts of rare classes are drawn towards independence of the state: their total stays the class's count
         share = gamma.sum(0) / gamma.sum()
         sure = (words.class_n / (words.class_n + SHRINK))[:, None]
         emit = gamma * sure + np.outer(words.class_n + 1, share) * (1 - sure)
-        start = at[-1] + 1.0
-        move = np.array([at[-2 - i] for i in range(states)]) + 1.0
-        hmm = Hmm(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    return hmm, course
+        hmm = Hmm(*_moves(at, states), emit / emit.sum(0))
+    return untie(docs, hmm, words, course), course
+
+
+def untie(docs: DataFrame, hmm: Hmm, words: Words, course: list[float]) -> Hmm:
+    """The last round: emissions of every word, by the same rule as those of classes."""
+    k = len(hmm.start)
+    names = [f"s{j}" for j in range(k)]
+    found = stored(gather(docs, hmm, words), "expected")
+    at, gamma = _cells(found.where("word is null").drop("word").toPandas(), words.size, k)
+    tail = words.table.join(found.where("word is not null").drop("cell"), "word")
+    sure = F.col("c") / (F.col("c") + SHRINK)
+    sums = tail.agg(*[F.sum(x).alias(x) for x in names], *[F.sum(F.col(x) * sure).alias(f"t{x}") for x in names], F.sum((F.col("c") + 1) * (1 - sure)).alias("rest")).first()
+    total = gamma.sum(0) + np.array([sums[x] or 0.0 for x in names])
+    share = total / total.sum() if total.sum() > 0 else np.full(k, 1 / k)
+    n = words.class_n.copy()
+    n[1 : LENGTHS + 1] = 0  # all words of these have left, and one of them stands for what was never seen
+    certain = (n / (n + SHRINK))[:, None]
+    emit = gamma * certain + np.outer(n + 1, share) * (1 - certain)
+    emit[1 : LENGTHS + 1] = 0
+    emit[UNKNOWN] = share
+    norm = emit.sum(0) + np.array([sums[f"t{x}"] or 0.0 for x in names]) + share * (sums["rest"] or 0.0)
+    each = [((F.col(x) * sure + (F.col("c") + 1) * float(share[j]) * (1 - sure)) / float(norm[j])).alias(f"e{j}") for j, x in enumerate(names)]
+    start, move = (hmm.start, hmm.move) if -1 not in at else _moves(at, k)
+    if -100 in at:
+        course.append(float(at[-100][0]))
+    return Hmm(start, move, emit / norm, stored(tail.select("word", "c", *each), "emissions"))
 
 
 def score(docs: DataFrame, hmm: Hmm, words: Words, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score; logarithms to base 10."""
+    """doc_id, n_tokens, n_known, base_score, score; logarithms to base 10. hmm as fit() gives it."""
     sc = docs.sparkSession.sparkContext
-    model, vocab = sc.broadcast(hmm), sc.broadcast(words)
     kind = dict(docs.dtypes)["doc_id"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    k = len(hmm.start)
+    names = [f"e{j}" for j in range(k)]
+    # the head is all words from its least count on
+    head = hmm.table.where(F.col("c") >= min(words.counts.values())).toPandas() if words.counts else pd.DataFrame(columns=["word", "c", *names])
+    size = words.size
+    own = words.classes | {b"": 0} | {w.encode("utf-8", "replace"): size + i for i, w in enumerate(head["word"])}
+    emit = np.vstack([hmm.emit, head[names].to_numpy(float).reshape(-1, k)])
+    c = np.concatenate([words.class_n, head["c"].to_numpy(float)])
+    c[1 : LENGTHS + 1] = 0
+    coder, model = sc.broadcast((own, len(emit))), sc.broadcast((Hmm(hmm.start, hmm.move, emit), c, np.log10(words.total + words.kinds + 1)))
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        hmm, words = model.value, vocab.value
-        row = TaskContext.get().partitionId() << 36
-        denom = -np.log10(words.total + words.kinds + 1)
-        tail = -np.log10(words.tail_n + words.tail_v + 1)
-        logs = np.log10(np.fromiter(words.counts.values(), float, len(words.counts)) + 1).tolist()
-        memo, top = class_memo(words), dict(zip(words.counts, logs))
-        # words with counts at hand: the gain of the base, and inside a tail class the same gain
-        gain = Memo(lambda w: top.get(w, 0.0))
-        known_in_tail = Memo(lambda w: 0.0 if w in words.classes else top.get(w, 0.0))
-        end = (np.log10(words.n_docs + 1), int(words.n_docs > 0))
+        own, size = coder.value
+        at = TaskContext.get().partitionId() << 36
         for pdf in batches:
-            gain.trim()
-            known_in_tail.trim()
-            seqs = encode(pdf["text"], memo)
-            like = np.empty(len(seqs))
-            for group in batches_of(seqs):
-                like[group] = forward([seqs[i] for i in group], hmm)
-            like /= np.log(10)
-            main, rest = [], []
-            for i, (key, text, seq) in enumerate(zip(pdf["doc_id"], pdf["text"], seqs)):
-                raw = (text or "").encode("utf-8", "replace").lower().split()
-                inside = float(tail[seq[(seq <= LENGTHS) & (seq > 0)]].sum()) + sum(map(known_in_tail.__getitem__, raw))
-                base = end[0] + sum(map(gain.__getitem__, raw))
-                missing = Counter(w for w in raw if w not in top)
-                known = end[1] + len(raw) - missing.total()
-                main.append((row + i, key, len(seq), known, base + len(seq) * denom, like[i] + inside, f" {row + i}", 0))
-                rest += [(row + i, None, 0, 0, 0.0, 0.0, w.decode(), n) for w, n in missing.items()]
-            row += len(seqs)
-            yield pd.DataFrame(main + rest, columns=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "word", "n"])
-
-    schema = "row long, doc_id string, n_tokens long, n_known long, base_score double, score double, word string, n long"
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
-    # a text's own row has a word with a space, which no word has, so that these rows spread evenly over the join
-    rows = rows.join(counts, "word", "left")
-    gain = F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1)).otherwise(F.lit(0.0))
-    out = rows.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        (F.sum("base_score") + F.sum(gain)).alias("base_score"),
-        (F.sum("score") + F.sum(gain)).alias("score"),
-    )
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).drop("row")
+            for lo in range(0, len(pdf), GROUP_DOCS):
+                part = pdf.iloc[lo : lo + GROUP_DOCS]
+                memo = OpenCoder(own, size)
+                ids = [x.astype("<i4").tobytes() for x in encode(part["text"], memo)]
+                tail = pd.Series([w.decode("utf-8", "replace") for w in memo.tail], dtype=object)
+                yield pd.DataFrame({"part": at, "pos": np.arange(len(tail)), "word": tail, "doc_id": None, "ids": None})
+                yield pd.DataFrame({"part": at, "pos": -1, "word": None, "doc_id": part["doc_id"].to_numpy(object), "ids": ids})
+                at += 1
+
+    def scored(ids: list[bytes], keys: list, tail: np.ndarray) -> pd.DataFrame:
+        hmm, c, denom = model.value
+        missing = np.isnan(tail[:, 0])
+        tail = np.where(missing[:, None], np.concatenate([[0.0], hmm.emit[UNKNOWN]]), tail)
+        every = np.concatenate([c, tail[:, 0]])
+        logs, known = np.log10(every + 1), every > 0
+        full = Hmm(hmm.start, hmm.move, np.vstack([hmm.emit, tail[:, 1:]]))
+        seqs = [np.frombuffer(x, "<i4") for x in ids]
+        like = np.empty(len(seqs))
+        for group in batches_of(seqs):
+            like[group] = forward([seqs[i] for i in group], full)
+        rows = [(key, len(x), int(known[x].sum()), float(logs[x].sum() - len(x) * denom)) for key, x in zip(keys, seqs)]
+        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_known", "base_score"]).assign(score=like / np.log(10))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows come in, of each group its words first; a group may reach over several batches."""
+        now, tails, keys, ids = None, [], [], []
+        for pdf in batches:
+            for at, part in pdf.groupby("part", sort=False):
+                if at != now and ids:
+                    yield scored(ids, keys, np.concatenate([*tails, np.empty((0, k + 1))]))
+                if at != now:
+                    now, tails, keys, ids = at, [], [], []
+                of_words = (part["pos"] >= 0).to_numpy()
+                tails.append(part.loc[of_words, ["c", *names]].to_numpy(float))
+                keys += part.loc[~of_words, "doc_id"].tolist()
+                ids += part.loc[~of_words, "ids"].tolist()
+        if ids:
+            yield scored(ids, keys, np.concatenate([*tails, np.empty((0, k + 1))]))
+
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(encoded, "part long, pos long, word string, doc_id string, ids binary")
+    rows = stored(rows, "observed")
+    asked = rows.where("pos >= 0").select("part", "pos", "word").join(hmm.table, "word", "left").select("part", "pos", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("binary").alias("ids"), F.col("c").cast("double").alias("c"), *names)
+    texts = rows.where("pos < 0").select("part", F.lit(-1).cast("long").alias("pos"), "doc_id", "ids", *[F.lit(None).cast("double").alias(x) for x in ("c", *names)])
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = asked.unionByName(texts).repartition(n, "part").sortWithinPartitions("part", F.col("pos") < 0, "pos")
+    out = both.mapInPandas(run, "doc_id string, n_tokens long, n_known long, base_score double, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,27 @@ def test_hmm_training_raises_the_likelihood_and_odd_rows_are_scored(spark, odd,
     assert hmm_score.score(docs, h, v, empty).count() == 14
 
 
+def test_every_training_word_has_emissions_of_its_own(spark):
+    """Two kinds of texts; words beyond the classes, of one length and one count, tell them apart."""
+    rng = np.random.default_rng(4)
+    say = lambda kind: " ".join(f"{kind}{i:03}" for i in rng.integers(0, 300, 200))
+    docs = spark.createDataFrame([(i, say("ab"[i % 2])) for i in range(120)], "doc_id long, text string")
+    counts = hmm_score.count_words(docs).persist()
+    vocab = hmm_score.vocabulary(counts, 120, classes=60, head=90)
+    hmm, _ = hmm_score.fit(docs, vocab)
+    rows = hmm.table.collect()
+    assert len(rows) == counts.count() - 60
+    e = {r["word"]: np.array([r[f"e{j}"] for j in range(hmm_score.STATES)]) for r in rows}
+    assert hmm.emit.sum(0) + sum(e.values()) == pytest.approx(np.ones(hmm_score.STATES))
+    ratio = {kind: np.mean([v / v.sum() for w, v in e.items() if w[0] == kind], 0) for kind in "ab"}
+    assert np.abs(ratio["a"] - ratio["b"]).max() > 0.3
+    # texts of tail words alone: those of one kind are likelier than those that alternate
+    tail = {kind: sorted(w for w in e if w[0] == kind)[:60] for kind in "ab"}
+    asked = spark.createDataFrame([(0, " ".join(tail["a"])), (1, " ".join(x for p in zip(tail["a"][:30], tail["b"][:30]) for x in p))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in hmm_score.score(asked, hmm, vocab, counts).collect()}
+    assert got[0] > got[1] + 3
+
+
 # ---------------------------------------------------------------- 3
 
 
