@@ -5,7 +5,8 @@ A randomised SVD gives the latent space: each partition multiplies its TF-IDF pa
 A'(A R) (words of the items x dimensions), and its orthonormal basis is the space. Then every document slides a window over its whole
 text; windows whose TF-IDF weight lies mostly in words of the items (an upper bound of any cosine) are projected and their cosines with all item
 passages computed; candidates are verified by the longest common subsequence of the item and the text around the window, and by the
-item's answer: the named answer column or, without one, its rarest words must be there too.
+item's answer: the named answer column or, without one, its rarest words must be there too. Items shorter than a window are also looked
+up by words: of its rarest words so many that an LCS of 0.8 holds one of them, each place of which in a document is verified.
 
 Words are lower-cased and stripped of punctuation at both ends. Items go in blocks of bounded size, so that what is broadcast is bounded
 at any size of the benchmark. Null texts hold nothing; items of fewer than MIN_WORDS words must occur as they are, in one run. Repeated
@@ -14,6 +15,7 @@ rows give one pair. Null ids are kept. Empty tables give no rows. Other columns
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +31,7 @@ WIDTH = 16
 STRIDE = 4
 DIMS = 256
 COSINE = 0.6
-SHARE = 0.55  #: least share of a window's squared weight in words of the items
+SHARE = COSINE**2  #: least share of a window's squared weight in words of the items: no more than this is the square of any cosine
 LCS = 0.8
 ANSWER = 0.8
 MIN_WORDS = 6
@@ -57,6 +59,7 @@ class Items:
     basis: np.ndarray | None = None
     passages: np.ndarray | None = None  #: unit latent vectors
     owner: np.ndarray | None = None  #: item of each passage
+    by_word: dict[int, list[int]] | None = None  #: items to be tried wherever a word occurs
 
 
 class Coder:
@@ -121,6 +124,15 @@ def document_frequencies(docs: DataFrame, items: Items) -> None:
     idf[df > 0.3 * n] = 0  # words of most passages say nothing
     items.idf = idf.astype(np.float32)
     items.other = float(np.median(idf)) if len(idf) else 0.0
+    items.by_word = {}
+    for i, words in enumerate(items.words):
+        if len(words) < WIDTH:
+            found, often = np.unique(words, return_counts=True)
+            order = np.argsort(df[found], kind="stable")
+            # at most so many words are missing, so that one of the words up to here is there
+            missing = len(words) - math.ceil(least_lcs(len(words)))
+            for w in found[order[: int(np.searchsorted(np.cumsum(often[order]), missing + 1)) + 1]].tolist():
+                items.by_word.setdefault(w, []).append(i)
 
 
 @dataclass
@@ -230,6 +242,10 @@ def latent_space(docs: DataFrame, items: Items, dims: int = DIMS, seed: int = 11
     items.owner = own.doc
 
 
+def least_lcs(n: int) -> float:
+    return n if n < MIN_WORDS else LCS * n - 1e-9
+
+
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel."""
     where: dict[int, int] = {}
@@ -249,14 +265,15 @@ def verify(ids: np.ndarray, at: int, item: int, m: Items) -> tuple[float, float]
     most 1.25 times the item; only stretches with enough words of the item are tried, the one with the most first."""
     words = m.words[item]
     n = len(words)
-    lo, hi = max(0, at - n), min(len(ids), at + WIDTH + n)
+    reach = n + n // 4 + 1
+    lo, hi = max(0, at - reach), min(len(ids), at + WIDTH + reach)
     near = ids[lo:hi]
     mine = set(words.tolist())
     hits = np.fromiter((x in mine for x in near.tolist()), np.int32, len(near))
-    need = n if n < MIN_WORDS else LCS * n
+    need = least_lcs(n)
     if hits.sum() < need:
         return 0.0, 0.0
-    reach = min(n + n // 4 + 1, len(near))
+    reach = min(reach, len(near))
     count = np.cumsum(np.concatenate([[0], hits]))
     count = count[reach:] - count[:-reach]
     best, place = 0, 0
@@ -287,6 +304,14 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         rows = m.idf[:, None] * m.basis
+        sought = np.zeros(len(m.vocab) + 1, bool)  # the last is for words that no item has
+        sought[list(m.by_word)] = True
+
+        def cosine(ids: np.ndarray, at: int, item: int) -> float:
+            """The best of the window there with the item's passages."""
+            v = (rows[(x := ids[at : at + WIDTH])[x >= 0]]).sum(0)
+            return float((m.passages[m.owner == item] @ v).max(initial=0.0) / max(np.linalg.norm(v), 1e-9))
+
         for pdf in batches:
             found = []
             for first, docs in groups_of(pdf["ids"].tolist()):
@@ -311,6 +336,16 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
                         share, answer = verify(docs[doc], where, item, m)
                         if share >= LCS and answer >= ANSWER:
                             best[doc, item] = (pdf["doc_id"].iloc[first + doc], str(m.ids[item]), share, answer, float(cos[x, y]))
+                for doc, ids in enumerate(docs):
+                    for where in np.flatnonzero(sought[ids]).tolist():
+                        for item in m.by_word[int(ids[where])]:
+                            mark = (doc, item, "word", where // WIDTH)
+                            if mark in done or (doc, item) in best:
+                                continue
+                            done.add(mark)
+                            share, answer = verify(ids, where, item, m)
+                            if share >= LCS - 1e-9 and answer >= ANSWER:
+                                best[doc, item] = (pdf["doc_id"].iloc[first + doc], str(m.ids[item]), share, answer, cosine(ids, where, item))
                 found += best.values()
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "lcs_share", "answer_share", "cosine"])
 

@@ -474,5 +474,22 @@ def test_exact_copies_of_benchmark_passages_equal_brute_force(spark, data):
     assert expected <= got and len(got - expected) <= 0.1 * len(got) + 1
 
 
+def test_short_items_in_foreign_text_and_paraphrases_at_the_stated_cosine(spark):
+    say = lambda p, n: [f"{p}{i}" for i in range(n)]
+    items = [say("a", 6), say("b", 8), say("c", 12), say("d", 4)]
+    docs, want = [], set()
+    for i in range(60):
+        k = i % 4
+        docs.append((i, " ".join([*say(f"x{i}y", 30), *items[k], *say(f"z{i}y", 30)])))
+        want.add((i, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == want
+    # a window of a true cosine of 0.6 to 0.74 is not dropped before its cosine is computed
+    ids = np.array([0, 1, 2, 3, 4, 5, 6, *[-1] * 9], np.int32)
+    m = decontam.Items([0], [ids[:7]], [None], {}, np.ones(7, np.float32), 1.0)
+    assert 0.6**2 <= 7 / 16 < 0.55 and len(decontam.windows([ids], m, 4).start) == 1
+
+
 def test_lcs():
     assert decontam.lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 3])) == 2 and decontam.lcs(np.array([1, 1]), np.array([1, 1, 1])) == 2
