@@ -5,7 +5,8 @@ A randomised SVD gives the latent space: each partition multiplies its TF-IDF pa
 A'(A R) (words of the items x dimensions), and its orthonormal basis is the space. Then every document slides a window over its whole
 text; windows whose TF-IDF weight lies mostly in words of the items (an upper bound of any cosine) are projected and their cosines with all item
 passages computed; candidates are verified by the longest common subsequence of the item and the text around the window, and by the
-item's answer: the named answer column or, without one, its rarest words must be there too. Items shorter than a window are also looked
+item's answer, where the benchmark has an answer column. Without an answer the LCS decides alone, and the share of the item's rarest
+words that are there is reported only. Items shorter than a window are also looked
 up by words: of its rarest words so many that an LCS of 0.8 holds one of them, each place of which in a document is verified.
 
 Words are lower-cased and stripped of punctuation at both ends. Items go in blocks of bounded size, so that what is broadcast is bounded
@@ -334,7 +335,7 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
                             continue
                         done.add(mark)
                         share, answer = verify(docs[doc], where, item, m)
-                        if share >= LCS and answer >= ANSWER:
+                        if share >= LCS - 1e-9 and (m.answers[item] is None or answer >= ANSWER):
                             best[doc, item] = (pdf["doc_id"].iloc[first + doc], str(m.ids[item]), share, answer, float(cos[x, y]))
                 for doc, ids in enumerate(docs):
                     for where in np.flatnonzero(sought[ids]).tolist():
@@ -344,7 +345,7 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
                                 continue
                             done.add(mark)
                             share, answer = verify(ids, where, item, m)
-                            if share >= LCS - 1e-9 and answer >= ANSWER:
+                            if share >= LCS - 1e-9 and (m.answers[item] is None or answer >= ANSWER):
                                 best[doc, item] = (pdf["doc_id"].iloc[first + doc], str(m.ids[item]), share, answer, cosine(ids, where, item))
                 found += best.values()
             yield pd.DataFrame(found, columns=["doc_id", "item_id", "lcs_share", "answer_share", "cosine"])

@@ -491,5 +491,25 @@ def test_short_items_in_foreign_text_and_paraphrases_at_the_stated_cosine(spark)
     assert 0.6**2 <= 7 / 16 < 0.55 and len(decontam.windows([ids], m, 4).start) == 1
 
 
+@pytest.mark.parametrize("size", [16, 38])
+def test_without_an_answer_the_subsequence_decides(spark, size):
+    """Paraphrases that replace random words, rare ones included, at an LCS of 0.8 to 0.95."""
+    rng = np.random.default_rng(size)
+    vocab = [f"{a}{b}{c}" for a in "bdgkmprst" for b in "aeiou" for c in ("n", "ra", "lo", "st", "mi")]
+    say = lambda n: [str(w) for w in rng.choice(vocab, n)]
+    items = [say(size) for _ in range(5)]
+    docs, want = [], set()
+    for i in range(100):
+        item = list(items[i % 5])
+        for at in rng.choice(size, int(rng.integers(1, int(0.2 * size) + 1)), replace=False):
+            item[at] = f"new{i}at{at}"
+        docs.append((i, " ".join([*say(60), *item, *say(60)])))
+        want.add((i, i % 5))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    print("recall", size, len(got & want) / len(want))
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_lcs():
     assert decontam.lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 3])) == 2 and decontam.lcs(np.array([1, 1]), np.array([1, 1, 1])) == 2
