@@ -6,8 +6,8 @@ A'(A R) (words of the items x dimensions), and its orthonormal basis is the spac
 text; windows whose TF-IDF weight lies mostly in words of the items (an upper bound of any cosine) are projected and their cosines with all item
 passages computed; candidates are verified by the longest common subsequence of the item and the text around the window, and by the
 item's answer, where the benchmark has an answer column. Without an answer the LCS decides alone, and the share of the item's rarest
-words that are there is reported only. Items shorter than a window are also looked
-up by words: of its rarest words so many that an LCS of 0.8 holds one of them, each place of which in a document is verified.
+words that are there is reported only. Items shorter than a window or
+of very frequent words alone are also looked up by words: of its rarest words so many that an LCS of 0.8 holds one of them, each place of which in a document is verified.
 
 Words are lower-cased and stripped of punctuation at both ends. Items go in blocks of bounded size, so that what is broadcast is bounded
 at any size of the benchmark. Null texts hold nothing; items of fewer than MIN_WORDS words must occur as they are, in one run. Repeated
@@ -127,7 +127,7 @@ def document_frequencies(docs: DataFrame, items: Items) -> None:
     items.other = float(np.median(idf)) if len(idf) else 0.0
     items.by_word = {}
     for i, words in enumerate(items.words):
-        if len(words) < WIDTH:
+        if len(words) < WIDTH or (items.idf[words] ** 2).sum() <= 1e-6:
             found, often = np.unique(words, return_counts=True)
             order = np.argsort(df[found], kind="stable")
             # at most so many words are missing, so that one of the words up to here is there

@@ -511,5 +511,14 @@ def test_without_an_answer_the_subsequence_decides(spark, size):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_an_item_of_very_frequent_words_is_found(spark):
+    item = [f"w{i}" for i in range(16)]
+    long = [f"v{i}" for i in range(40)]
+    docs = [(i, " ".join(item)) for i in range(30)] + [(100 + i, " ".join(f"x{i}y{k}" for k in range(16))) for i in range(10)] + [(200, " ".join(long))]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(long))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, 0) for i in range(30)} | {(200, 1)}
+
+
 def test_lcs():
     assert decontam.lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 3])) == 2 and decontam.lcs(np.array([1, 1]), np.array([1, 1, 1])) == 2
