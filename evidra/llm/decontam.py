@@ -267,7 +267,8 @@ def verify(ids: np.ndarray, at: int, item: int, m: Items) -> tuple[float, float]
     words = m.words[item]
     n = len(words)
     reach = n + n // 4 + 1
-    lo, hi = max(0, at - reach), min(len(ids), at + WIDTH + reach)
+    apart = max(WIDTH, n // 2)  # windows of one mark in search() are less than this apart: one reaches the text of all
+    lo, hi = max(0, at - apart - reach), min(len(ids), at + apart + WIDTH + reach)
     near = ids[lo:hi]
     mine = set(words.tolist())
     hits = np.fromiter((x in mine for x in near.tolist()), np.int32, len(near))
