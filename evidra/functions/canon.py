@@ -22,25 +22,40 @@ def clean_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float")})
 
 
-def canon(c: Column) -> Column:
-    """``num:``, ``bool:`` or ``ts:`` with the value, else the trimmed text; null if missing."""
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def canon(c: Column, kind: str = "string") -> Column:
+    """``num:``, ``bool:`` or ``ts:`` with the value, else the trimmed text; null if missing. kind: the column's type, if it is known;
+    only text has to be parsed, and gives the same as a typed value."""
+    if kind in _NUMBERS:
+        x = c.cast("double")
+        return F.when(~F.isnan(x), F.concat(F.lit("num:"), (x + F.lit(0.0)).cast("string")))
+    if kind == "boolean":
+        return F.concat(F.lit("bool:"), c.cast("string"))
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.concat(F.lit("ts:"), F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
     s = F.trim(c.cast("string"))
     low = F.lower(s)
     num = s.try_cast("double")
+    # a cell that begins with no digit is no date: the pattern and the parser are not tried
+    dated = F.substring(s, 5, 1) == "-"
     return (
         F.when(s.isNull() | low.isin(*MISSING), F.lit(None).cast("string"))
         .when(low.isin("true", "false"), F.concat(F.lit("bool:"), low))
         .when(num.isNotNull(), F.concat(F.lit("num:"), (num + F.lit(0.0)).cast("string")))
-        .when(s.rlike(_ISO) & F.try_to_timestamp(s).isNotNull(), F.concat(F.lit("ts:"), F.date_format(F.try_to_timestamp(s), "yyyy-MM-dd HH:mm:ss")))
+        .when(dated & s.rlike(_ISO) & F.try_to_timestamp(s).isNotNull(), F.concat(F.lit("ts:"), F.date_format(F.try_to_timestamp(s), "yyyy-MM-dd HH:mm:ss")))
         .otherwise(s)
     )
 
 
 def same(a: Column, b: Column) -> Column:
-    """Equal as canonical values; numbers within the tolerance, relative to b. Null on either side: equal only if both are null."""
+    """Equal as canonical values; numbers within the tolerance, relative to b. Null on either side: equal only if both are null.
+    Cells that are the same text are equal without being parsed."""
     x, y = number(F.trim(a.cast("string"))), number(F.trim(b.cast("string")))
     near = F.abs(x - y) <= F.lit(ATOL) + F.lit(RTOL) * F.abs(y)
-    return F.when(x.isNotNull() & y.isNotNull(), near).otherwise(canon(a).eqNullSafe(canon(b)))
+    parsed = F.when(x.isNotNull() & y.isNotNull(), near).otherwise(canon(a).eqNullSafe(canon(b)))
+    return F.when(a.cast("string") == b.cast("string"), F.lit(True)).otherwise(parsed)
 
 
 def signature(columns: list[Column]) -> Column:
@@ -48,6 +63,12 @@ def signature(columns: list[Column]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(canon(c), F.lit("\x00")) for c in columns]), 256)
 
 
+def signature_keys(columns: dict[str, str]) -> list[Column]:
+    """A row's canonical values as two independent 64-bit hashes, to join and group by. columns: name -> type."""
+    text = F.concat_ws("\x1f", *[F.coalesce(canon(F.col(c), kind), F.lit("\x00")) for c, kind in columns.items()])
+    return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
+
+
 # fixed values: letters with marks and what they are without
 _MARKED = "àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų"
 _PLAIN = "aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu"

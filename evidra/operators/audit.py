@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,10 @@ class OverrideLog:
 
     def record(self, user: str, level: str, record: str, engine_colour: str, new_colour: str, reason: str, comment: str | None = None, rule_version: str = "") -> None:
         validate(new_colour, reason, comment)
-        seq = (self.read().agg(F.max("seq")).first()[0] or 0) + 1
-        row = (seq, datetime.now(timezone.utc), user, level, record, engine_colour, new_colour, reason, comment, rule_version)
+        # time first, then chance: two writers at once get different numbers, and no writer reads the log
+        now = datetime.now(timezone.utc)
+        seq = int(now.timestamp() * 1_000_000) << 10 | uuid.uuid4().int & 1023
+        row = (seq, now, user, level, record, engine_colour, new_colour, reason, comment, rule_version)
         self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").json(self.path)
 
     def latest(self) -> DataFrame:

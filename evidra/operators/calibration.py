@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import running
+
+
+GRAIN = 1 << 62  #: of hashes that draw samples
+
 
 def bayes_ceiling(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """One row: the most labels that any function of the features can get right, and inputs with several labels."""
@@ -25,18 +30,9 @@ def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n")
     )
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = counts.repartitionByRange(parts, F.desc("threshold")).withColumn("_p", F.spark_partition_id())
-    sums = sorted((r["_p"], r["p"], r["n"]) for r in parted.groupBy("_p").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect())
-    if not sums:
-        return counts.select("threshold", F.col("p").alias("tp"), F.col("n").alias("fp"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
-    before, p, n = {}, 0, 0
-    for k, a, b in sums:
-        before[k], p, n = (p, n), p + a, n + b
-    start = lambda i: F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("_p")]
-    w = Window.partitionBy("_p").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    run = parted.select("threshold", (F.sum("p").over(w) + start(0)).alias("tp"), (F.sum("n").over(w) + start(1)).alias("fp"), "p", "n")
-    return run.select("threshold", "tp", "fp", (F.col("tp") / max(p, 1)).alias("tpr"), (F.col("fp") / max(n, 1)).alias("fpr"), "p", "n")
+    run, total = running(counts, "threshold", {"tp": "p", "fp": "n"}, descending=True)
+    rate = lambda c: F.col(c) / max(total[c], 1)
+    return run.select("threshold", "tp", "fp", rate("tp").alias("tpr"), rate("fp").alias("fpr"), "p", "n")
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -141,7 +137,8 @@ def out_of_fold(df: DataFrame, record: str, features: list[str], label: str, k:
     total = F.lit(0.0)
     for r in range(repeats):
         fold = F.pmod(F.xxhash64(F.lit(seed + r), F.col(record)), F.lit(k))
-        got = rows.where(F.pmod(F.xxhash64(F.lit(-1 - r), F.col(record)), F.lit(1_000_000)) < int(min(1.0, sample / n) * 1_000_000))
+        part = GRAIN if n <= sample else GRAIN * sample // n
+        got = rows.where(F.pmod(F.xxhash64(F.lit(-1 - r), F.col(record)), F.lit(GRAIN)) < part)
         pdf = got.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias("_y"), fold.alias("_f")).toPandas()
         p = F.lit(0.5)
         for f in range(k):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.canon import same, signature
+from ..functions.canon import same, signature_keys
 
 # fixed values: the key of each source, and natural ids that must stay unique beside it
 SOURCE_KEYS = {
@@ -16,31 +16,66 @@ SOURCE_KEYS = {
 NATURAL_KEYS = {"germplasm": "MATERIAL_ID", "trial": "TRIAL_ID", "candidate_recommendations": "MATERIAL_ID", "trait_dictionary": "TRAIT_CODE"}
 
 
-def classify(base: DataFrame, upload: DataFrame, key: str, natural: str | None = None) -> DataFrame:
-    """The uploaded rows with outcome (duplicate, conflict, new, natural_clash) and conflicts (map field -> {export, upload}).
+_CONFLICTS = "array<struct<field:string,export:string,upload:string>>"
 
-    Only non-null uploaded cells in common columns are compared. Keys are compared as trimmed text; rows without a key are new.
-    """
-    common = [c for c in upload.columns if c in base.columns and c != key]
-    held = base.withColumn("_n", F.lit(1)).groupBy(F.trim(F.col(key).cast("string")).alias("_key")).agg(F.first(F.struct(*[F.col(c) for c in base.columns])).alias("_b"))
-    held = held.where(F.col("_key").isNotNull())
-    j = upload.join(held, F.trim(F.col(key).cast("string")) == F.col("_key"), "left")
+
+def _key(key: str):
+    return F.trim(F.col(key).cast("string"))
+
+
+def _order(columns: list[str]):
+    """A row's place among rows of one key: by all its values as text, which any plan and any partitioning give alike."""
+    return F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_o{i}") for i, c in enumerate(sorted(columns))])
+
+
+def _differences(columns: list[str], held: str):
     cells = [
         F.when(
-            F.col(c).isNotNull() & ~same(F.col(f"_b.{c}"), F.col(c)),
-            F.struct(F.lit(c).alias("field"), F.col(f"_b.{c}").cast("string").alias("export"), F.col(c).cast("string").alias("upload")),
+            F.col(c).isNotNull() & ~same(F.col(f"{held}.{c}"), F.col(c)),
+            F.struct(F.lit(c).alias("field"), F.col(f"{held}.{c}").cast("string").alias("export"), F.col(c).cast("string").alias("upload")),
         )
-        for c in common
+        for c in columns
     ]
-    found = F.array_compact(F.array(*cells)) if cells else F.array().cast("array<struct<field:string,export:string,upload:string>>")
+    return F.array_compact(F.array(*cells)) if cells else F.array().cast(_CONFLICTS)
+
+
+def classify(base: DataFrame, upload: DataFrame, key: str, natural: str | None = None) -> DataFrame:
+    """The uploaded rows with outcome (duplicate, conflict, new, natural_clash) and conflicts (list of field, export, upload).
+
+    Only non-null uploaded cells in common columns are compared. Keys are compared as trimmed text; rows without a key are new. If the
+    base repeats a key, its least row by text is the one of record. Of uploaded rows that share a key the base lacks, the least is new
+    and the others are duplicates of it or conflicts with it, so that a key comes in once; a natural id likewise: the least key owns it.
+    """
+    common = [c for c in upload.columns if c in base.columns and c != key]
+    held = base.where(_key(key).isNotNull()).groupBy(_key(key).alias("_key")).agg(F.min_by(F.struct(*[F.col(c) for c in base.columns]), _order(base.columns)).alias("_b"))
+    rows = upload.withColumn("_at", _key(key))
+    j = rows.join(held, F.col("_at") == F.col("_key"), "left")
     known = F.col("_key").isNotNull()
-    out = j.withColumn("conflicts", F.when(known, found).otherwise(F.array().cast("array<struct<field:string,export:string,upload:string>>")))
+    # the first row of each new key; rows without a key stand by themselves
+    first = upload.where(_key(key).isNotNull()).groupBy(_key(key).alias("_first_key")).agg(
+        F.min_by(F.struct(*[F.col(c) for c in upload.columns]), _order(upload.columns)).alias("_f"), F.count(F.lit(1)).alias("_rows")
+    )
+    first = first.where("_rows > 1").drop("_rows")
+    j = j.join(first, F.col("_at") == F.col("_first_key"), "left")
+    w = Window.partitionBy("_at", "_repeat").orderBy(_order(upload.columns))
+    j = j.withColumn("_repeat", ~known & F.col("_first_key").isNotNull())
+    once = j.where(~F.col("_repeat")).withColumn("_nth", F.lit(1))
+    again = j.where("_repeat").withColumn("_nth", F.row_number().over(w))
+    j = once.unionByName(again)
+    others = [c for c in upload.columns if c != key]
+    found = F.when(known, _differences(common, "_b")).when(F.col("_nth") > 1, _differences(others, "_f")).otherwise(F.array().cast(_CONFLICTS))
+    out = j.withColumn("conflicts", found)
     clash = F.lit(False)
     if natural and natural in base.columns and natural in upload.columns:
-        owners = base.where(F.col(natural).isNotNull()).groupBy(F.col(natural).cast("string").alias("_natural")).agg(F.min(F.col(key).cast("string")).alias("_owner"))
-        out = out.join(owners, F.col(natural).cast("string") == F.col("_natural"), "left")
-        clash = F.col("_owner").isNotNull()
-    outcome = F.when(known & (F.size("conflicts") > 0), "conflict").when(known, "duplicate").when(clash, "natural_clash").otherwise("new")
+        name = F.col(natural).cast("string")
+        owners = base.where(F.col(natural).isNotNull()).groupBy(name.alias("_natural")).agg(F.min(F.col(key).cast("string")).alias("_owner"))
+        out = out.join(owners, name == F.col("_natural"), "left")
+        # of new keys in this upload that claim one natural id, the least gets it
+        claims = out.where(~known & F.col(natural).isNotNull()).groupBy(name.alias("_claimed")).agg(F.min("_at").alias("_claimant"))
+        out = out.join(claims, name == F.col("_claimed"), "left")
+        clash = F.col("_owner").isNotNull() | (F.col("_claimant").isNotNull() & (F.coalesce("_at", F.lit("")) != F.col("_claimant")))
+    twice = F.col("_nth") > 1
+    outcome = F.when((known | twice) & (F.size("conflicts") > 0), "conflict").when(known | twice, "duplicate").when(clash, "natural_clash").otherwise("new")
     return out.withColumn("outcome", outcome).select(*upload.columns, "outcome", "conflicts")
 
 
@@ -64,10 +99,13 @@ def merge(base: DataFrame, uploads: list[DataFrame], key: str | None, natural: s
 def add_rows(base: DataFrame, upload: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows whose signature over the shared columns the base lacks, once each, and the counts of both outcomes."""
     shared = sorted(c for c in upload.columns if c in base.columns)
-    columns = [F.col(c) for c in shared]
-    known = base.select(signature(columns).alias("_s")).distinct().withColumn("_known", F.lit(True))
-    up = upload.withColumn("_s", signature(columns))
-    once = up.groupBy("_s").agg(F.count(F.lit(1)).alias("_copies"), F.first(F.struct(*upload.columns)).alias("_r")).join(known, "_s", "left")
+
+    def hashed(df: DataFrame) -> DataFrame:
+        a, b = signature_keys({c: dict(df.dtypes)[c] for c in shared})
+        return df.withColumns({"_s": a, "_t": b})
+
+    known = hashed(base.select(*shared)).select("_s", "_t").distinct().withColumn("_known", F.lit(True))
+    once = hashed(upload).groupBy("_s", "_t").agg(F.count(F.lit(1)).alias("_copies"), F.min_by(F.struct(*upload.columns), _order(upload.columns)).alias("_r")).join(known, ["_s", "_t"], "left")
     new = once.where("_known is null")
     counts = once.agg(F.count_if(F.col("_known").isNull()).alias("new"), (F.sum("_copies") - F.count_if(F.col("_known").isNull())).alias("duplicate"))
     cells = F.array(*[F.struct(F.lit(o).alias("outcome"), F.coalesce(F.col(o), F.lit(0)).alias("n")) for o in ("new", "duplicate")])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import running
+
 
 def keep(df: DataFrame, keys: list[str], order: list[Column], last: bool = False) -> DataFrame:
     """The first (or last) row of each key in a stated order."""
@@ -67,18 +69,9 @@ def labels(df: DataFrame, column: str, prefix: str, width: int = 2) -> DataFrame
 
     Ranks come from range-partitioned counts and offsets, so that no single task sorts all values.
     """
-    values = df.where(F.col(column).isNotNull()).select(column).distinct()
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = values.repartitionByRange(n, column).withColumn("_p", F.spark_partition_id())
-    sizes = sorted(tuple(r) for r in parted.groupBy("_p").count().collect())  # one row a partition
-    offset, at = {}, 0
-    for p, c in sizes:
-        offset[p], at = at, at + c
-    if not offset:
-        return values.withColumn("label", F.lit(None).cast("string"))
-    w = Window.partitionBy("_p").orderBy(column)
-    start = F.create_map(*[x for p, o in offset.items() for x in (F.lit(p), F.lit(o))])[F.col("_p")]
-    return parted.select(column, F.format_string(f"{prefix}-%0{width}d", (F.row_number().over(w) + start)).alias("label"))
+    values = df.where(F.col(column).isNotNull()).select(column, F.lit(1).alias("_one")).distinct()
+    ranked, _ = running(values, column, {"_rank": "_one"})
+    return ranked.select(column, F.format_string(f"{prefix}-%0{width}d", "_rank").alias("label"))
 
 
 def null_propagating_sum(c: Column) -> Column:

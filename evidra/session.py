@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,3 +25,42 @@ def session(app: str = "evidra", **settings: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pinned(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the folder of spark.checkpoint.dir and read again: what is read twice is the same rows in the same files,
+    whatever a second run of the plan would give. Only a local session may go without that setting."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="evidra-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, order: str, descending: bool = False) -> DataFrame:
+    """df with _p, the number of the range of its order column that a row lies in. Ranges are sampled anew by each run of a plan, so
+    that the rows are written with their range's number before anything is counted by it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = F.col(order).desc() if descending else F.col(order).asc()
+    return pinned(df.repartitionByRange(n, by).withColumn("_p", F.spark_partition_id()), "ranges")
+
+
+def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool = False) -> tuple[DataFrame, dict[str, int]]:
+    """df with running sums of columns (new name -> column) over the distinct values of order, and the totals. Sums go by ranges, and
+    one row for each range, of which there are as many as shuffle partitions, gives the offsets."""
+    parted = in_ranges(df, order, descending)
+    rows = sorted(tuple(r) for r in parted.groupBy("_p").agg(*[F.sum(c).alias(k) for k, c in sums.items()]).collect())
+    before, total = {}, [0] * len(sums)
+    for p, *parts in rows:
+        before[p], total = list(total), [a + b for a, b in zip(total, parts)]
+    w = Window.partitionBy("_p").orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = parted
+    for i, (name, c) in enumerate(sums.items()):
+        start = F.create_map(*[x for p, v in before.items() for x in (F.lit(p), F.lit(v[i]))])[F.col("_p")] if before else F.lit(0)
+        out = out.withColumn(name, F.sum(F.col(c)).over(w) + start)
+    return out.drop("_p"), dict(zip(sums, total))

@@ -24,7 +24,7 @@ def ingest(uploads: DataFrame, base_path: str, log_path: str, key: str, checkpoi
         rows = batch.drop("_at").persist()
         kept = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").schema(rows.schema).parquet(base_path)
         kept = kept.where(~F.contains(F.col("_metadata.file_path"), F.lit(f"/batch={number}/")))
-        # rows of one batch that share a new key: the first in order of their values stays
+        # of rows of one batch that share a new key one is new, see classify()
         marked = reconcile.classify(kept, rows, key, natural).persist()
         marked.where("outcome = 'new'").select(*rows.columns).write.mode("overwrite").parquet(f"{base_path}/batch={number}")
         marked.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{log_path}/batch={number}")

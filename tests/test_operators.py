@@ -224,3 +224,38 @@ def test_stream_of_uploads_equals_one_batch(spark, tmp_path):
     ingest.ingest(stream, base, log, "k", ck).awaitTermination()
     kept = spark.read.option("recursiveFileLookup", "true").parquet(base)
     assert sorted(map(tuple, kept.collect())) == [("a", "1"), ("b", "2")]
+
+
+def test_a_new_key_comes_in_once(spark):
+    base = spark.createDataFrame([("1", "a", "N1"), ("1", "b", "N1")], "k string, x string, name string")
+    up = spark.createDataFrame([("2", "p", "N2"), ("2", "p", "N2"), ("3", "p", "N3"), ("3", "q", "N3"), ("4", "p", "N2"), (None, "z", None), ("1", "a", "N1"), (" 2 ", "p", "N2")], "k string, x string, name string")
+    out = sorted((r["k"] or "", r["x"], r["outcome"]) for r in reconcile.classify(base, up, "k", "name").collect())
+    assert out == [("", "z", "new"), (" 2 ", "p", "new"), ("1", "a", "duplicate"), ("2", "p", "duplicate"), ("2", "p", "duplicate"), ("3", "p", "new"), ("3", "q", "conflict"), ("4", "p", "natural_clash")]
+    merged, log = reconcile.merge(base, [up, up], "k", "name")
+    assert merged.count() == 2 + 3 + 1  # a row without a key is new each time; all else is held by then
+    assert {(r["upload"], r["outcome"]): r["n"] for r in log.collect()}[1, "new"] == 1
+
+
+def test_cells_of_any_type_have_the_canon_of_their_text(spark):
+    df = spark.sql("select * from values (1, 2.5D, true, timestamp'2024-01-05 10:00:00'), (null, double('nan'), null, null), (-0, -0.0D, false, timestamp'1999-12-31 00:00:00') as t(a, b, c, d)")
+    for c, kind in df.dtypes:
+        rows = df.select(canon.canon(F.col(c), kind).alias("typed"), canon.canon(F.col(c).cast("string")).alias("text")).collect()
+        assert all(r["typed"] == r["text"] for r in rows)
+
+
+def test_ranks_and_running_sums_are_exact_beyond_what_range_sampling_sees(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(1 << 50)) / 7.0).alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y")).repartition(13)
+    top = calibration.roc(df, "s", "y").agg(F.max("tp"), F.max("fp"), F.count(F.lit(1))).first()
+    assert tuple(top) == (333_334, 666_666, n)
+    ranks = relational.labels(df, "s", "V", 7).agg(F.count_distinct("label"), F.min("label"), F.max("label")).first()
+    assert tuple(ranks) == (n, "V-0000001", "V-1000000")
+
+
+def test_two_writers_of_overrides_get_different_numbers(spark, tmp_path):
+    logs = [audit.OverrideLog(spark, f"file://{tmp_path}/log") for _ in range(2)]
+    for i in range(3):
+        for log in logs:
+            log.record("u", "candidate", "m1", "RED", "AMBER" if i < 2 else "GREEN", "DATA_ERROR")
+    got = logs[0].read().collect()
+    assert len({r["seq"] for r in got}) == 6 and logs[1].latest().first()["new_colour"] == "GREEN"
