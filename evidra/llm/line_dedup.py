@@ -1,8 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a Parquet table (line_hash, n_docs, last_doc) sorted by line_hash, written in the shared folder. A new batch of documents is
-counted, merge-anti-joined with the runs (what they lack is novel) and added as a run of level 0; once a level has FANOUT runs, they
-are merged into one run of the next level, so that a batch meets a logarithmic number of runs. Only DataFrame functions run here.
+The lines' hashes are computed once and written, dealt to batches by a hash of doc_id. A run is a Parquet table (line_hash, n_docs,
+last_doc) sorted by line_hash in the shared folder, and no key is in two runs: a batch is counted and merge-joined with the runs, what
+they lack (the anti-join) becomes a run of level 0, and what they hold goes to a log of increments. Once a level has FANOUT runs they
+are merged into one of the next level, with the log's increments added, so that a batch meets a logarithmic number of runs. A key's
+count is that of its run and the log. Only DataFrame functions run here.
 
 A line's key is the line without ASCII white space at both ends and with A-Z lower-cased; keys of fewer than min_chars code points
 never count. Null and empty texts are one empty line. Documents with the same doc_id count as one; each of their rows keeps or loses
@@ -20,21 +22,23 @@ from pyspark.sql import functions as F
 from .common import DOC_COLUMNS, WS, ascii_lower, scratch, table
 
 RUN_SCHEMA = "line_hash long, n_docs long, last_doc long"
+BATCHES, FANOUT = 4, 2
 
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WS)))
 
 
-def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line_hash), once for each document and key."""
-    keys = docs.select("doc_id", F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line"))
-    keys = keys.where(F.length("line") >= min_chars).select("doc_id", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    return keys.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("key").alias("line_hash"))
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("line_hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, text_key, pos, line_hash) of every line that can count."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    keys = lines.where(F.length("line") >= min_chars).select("doc_id", "text_key", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    return keys.select("doc_id", "text_key", "pos", F.xxhash64("key").alias("line_hash"))
 
 
 @dataclass
@@ -42,9 +46,9 @@ class LineRuns:
     """The levels of runs. A batch must hold all rows of its doc_ids, and a doc_id comes in one batch."""
 
     spark: SparkSession
-    fanout: int = 4
-    min_chars: int = 20
+    fanout: int = FANOUT
     levels: list[list[str]] = field(default_factory=list)
+    log: list[str] = field(default_factory=list)
     root: str = ""
 
     def __post_init__(self) -> None:
@@ -54,27 +58,36 @@ class LineRuns:
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(RUN_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], RUN_SCHEMA)
 
-    def _write(self, run: DataFrame) -> str:
+    def _path(self) -> str:
         self._n += 1
-        run.sortWithinPartitions("line_hash").write.parquet(path := f"{self.root}/{self._n:06d}")
-        return path
+        return f"{self.root}/{self._n:06d}"
 
     def runs(self) -> DataFrame:
+        """(line_hash, n_docs, last_doc): every key once, as it was when its run was written."""
         return self._read([p for level in self.levels for p in level])
 
-    def novel(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, line_hash) of the batch's keys that no run holds."""
-        return line_hashes(docs, self.min_chars).distinct().hint("merge").join(self.runs(), "line_hash", "left_anti")
-
-    def add(self, docs: DataFrame) -> None:
-        """Counts a batch, anti-joins it with the runs to mark what is new, and adds it as a run."""
-        counted = line_hashes(docs.where(F.col("doc_id").isNotNull()), self.min_chars).distinct()
-        counted = counted.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        if any(self.levels):
-            # keys that the runs lack are new rows of the store; known keys are carried as increments
-            before = self.runs().select("line_hash").distinct()
-            counted = counted.hint("merge").join(before, "line_hash", "left_anti").unionByName(counted.hint("merge").join(before, "line_hash", "left_semi"))
-        self._push(self._write(counted), 0)
+    def increments(self) -> DataFrame:
+        return self._read(self.log).groupBy("line_hash").agg(F.sum("n_docs").alias("_n"), F.max("last_doc").alias("_last"))
+
+    def add(self, keys: DataFrame) -> None:
+        """keys: (doc_id, line_hash) of a batch. Its novel keys become a run, the others increments."""
+        pairs = keys.where(F.col("doc_id").isNotNull()).select("doc_id", "line_hash").distinct()
+        counted = pairs.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        if not any(self.levels):
+            counted.sortWithinPartitions("line_hash").write.parquet(path := self._path())
+            return self._push(path, 0)
+        # one merge of the sorted sides gives both the anti-join and its rest
+        known = self.runs().select(F.col("line_hash").alias("_known"))
+        marked = counted.hint("merge").join(known, F.col("line_hash") == F.col("_known"), "left").withColumn("known", F.col("_known").isNotNull()).drop("_known")
+        marked.sortWithinPartitions("known", "line_hash").write.partitionBy("known").parquet(path := self._path())
+        split = self.spark.read.schema(f"{RUN_SCHEMA}, known boolean").parquet(path)
+        # a folder is missing where a batch has no such keys
+        for kind in {r["known"] for r in split.select("known").distinct().collect()}:
+            if kind:
+                self.log.append(f"{path}/known=true")
+            else:
+                self._push(f"{path}/known=false", 0)
+        return None
 
     def _push(self, path: str, level: int) -> None:
         while len(self.levels) <= level:
@@ -82,32 +95,56 @@ class LineRuns:
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             paths, self.levels[level] = self.levels[level], []
-            self._push(self._write(merged(self._read(paths))), level + 1)
+            self._push(self._merge(paths), level + 1)
+
+    def _merge(self, paths: list[str]) -> str:
+        """One sorted run of several, with the increments of their keys; those of other keys stay in the log."""
+        runs = self._read(paths)
+        if self.log:
+            runs, log = self._counted(runs), self.increments()
+            left = log.hint("merge").join(self._read(paths).select("line_hash"), "line_hash", "left_anti")
+            left.select("line_hash", F.col("_n").alias("n_docs"), F.col("_last").alias("last_doc")).write.parquet(rest := self._path())
+        else:
+            rest = None
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        runs.repartition(partitions, "line_hash").sortWithinPartitions("line_hash").write.parquet(path := self._path())
+        self.log = [rest] if rest else []
+        return path
+
+    def _counted(self, runs: DataFrame) -> DataFrame:
+        out = runs.hint("merge").join(self.increments(), "line_hash", "left")
+        return out.select("line_hash", (F.col("n_docs") + F.coalesce("_n", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "_last").alias("last_doc"))
 
     def repeated(self, min_docs: int) -> DataFrame:
         """Keys in at least min_docs documents, with the largest doc_id that holds them."""
-        return merged(self.runs()).where(F.col("n_docs") >= min_docs).select("line_hash", "last_doc")
+        runs = self._counted(self.runs()) if self.log else self.runs()
+        return runs.where(F.col("n_docs") >= min_docs).select("line_hash", "last_doc")
 
 
-def drop_lines(docs: DataFrame, repeated: DataFrame, min_chars: int = 20) -> DataFrame:
-    """docs (all columns) with kept_text, n_lines and n_dropped. repeated: (line_hash, last_doc)."""
-    gone = line_hashes(docs, min_chars).distinct().join(repeated, "line_hash").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-    gone = gone.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_hash").alias("_gone"))
-    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]), "left").drop("_gone_id")
+def drop_lines(docs: DataFrame, keys: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs (all columns) with kept_text, n_lines and n_dropped. keys: line_hashes() of docs; repeated: (line_hash, last_doc)."""
+    gone = keys.join(repeated, "line_hash").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).agg(F.collect_list("pos").alias("_gone"))
+    # equal rows share positions
+    out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (text_key() == F.col("_gone_key")), "left").drop("_gone_id", "_gone_key")
     out = out.withColumn("_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
-    loses = lambda line: (F.length(line_key(line)) >= min_chars) & F.array_contains("_gone", F.xxhash64(line_key(line)))
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line: ~loses(line))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    out = out.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(stay, lambda i: F.get("_lines", i))))
     return out.withColumns(
         {"kept_text": F.array_join("_kept", "\n"), "n_lines": F.size("_lines").cast("long"), "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long")}
     ).drop("_lines", "_kept", "_gone")
 
 
-def dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 2, fanout: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """All documents, fed to the runs in batches by a hash of doc_id."""
-    store = LineRuns(docs.sparkSession, fanout, min_chars)
+    spark = docs.sparkSession
+    store = LineRuns(spark, fanout)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    line_hashes(docs.select("doc_id", "text"), min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(path := scratch(spark, "line-keys"))
+    keys = spark.read.schema("doc_id long, text_key long, pos int, line_hash long, batch int").parquet(path)
     for i in range(batches):
-        store.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i).select("doc_id", "text"))
-    return drop_lines(docs, store.repeated(min_docs), min_chars)
+        store.add(keys.where(F.col("batch") == i))
+    return drop_lines(docs, keys, store.repeated(min_docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
