@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import canonical
+
 _ORDERS = """
 l AS (SELECT l_orderkey, count(*)::DOUBLE AS n_lines, sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) / 100 AS mean_discount,
     sum(CAST(round(l_tax * 100) AS BIGINT)) / count(*) / 100 AS mean_tax, sum(CAST(l_quantity AS BIGINT)) / count(*) AS mean_quantity FROM lineitem GROUP BY l_orderkey),
@@ -193,3 +195,5 @@ ORACLES: dict[str, str] = {
         g AS (SELECT *, CASE WHEN n_used = 0 THEN 'AMBER' WHEN ret > 36 THEN 'RED' WHEN ret > 33.5 OR dis > 5.05 OR n_used < 2 THEN 'AMBER' ELSE 'GREEN' END AS colour FROM f)
         SELECT s_suppkey, s_name, n_used, round(ratio, 4) AS ratio_pct, round(ret, 4) AS returned_pct, round(dis, 4) AS discount_pct, colour, CASE colour WHEN 'RED' THEN 0 WHEN 'AMBER' THEN 1 ELSE 2 END AS priority FROM g""",
 }
+
+ORACLES |= canonical.ORACLES

@@ -12,9 +12,9 @@ from ..functions import canon, encoding, text
 from ..operators import audit, calibration, drift, facts, identifiers, neighbours, profile, quality, reconcile, recompute, relational, relevance, rules, spectral, topology, verification
 from ..session import table
 from ..sources import documents
-from . import serve
+from . import canonical, serve
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(canonical.QUERIES)
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
