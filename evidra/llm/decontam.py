@@ -247,56 +247,89 @@ def least_lcs(n: int) -> float:
     return n if n < MIN_WORDS else LCS * n - 1e-9
 
 
-def lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel."""
-    where: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    v = full
-    for x in b.tolist():
-        if x in where:
-            u = v & where[x]
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
-
-
-def verify(ids: np.ndarray, at: int, item: int, m: Items) -> tuple[float, float]:
-    """(share of the item in its LCS with the text around the window, share of the answer found there). The text is a stretch of at
-    most 1.25 times the item; only stretches with enough words of the item are tried, the one with the most first."""
-    words = m.words[item]
-    n = len(words)
+@dataclass
+class Target:
+    """What verify() needs of an item, put together once a worker."""
+
+    words: np.ndarray
+    kinds: np.ndarray  #: its distinct words, sorted
+    often: np.ndarray  #: how often the item has each
+    where: list[int]  #: of each, the bits of its places
+
+    @classmethod
+    def of(cls, words: np.ndarray) -> Target:
+        kinds, at, often = np.unique(words, return_inverse=True, return_counts=True)
+        where = [0] * len(kinds)
+        for i, k in enumerate(at.tolist()):
+            where[k] |= 1 << i
+        return cls(words, kinds, often, where)
+
+
+def lcs(where: list[int], n: int, text: list[int]) -> int:
+    """Length of the longest common subsequence, bit-parallel, of an item of n words and a text as indices of where."""
+    full = v = (1 << n) - 1
+    for x in text:
+        u = v & where[x]
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def overlaps(place: np.ndarray, kind: np.ndarray, often: np.ndarray, size: int, reach: int) -> np.ndarray:
+    """For each stretch of reach words of a text of size words, how many words it shares with the item, repeats counted as often as the
+    item has them: no less than any common subsequence. place, kind: the text's words that the item has."""
+    order = np.argsort(kind, kind="stable")
+    place, kind = place[order], kind[order]
+    # an occurrence counts from the stretch on that no longer holds the one as many before it as the item has
+    k = np.arange(len(kind))
+    j = k - often[kind]
+    same = (j >= 0) & (kind[np.maximum(j, 0)] == kind)
+    begin = np.maximum(np.where(same, place[np.maximum(j, 0)], -1), place - reach) + 1
+    change = np.bincount(np.maximum(begin, 0), minlength=size + 1) - np.bincount(place + 1, minlength=size + 1)
+    return np.cumsum(change)[: size - reach + 1]
+
+
+def verify(ids: np.ndarray, at: int, t: Target, answer: np.ndarray | None, idf: np.ndarray) -> tuple[float, float]:
+    """(share of the item in its LCS with the text around the window, share of the answer found there). Stretches of 1.25 times the
+    item's length are tried that share enough words with it, the one that shares most first; neighbours among them are tried as one
+    stretch that holds them all, no more than an eighth of the item longer, so that none is passed over."""
+    n = len(t.words)
     reach = n + n // 4 + 1
     apart = max(WIDTH, n // 2)  # windows of one mark in search() are less than this apart: one reaches the text of all
-    lo, hi = max(0, at - apart - reach), min(len(ids), at + apart + WIDTH + reach)
-    near = ids[lo:hi]
-    mine = set(words.tolist())
-    hits = np.fromiter((x in mine for x in near.tolist()), np.int32, len(near))
+    near = ids[max(0, at - apart - reach) : at + apart + WIDTH + reach]
     need = least_lcs(n)
-    if hits.sum() < need:
+    kind = np.minimum(np.searchsorted(t.kinds, near), len(t.kinds) - 1)
+    place = np.flatnonzero(t.kinds[kind] == near)
+    if len(place) < need:
+        return 0.0, 0.0
+    kind, reach = kind[place], min(reach, len(near))
+    shared = overlaps(place, kind, t.often, len(near), reach)
+    enough = np.flatnonzero(shared >= need)
+    if not len(enough):
         return 0.0, 0.0
-    reach = min(reach, len(near))
-    count = np.cumsum(np.concatenate([[0], hits]))
-    count = count[reach:] - count[:-reach]
-    best, place = 0, 0
-    step = max(1, n // 8)
-    tries = [int(count.argmax()), *(i for i in range(0, len(count), step) if count[i] >= need)]
-    for s in tries:
-        if count[s] >= need:
-            got = lcs(words, near[s : s + reach])
+    best, begin, end = 0, 0, 0
+    if n < MIN_WORDS:  # in one run
+        runs = [s for s in enough.tolist() if (near[s : s + n] == t.words).all()] if len(near) >= n else []
+        best, begin, end = (n, runs[0], runs[0] + n) if runs else (0, 0, 0)
+    else:
+        step = max(1, n // 8)
+        tries, last = [(int(shared.argmax()), 0)], -step - 1
+        for s in enough.tolist():
+            if s - last > step:
+                tries.append((s, step))
+                last = s
+        for s, more in tries:
+            lo, hi = np.searchsorted(place, (s, s + reach + more))
+            got = lcs(t.where, n, kind[lo:hi].tolist())
             if got > best:
-                best, place = got, s
+                best, begin, end = got, s, s + reach + more
             if best >= need:
                 break
-    if n < MIN_WORDS:
-        best = n if any((near[s : s + n] == words).all() for s in range(len(near) - n + 1)) else 0
     if best < need:
         return best / n, 0.0
-    answer = m.answers[item]
     if answer is None:
-        rare = np.unique(words)
-        answer = rare[np.argsort(-m.idf[rare], kind="stable")[: max(1, n // 4)]]
-    return best / n, float(np.isin(answer, near[max(0, place - n) : place + reach + n]).mean())
+        rare = t.kinds
+        answer = rare[np.argsort(-idf[rare], kind="stable")[: max(1, n // 4)]]
+    return best / n, float(np.isin(answer, near[max(0, begin - n) : end + n]).mean())
 
 
 def search(docs: DataFrame, items: Items) -> DataFrame:
@@ -305,7 +338,7 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        rows = m.idf[:, None] * m.basis
+        rows, targets = m.idf[:, None] * m.basis, Memo(lambda item: Target.of(m.words[item]))
         sought = np.zeros(len(m.vocab) + 1, bool)  # the last is for words that no item has
         sought[list(m.by_word)] = True
 
@@ -335,7 +368,7 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
                         if mark in done or (doc, item) in best:
                             continue
                         done.add(mark)
-                        share, answer = verify(docs[doc], where, item, m)
+                        share, answer = verify(docs[doc], where, targets[item], m.answers[item], m.idf)
                         if share >= LCS - 1e-9 and (m.answers[item] is None or answer >= ANSWER):
                             best[doc, item] = (pdf["doc_id"].iloc[first + doc], str(m.ids[item]), share, answer, float(cos[x, y]))
                 for doc, ids in enumerate(docs):
@@ -345,7 +378,7 @@ def search(docs: DataFrame, items: Items) -> DataFrame:
                             if mark in done or (doc, item) in best:
                                 continue
                             done.add(mark)
-                            share, answer = verify(ids, where, item, m)
+                            share, answer = verify(ids, where, targets[item], m.answers[item], m.idf)
                             if share >= LCS - 1e-9 and (m.answers[item] is None or answer >= ANSWER):
                                 best[doc, item] = (pdf["doc_id"].iloc[first + doc], str(m.ids[item]), share, answer, cosine(ids, where, item))
                 found += best.values()
