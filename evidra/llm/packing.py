@@ -12,12 +12,14 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import struct
 import unicodedata
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,50 +34,47 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+WEIGHTS = (1.0, 1.0, 1.0)
+
+
 @dataclass(frozen=True)
 class Capacity:
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)  #: of tokens, documents and attention in the rule
+    weights: tuple[float, float, float] = WEIGHTS  #: of tokens, documents and attention in the rule
     rule: str = "norm"  #: "norm": least weighted residual norm; "dot": largest weighted dot product
 
 
-class WordCoder:
-    """Token ids of whole texts, by words: the tokenizer drops white space, so that words are encoded once and looked up after."""
+class WordCoder(Memo):
+    """Token ids of whole texts, by words: the tokenizer drops white space, so that words are encoded once and looked up after.
+    Holds for each word its little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__(self.word_ids, CACHE_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known = Memo(None, CACHE_WORDS)
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """For each text its little-endian unsigned 32-bit ids, without special tokens. New words of a batch are encoded together."""
-        known = self.known
-        known.trim()
+    def encode(self, text: str) -> bytes:
+        """Ids of a text, without special tokens."""
+        raw = text.encode("utf-8", "replace")
         # the tokenizer lower-cases; texts that could name its special tokens are left as they are
-        split = [(t.lower() if b"<|" not in t else t).split() for t in (x.encode("utf-8", "replace") for x in texts)]
-        fresh = [w for w in set(chain.from_iterable(split)) if w not in known and w not in known.old]
-        new = {w: self.parts(w) for w in fresh}
-        alone = []
-        for w in {p for parts in new.values() for p in parts if p not in known and p not in known.old}:
-            letters = self.letters(w)
-            if letters is None:
-                alone.append(w)
-            else:
-                ids = [x.id for x in self.model.tokenize(letters)]
-                known[w] = struct.pack(f"<{len(ids)}I", *ids)
-        for at in range(0, len(alone), 4096):
-            part = alone[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, parts in new.items():
-            if len(parts) > 1:
-                known[w] = known[parts[0]] + known[parts[1]]
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+        words = (raw.lower() if b"<|" not in raw else raw).split()
+        return b"".join(map(self.__getitem__, words))
+
+    def word_ids(self, word: bytes) -> bytes:
+        letters = self.letters(word)
+        if letters is None:
+            # letters and the stops at their end: the tokenizer never joins the two
+            core = word.rstrip(b".,;:!?")
+            if core != word and (core[-1:].isalnum() or self.letters(core) is not None):
+                return self[core] + self[word[len(core) :]]
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        else:
+            ids = [x.id for x in self.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     @staticmethod
     def letters(word: bytes) -> str | None:
@@ -83,15 +82,17 @@ class WordCoder:
         leave such a word as it is, so that they can be skipped."""
         if word.isalpha():
             return word.decode()
+        if word.isascii():
+            return None
         text = word.decode("utf-8", "replace")
         plain = text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text)
         return word.decode("latin-1").translate(BYTE_SYMBOLS) if plain else None
 
-    @staticmethod
-    def parts(word: bytes) -> tuple[bytes, ...]:
-        """A word, or its letters and the stops at its end: the tokenizer never joins a letter and a stop."""
-        core = word.rstrip(b".,;:!?")
-        return (core, word[len(core) :]) if core != word and core[-1:].isalnum() else (word,)
+
+@lru_cache(maxsize=1)
+def word_coder(path: str) -> WordCoder:
+    """One for all tasks of a worker: frequent words are encoded once."""
+    return WordCoder(path)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -108,16 +109,15 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, end = WordCoder(path), np.array([end_id], "<u4").tobytes()
+        coder, end = word_coder(path), np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             rows = []
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                for key, ids in zip(part["doc_id"], coder.encode_all(part["text"].tolist())):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * size)):
-                        piece = ids[at : at + 4 * size]
-                        rows.append((key, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+            for key, text in zip(pdf["doc_id"], pdf["text"]):
+                coder.trim()
+                ids = coder.encode(text) + end
+                for k, at in enumerate(range(0, len(ids), 4 * size)):
+                    piece = ids[at : at + 4 * size]
+                    rows.append((key, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -125,50 +125,73 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int = 0) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+class OpenBins:
+    """Open bins by token residual, then by document residual; of bins alike in both, by attention residual.
+
+    The vector rule takes, of all bins that every capacity lets the item into, the one of least rank: the weighted squared norm of the
+    residuals that would be left, each as a share of its capacity, or for "dot" the largest weighted dot product of the item and the
+    residuals. Both grow (or fall) with each residual by itself, so that of bins alike in tokens and documents one alone can win, and
+    token residuals are tried from the side that the rule prefers until their own term is beyond the best rank.
+    """
+
+    def __init__(self, cap: Capacity) -> None:
+        self.cap, self.mask = cap, 0
+        self.at: list[dict[int, list[tuple[int, int]]]] = [{} for _ in range(cap.tokens + 1)]
+        self.scale = [w / full**2 for w, full in zip(cap.weights, (cap.tokens, cap.documents, cap.attention))]
+
+    def put(self, tokens: int, documents: int, attention: int, number: int) -> None:
+        insort(self.at[tokens].setdefault(documents, []), (attention, number))
+        self.mask |= 1 << tokens
+
+    def take(self, tokens: int, documents: int, attention: int) -> tuple[int, int, int, int] | None:
+        """Removes the best bin for an item of this size: its residuals and number."""
+        norm = self.cap.rule == "norm"
+        a, b, c = self.scale
+        best, found = math.inf, None
+        mask = self.mask >> tokens
+        while mask:
+            bit = mask & -mask if norm else 1 << mask.bit_length() - 1
+            mask ^= bit
+            left = tokens + bit.bit_length() - 1
+            # no bin of this or a later residual can rank below this
+            least = a * (left - tokens) ** 2 if norm else -(a * left * tokens + b * self.cap.documents * documents + c * self.cap.attention * attention)
+            if least >= best:
+                break
+            for docs, bins in self.at[left].items():
+                if docs < documents:
+                    continue
+                # of equal rank the older bin
+                k = bisect_left(bins, (attention, -1)) if norm else bisect_left(bins, (bins[-1][0], -1))
+                if k == len(bins) or bins[k][0] < attention:
+                    continue
+                room, number = bins[k]
+                rank = least + b * (docs - documents) ** 2 + c * (room - attention) ** 2 if norm else -(a * left * tokens + b * docs * documents + c * room * attention)
+                if rank < best or rank == best and number < found[3]:
+                    best, found = rank, (left, docs, room, number)
+        if found is not None:
+            left, docs, room, number = found
+            bins = self.at[left][docs]
+            del bins[bisect_left(bins, (room, number))]
+            if not bins:
+                del self.at[left][docs]
+                if not self.at[left]:
+                    self.mask &= ~(1 << left)
+        return found
+
+
 def best_fit(length: np.ndarray, count: np.ndarray, cost: np.ndarray, cap: Capacity) -> np.ndarray:
-    """The bin of each item, items in the order given. Residuals are kept as arrays over open bins; bins without room for the
-    smallest item are closed, and open bins are indexed by token residual when only that decides."""
+    """The bin of each item, items in the order given; bins without room for the smallest item are closed."""
+    bins, n = np.empty(len(length), np.int64), 0
     least = int(length.min()) if len(length) else 0
-    bins = np.empty(len(length), np.int64)
-    full = np.array([cap.tokens, cap.documents, cap.attention], np.float64)
-    weights = np.array(cap.weights) / full**2
-    slack = cap.documents >= cap.tokens and cap.attention >= cap.tokens**2
-    if slack and cap.weights[1:] == (0.0, 0.0):
-        # tokens alone bind and count: the fullest bin that still fits, by residual
-        where: list[list[int]] = [[] for _ in range(cap.tokens + 1)]
-        mask, n = 0, 0
-        for i, size in enumerate(length.tolist()):
-            fits = mask >> size
-            if fits:
-                left = size + (fits & -fits).bit_length() - 1
-                b = where[left].pop()
-                if not where[left]:
-                    mask &= ~(1 << left)
-            else:
-                left, b, n = cap.tokens, n, n + 1
-            left -= size
-            if left >= least:
-                where[left].append(b)
-                mask |= 1 << left
-            bins[i] = b
-        return bins
-    open_ids = np.empty(0, np.int64)
-    left = np.empty((0, 3))
-    n = 0
-    for i in range(len(length)):
-        item = np.array([length[i], count[i], cost[i]], np.float64)
-        ok = (left >= item).all(1)
-        if ok.any():
-            at = np.flatnonzero(ok)
-            rest = left[at] - item
-            rank = (rest * rest * weights).sum(1) if cap.rule == "norm" else -(left[at] * item * weights).sum(1)
-            j = at[rank.argmin()]
-        else:
-            open_ids, left, n, j = np.append(open_ids, n), np.vstack([left, full]), n + 1, len(open_ids)
-        bins[i] = open_ids[j]
-        left[j] -= item
-        if left[j, 0] < least or left[j, 1] < 1:
-            open_ids, left = np.delete(open_ids, j), np.delete(left, j, 0)
+    opened = OpenBins(cap)
+    for i, (tokens, documents, attention) in enumerate(zip(length.tolist(), count.tolist(), cost.tolist())):
+        found = opened.take(tokens, documents, attention)
+        if found is None:
+            found, n = (cap.tokens, cap.documents, cap.attention, n), n + 1
+        left, docs, room, number = found
+        bins[i] = number
+        if left - tokens >= least and docs > documents:
+            opened.put(left - tokens, docs - documents, room - attention, number)
     return bins
 
 
