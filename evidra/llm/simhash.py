@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import DOC_COLUMNS, cut, stored, table
 
-TILE = 1024
+TILE = 512
+SPLIT = 4096  #: fingerprints of one key that one task compares; more are split in blocks, a task for each pair of blocks
 
 
 @dataclass(frozen=True)
@@ -174,16 +175,17 @@ class _Forest:
         return all(self.root(i) == first for i in range(lo + 1, hi))
 
 
-def linked(fp: np.ndarray, near_table: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the links within one group. fp: [fingerprint, word]; near_table: [fingerprint, pivot] distances.
+def linked(fp: np.ndarray, near_table: np.ndarray, radius: int, left: int | None = None) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the links within one group; with left, of the links of one of the first left fingerprints and one
+    of the others. fp: [fingerprint, word]; near_table: [fingerprint, pivot] distances.
 
     Tiles bound the memory; two tiles that already hang together are skipped, so a dense group costs about its size times a tile.
     """
     n = len(fp)
     forest = _Forest(n)
-    for j in range(0, n, TILE):
-        for i in [j, *range(0, j, TILE)]:
-            lo, hi = slice(i, min(i + TILE, n)), slice(j, min(j + TILE, n))
+    for j in range(0 if left is None else left, n, TILE):
+        for i in [j, *range(0, j, TILE)] if left is None else range(0, left, TILE):
+            lo, hi = slice(i, min(i + TILE, n if left is None else left)), slice(j, min(j + TILE, n))
             if n > TILE and forest.root(i) == forest.root(j) and forest.one(i, lo.stop) and forest.one(j, hi.stop):
                 continue
             near = np.ones((lo.stop - i, hi.stop - j), bool)
@@ -212,7 +214,7 @@ def group_keys(fp: np.ndarray) -> Iterator[np.ndarray]:
             yield (np.uint64(4 * i + j) << np.uint64(28) | block << np.uint64(12) | sub).astype(np.int64)
 
 
-def links(heads: DataFrame, s: Setting = NARROW) -> DataFrame:
+def links(heads: DataFrame, s: Setting = NARROW, split: int = SPLIT) -> DataFrame:
     """heads: distinct (fp, head), with keys if the setting has them. Returns (a, b), heads whose links span every component of the graph of linked fingerprints."""
     refs = pivots(s)
 
@@ -226,7 +228,7 @@ def links(heads: DataFrame, s: Setting = NARROW) -> DataFrame:
             for key in np.frombuffer(b"".join(pdf["keys"]), "<i8").reshape(-1, s.keys).T if s.keys else group_keys(matrix(pdf["fp"])):
                 yield pd.DataFrame({"key": key, "head": pdf["head"], "fp": pdf["fp"]})
 
-    def solve(key: np.ndarray, head: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+    def solve(key: np.ndarray, head: np.ndarray, fp: np.ndarray, side: np.ndarray) -> pd.DataFrame:
         cuts = np.flatnonzero(np.diff(key)) + 1
         starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
         size = stops - starts
@@ -241,30 +243,40 @@ def links(heads: DataFrame, s: Setting = NARROW) -> DataFrame:
             found += zip(head[two[ok]].tolist(), head[two[ok] + 1].tolist())
         more = size > 2
         for a, b in zip(starts[more].tolist(), stops[more].tolist()):
-            part = fp[a:b]
+            part, left = fp[a:b], int((side[a:b] == 0).sum())
             near = np.column_stack([distance(part, r) for r in refs])
-            found += [(int(head[a + x]), int(head[a + y])) for x, y in linked(part, near, s.radius)]
+            found += [(int(head[a + x]), int(head[a + y])) for x, y in linked(part, near, s.radius, left if 0 < left < b - a else None)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def group(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted rows come in; a group may reach over several batches."""
-        key, head, fp = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, s.words), np.uint64)
+        """Sorted rows come in; a group may reach over several batches. side, if any: 1 for the second of two blocks."""
+        wait: list[tuple[np.ndarray, ...]] = []
         for pdf in batches:
             if not len(pdf):
                 continue
-            key, head = np.concatenate([key, pdf["key"].to_numpy(np.int64)]), np.concatenate([head, pdf["head"].to_numpy(np.int64)])
-            fp = np.vstack([fp, matrix(pdf["fp"])])
-            if key[0] == key[-1]:
-                continue
+            key = pdf["key"].to_numpy(np.int64)
+            now = (key, pdf["head"].to_numpy(np.int64), matrix(pdf["fp"]), pdf["side"].to_numpy() if "side" in pdf else np.zeros(len(pdf), np.int8))
             at = int(np.searchsorted(key, key[-1]))
-            yield solve(key[:at], head[:at], fp[:at])
-            key, head, fp = key[at:], head[at:], fp[at:]
-        if len(key):
-            yield solve(key, head, fp)
+            if at or wait and wait[-1][0][-1] != key[-1]:
+                yield solve(*map(np.concatenate, zip(*wait, tuple(x[:at] for x in now))))
+                wait = []
+            wait.append(tuple(x[at:] for x in now))
+        if wait:
+            yield solve(*map(np.concatenate, zip(*wait)))
 
     n = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = heads.where("head is not null").select(F.col("head").cast("long").alias("head"), "fp", *["keys"] * bool(s.keys)).mapInPandas(keys, "key long, head long, fp binary")
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "head").mapInPandas(group, "a long, b long").distinct()
+    # keys of many fingerprints: blocks of bounded size, and a group for each pair of blocks
+    large = stored(keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / split).cast("long").alias("blocks")).where("blocks > 1"), "large-keys")
+    if large.isEmpty():
+        return keyed.repartition(n, "key").sortWithinPartitions("key", "head").mapInPandas(group, "a long, b long").distinct()
+    few = keyed.join(large, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key", "head").mapInPandas(group, "a long, b long")
+    many = keyed.join(large, "key").withColumn("mine", F.pmod(F.xxhash64("head"), F.col("blocks")))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    many = many.select(pair.alias("key"), (F.col("mine") > F.col("other")).cast("int").alias("side"), F.col("mine"), "other", "head", "fp")
+    many = many.repartition(n, "key").sortWithinPartitions("key", "side", "head").select("key", "side", "head", "fp").mapInPandas(group, "a long, b long")
+    return few.unionByName(many).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
