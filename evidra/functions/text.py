@@ -67,3 +67,22 @@ def strip_tags(html: Column) -> Column:
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value, halves to even. format_string() rounds the shortest decimal
+    text instead, so that 94.85 (which is a little less) would be 94.9.
+
+    Twice the scaled value is taken as the sum of a double and its error, after splitting the number in two halves whose products with a
+    small integer are exact.
+    """
+    x, twice = c.cast("double"), 2.0 * 10**digits
+    big = x * 134217729.0
+    high = big - (big - x)
+    product = x * twice
+    error = (high * twice - product) + (x - high) * twice
+    whole = F.floor(product / 2)
+    rest = product - 2.0 * whole
+    up = (rest > 1) | ((rest == 1) & ((error > 0) | ((error == 0) & (whole % 2 != 0))))
+    exact = F.format_string(f"%.{digits}f", (whole + up.cast("long")) / 10**digits)
+    return F.when(F.abs(x) < 1e11, exact).otherwise(F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x)))

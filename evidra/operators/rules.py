@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
 OPS = {
     ">=": lambda a, b: a >= b,
     "<=": lambda a, b: a <= b,
@@ -177,7 +179,7 @@ class Criterion:
     def says(self, word: str, limit: float) -> Column:
         unit = "%" if self.percent else ""
         side = "below" if self.higher_is_better else "above"
-        shown = F.format_string("%.1f", F.col(self.field).cast("double"))
+        shown = fixed(F.col(self.field), 1)
         limit_text = f"{limit:g}" if self.percent else f"{limit:.1f}"
         return F.concat(F.lit(f"{self.label} "), shown, F.lit(f"{unit} {side} {word} {limit_text}{unit}"))
 
@@ -236,7 +238,7 @@ class RagRules:
         computed = F.when(none, "AMBER").when(red, "RED").when(amber, "AMBER").otherwise("GREEN")
         reds = F.concat_ws("; ", *[by[n].red_text() for n in self.order_red])
         ambers = F.concat_ws("; ", *[texts[n] for n in self.order_amber if n in texts])
-        good = F.format_string(self.green, F.format_string("%.0f", F.col(self.green_field).cast("double"))) if self.green_field else F.lit("all criteria met")
+        good = F.format_string(self.green, fixed(F.col(self.green_field), 0)) if self.green_field else F.lit("all criteria met")
         reason = F.when(none, self.no_data).when(red, reds).when(amber, ambers).otherwise(good)
         out = df.withColumn("computed_colour", computed).withColumn("reason", reason)
         if official:
@@ -269,8 +271,8 @@ def record_verdict(used: Column, ratio: Column, disease: Column, moisture: Colum
 
 
 def record_statement(yields: Column, ratio: Column, disease: Column, moisture: Column, excluded: Column) -> Column:
-    parts = [("yield %.2f t/ha", yields), ("%.1f%% of checks", ratio), ("disease %.2f", disease), ("moisture %.1f%%", moisture)]
-    text = F.concat_ws(", ", *[F.when(c.isNotNull(), F.format_string(f, c.cast("double"))) for f, c in parts])
+    parts = [("yield %s t/ha", yields, 2), ("%s%% of checks", ratio, 1), ("disease %s", disease, 2), ("moisture %s%%", moisture, 1)]
+    text = F.concat_ws(", ", *[F.when(c.isNotNull(), F.format_string(f, fixed(c, n))) for f, c, n in parts])
     note = F.when(F.coalesce(excluded, F.lit("")) != "", F.concat(F.lit(" (excluded: "), excluded, F.lit(")"))).otherwise("")
     return F.concat(text, note)
 

@@ -60,8 +60,13 @@ ORACLES: dict[str, str] = {
         c AS (SELECT c_custkey AS o_custkey, coalesce(n, 0) AS n_records, share AS fail_share, CASE WHEN coalesce(n, 0) = 0 THEN 'HOLD' WHEN share >= 0.6 THEN 'FAIL'
             WHEN share <= 0.5 AND n >= 3 AND round(c_acctbal) >= 102 THEN 'PASS' ELSE 'HOLD' END AS verdict FROM customer LEFT JOIN a ON c_custkey = o_custkey)
         SELECT o_custkey, n_records, round(fail_share, 6) AS fail_share, verdict, CASE verdict WHEN 'PASS' THEN 'GREEN' WHEN 'HOLD' THEN 'AMBER' ELSE 'RED' END AS colour FROM c""",
-    "rules_candidate_rag": f"""WITH {_PARTS} SELECT p_partkey, colour AS computed_colour, colour, CASE WHEN n_used = 0 THEN 1 WHEN r1 OR r2 THEN r1::INT + r2::INT
-        WHEN a1 OR a2 OR a3 OR a4 OR a5 THEN a1::INT + a2::INT + a3::INT + a4::INT + a5::INT ELSE 1 END AS n_reasons FROM h""",
+    "rules_candidate_rag": f"""WITH {_PARTS} SELECT p_partkey, colour AS computed_colour, colour, CASE
+        WHEN n_used = 0 THEN 'No field data yet (genotyped only) - cannot judge performance'
+        WHEN r1 OR r2 THEN concat_ws('; ', CASE WHEN r1 THEN printf('price vs brand %.1f%% below minimum 60%%', ratio_pct) END, CASE WHEN r2 THEN printf('size %.1f above limit 45.0', p_size::DOUBLE) END)
+        WHEN colour = 'AMBER' THEN concat_ws('; ', CASE WHEN a1 THEN printf('price vs brand %.1f%% below target 95%%', ratio_pct) END, CASE WHEN a2 THEN printf('size %.1f above target 30.0', p_size::DOUBLE) END,
+            CASE WHEN a3 AND tax_mean > 0.06 THEN printf('tax %.1f above limit 0.1', tax_mean) WHEN a3 THEN printf('tax %.1f above target 0.0', tax_mean) END, CASE WHEN a4 THEN 'disease-susceptible marker' END,
+            CASE WHEN a5 THEN 'only ' || n_used || ' usable trial' END)
+        ELSE 'all criteria met' END AS reason FROM h""",
     "rules_record_verdict": f"""WITH {_PARTS} SELECT p_partkey, CASE WHEN NOT n_used > 0 THEN 'EXCLUDED' WHEN coalesce(ratio_pct < 95, false) OR coalesce(p_size / 5.0 > 6, false) THEN 'FAIL'
         WHEN coalesce(ratio_pct < 103, false) OR coalesce(p_size / 5.0 > 4, false) OR coalesce(tax_mean * 500 > 23, false) THEN 'HOLD' ELSE 'PASS' END AS verdict FROM f""",
     "rules_parity": f"""WITH {_ORDERS} SELECT count(*) FILTER (WHERE official = computed) AS agree, count(official) AS total, round(count(*) FILTER (WHERE official = computed) / count(official), 6) AS accuracy FROM w""",
@@ -98,12 +103,13 @@ ORACLES: dict[str, str] = {
         FROM customer LEFT JOIN o ON c_custkey = o_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""",
     "join_lineage": """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey > 10 THEN p_partkey // 2 END AS mother, p_partkey + 100 AS father FROM part)
         SELECT p.p_partkey, coalesce(m.p_name, CAST(mother AS VARCHAR)) AS mother_name, coalesce(f.p_name, CAST(father AS VARCHAR)) AS father_name FROM p LEFT JOIN part m ON m.p_partkey = mother LEFT JOIN part f ON f.p_partkey = father""",
-    "join_compare_suppliers": """SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(abs(round(a.s_acctbal, 2) - round(b.s_acctbal, 2)), 2) AS distance FROM supplier a, supplier b WHERE a.s_suppkey <= 6 AND b.s_suppkey <= 6""",
+    "join_compare_suppliers": """SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(sqrt((round(a.s_acctbal, 2) - round(b.s_acctbal, 2)) ** 2 + (a.s_nationkey - b.s_nationkey) ** 2), 4) AS distance
+        FROM supplier a, supplier b WHERE a.s_suppkey IN (1, 2, 3, 5, 8, 13) AND b.s_suppkey IN (1, 2, 3, 5, 8, 13)""",
     "join_latest_review": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events WHERE event_type = 'error') SELECT u.user_id, event_id, round(value, 6) AS value FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN e ON u.user_id = e.user_id AND n = 1""",
     "join_check_yield": """WITH c AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) / count(*) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), o AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT)) / count(*) AS o FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
         SELECT o.l_orderkey, round(o, 6) AS own_mean, round(c, 6) AS check_mean, round(100 * o / c, 6) AS vs_check_pct FROM o LEFT JOIN c ON o.l_orderkey = c.l_orderkey""",
     "join_nested_messages": """SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS roles, count(*) AS n_turns FROM conversations GROUP BY 1""",
-    "agg_grouped": """SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 3) AS avg_qty, round(sum(l_extendedprice), 3) AS sum_price, count(*) AS n, count(DISTINCT l_suppkey) AS n_suppliers, bool_or(l_discount > 0.09) AS any_deep FROM lineitem GROUP BY 1, 2""",
+    "agg_grouped": """SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 3) AS avg_qty, strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S') AS min_ship, round(sum(l_extendedprice), 3) AS sum_price, count(*) AS n, count(DISTINCT l_suppkey) AS n_suppliers, bool_or(l_discount > 0.09) AS any_deep FROM lineitem GROUP BY 1, 2""",
     "agg_conditional_share": """SELECT l_suppkey, round(100 * avg((l_orderkey % 10 <> 0 AND l_returnflag = 'R')::INT), 6) AS returned_pct FROM lineitem GROUP BY 1""",
     "agg_pivot_mean": """SELECT l_suppkey, round(avg(l_quantity) FILTER (WHERE l_returnflag = 'A'), 6) AS qty_a, round(avg(l_quantity) FILTER (WHERE l_returnflag = 'N'), 6) AS qty_n, round(avg(l_quantity) FILTER (WHERE l_returnflag = 'R'), 6) AS qty_r FROM lineitem GROUP BY 1""",
     "agg_sorted_unique_list": """SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY 1""",
@@ -120,7 +126,7 @@ ORACLES: dict[str, str] = {
     "window_running_sum": """SELECT o_custkey, o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running_cents FROM orders""",
     "window_merge_turns": """WITH c AS (SELECT *, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'other' END AS side FROM conversations), m AS (SELECT *, CASE WHEN lag(side) OVER (PARTITION BY conv_id ORDER BY turn) = side THEN 0 ELSE 1 END AS new FROM c),
         r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM m)
-        SELECT conv_id, min(turn) AS turn, any_value(side) AS side, CAST(sum(length(text)) + count(*) - 1 AS INT) AS n_chars FROM r GROUP BY conv_id, run""",
+        SELECT conv_id, min(turn) AS turn, any_value(side) AS side, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM r GROUP BY conv_id, run""",
     "window_labels": """SELECT c_mktsegment, printf('LOC-%02d', row_number() OVER (ORDER BY c_mktsegment)) AS label FROM (SELECT DISTINCT c_mktsegment FROM customer)""",
     "set_operations": """WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O'), u AS (SELECT * FROM a UNION SELECT * FROM b), i AS (SELECT * FROM a INTERSECT SELECT * FROM b), m AS (SELECT * FROM a EXCEPT SELECT * FROM b)
         SELECT 'union' AS op, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS key_sum FROM u UNION ALL SELECT 'intersect', count(*), CAST(sum(o_custkey) AS BIGINT) FROM i UNION ALL SELECT 'minus', count(*), CAST(sum(o_custkey) AS BIGINT) FROM m""",
@@ -149,8 +155,8 @@ ORACLES: dict[str, str] = {
         n AS (SELECT source, shape, count(*) AS n, count(DISTINCT v) AS n_distinct, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM s GROUP BY source, shape) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, shape) <= 5""",
     "identifier_positions": """WITH c AS (SELECT DISTINCT s_name FROM supplier), p AS (SELECT i AS pos, s_name[i + 1] AS ch FROM c, range(0, 18) t(i)), n AS (SELECT pos, ch, count(*) AS n FROM p GROUP BY ALL), q AS (SELECT *, n / sum(n) OVER (PARTITION BY pos) AS p FROM n)
         SELECT CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(min(ch), '[A-Z]') THEN 'A' WHEN regexp_matches(min(ch), '[a-z]') THEN 'a' WHEN regexp_matches(min(ch), '[0-9]') THEN '9' ELSE min(ch) END AS class, count(*) AS n_symbols, round(-sum(p * log2(p)), 6) + 0.0 AS entropy, CASE WHEN count(*) = 1 THEN min(ch) END AS symbol FROM q GROUP BY pos""",
-    "identifier_gaps": """WITH n AS (SELECT DISTINCT CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000)), s AS (SELECT n, lag(n) OVER (ORDER BY n) AS was FROM n) SELECT was + 1 AS lo, n - 1 AS hi FROM s WHERE n - was > 1""",
-    "identifier_counter": """WITH n AS (SELECT DISTINCT CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000)) SELECT min(n) AS least, max(n) AS largest, count(*) AS n_distinct, max(n) - min(n) + 1 - count(*) AS n_gaps, max(n) - min(n) + 1 = count(*) AS contiguous FROM n""",
+    "identifier_gaps": """WITH n AS (SELECT DISTINCT CASE WHEN c_custkey % 37 < 2 THEN c_custkey + 5000000 ELSE CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) END AS n FROM customer), s AS (SELECT n, lag(n) OVER (ORDER BY n) AS was FROM n) SELECT was + 1 AS lo, n - 1 AS hi FROM s WHERE n - was > 1""",
+    "identifier_counter": """WITH n AS (SELECT DISTINCT CASE WHEN c_custkey % 37 < 2 THEN c_custkey + 5000000 ELSE CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) END AS n FROM customer) SELECT min(n) AS least, max(n) AS largest, count(*) AS n_distinct, max(n) - min(n) + 1 - count(*) AS n_gaps, max(n) - min(n) + 1 = count(*) AS contiguous FROM n""",
     "drift_stability": f"""WITH {_YEARS}, q AS (SELECT unnest(quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM a), g AS (SELECT i AS bin FROM range(0, 10) t(i)),
         x AS (SELECT bin, count(*) AS n FROM (SELECT (SELECT count(*) FROM q WHERE o_totalprice > e) AS bin FROM a) GROUP BY 1), y AS (SELECT bin, count(*) AS n FROM (SELECT (SELECT count(*) FROM q WHERE o_totalprice > e) AS bin FROM b) GROUP BY 1),
         p AS (SELECT bin, greatest(coalesce(x.n / (SELECT count(*) FROM a), 0), 1e-4) AS e, greatest(coalesce(y.n / (SELECT count(*) FROM b), 0), 1e-4) AS a FROM g LEFT JOIN x USING (bin) LEFT JOIN y USING (bin)), s AS (SELECT sum((a - e) * ln(a / e)) AS psi FROM p)
@@ -172,24 +178,32 @@ ORACLES: dict[str, str] = {
     "calibrate_auc": f"""WITH {_LABELLED}, r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS r, quality FROM x) SELECT round((sum(r) FILTER (WHERE quality = 1) - sum(quality) * (sum(quality) + 1) / 2) / (sum(quality) * (count(*) - sum(quality))), 6) AS auc FROM r""",
     "calibrate_flags": f"""WITH {_ORDERS} SELECT o_totalprice >= 150000 AS yield, mean_discount <= 0.06 AS moisture, mean_tax <= 0.05 AS disease, n_lines >= 2 AS genomic_value, count(*) AS n FROM w GROUP BY ALL""",
     "text_shapes": """WITH s AS (SELECT regexp_replace(regexp_replace(regexp_replace(o_orderpriority, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape FROM orders) SELECT shape, count(*) AS n, CASE shape WHEN '9-AAAAAA' THEN '9-A{6}' WHEN '9-AAAA' THEN '9-A{4}' WHEN '9-AAA AAAAAAAAA' THEN '9-A{3} A{9}' WHEN '9-AAA' THEN '9-A{3}' END AS pattern FROM s GROUP BY ALL""",
-    "text_fold": """SELECT 0::BIGINT AS n_upper, 0::BIGINT AS n_double_space, 0::BIGINT AS n_accent, count(*) AS n FROM documents""",
-    "text_char_grams": r"""WITH t AS (SELECT unnest(regexp_extract_all(translate(lower(text), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñç', 'aaaaaaeeeeiiiioooooouuuuyync'), '[\p{L}\p{N}_]+')) AS w FROM benchmark), g AS (SELECT w[i:i + 2] AS gram FROM t, range(1, 60) r(i) WHERE i <= length(w) - 2) SELECT gram, count(*) AS n FROM g WHERE regexp_matches(gram, '^[a-z]{3}$') GROUP BY 1""",
-    "text_strip_tags": """SELECT page_id, false AS has_script, false AS has_code, true AS shorter FROM pages""",
-    "text_html_tables": r"""WITH x AS (SELECT page_id, len(regexp_extract_all(html, '<table')) AS n_tables, len(regexp_extract_all(html, '<tr')) AS n_rows FROM pages) SELECT * FROM x WHERE n_rows > 0""",
-    "text_facts": """WITH o AS (SELECT o_orderkey, o_custkey FROM orders) SELECT o_orderkey, 0 AS sentence_no, 'YIELD_T_HA' AS field, o_orderkey % 10 + (o_custkey % 10) / 10 AS value, 't/ha' AS unit, 'yield' AS matched, 1 AS n_ids FROM o
-        UNION ALL SELECT o_orderkey, 1, NULL, NULL, NULL, NULL, 1 FROM o UNION ALL SELECT o_orderkey, 2, 'MOISTURE_PCT', 18.0, '%', 'humedad', 0 FROM o""",
-    "text_tfidf_cosine": r"""WITH q AS (SELECT doc_id, w AS gram, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[\x20\x09-\x0D]+')) AS w FROM documents WHERE doc_id % 100 = 0) WHERE w <> '' GROUP BY ALL),
-        r AS (SELECT item_id, w AS gram, 1 + ln(count(*)) AS tf FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[\x20\x09-\x0D]+')) AS w FROM benchmark) WHERE w <> '' GROUP BY ALL),
+    "text_fold": r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g'))) AS folded FROM documents""",
+    "text_char_grams": r"""WITH f AS (SELECT item_id, regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g')), '\d', '0', 'g') AS t FROM benchmark), w AS (SELECT item_id, ' ' || unnest(regexp_extract_all(t, '\w+|[/%]')) || ' ' AS w FROM f),
+        g AS (SELECT item_id, w[i:i + n - 1] AS gram FROM w, (SELECT unnest([3, 4, 5]) AS n), range(1, 80) r(i) WHERE i + n - 1 <= length(w)) SELECT item_id, gram, count(*) AS n FROM g GROUP BY ALL""",
+    "text_strip_tags": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
+        regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gis'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gis'), '<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'gis'),
+        '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM pages""",
+    "text_html_tables": r"""WITH t AS (SELECT page_id, unnest(x) AS t, unnest(range(len(x))) AS table_no FROM (SELECT page_id, regexp_extract_all(html, '(?is)<table.*?</table>') AS x FROM pages)),
+        r AS (SELECT page_id, table_no, unnest(x) AS r, unnest(range(len(x))) AS row_no FROM (SELECT page_id, table_no, regexp_extract_all(t, '(?is)<tr.*?</tr>') AS x FROM t))
+        SELECT page_id, table_no, row_no, array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: regexp_replace(c, '(?s)<[^>]*>', '', 'g')), '|') AS cells FROM r""",
+    "text_facts": """WITH o AS (SELECT o_orderkey, o_custkey, 'SYN-MZ-' || lpad(o_custkey::VARCHAR, 5, '0') AS id FROM orders) SELECT o_orderkey, 0 AS sentence_no, 'YIELD_T_HA' AS field, o_orderkey % 10 + (o_custkey % 10) / 10 AS value, 't/ha' AS unit, 'yield' AS matched, id AS ids FROM o
+        UNION ALL SELECT o_orderkey, 1, NULL, NULL, NULL, NULL, 'SYN-TR-0001' FROM o UNION ALL SELECT o_orderkey, 2, 'MOISTURE_PCT', 18.0, '%', 'humedad', '' FROM o""",
+    "text_tfidf_cosine": r"""WITH q AS (SELECT doc_id, g AS gram, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, w[i:i + n - 1] AS g FROM (SELECT doc_id, ' ' || unnest(regexp_extract_all(regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g')), '\d', '0', 'g'), '\w+|[/%]')) || ' ' AS w FROM documents WHERE doc_id % 100 = 0), (SELECT unnest([3, 4, 5]) AS n), range(1, 80) r(i) WHERE i + n - 1 <= length(w)) GROUP BY ALL), r AS (SELECT item_id, g AS gram, 1 + ln(count(*)) AS tf FROM (SELECT item_id, w[i:i + n - 1] AS g FROM (SELECT item_id, ' ' || unnest(regexp_extract_all(regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g')), '\d', '0', 'g'), '\w+|[/%]')) || ' ' AS w FROM benchmark), (SELECT unnest([3, 4, 5]) AS n), range(1, 80) r(i) WHERE i + n - 1 <= length(w)) GROUP BY ALL),
         i AS (SELECT gram, ln((1 + (SELECT count(DISTINCT item_id) FROM r)) / (1 + count(*))) + 1 AS idf FROM r GROUP BY 1), rw AS (SELECT item_id, gram, tf * idf AS r FROM r JOIN i USING (gram)), rn AS (SELECT item_id, sqrt(sum(r * r)) AS n FROM rw GROUP BY 1),
         qw AS (SELECT doc_id, gram, tf * idf AS q FROM q JOIN i USING (gram)), qn AS (SELECT doc_id, sqrt(sum(q * q)) AS n FROM qw GROUP BY 1) SELECT doc_id, item_id, round(sum(q * r) / any_value(qn.n) / any_value(rn.n), 5) AS cosine FROM qw JOIN rw USING (gram) JOIN rn USING (item_id) JOIN qn USING (doc_id) GROUP BY ALL""",
+    "text_lexicon": r"""WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents), w AS (SELECT doc_id, regexp_extract_all(t, '\w+') AS words, regexp_extract_all(t, '\w+|[^\w]+') AS parts FROM f),
+        h AS (SELECT doc_id, len(words) AS n, len(list_filter(parts, lambda x: x = 'the')) AS n_the, len(list_filter(parts, lambda x: x = 'und')) AS n_und,
+            len(list_filter(range(1, len(parts) - 1), lambda i: parts[i] = 'of' AND parts[i + 1] = ' ' AND parts[i + 2] = 'the')) AS n_of_the FROM w)
+        SELECT doc_id, round(ln(1 + 100 * (n_the - n_of_the + 2.0 * n_und + 3.0 * n_of_the) / greatest(n, 20)), 5) AS feature FROM h""",
     "verify_repeated_warnings": """SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id, event_id % 3""",
     "quality_order_violations": """WITH p AS (SELECT l_orderkey, min(l_shipdate) FILTER (WHERE l_returnflag = 'A') AS a, min(l_shipdate) FILTER (WHERE l_returnflag = 'N') AS n, min(l_shipdate) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) SELECT l_orderkey FROM p WHERE n < a OR r < a""",
     "quality_single_environment": """SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT (year(o_orderdate), o_orderpriority)) = 1""",
     "quality_feature_gate": """SELECT round(avg((l_discount < 0.09)::INT), 6) AS share_ok, avg((l_discount < 0.09)::INT) >= 0.8 AS usable FROM lineitem""",
     "quality_issues": """WITH t AS (SELECT o_orderkey, year(o_orderdate) AS y FROM orders), l AS (SELECT * REPLACE (CASE WHEN l_orderkey % 9 = 0 THEN l_orderkey + 1000000000 ELSE l_orderkey END AS l_orderkey) FROM lineitem),
         a AS (SELECT l_orderkey AS k FROM l ANTI JOIN t ON l_orderkey = o_orderkey), b AS (SELECT l_orderkey AS k FROM l JOIN t ON l_orderkey = o_orderkey WHERE year(l_shipdate) <> y), c AS (SELECT l_orderkey AS k FROM l WHERE l_linestatus = 'O')
-        SELECT 'linkage.orphans' AS id, 'linkage' AS category, 'warning' AS severity, count(*) AS count, min(CAST(k AS VARCHAR)) AS first_affected, 'proposed' AS fix_status FROM a HAVING count(*) > 0
-        UNION ALL SELECT 'temporal.year', 'temporal', 'critical', count(*), min(CAST(k AS VARCHAR)), 'applied' FROM b HAVING count(*) > 0 UNION ALL SELECT 'status.planned', 'status', 'warning', count(*), min(CAST(k AS VARCHAR)), 'proposed' FROM c HAVING count(*) > 0""",
+        SELECT 'linkage.orphans' AS id, 'linkage' AS category, 'warning' AS severity, count(*) AS count, CASE WHEN count(DISTINCT k) > 12 THEN array_to_string(list_sort(list(DISTINCT k::VARCHAR))[1:12], ',') || ',... +' || count(DISTINCT k) - 12 || ' more' ELSE array_to_string(list_sort(list(DISTINCT k::VARCHAR)), ',') END AS affected, 'proposed' AS fix_status FROM a HAVING count(*) > 0
+        UNION ALL SELECT 'temporal.year', 'temporal', 'critical', count(*), CASE WHEN count(DISTINCT k) > 12 THEN array_to_string(list_sort(list(DISTINCT k::VARCHAR))[1:12], ',') || ',... +' || count(DISTINCT k) - 12 || ' more' ELSE array_to_string(list_sort(list(DISTINCT k::VARCHAR)), ',') END, 'applied' FROM b HAVING count(*) > 0 UNION ALL SELECT 'status.planned', 'status', 'warning', count(*), CASE WHEN count(DISTINCT k) > 12 THEN array_to_string(list_sort(list(DISTINCT k::VARCHAR))[1:12], ',') || ',... +' || count(DISTINCT k) - 12 || ' more' ELSE array_to_string(list_sort(list(DISTINCT k::VARCHAR)), ',') END, 'proposed' FROM c HAVING count(*) > 0""",
     "supplier_triage": """WITH a AS (SELECT l_suppkey, count(*) AS n, 100 * sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / sum(CAST(round(p_retailprice * l_quantity * 100) AS BIGINT)) AS ratio, 100 * count(*) FILTER (WHERE l_returnflag = 'R') / count(*) AS ret, sum(CAST(round(l_discount * 100) AS BIGINT)) / count(*) AS dis FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
         f AS (SELECT s_suppkey, s_name, coalesce(n, 0) AS n_used, ratio, ret, dis FROM supplier LEFT JOIN a ON s_suppkey = l_suppkey),
         g AS (SELECT *, CASE WHEN n_used = 0 THEN 'AMBER' WHEN ret > 36 THEN 'RED' WHEN ret > 33.5 OR dis > 5.05 OR n_used < 2 THEN 'AMBER' ELSE 'GREEN' END AS colour FROM f)

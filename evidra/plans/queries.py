@@ -120,7 +120,7 @@ def part_facts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rules_candidate_rag(spark, d):
     out = PART_RAG.evaluate(part_facts(spark, d))
-    return out.select("p_partkey", "computed_colour", "colour", F.size(F.split("reason", "; ")).alias("n_reasons"))
+    return out.select("p_partkey", "computed_colour", "colour", "reason")
 
 
 @query
@@ -283,8 +283,8 @@ def join_lineage(spark, d):
 
 @query
 def join_compare_suppliers(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey <= 6").select("s_suppkey", F.round("s_acctbal", 2).alias("v"))
-    return rounded(s.alias("a").crossJoin(F.broadcast(s.alias("b"))).select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.abs(F.col("a.v") - F.col("b.v")).alias("distance")), 2)
+    s = table(spark, d, "supplier").select("s_suppkey", F.array(F.round("s_acctbal", 2), F.col("s_nationkey").cast("double")).alias("x"))
+    return rounded(serve.compare(s, "s_suppkey", [1, 2, 3, 5, 8, 13]), 4)
 
 
 @query
@@ -315,10 +315,10 @@ def join_nested_messages(spark, d):
 def agg_grouped(spark, d):
     li = table(spark, d, "lineitem")
     out = li.groupBy("l_returnflag", "l_linestatus").agg(
-        F.avg("l_quantity").alias("avg_qty"), F.min("l_shipdate").cast("string").alias("min_ship"), F.sum("l_extendedprice").alias("sum_price"),
+        F.avg("l_quantity").alias("avg_qty"), F.date_format(F.min("l_shipdate"), "yyyy-MM-dd HH:mm:ss").alias("min_ship"), F.sum("l_extendedprice").alias("sum_price"),
         F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("n_suppliers"), F.bool_or(F.col("l_discount") > 0.09).alias("any_deep"),
     )
-    return rounded(out.drop("min_ship"), 3)
+    return rounded(out, 3)
 
 
 @query
@@ -350,7 +350,8 @@ def agg_distinct_pairs(spark, d):
 @query
 def agg_value_counts(spark, d):
     e = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(e.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())))
+    total = e.agg(F.sum("n").alias("total"))
+    return rounded(e.join(F.broadcast(total)).select("event_type", "n", (F.col("n") / F.col("total")).alias("share")))
 
 
 @query
@@ -416,7 +417,7 @@ def window_running_sum(spark, d):
 def window_merge_turns(spark, d):
     c = table(spark, d, "conversations").withColumn("side", F.when(F.col("role") == "assistant", "assistant").otherwise("other"))
     out = relational.merge_turns(c, "conv_id", "turn", "side", "text")
-    return out.select("conv_id", "turn", "side", F.length("text").alias("n_chars"))
+    return out.select("conv_id", "turn", "side", "text")
 
 
 @query
@@ -537,20 +538,20 @@ def identifier_positions(spark, d):
     return rounded(out.select("pos", "class", "n_symbols", "entropy", "symbol"))
 
 
-def _buyers(spark, d):
-    """Customers with a large urgent order: their counter has gaps."""
-    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000")
-    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+def _counted(spark, d):
+    """All customers; every 37th number and its neighbour name another counter's value, so that the counter has gaps."""
+    n = F.col("c_custkey")
+    return table(spark, d, "customer").select(F.when(n % 37 < 2, F.concat(F.lit("Customer#"), F.lpad((n + 5_000_000).cast("string"), 9, "0"))).otherwise(F.col("c_name")).alias("c_name"))
 
 
 @query
 def identifier_gaps(spark, d):
-    return identifiers.gaps(_buyers(spark, d), "c_name")
+    return identifiers.gaps(_counted(spark, d), "c_name")
 
 
 @query
 def identifier_counter(spark, d):
-    return identifiers.counter(_buyers(spark, d), "c_name")
+    return identifiers.counter(_counted(spark, d), "c_name")
 
 
 def _years(spark, d):
@@ -670,40 +671,37 @@ def text_shapes(spark, d):
 
 @query
 def text_fold(spark, d):
-    docs = table(spark, d, "documents").select(canon.fold(F.col("text")).alias("t"))
-    return docs.agg(F.count_if(F.col("t").rlike("[A-ZÀ-Ý]")).alias("n_upper"), F.count_if(F.col("t").rlike(r"\s{2}")).alias("n_double_space"), F.count_if(F.contains("t", F.lit("é"))).alias("n_accent"), F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(canon.fold(F.coalesce(F.col("text"), F.lit(""))), 256).alias("folded"))
 
 
 @query
 def text_char_grams(spark, d):
-    b = table(spark, d, "benchmark").select(F.explode(text.char_ngrams(F.col("text"), (3,))).alias("gram"))
-    return b.where(F.col("gram").rlike("^[a-z]{3}$")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    b = table(spark, d, "benchmark").select("item_id", F.explode(text.char_ngrams(F.col("text"))).alias("gram"))
+    return b.groupBy("item_id", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def text_strip_tags(spark, d):
-    p = table(spark, d, "pages")
-    body = text.strip_tags(F.col("html"))
-    return p.select("page_id", F.contains(body, F.lit("<script")).alias("has_script"), F.contains(body, F.lit("track(")).alias("has_code"), (F.length(body) < F.length("html")).alias("shorter"))
+    return table(spark, d, "pages").select("page_id", text.strip_tags(F.col("html")).alias("body"))
 
 
 @query
 def text_html_tables(spark, d):
     rows = documents.html_tables(table(spark, d, "pages"), "page_id")
-    return rows.groupBy("page_id").agg(F.count_distinct("table_no").alias("n_tables"), F.count(F.lit(1)).alias("n_rows"))
+    return rows.select("page_id", "table_no", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
 @query
 def text_facts(spark, d):
     c = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Order SYN-MZ-"), F.lpad(F.col("o_custkey").cast("string"), 5, "0"), F.lit(": yield of "), F.format_string("%d,%d", F.col("o_orderkey") % 10, F.col("o_custkey") % 10), F.lit(" t/ha.\nSeen in SYN-TR-0001 only. Humedad: 18 % yes")).alias("text"))
     out = facts.extract(c, "o_orderkey")
-    return out.select("o_orderkey", "sentence_no", "field", "value", "unit", "matched", F.size("ids").alias("n_ids"))
+    return out.select("o_orderkey", "sentence_no", "field", "value", "unit", "matched", F.array_join(F.flatten(F.map_values("ids")), ",").alias("ids"))
 
 
 @query
 def text_lexicon(spark, d):
     lexicon = {"the": 1.0, "of the": 3.0, "und": 2.0}
-    docs = table(spark, d, "documents").select("doc_id", relevance.density(F.lower("text"), lexicon).alias("feature"))
+    docs = table(spark, d, "documents").select("doc_id", relevance.density(canon.fold(F.coalesce(F.col("text"), F.lit(""))), lexicon).alias("feature"))
     return rounded(docs, 5)
 
 
@@ -711,8 +709,8 @@ def text_lexicon(spark, d):
 def text_tfidf_cosine(spark, d):
     # a search: its queries are the documents whose id is divisible by 100
     docs = table(spark, d, "documents").where("doc_id % 100 = 0").select("doc_id", "text")
-    words = lambda df, k: df.select(k, F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("gram")).where("gram <> ''").groupBy(k, "gram").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
-    return rounded(relevance.similarity(words(docs, "doc_id"), words(table(spark, d, "benchmark"), "item_id"), "doc_id", "item_id"), 5)
+    grams = lambda df, k: relevance.gram_counts(df, k, "text")
+    return rounded(relevance.similarity(grams(docs, "doc_id"), grams(table(spark, d, "benchmark"), "item_id"), "doc_id", "item_id"), 5)
 
 
 @query
@@ -727,7 +725,7 @@ def verify_turn_numbers(spark, d):
     c = table(spark, d, "conversations")
     prev = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("evidence"))
     a = c.where("role = 'assistant'").join(prev, ["conv_id", "turn"])
-    return verification.check(a, "text", "evidence").select("conv_id", "turn", F.size("unknown_numbers").alias("n_unknown"), "status")
+    return verification.check(a, "text", "evidence").select("conv_id", "turn", F.array_join(F.array_sort("unknown_numbers"), ",").alias("unknown_numbers"), F.array_join(F.array_sort("unknown_words"), ",").alias("unknown_words"), "status")
 
 
 @query
@@ -751,7 +749,7 @@ def quality_issues(spark, d):
         quality.issue(quality.stale_planned(ops, "status", "l_shipdate"), "status.planned", "status", "warning", F.col("l_orderkey"), "proposed"),
         quality.issue(orders.where("o_totalprice is null"), "completeness.price", "completeness", "info", F.col("o_orderkey"), "not_fixable"),
     ]
-    return quality.union(issues).select("id", "category", "severity", "count", F.element_at("affected", 1).alias("first_affected"), "fix_status")
+    return quality.union(issues).select("id", "category", "severity", "count", F.array_join("affected", ",").alias("affected"), "fix_status")
 
 
 @query

@@ -259,3 +259,25 @@ def test_two_writers_of_overrides_get_different_numbers(spark, tmp_path):
             log.record("u", "candidate", "m1", "RED", "AMBER" if i < 2 else "GREEN", "DATA_ERROR")
     got = logs[0].read().collect()
     assert len({r["seq"] for r in got}) == 6 and logs[1].latest().first()["new_colour"] == "GREEN"
+
+
+def test_fixed_decimals_follow_the_binary_value(spark):
+    values = [94.85, 0.25, 0.35, 2.5, 3.5, -94.85, -0.25, 1e15, 0.05, 1.005, 2.675, 123456.785, -2.5, 0.0, 99.95, 7.0] + [i / 20 for i in range(1, 400, 2)] + [i / 200 for i in range(1, 600, 2)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2):
+        got = [r[0] for r in df.select(text.fixed(F.col("v"), digits)).collect()]
+        want = [f"{v:.{digits}f}" for v in values]
+        assert [x.replace("-0", "0", 1) if float(x) == 0 else x for x in got] == [x.replace("-0", "0", 1) if float(x) == 0 else x for x in want]
+    assert spark.createDataFrame([(None,)], "v double").select(text.fixed(F.col("v"), 1)).first()[0] is None
+
+
+def test_sentences_of_paragraphs_and_broken_lines(spark):
+    cases = {"a\nb. c\n\nd; e\ff": ["a b.", "c", "d;", "e", "f"], "x:\ny": ["x:\ny"], "\n one \n": ["one"], "": [], "1. 2!  3?": ["1.", "2!", "3?"]}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["s"] for r in df.select("t", facts.sentences(F.col("t")).alias("s")).collect()} == cases
+
+
+def test_the_longest_synonym_with_a_number_is_the_fact(spark):
+    t = "disease 3, disease score of 5; days to flowering: 60 days. plant height none but height = 12,5 cm. gbv 1 gbv 2"
+    got = {r["field"]: (r["value"], r["unit"], r["matched"]) for r in facts.extract(spark.createDataFrame([(1, t)], "k int, text string"), "k").collect()}
+    assert got == {"DISEASE_SCORE": (5.0, None, "disease score"), "FLOWERING_DAYS": (60.0, "d", "days to flowering"), "PLANT_HEIGHT_CM": (12.5, "cm", "height"), "GENOMIC_BREEDING_VALUE": (1.0, None, "gbv")}
