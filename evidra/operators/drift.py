@@ -89,3 +89,20 @@ def keys_lost(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
 def file_hashes(spark, path: str) -> DataFrame:
     """(path, length, sha256) of input files."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def inputs_changed(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """(path) of files that are new or whose content differs. Both sides are rows of file_hashes()."""
+    was = previous.select(F.col("path").alias("_p"), F.col("sha256").alias("_h"))
+    j = current.join(was, F.col("path") == F.col("_p"), "left")
+    return j.where(F.col("_h").isNull() | (F.col("_h") != F.col("sha256"))).select("path")
+
+
+def report(previous: DataFrame, current: DataFrame, numeric: list[str], nominal: list[str]) -> DataFrame:
+    """(column, kind, value, mean_shift_sd, worst, status): stability of numeric and variation of nominal columns; worst and status are
+    those of the whole table."""
+    a = stability(previous, current, numeric).select("column", F.lit("psi").alias("kind"), F.col("psi").alias("value"), "mean_shift_sd")
+    b = variation(previous, current, nominal).select("column", F.lit("tvd").alias("kind"), F.col("tvd").alias("value"), F.lit(None).cast("double").alias("mean_shift_sd"))
+    rows = a.unionByName(b)
+    worst = rows.agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("worst"))  # one row
+    return rows.join(F.broadcast(worst)).withColumn("status", status(F.col("worst")))

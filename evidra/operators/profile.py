@@ -141,3 +141,21 @@ def identifiers(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame([], "id string")
     ids = long_form(df, columns).select(F.upper(F.trim("value")).alias("id"))
     return ids.where((F.length("id") >= 6) & F.col("id").rlike("[A-Z]") & F.col("id").rlike(r"\d")).distinct()
+
+
+def ingestion(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows, columns, informative_columns, tokens_raw, tokens_renormalised) of each table, and all together as table null with
+    the share of tokens that leaving out empty and constant columns saves."""
+    out = None
+    for name, df in tables.items():
+        informative = [r["column"] for r in entropy(df, df.columns).where("entropy > 0").select("column").collect()]  # a row a column
+        slim = df.select(*[c for c in df.columns if c in informative])
+        one = token_estimate(df).select(F.col("tokens").alias("tokens_raw")).join(token_estimate(slim).select(F.col("tokens").alias("tokens_renormalised")))
+        one = one.join(df.agg(F.count(F.lit(1)).alias("rows"))).select(
+            F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"), F.lit(len(informative)).cast("long").alias("informative_columns"), "tokens_raw", "tokens_renormalised"
+        )
+        out = one if out is None else out.unionByName(one)
+    sums = [F.sum(c).alias(c) for c in ("rows", "columns", "informative_columns", "tokens_raw", "tokens_renormalised")]
+    total = out.agg(*sums).withColumn("table", F.lit(None).cast("string"))
+    every = out.unionByName(total)
+    return every.withColumn("token_reduction", F.when(F.col("table").isNull(), 1 - F.try_divide(F.col("tokens_renormalised"), F.col("tokens_raw"))))

@@ -108,3 +108,10 @@ def short_list(values: Column, limit: int = 12) -> Column:
     """The first ids of an array and how many more there are."""
     more = F.concat(F.lit("... +"), (F.size(values) - limit).cast("string"), F.lit(" more"))
     return F.when(F.size(values) > limit, F.concat(F.slice(values, 1, limit), F.array(more))).otherwise(values)
+
+
+def last_turns(messages: DataFrame, key: str, seq: str, role: str, text: str, n: int, eligible: Column, sep: str = "\n") -> DataFrame:
+    """The last n eligible messages of each key, neighbours of one role merged."""
+    w = Window.partitionBy(key).orderBy(F.desc(seq))
+    kept = messages.where(eligible).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    return merge_turns(kept, key, seq, role, text, sep)

@@ -345,3 +345,16 @@ def diagnose(df: DataFrame, rules: TrialRules, record: str, official: str, k: in
         .otherwise("MISSING_FACTOR")
     )
     return out.select(F.col("id").alias(record), "official", "computed", "severity", "like_engine", "like_official", cause.alias("cause"))
+
+
+def baseline(df: DataFrame, record: str, official: str, computed: str, official_reason: str, reason: str) -> DataFrame:
+    """One row: parity, how many records the rules do not explain (up to 12 of them named), and how many reason texts are the same."""
+    known = F.col(official).isNotNull()
+    agree = known & (F.col(official) == F.col(computed))
+    counts = df.agg(
+        F.count_if(agree).alias("agree"), F.count_if(known).alias("total"), F.try_divide(F.count_if(agree), F.count_if(known)).alias("accuracy"),
+        F.count_if(known & (F.col(official) != F.col(computed))).alias("n_not_explained"), F.count_if(F.col(official_reason) == F.col(reason)).alias("identical_reasons"),
+        F.count(F.lit(1)).alias("n_reasons"),
+    )
+    few = df.where(known & (F.col(official) != F.col(computed))).select(F.col(record).cast("string").alias("r")).orderBy("r").limit(12)
+    return counts.join(F.broadcast(few.agg(F.array_sort(F.collect_list("r")).alias("not_explained"))))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.encoding import helmert as _helmert
+
 
 @dataclass
 class Model:
@@ -144,3 +146,45 @@ def chi2_quantile(q: float, dof: float) -> float:
 def t2_limit(n: int, k: int, q: float = 0.975) -> float:
     """(n - 1)^2 / n times a beta quantile; chi-squared where n is too small for it."""
     return (n - 1) ** 2 / n * beta_quantile(q, k / 2, (n - k - 1) / 2) if n > k + 1 else chi2_quantile(q, k)
+
+
+def identities(encoded: DataFrame, key: str, model: Model, evidence_mismatches: int | None = None) -> DataFrame:
+    """(check, value, tolerance, passed): identities that hold to rounding if the decomposition is right. Sums of squares and products
+    are added up in Spark (k x k and dim x dim numbers); no row reaches the driver."""
+    k, dim = model.k, len(model.mean)
+    scored = score(encoded, key, model)
+    mean = F.array(*[F.lit(float(m)) for m in model.mean])
+    centred = encoded.select(F.zip_with("x", mean, lambda a, m: a - m).alias("c"))
+
+    def products(df: DataFrame, column: str, size: int) -> np.ndarray:
+        """Sum over rows of column' column."""
+        cells = [F.sum(F.get(column, F.lit(i)) * F.get(column, F.lit(j))) for i in range(size) for j in range(i, size)]
+        flat, out = list(df.agg(*cells).first()), np.zeros((size, size))
+        out[np.triu_indices(size)] = flat
+        return out + np.triu(out, 1).T
+
+    gram = products(centred, "c", dim)
+    white = products(whiten(scored, key, model), "x", k) / max(model.n - 1, 1)
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
+    row = scored.agg(F.max(F.abs(total - F.col("t2"))).alias("gap"), F.sum("q").alias("left")).first()
+    energy = float((model.values**2).sum())
+    kept = float((model.values[:k] ** 2).sum())
+    basis = model.basis
+    lam = model.values[:k] ** 2
+    helmert = 0.0
+    for levels in range(2, 9):
+        h = np.array(_helmert(levels))
+        helmert = max(helmert, np.abs(h.T @ h - np.eye(levels - 1)).max(), np.abs(h.sum(0)).max())
+    rows = [
+        ("orthogonality_basis", float(np.abs(basis.T @ basis - np.eye(k)).max()), 1e-12),
+        ("eigen_equation_residual", float(max(np.linalg.norm(gram @ basis[:, i] - lam[i] * basis[:, i]) for i in range(k)) / lam[0]), 1e-9),
+        ("energy_of_all_components", abs(float(np.trace(gram)) - energy) / energy, 1e-9),
+        ("truncation_identity", abs(float(row["left"]) / energy - (energy - kept) / energy), 1e-9),
+        ("whitening_covariance", float(np.abs(white - np.eye(k)).max()), 1e-8),
+        ("contributions_sum_to_t2", float(row["gap"]), 1e-8),
+        ("helmert_orthonormal", float(helmert), 1e-12),
+    ]
+    if evidence_mismatches is not None:
+        rows.append(("evidence_reread_mismatches", float(evidence_mismatches), 0.0))
+    checked = [(n, v, t, v <= t) for n, v, t in rows]
+    return encoded.sparkSession.createDataFrame(checked, "check string, value double, tolerance double, passed boolean")

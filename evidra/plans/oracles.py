@@ -208,6 +208,35 @@ ORACLES: dict[str, str] = {
         f AS (SELECT s_suppkey, s_name, coalesce(n, 0) AS n_used, ratio, ret, dis FROM supplier LEFT JOIN a ON s_suppkey = l_suppkey),
         g AS (SELECT *, CASE WHEN n_used = 0 THEN 'AMBER' WHEN ret > 36 THEN 'RED' WHEN ret > 33.5 OR dis > 5.05 OR n_used < 2 THEN 'AMBER' ELSE 'GREEN' END AS colour FROM f)
         SELECT s_suppkey, s_name, n_used, round(ratio, 4) AS ratio_pct, round(ret, 4) AS returned_pct, round(dis, 4) AS discount_pct, colour, CASE colour WHEN 'RED' THEN 0 WHEN 'AMBER' THEN 1 ELSE 2 END AS priority FROM g""",
+    "rules_baseline": f"""WITH {_ORDERS} SELECT count(*) FILTER (WHERE official = computed) AS agree, count(official) AS total, round(count(*) FILTER (WHERE official = computed) / count(official), 6) AS accuracy,
+        count(*) FILTER (WHERE official <> computed) AS n_not_explained, count(*) FILTER (WHERE o_orderkey % 19 <> 0) AS identical_reasons, count(*) AS n_reasons,
+        array_to_string(list_sort(list(o_orderkey::VARCHAR) FILTER (WHERE official <> computed))[1:12], ',') AS not_explained FROM w""",
+    "serve_envelope": f"""WITH {_PARTS}, a AS (SELECT p_partkey, count(*) OVER () AS total FROM h WHERE colour = 'AMBER') SELECT p_partkey, total::INT AS total, least(20, total)::INT AS returned, total > 20 AS truncated, 20 AS "limit" FROM a ORDER BY p_partkey LIMIT 20""",
+    "serve_cards": """WITH o AS (SELECT *, CASE WHEN o_orderstatus = 'F' THEN 'FAIL' ELSE 'PASS' END AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+        a AS (SELECT o_custkey, count(*) AS n_trials, count(*) FILTER (WHERE v = 'FAIL') AS n_fail, string_agg(o_orderkey || ':' || v || ':' || o_orderpriority, ';' ORDER BY o_orderkey) FILTER (WHERE n <= 3) AS trials FROM o GROUP BY 1)
+        SELECT c_custkey AS o_custkey, c_name, coalesce(n_trials, 0) AS n_trials, coalesce(n_fail, 0) AS n_fail, coalesce(trials, '') AS trials FROM customer LEFT JOIN a ON c_custkey = o_custkey""",
+    "profile_ingestion": """WITH c AS (SELECT 'customer' AS "table", count(*) AS "rows", 4 AS "columns", 2 AS informative_columns, ceil((sum(length(c_custkey::VARCHAR) + length(c_name) + 5) + 32) / 4)::BIGINT AS tokens_raw,
+            ceil((sum(length(c_custkey::VARCHAR) + length(c_name) + 2) + 17) / 4)::BIGINT AS tokens_renormalised FROM customer),
+        n AS (SELECT 'nation', count(*), 3, 3, ceil((sum(length(n_nationkey::VARCHAR) + length(n_name) + length(n_regionkey::VARCHAR) + 3) + 31) / 4)::BIGINT AS t, t FROM nation), u AS (SELECT * FROM c UNION ALL SELECT * FROM n)
+        SELECT *, NULL::DOUBLE AS token_reduction FROM u UNION ALL SELECT NULL, sum("rows")::BIGINT, sum("columns")::BIGINT, sum(informative_columns)::BIGINT, sum(tokens_raw)::BIGINT, sum(tokens_renormalised)::BIGINT, round(1 - sum(tokens_renormalised) / sum(tokens_raw), 6) FROM u""",
+    "profile_renormalised": """SELECT c_custkey, c_mktsegment FROM customer""",
+    "drift_report": f"""WITH {_YEARS}, q AS (SELECT unnest(quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM a), g AS (SELECT i AS bin FROM range(0, 10) t(i)),
+        x AS (SELECT bin, count(*) AS n FROM (SELECT (SELECT count(*) FROM q WHERE o_totalprice > e) AS bin FROM a) GROUP BY 1), y AS (SELECT bin, count(*) AS n FROM (SELECT (SELECT count(*) FROM q WHERE o_totalprice > e) AS bin FROM b) GROUP BY 1),
+        p AS (SELECT greatest(coalesce(x.n / (SELECT count(*) FROM a), 0), 1e-4) AS e, greatest(coalesce(y.n / (SELECT count(*) FROM b), 0), 1e-4) AS a FROM g LEFT JOIN x USING (bin) LEFT JOIN y USING (bin)),
+        l AS (SELECT 'o_orderstatus' AS c, o_orderstatus AS v, 1 AS s FROM a UNION ALL SELECT 'o_orderpriority', o_orderpriority, 1 FROM a UNION ALL SELECT 'o_orderstatus', o_orderstatus, 2 FROM b UNION ALL SELECT 'o_orderpriority', o_orderpriority, 2 FROM b),
+        k AS (SELECT c, v, count(*) FILTER (WHERE s = 1) / (SELECT count(*) FROM a) AS pa, count(*) FILTER (WHERE s = 2) / (SELECT count(*) FROM b) AS pb FROM l GROUP BY ALL),
+        r AS (SELECT 'o_totalprice' AS "column", 'psi' AS kind, (SELECT sum((a - e) * ln(a / e)) FROM p) AS value UNION ALL SELECT c, 'tvd', sum(abs(pa - pb)) / 2 FROM k GROUP BY c)
+        SELECT "column", kind, round(value, 4) AS value, CASE WHEN max(value) OVER () < 0.1 THEN 'stable' WHEN max(value) OVER () < 0.25 THEN 'moderate' ELSE 'major' END AS status FROM r""",
+    "drift_schema": """SELECT * FROM (VALUES ('extra', 'added'), ('o_orderpriority', 'removed'), ('o_custkey', 'bigint -> string')) t("column", change)""",
+    "spectral_identities": """SELECT *, true AS passed FROM (VALUES ('orthogonality_basis'), ('eigen_equation_residual'), ('energy_of_all_components'), ('truncation_identity'), ('whitening_covariance'), ('contributions_sum_to_t2'), ('helmert_orthonormal'), ('evidence_reread_mismatches')) t("check")""",
+    "window_last_turns": """WITH e AS (SELECT *, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'other' END AS side FROM conversations WHERE role <> 'system'), c AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3),
+        m AS (SELECT *, CASE WHEN lag(side) OVER (PARTITION BY conv_id ORDER BY turn) = side THEN 0 ELSE 1 END AS new FROM c), r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM m)
+        SELECT conv_id, min(turn) AS turn, any_value(side) AS side, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY conv_id, run""",
+    "text_document_summary": """WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS n, o_orderkey % 3 = 0 AS f FROM orders) SELECT o_orderkey, 'SYN-MZ-0000' || n || ',SYN-MZ-00009' || CASE WHEN f THEN '' ELSE ',SYN-TR-0001' END AS entities,
+        CASE WHEN f THEN 2 ELSE 0 END AS n_facts, CASE WHEN f THEN 'MOISTURE_PCT,YIELD_T_HA' ELSE '' END AS fields FROM o""",
+    "reconcile_repeated_keys": """WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS fresh, count(*) FILTER (WHERE o_orderkey % 3 = 0 AND (o_orderkey + 50000000) % 2 = 0) AS changed FROM orders)
+        SELECT 'duplicate' AS outcome, n + fresh - changed AS n FROM n UNION ALL SELECT 'conflict', changed FROM n UNION ALL SELECT 'new', fresh FROM n UNION ALL SELECT 'rows', n + fresh FROM n""",
 }
 
+
 ORACLES |= canonical.ORACLES

@@ -795,3 +795,83 @@ def supplier_triage(spark, d):
     out = rag.evaluate(facts_)
     rank = F.when(F.col("colour") == "RED", 0).when(F.col("colour") == "AMBER", 1).otherwise(2)
     return rounded(out.select("s_suppkey", "s_name", "n_used", "ratio_pct", "returned_pct", "discount_pct", "colour", rank.alias("priority")).orderBy("priority", "s_suppkey"), 4)
+
+
+# ------------------------------------------------------------------------------------------------ reports
+
+
+@query
+def rules_baseline(spark, d):
+    out = ORDER_RULES.evaluate(order_facts(spark, d), "o_orderkey", "orders", "official").withColumn("said", F.when(F.col("o_orderkey") % 19 == 0, "other").otherwise(F.col("reason")))
+    return rounded(rules.baseline(out, "o_orderkey", "official", "computed", "said", "reason")).withColumn("not_explained", F.array_join("not_explained", ","))
+
+
+@query
+def serve_envelope(spark, d):
+    decided = PART_RAG.evaluate(part_facts(spark, d)).where("colour = 'AMBER'")
+    head, rows = serve.envelope(decided, [F.col("p_partkey")], 20)
+    return rows.select("p_partkey", *[F.lit(v).alias(k) for k, v in head.items()])
+
+
+@query
+def serve_cards(spark, d):
+    cust = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "F", "FAIL").otherwise("PASS").alias("verdict"), F.col("o_orderpriority").alias("statement"))
+    out = serve.cards(cust, orders, "o_custkey", "o_orderkey", "verdict", "statement", most=3)
+    text_ = F.array_join(F.transform("trials", lambda t: F.concat_ws(":", t["trial"], t["verdict"], t["statement"])), ";")
+    return out.select("o_custkey", "c_name", "n_trials", "n_fail", F.coalesce(text_, F.lit("")).alias("trials"))
+
+
+@query
+def profile_ingestion(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.lit("k").alias("constant"), F.lit(None).cast("string").alias("empty"))
+    return rounded(profile.ingestion({"customer": c, "nation": table(spark, d, "nation")}))
+
+
+@query
+def profile_renormalised(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.lit("k").alias("constant"), "c_mktsegment", F.lit(None).cast("string").alias("empty"))
+    return profile.renormalise(c, profile.profile(c))
+
+
+@query
+def drift_report(spark, d):
+    a, b = _years(spark, d)
+    return rounded(drift.report(a, b, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"]).drop("mean_shift_sd", "worst"), 4)
+
+
+@query
+def drift_schema(spark, d):
+    o = table(spark, d, "orders")
+    return drift.schema_changes(o, o.drop("o_orderpriority").withColumns({"o_custkey": F.col("o_custkey").cast("string"), "extra": F.lit(1)}))
+
+
+@query
+def spectral_identities(spark, d):
+    enc, names = encoding.encode(table(spark, d, "orders"), SPECS[:2] + [SPECS[3]], "o_orderkey")
+    return spectral.identities(enc, "o_orderkey", spectral.fit(enc, names), 0).select("check", "passed")
+
+
+@query
+def window_last_turns(spark, d):
+    c = table(spark, d, "conversations").withColumn("side", F.when(F.col("role") == "assistant", "assistant").otherwise("other"))
+    return relational.last_turns(c, "conv_id", "turn", "side", "text", 3, F.col("role") != "system").select("conv_id", "turn", "side", "text")
+
+
+@query
+def text_document_summary(spark, d):
+    n = F.col("o_orderkey")
+    c = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Lines SYN-MZ-00009 and SYN-MZ-0000"), (n % 7).cast("string"), F.when(n % 3 == 0, F.lit(": yield is 4 t/ha. Moisture 12 %.")).otherwise(F.lit(" were seen in SYN-TR-0001.")), F.lit("\n\nSYN-MZ-00009 again.")).alias("text"))
+    out = facts.summary(facts.extract(c, "o_orderkey"), "o_orderkey")
+    return out.select("o_orderkey", F.array_join("entities", ",").alias("entities"), "n_facts", F.array_join("fields", ",").alias("fields"))
+
+
+@query
+def reconcile_repeated_keys(spark, d):
+    """All orders again and every third twice more under a new key, one of them changed."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    fresh = o.where("o_orderkey % 3 = 0").withColumn("o_orderkey", F.col("o_orderkey") + 50_000_000)
+    changed = fresh.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, F.lit("zz")).otherwise(F.col("o_orderstatus")))
+    merged, log = reconcile.merge(o, [o.unionByName(fresh).unionByName(changed)], "o_orderkey")
+    rows = merged.agg(F.lit("rows").alias("outcome"), F.count(F.lit(1)).alias("n"))
+    return log.select("outcome", "n").unionByName(rows)

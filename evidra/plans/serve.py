@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DEFAULT_LIMIT, MAX_LIMIT = 500, 10_000
@@ -68,3 +68,23 @@ class Catalog:
 
     def names(self) -> list[str]:
         return sorted(self.tables)
+
+
+def envelope(df: DataFrame, order: list, limit: int = 20) -> tuple[dict, DataFrame]:
+    """What a tool returns: total, returned, truncated and limit, and the first rows."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
+    total = df.count()
+    return {"total": total, "returned": min(limit, total), "truncated": total > limit, "limit": limit}, df.orderBy(*order).limit(limit)
+
+
+def cards(decided: DataFrame, rows: DataFrame, key: str, trial: str, verdict: str, statement: str, most: int = 50) -> DataFrame:
+    """decided with what its records say: n_trials, n_fail and up to most trials (trial, verdict, statement), in order of the trial."""
+    w = Window.partitionBy(key).orderBy(trial)
+    ranked = rows.withColumn("_n", F.row_number().over(w))
+    one = F.when(F.col("_n") <= most, F.struct(F.col(trial).cast("string").alias("trial"), F.col(verdict).alias("verdict"), F.col(statement).alias("statement"), F.col("_n").alias("n")))
+    per = ranked.groupBy(F.col(key).alias("_k")).agg(
+        F.count(F.lit(1)).alias("n_trials"), F.count_if(F.col(verdict) == "FAIL").alias("n_fail"), F.array_sort(F.collect_list(one), lambda a, b: a["n"] - b["n"]).alias("trials")
+    )
+    out = decided.join(per, F.col(key) == F.col("_k"), "left").drop("_k")
+    return out.withColumns({"n_trials": F.coalesce("n_trials", F.lit(0)), "n_fail": F.coalesce("n_fail", F.lit(0))})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,3 +36,38 @@ def previous_run(spark: SparkSession, directory: str, exclude: str | None = None
     df = runs(spark, directory)
     row = (df.where(F.col("run") != exclude) if exclude else df).agg(F.max("run")).first()
     return row[0]
+
+
+class Versions:
+    """Tables that are replaced all at once. A version is written to a folder of its own and counts once its record is appended, the last
+    step; if anything fails before, readers and the next attempt still see the version before."""
+
+    RECORD = "seq long, version string, tables array<string>"
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _records(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.RECORD).json(f"{self.root}/records")
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return self.spark.createDataFrame([], self.RECORD)
+            raise
+
+    def publish(self, tables: dict[str, DataFrame]) -> str:
+        now = datetime.now(timezone.utc)
+        version = f"{now.strftime('%Y%m%dT%H%M%S%f')}-{uuid.uuid4().hex[:8]}"
+        for name, df in tables.items():
+            df.write.parquet(f"{self.root}/versions/{version}/{name}")
+        row = (int(now.timestamp() * 1_000_000), version, sorted(tables))
+        self.spark.createDataFrame([row], self.RECORD).coalesce(1).write.mode("append").json(f"{self.root}/records")
+        return version
+
+    def current(self) -> dict[str, DataFrame]:
+        row = self._records().agg(F.max(F.struct("seq", "version", "tables")).alias("r")).first()["r"]
+        return {n: self.spark.read.parquet(f"{self.root}/versions/{row['version']}/{n}") for n in row["tables"]} if row else {}
+
+    def rebuild(self, build) -> str:
+        """Publishes what build(current tables) gives; an error in it, or while its tables are written, leaves the version as it was."""
+        return self.publish(build(self.current()))

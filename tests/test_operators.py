@@ -281,3 +281,22 @@ def test_the_longest_synonym_with_a_number_is_the_fact(spark):
     t = "disease 3, disease score of 5; days to flowering: 60 days. plant height none but height = 12,5 cm. gbv 1 gbv 2"
     got = {r["field"]: (r["value"], r["unit"], r["matched"]) for r in facts.extract(spark.createDataFrame([(1, t)], "k int, text string"), "k").collect()}
     assert got == {"DISEASE_SCORE": (5.0, None, "disease score"), "FLOWERING_DAYS": (60.0, "d", "days to flowering"), "PLANT_HEIGHT_CM": (12.5, "cm", "height"), "GENOMIC_BREEDING_VALUE": (1.0, None, "gbv")}
+
+
+def test_a_failed_rebuild_leaves_the_version_before(spark, tmp_path):
+    store = sinks.Versions(spark, f"file://{tmp_path}/store")
+    assert store.current() == {}
+    store.rebuild(lambda now: {"t": spark.range(3)})
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    for bad in (lambda now: {"a": now["t"], "t": broken}, lambda now: 1 / 0):
+        with pytest.raises(Exception):
+            store.rebuild(bad)
+        assert sorted(store.current()) == ["t"] and store.current()["t"].count() == 3
+    store.rebuild(lambda now: {"t": now["t"].union(now["t"])})
+    assert store.current()["t"].count() == 6
+
+
+def test_changed_inputs(spark):
+    was = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
+    now = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], "path string, sha256 string")
+    assert sorted(r["path"] for r in drift.inputs_changed(was, now).collect()) == ["b", "c"]
