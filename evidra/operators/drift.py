@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import quantiles
+
 FLOOR = 1e-4
 MAX_LEVELS = 30
 # fixed values: bands of the stability index
@@ -12,10 +14,13 @@ STABLE, MODERATE = 0.1, 0.25
 
 
 def edges(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
-    """Inner decile edges of each numeric column, exact with linear interpolation; one aggregate."""
-    q = F.array(*[F.lit(i / 10) for i in range(1, 10)])
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(c) for c in columns]).first()
-    return {c: sorted(set(row[c])) for c in columns if row[c] is not None}
+    """Inner decile edges of each numeric column, exact with linear interpolation."""
+    out = {}
+    for c in columns:
+        row = quantiles(df, [], c, [i / 10 for i in range(1, 10)]).first()
+        if row is not None:
+            out[c] = sorted(set(row))
+    return out
 
 
 def bin_of(c: Column, cuts: list[float]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import running
+from ..session import pinned, running
 
 
 def keep(df: DataFrame, keys: list[str], order: list[Column], last: bool = False) -> DataFrame:
@@ -115,3 +115,37 @@ def last_turns(messages: DataFrame, key: str, seq: str, role: str, text: str, n:
     w = Window.partitionBy(key).orderBy(F.desc(seq))
     kept = messages.where(eligible).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
     return merge_turns(kept, key, seq, role, text, sep)
+
+
+def quantiles(df: DataFrame, keys: list[str], column: str, at: list[float]) -> DataFrame:
+    """(keys, q0, q1, ...): exact quantiles with linear interpolation, for groups of any size.
+
+    Values are counted first; the counts lie in ranges of (keys, value), so that no task sorts or holds a whole group, and ranks follow
+    from running sums within a range and the sums of the group's ranges before it.
+    """
+    spark, key = df.sparkSession, F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_"))
+    x = F.col(column).cast("double")
+    counts = df.where(x.isNotNull()).groupBy(key.alias("_k"), x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parted = pinned(counts.repartitionByRange(n, "_k", "_x").withColumn("_p", F.spark_partition_id()), "quantiles")
+    # a group's ranges follow each other, so that there are no more of these sums than ranges and groups
+    ranges = parted.groupBy("_k", "_p").agg(F.sum("_n").alias("_s"))
+    w = Window.partitionBy("_k").orderBy("_p")
+    before = F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_s").over(Window.partitionBy("_k"))
+    ranges = ranges.select("_k", "_p", before.alias("_before"), total.alias("_total"))
+    inside = F.sum("_n").over(Window.partitionBy("_p", "_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = parted.withColumn("_run", inside).join(ranges, ["_k", "_p"])
+    last = F.col("_before") + F.col("_run")  # ranks from 0: this value has those from last - _n to last - 1
+    first = last - F.col("_n")
+    picks = []
+    for i, q in enumerate(at):
+        place = (F.col("_total") - 1) * F.lit(float(q))
+        for name, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picks.append(F.max(F.when((first <= rank) & (rank < last), F.col("_x"))).alias(f"_{name}{i}"))
+    found = ranked.groupBy("_k", "_total").agg(*picks)
+    out = []
+    for i, q in enumerate(at):
+        place = (F.col("_total") - 1) * F.lit(float(q))
+        out.append((F.col(f"_lo{i}") + (place - F.floor(place)) * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"q{i}"))
+    return found.select(*[F.col("_k")[k].alias(k) for k in keys], *out)

@@ -378,10 +378,11 @@ def agg_rollup_region(spark, d):
 @query
 def agg_statistics(spark, d):
     o = table(spark, d, "orders")
-    return rounded(o.groupBy("o_orderpriority").agg(
-        F.percentile("o_totalprice", F.lit(0.5)).alias("median"), F.percentile("o_totalprice", F.lit(0.9)).alias("p90"),
-        F.stddev_samp("o_totalprice").alias("std"), F.corr("o_totalprice", F.col("o_custkey").cast("double")).alias("corr"), F.max(F.abs(F.col("o_totalprice") - 100000)).alias("max_gap"),
-    ), 3)
+    ranks = relational.quantiles(o, ["o_orderpriority"], "o_totalprice", [0.5, 0.9]).withColumnsRenamed({"q0": "median", "q1": "p90"})
+    moments = o.groupBy("o_orderpriority").agg(
+        F.stddev_samp("o_totalprice").alias("std"), F.corr("o_totalprice", F.col("o_custkey").cast("double")).alias("corr"), F.max(F.abs(F.col("o_totalprice") - 100000)).alias("max_gap")
+    )
+    return rounded(ranks.join(moments, "o_orderpriority"), 3)
 
 
 @query

@@ -300,3 +300,15 @@ def test_changed_inputs(spark):
     was = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
     now = spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], "path string, sha256 string")
     assert sorted(r["path"] for r in drift.inputs_changed(was, now).collect()) == ["b", "c"]
+
+
+def test_quantiles_of_groups_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 5000), (None, 777)) for v in rng.integers(0, 900, n)] + [("c", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    at = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r["g"]: [r[f"q{i}"] for i in range(5)] for r in relational.quantiles(df, ["g"], "v", at).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, found in got.items():
+        assert found == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], at).tolist())
+    assert relational.quantiles(df.limit(0), [], "v", at).count() == 0
