@@ -41,9 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset in local mode (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpus-")
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -83,6 +85,19 @@ def fold(doc_id: Column, n: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+GRAIN = 1 << 62
+
+
+def share(want: int, n: int) -> int:
+    """Of GRAIN, how much draws about want of n rows: fine enough for any number of rows."""
+    return GRAIN if n <= want else GRAIN * want // n
+
+
+def drawn(salt: str, key: str, part: Column | int) -> Column:
+    """Whether a row belongs to a sample of the given share() by a hash of its key."""
+    return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(GRAIN)) < part
+
+
 def text_bytes(df: DataFrame) -> int:
     """Bytes of text: one aggregate, from which the number of chunks follows at any size."""
     return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

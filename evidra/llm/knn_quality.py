@@ -4,8 +4,8 @@ Texts become hashed counts of word shapes, pairs of shapes, words and immediate
 truncated SVD (randomised range finder) give latent vectors. The labelled vectors (at most 2 * PER_CLASS of them) are broadcast; every
 document gets its exact cosines with all of them, block by block, and its K nearest vote with their similarity as weight.
 
-The sample is balanced: at most about PER_CLASS rows a label, chosen by a hash of the id; whole texts. An id with several labels takes
-the largest; null labels are no labels. Null text is empty: texts without words score 0, as nothing speaks for them. Without labels of both kinds
+The sample is balanced: at most about PER_CLASS ids a label, chosen by a hash of the id; whole texts. An id with several labels takes
+the largest, one with several texts the least; null labels are no labels. Null text is empty: texts without words score 0, as nothing speaks for them. Without labels of both kinds
 the score is the share of label 1 (0.5 without any). Repeated rows are scored alike; other columns are ignored; an empty table gives no rows.
 """
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, fold, table
+from .common import Memo, cut, drawn, fold, share, table
 
 PER_CLASS = 1500
 DIMS = 48
@@ -81,7 +81,6 @@ class Neighbours:
     basis: np.ndarray  #: [feature, dim]
     vectors: np.ndarray  #: [labelled text, dim], unit length
     labels: np.ndarray
-    keys: np.ndarray  #: ids of the labelled texts
     prior: float
 
 
@@ -112,28 +111,28 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = pdf["text"].tolist()
         for lo, hi in blocks(texts):
             m = features.matrix(texts[lo:hi])
-            yield pd.DataFrame({"key": pdf["key"].iloc[lo:hi], "label": pdf["label"].iloc[lo:hi], "counts": [r.astype("<f4").tobytes() for r in m]})
+            yield pd.DataFrame({"label": pdf["label"].iloc[lo:hi], "counts": [r.astype("<f4").tobytes() for r in m]})
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(key, label, text): the labelled texts that are fitted on."""
+    """(label, text): the labelled texts that are fitted on."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for label, n in counts.items():
-        rate = int(min(1.0, per_class / n) * 1_000_000)
-        keep = keep | ((F.col("label") == label) & (F.pmod(F.xxhash64(F.lit("quality-sample"), "doc_id"), F.lit(1_000_000)) < rate))
+        keep = keep | ((F.col("label") == label) & drawn("quality-sample", "doc_id", share(per_class, n)))
     # the sample's ids are counted before they are broadcast; were they more than the bound, an ordinary join would do
     marks = cut(marks.where(keep).select(F.col("doc_id").alias("_id"), "label"))
     if marks.count() <= 4 * per_class * max(1, len(counts)):
         marks = F.broadcast(marks)
-    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select(F.col("doc_id").cast("string").alias("key"), "label", F.coalesce("text", F.lit("")).alias("text"))
-    return rows
+    rows = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id"))
+    # an id that several rows have gives one text, so that the sample's bound holds for rows too
+    return rows.groupBy("_id").agg(F.first("label").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select("label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dims: int = DIMS, seed: int = 3) -> Neighbours | None:
-    got = sample(docs, labels, per_class).mapInPandas(_counts, "key string, label int, counts binary").toPandas()
-    got = got.sort_values("key").reset_index(drop=True)
+    got = sample(docs, labels, per_class).mapInPandas(_counts, "label int, counts binary").toPandas()
+    got = got.sort_values(["label", "counts"]).reset_index(drop=True)  # ids play no part
     if got["label"].nunique() < 2:
         return None
     counts = np.vstack([np.frombuffer(x, "<f4") for x in got["counts"]])
@@ -144,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dims: in
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     basis = (q @ vt[:dims].T).astype(np.float32)
-    return Neighbours(idf, basis, unit(x @ basis).astype(np.float32), got["label"].to_numpy(), got["key"].to_numpy(str), float(got["label"].mean()))
+    return Neighbours(idf, basis, unit(x @ basis).astype(np.float32), got["label"].to_numpy(), float(got["label"].mean()))
 
 
 def vote(sims: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
@@ -156,7 +155,7 @@ def vote(sims: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
 
 
 def classify(docs: DataFrame, model: Neighbours | None, k: int = K, fallback: float = 0.5) -> DataFrame:
-    """(doc_id, score). A labelled text does not vote on itself."""
+    """(doc_id, score). A score depends on the text alone, so that a labelled text is one of its own neighbours."""
     kind = dict(docs.dtypes)["doc_id"]
     if model is None:
         return docs.select("doc_id", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit(0.0)).otherwise(F.lit(fallback)).alias("score"))
@@ -164,15 +163,11 @@ def classify(docs: DataFrame, model: Neighbours | None, k: int = K, fallback: fl
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, features = shared.value, Features()
-        place = {x: i for i, x in enumerate(m.keys.tolist())}
         for pdf in batches:
             texts, out = pdf["text"].tolist(), np.empty(len(pdf))
             for lo, hi in blocks(texts):
                 counts = features.matrix(texts[lo:hi])
                 sims = unit(weigh(counts, m.idf) @ m.basis) @ m.vectors.T
-                for i, key in enumerate(pdf["doc_id"].iloc[lo:hi]):
-                    if key in place:
-                        sims[i, place[key]] = -1
                 out[lo:hi] = np.where(counts.any(1), vote(sims, m.labels, k), 0.0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": out})
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, fold, table
+from .common import DOC_COLUMNS, drawn, fold, share, table
 
 ORDER = 3
 PAD = bytes(ORDER)
@@ -41,8 +41,8 @@ def train_rows(docs: DataFrame, per_lang: int) -> DataFrame:
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return rows.limit(0)
-    rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, per_lang / n) * 1_000_000)))])
-    return rows.where(F.pmod(F.xxhash64(F.lit("lang-sample"), "doc_id"), F.lit(1_000_000)) < rates[F.col("lang")])
+    rates = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(share(per_lang, n)))])
+    return rows.where(drawn("lang-sample", "doc_id", rates[F.col("lang")]))
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

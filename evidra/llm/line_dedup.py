@@ -19,10 +19,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, WS, ascii_lower, scratch, table
+from .common import DOC_COLUMNS, WS, ascii_lower, scratch, stored, table
 
 RUN_SCHEMA = "line_hash long, n_docs long, last_doc long"
 BATCHES, FANOUT = 4, 2
+HOT = 10_000  #: a key with so great a part of all lines is joined by broadcast; there are no more such keys than this
 
 
 def line_key(line: Column) -> Column:
@@ -118,12 +119,16 @@ class LineRuns:
     def repeated(self, min_docs: int) -> DataFrame:
         """Keys in at least min_docs documents, with the largest doc_id that holds them."""
         runs = self._counted(self.runs()) if self.log else self.runs()
-        return runs.where(F.col("n_docs") >= min_docs).select("line_hash", "last_doc")
+        return runs.where(F.col("n_docs") >= min_docs).select("line_hash", "n_docs", "last_doc")
 
 
 def drop_lines(docs: DataFrame, keys: DataFrame, repeated: DataFrame) -> DataFrame:
-    """docs (all columns) with kept_text, n_lines and n_dropped. keys: line_hashes() of docs; repeated: (line_hash, last_doc)."""
-    gone = keys.join(repeated, "line_hash").where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    """docs (all columns) with kept_text, n_lines and n_dropped. keys: line_hashes() of docs; repeated: (line_hash, n_docs, last_doc)."""
+    repeated = stored(repeated, "repeated")
+    hot = F.col("n_docs") * HOT >= F.lit(keys.count())
+    head = F.broadcast(repeated.where(hot).drop("n_docs"))
+    rest = keys.join(F.broadcast(repeated.where(hot).select("line_hash")), "line_hash", "left_anti").join(repeated.where(~hot).drop("n_docs"), "line_hash")
+    gone = keys.join(head, "line_hash").unionByName(rest).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     gone = gone.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).agg(F.collect_list("pos").alias("_gone"))
     # equal rows share positions
     out = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")) & (text_key() == F.col("_gone_key")), "left").drop("_gone_id", "_gone_key")
