@@ -2,12 +2,14 @@
 
 write(): each task writes its pages as gzip members of one archive file in the shared folder and returns a capture line for each
 record. The lines, sorted by reversed-host URL key, are cut in blocks of BLOCK_LINES, each compressed by itself; the sparse directory
-(first and last key, file, offset, length of each block) is the second level. find() searches the directory and then the block by
-bisection before it reads a range of an archive; read_all() reads every record back by ranges that the index gives.
+(first and last key, file, offset, length of each block) is the second level. lookup() finds the captures of many keys: each key goes to
+the index files that can hold it, a file's keys meet its part of the directory in one task, and bisection of that part and then of a
+block gives the lines, so that neither directory nor keys are ever in one place. read() reads records by the ranges that a lookup gives;
+find() does the same for one URL on the driver.
 
 Of records with equal payloads of at least MIN_REVISIT bytes the one with the largest page_id is the response and the others are
 revisits; smaller payloads are always responses. Null html is an empty payload; null urls have the key ``-``. Rows that repeat a
-page_id each get a record. A null page_id is kept (never chosen as a response over another id). Files of failed or repeated task
+page_id each get a record. A record with a null page_id is always a response. Files of failed or repeated task
 attempts have names of their own and no capture line points to them. Other columns are ignored. An empty table gives no rows.
 """
 
@@ -96,6 +98,7 @@ class Archive:
     root: str
     lines: DataFrame  #: key, page_id, file, offset, length
     directory: DataFrame  #: first_key, last_key, file, offset, length, n
+    files: list[tuple[str, str, str]]  #: first and last key and name of each index file, sorted; as many as index() had tasks
 
 
 def write(pages: DataFrame, root: str | None = None) -> Archive:
@@ -133,7 +136,9 @@ def write(pages: DataFrame, root: str | None = None) -> Archive:
                 out.close()
 
     lines = cut(rows.mapInPandas(archive, "key string, page_id string, file string, offset long, length long"))
-    return Archive(root, lines, index(lines, root))
+    directory = index(lines, root)
+    files = directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).collect()
+    return Archive(root, lines, directory, sorted((r["first"], r["last"], r["file"]) for r in files))
 
 
 def index(lines: DataFrame, root: str) -> DataFrame:
@@ -181,22 +186,65 @@ def _block(fs, base: str, file: str, offset: int, length: int) -> list[str]:
     return zlib.decompress(_range(fs, f"{base}/{file}", offset, length), 31).decode().splitlines()
 
 
-def captures(archive: Archive) -> DataFrame:
-    """All capture lines, read from the compressed blocks."""
-    root = archive.root
+def holders(files: list[tuple[str, str, str]], key: str) -> list[str]:
+    """The index files that can hold a key; a key of many captures may be in several."""
+    at, out = bisect.bisect_left(files, key, key=lambda f: f[1]), []
+    while at < len(files) and files[at][0] <= key:
+        out.append(files[at][2])
+        at += 1
+    return out
+
+
+class Blocks:
+    """The part of the directory that belongs to one index file, and its blocks, of which the last read one is kept."""
+
+    def __init__(self, root: str, file: str, rows: list[tuple]) -> None:
+        """rows: (first_key, last_key, offset, length) of each block."""
+        self.fs, self.base = _files(root)
+        self.file, self.rows = file, sorted(rows, key=lambda r: r[2])
+        self.at, self.keys, self.lines = -1, [], []
+
+    def captures(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(file, offset, length) of the records of a key."""
+        at = bisect.bisect_left(self.rows, key, key=lambda r: r[1])
+        while at < len(self.rows) and self.rows[at][0] <= key:
+            if at != self.at:
+                self.at, self.lines = at, _block(self.fs, self.base, self.file, int(self.rows[at][2]), int(self.rows[at][3]))
+                self.keys = [x.split(" ", 1)[0] for x in self.lines]
+            for x in self.lines[bisect.bisect_left(self.keys, key) : bisect.bisect_right(self.keys, key)]:
+                got = json.loads(x.split(" ", 1)[1])
+                yield got["file"], got["offset"], got["length"]
+            at += 1
+
+
+def url_keys(urls: DataFrame) -> DataFrame:
+    """The distinct keys of a column url."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = _files(root)
         for pdf in batches:
-            for file, at, n in zip(pdf["file"], pdf["offset"], pdf["length"]):
-                got = [json.loads(x.split(" ", 1)[1]) for x in _block(fs, base, file, int(at), int(n))]
-                yield pd.DataFrame([(g["file"], g["offset"], g["length"]) for g in got], columns=["file", "offset", "length"])
+            yield pd.DataFrame({"key": [surt(u) for u in pdf["url"]]})
+
+    return urls.select("url").distinct().mapInPandas(run, "key string").distinct()
+
+
+def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
+    """(file, offset, length) of all captures of distinct keys."""
+    root, files = archive.root, archive.files
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(name, key) for key in pdf["key"] for name in holders(files, key)], columns=["index_file", "key"])
+
+    def look(file: tuple, keys: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        rows = Blocks(root, file[0], list(zip(*(blocks[c] for c in ("first_key", "last_key", "offset", "length")))))
+        return pd.DataFrame([c for key in sorted(keys["key"]) for c in rows.captures(key)], columns=["file", "offset", "length"])
 
-    return archive.directory.select("file", "offset", "length").mapInPandas(run, "file string, offset long, length long")
+    wanted = keys.select("key").mapInPandas(route, "index_file string, key string")
+    return wanted.groupBy("index_file").cogroup(archive.directory.groupBy("file")).applyInPandas(look, "file string, offset long, length long")
 
 
-def read_all(archive: Archive) -> DataFrame:
-    """Every record, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+def read(archive: Archive, captures: DataFrame) -> DataFrame:
+    """Records from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
     root = archive.root
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +264,7 @@ def read_all(archive: Archive) -> DataFrame:
             f.close()
 
     n = int(archive.lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = captures(archive).repartition(n, "file", F.floor(F.col("offset") / 4_000_000)).sortWithinPartitions("file", "offset")
+    at = captures.repartition(n, "file", F.floor(F.col("offset") / 4_000_000)).sortWithinPartitions("file", "offset")
     out = at.mapInPandas(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string")
     return out.withColumn("page_id", F.col("page_id").cast("long")).withColumn("refers_to", F.col("refers_to").cast("long"))
 
@@ -231,22 +279,21 @@ def _row(raw: bytes) -> tuple:
 
 
 def find(archive: Archive, url: str) -> list[tuple]:
-    """Records of one URL: the directory's blocks that can hold its key, bisection in each, then range reads."""
+    """Records of one URL: bisection of the index files, of the directory's part of each, and of the block, then range reads."""
     key = surt(url)
     fs, base = _files(archive.root)
     out = []
-    for b in archive.directory.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).toLocalIterator():
-        lines = _block(fs, base, b["file"], b["offset"], b["length"])
-        keys = [x.split(" ", 1)[0] for x in lines]
-        for x in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            at = json.loads(x.split(" ", 1)[1])
-            out.append(_row(_range(fs, f"{base}/{at['file']}", at["offset"], at["length"])))
+    for name in holders(archive.files, key):
+        part = archive.directory.where(F.col("file") == name).select("first_key", "last_key", "offset", "length").collect()
+        for file, at, n in Blocks(archive.root, name, [tuple(r) for r in part]).captures(key):
+            out.append(_row(_range(fs, f"{base}/{file}", at, n)))
     return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = write(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return read_all(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    archive = write(pages)
+    return read(archive, lookup(archive, url_keys(pages))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
