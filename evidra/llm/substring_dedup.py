@@ -6,7 +6,7 @@ third of all documents hold costs one hash for each chunk. A bucket gathers its
 each chunk one bit for every hash it sent. Back in the chunk, windows found twice anywhere merge into maximal intervals, which go.
 
 Window equality is judged by a 64-bit polynomial hash of 64-bit word hashes. Null text has no words. Repeated rows are documents of
-their own, hence lose all their windows. Documents with fewer words than a window keep all. Null ids are allowed. Other columns are
+their own, hence lose all their windows (rows alike in id and text are in one chunk). Documents with fewer words than a window keep all. Null ids are allowed. Other columns are
 ignored by the query. An empty table gives no rows.
 """
 
@@ -77,19 +77,24 @@ def removed(n_words: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, size: int, n_chunks: int, n_buckets: int) -> DataFrame:
+def by_bucket(values: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(bucket, begin, end) of sorted hashes by their highest bits: only buckets that hold any, so that a chunk takes as many steps as it
+    has hashes at most, however many buckets there are."""
+    if not len(values):
+        return []
+    bucket = values >> np.uint64(64 - bits) if bits else np.zeros(len(values), np.uint64)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(values)]
+    return [(int(bucket[i]), i, j) for i, j in zip(cuts, cuts[1:])]
+
+
+def repeated_windows(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """(chunk, bucket, flags): for each chunk's sorted distinct hashes in a bucket one bit, set if it also occurs elsewhere."""
-    top = np.array([(i << 64) // n_buckets for i in range(1, n_buckets)], np.uint64)
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, _ = chunk_hashes(_words(_ordered(pdf)["text"]), size)
         values, n = np.unique(hashes, return_counts=True)
-        cuts = [0, *np.searchsorted(values, top).tolist(), len(values)]
-        rows = [
-            (int(pdf["chunk"].iloc[0]), b, values[i:j].tobytes(), np.packbits(n[i:j] > 1).tobytes())
-            for b, (i, j) in enumerate(zip(cuts, cuts[1:]))
-            if j > i
-        ]
+        chunk = int(pdf["chunk"].iloc[0])
+        rows = [(chunk, b, values[i:j].tobytes(), np.packbits(n[i:j] > 1).tobytes()) for b, i, j in by_bucket(values, bits)]
         return pd.DataFrame(rows, columns=["chunk", "bucket", "hashes", "own"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -105,8 +110,8 @@ def repeated_windows(docs: DataFrame, size: int, n_chunks: int, n_buckets: int)
             flags.append(np.packbits(hit | np.unpackbits(np.frombuffer(own, np.uint8), count=n).astype(bool)).tobytes())
         return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "n": sizes, "flags": flags})
 
-    sent = docs.groupBy("chunk").applyInPandas(send, "chunk long, bucket int, hashes binary, own binary")
-    return sent.groupBy("bucket").applyInPandas(count, "chunk long, bucket int, n long, flags binary")
+    sent = docs.groupBy("chunk").applyInPandas(send, "chunk long, bucket long, hashes binary, own binary")
+    return sent.groupBy("bucket").applyInPandas(count, "chunk long, bucket long, n long, flags binary")
 
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,12 +124,12 @@ def spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     total = text_bytes(docs)
     n_chunks = max(1, -(-total // CHUNK_BYTES))
-    n_buckets = max(1, -(-total // BUCKET_CHUNK_BYTES))
-    # equal rows (and null ids) are spread by the text as well
-    chunk = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n_chunks)).cast("long")
+    bits = (max(1, -(-total // BUCKET_CHUNK_BYTES)) - 1).bit_length()
+    # rows of one id, or of none, are spread by the text; only rows that are alike in both stay together
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("long")
     rows = docs.select(chunk.alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     rows = rows.repartition(n_chunks, "chunk")
-    flags = repeated_windows(rows, size, n_chunks, n_buckets)
+    flags = repeated_windows(rows, size, bits)
 
     def apply(key, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         pdf = _ordered(pdf)
