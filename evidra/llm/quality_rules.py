@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, table, words_col
+from .common import WS, stored, table, words_col
 
 WINDOW = 8
 
@@ -119,7 +119,8 @@ def ablation(led: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) ->
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = apply_policy(ledger(table(spark, sf_dir, "documents")), STANDARD)
+    # texts are read once: the ledger is written, and policies work on what it holds
+    led = apply_policy(stored(ledger(table(spark, sf_dir, "documents")), "ledger"), STANDARD)
     base = F.col("fail_bits").bitwiseAND(BASE.mask()) != 0
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 

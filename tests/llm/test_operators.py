@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from evidra.llm import decontam, hmm_score, knn_quality, language_id, line_dedup, packing, quality_rules, queries, simhash, substring_dedup, warc
-from evidra.llm.common import table
+from evidra.llm.common import GRAIN, drawn, share, table
 
 from ..same import assert_same
 from .conftest import SENTENCE, row
@@ -170,6 +170,33 @@ def test_quality_on_held_out_rows(spark, data):
     assert (held["predicted"] == held["quality"]).mean() > 0.95 and held[held["quality"] == 0]["predicted"].mean() < 0.2
 
 
+def test_quality_query_equals_votes_over_all_labelled_texts(spark, data):
+    """Every score again, one text at a time; equal texts score equal whatever their ids."""
+    docs = table(spark, data, "documents").select("doc_id", "text")
+    labels = table(spark, data, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    model, features = knn_quality.fit(docs, labels), knn_quality.Features()
+    got, by_text = {r["doc_id"]: r["score"] for r in queries.QUERIES["op3_knn_quality"](spark, data).collect()}, defaultdict(set)
+    for i, t in texts(docs):
+        x = np.log1p(features.matrix([t or ""])[0]) * model.idf
+        x = x / max(np.linalg.norm(x), 1e-12) @ model.basis
+        sims = model.vectors @ (x / max(np.linalg.norm(x), 1e-12))
+        near = np.argsort(-sims)[: knn_quality.K]
+        w = np.maximum(sims[near], 0) ** 2 + 1e-9
+        want = (w * (model.labels[near] == 1)).sum() / w.sum() if words(t) else 0.0
+        assert got[i] == pytest.approx(want, abs=0.03)  # neighbours of rank K may tie
+        by_text[t].add(round(got[i], 4))
+    assert all(len(v) == 1 for v in by_text.values())
+    copy = spark.createDataFrame([(int(labels.first()["doc_id"]), SENTENCE), (999_999, SENTENCE)], "doc_id long, text string")
+    assert len({r["score"] for r in knn_quality.classify(copy, model).collect()}) == 1
+
+
+def test_samples_keep_their_size_at_any_number_of_rows(spark):
+    for n in (100, 10_000, 10**11, 10**14):
+        assert share(1500, n) / GRAIN * n == pytest.approx(min(1500, n), rel=1e-6)
+    ids = spark.range(200_000).withColumnRenamed("id", "doc_id")
+    assert ids.where(drawn("s", "doc_id", share(1500, 200_000))).count() == pytest.approx(1500, rel=0.15)
+
+
 def test_votes_equal_brute_force():
     rng = np.random.default_rng(0)
     sims, labels = rng.normal(size=(5, 40)), rng.integers(0, 2, 40)
@@ -228,6 +255,17 @@ def test_window_hash_is_the_polynomial(size):
     assert len(a) == 81 - size and (a[5:] == b[: 76 - size]).all() and len(set(a.tolist())) == len(a)
 
 
+def test_a_chunk_takes_no_more_steps_than_it_has_hashes():
+    rng = np.random.default_rng(2)
+    values = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64, endpoint=False))
+    for bits in (0, 1, 7, 40, 63):
+        got = substring_dedup.by_bucket(values, bits)
+        assert len(got) <= min(len(values), 1 << bits) and got[0][1] == 0 and got[-1][2] == len(values)
+        assert all(a[2] == b[1] and a[0] < b[0] for a, b in zip(got, got[1:]))
+        assert all({int(v) >> 64 - bits for v in values[i:j]} == {b} for b, i, j in got)
+    assert substring_dedup.by_bucket(values[:0], 5) == []
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -270,9 +308,10 @@ def test_links_of_close_fingerprints(spark):
             prints.append(x)
     prints = list(dict.fromkeys(prints))
     heads = spark.createDataFrame([(i, p.to_bytes(8, "little")) for i, p in enumerate(prints)], "head long, fp binary")
-    got = {r["node"]: r["label"] for r in simhash.components(simhash.links(heads)).collect()}
     expected = classes(prints, list(range(len(prints))))
-    assert {i: got.get(i, i) for i in expected} == expected
+    for split in (simhash.SPLIT, 3):  # 3: nearly every shared key is split in pairs of blocks
+        got = {r["node"]: r["label"] for r in simhash.components(simhash.links(heads, split=split)).collect()}
+        assert {i: got.get(i, i) for i in expected} == expected
 
 
 def test_simhash_on_odd_rows_and_dense_groups(odd, none):
@@ -284,6 +323,12 @@ def test_simhash_on_odd_rows_and_dense_groups(odd, none):
     fp = np.unique(np.array([sum(1 << int(k) for k in rng.choice(20, 2, replace=False)) for _ in range(3000)], np.uint64))[:, None]
     near = np.zeros((len(fp), 1), np.int8)
     assert len(list(simhash.linked(fp, near, 3))) == len(fp) - 1
+    # of two blocks only links across
+    across = list(simhash.linked(fp, near, 3, 40))
+    bits = [int(x) for x in fp[:, 0]]
+    pairs = {(x, y) for x in range(40) for y in range(40, len(fp)) if (bits[x] ^ bits[y]).bit_count() <= 3}
+    forest = simhash._Forest(len(fp))
+    assert set(across) <= pairs and len(across) == sum(forest.join(x, y) for x, y in sorted(pairs))
 
 
 def test_stage_keeps_one_of_near_copies(spark):
@@ -359,6 +404,41 @@ def test_packing_loses_nothing(spark, odd, none):
     assert packing.pack_documents(none, packing.Capacity(), packing.tokenizer_path()).count() == 0
 
 
+def plain_best_fit(length, count, cost, cap):
+    """The vector rule over all open bins, one by one."""
+    full = np.array([cap.tokens, cap.documents, cap.attention], float)
+    weights, left, out = np.array(cap.weights) / full**2, np.empty((0, 3)), []
+    for item in np.column_stack([length, count, cost]).astype(float):
+        at = np.flatnonzero((left >= item).all(1))
+        if len(at):
+            rest = left[at] - item
+            rank = (rest * rest * weights).sum(1) if cap.rule == "norm" else -(left[at] * item * weights).sum(1)
+            j = at[rank.argmin()]
+        else:
+            left, j = np.vstack([left, full]), len(left)
+        left[j] -= item
+        out.append(j)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("cap", [packing.Capacity(), packing.Capacity(rule="dot"), packing.Capacity(documents=4, attention=2_000_000), packing.Capacity(1000, 5, 600_000, (1.0, 0.3, 0.7), "dot")])
+def test_the_vector_rule_decides(cap):
+    rng = np.random.default_rng(8)
+    length = np.sort(np.minimum(rng.lognormal(5.4, 1.1, 700).astype(int) + 1, cap.tokens))[::-1]
+    count = np.ones(len(length), int)
+    got = packing.best_fit(length, count, length**2, cap)
+    assert (got == plain_best_fit(length, count, length**2, cap)).all()
+    # documents and attention weigh: tokens alone would choose other bins
+    alone = packing.Capacity(cap.tokens, cap.documents, cap.attention, (1.0, 0.0, 0.0), cap.rule)
+    assert (got != packing.best_fit(length, count, length**2, alone)).any()
+
+
+def test_packing_needs_hardly_more_sequences_than_tokens_fill(spark):
+    sf = "/root/testdata/sf0.01"
+    out = queries.QUERIES["op6_vector_best_fit"](spark, sf).toPandas()
+    assert out["sequence_id"].nunique() <= math.ceil(out["length"].sum() / 2048) + 1
+
+
 def check_bins(out, cap):
     for _, g in out.groupby("sequence_id"):
         g = g.sort_values("offset")
@@ -380,30 +460,56 @@ def test_every_capacity_holds_over_shards(spark, cap):
 # ---------------------------------------------------------------- 7
 
 
-def test_line_runs_compact_and_find_what_is_new(spark):
+def test_line_runs_compact_and_take_only_what_is_new(spark):
     line = lambda i: f"this is a rather long line number {i}"
     store = line_dedup.LineRuns(spark, fanout=2)
     batch = lambda k: spark.createDataFrame([(10 * k + j, "\n".join(line(i) for i in range(j, j + 3 + k))) for j in range(4)], "doc_id long, text string")
-    seen = defaultdict(set)
+    seen, shape = defaultdict(set), []
     for k in range(5):
-        fresh = {r["line_hash"] for r in store.novel(batch(k)).collect()}
-        mine = {(r["doc_id"], l) for r in batch(k).collect() for l in r["text"].split("\n")}
-        assert len(fresh) == len({l for _, l in mine} - set(seen))
-        store.add(batch(k))
-        for i, l in mine:
-            seen[l].add(i)
-    assert [len(x) for x in store.levels] == [1, 0, 1]
+        held = {r["line_hash"] for r in store.runs().collect()}
+        assert len(held) == store.runs().count() == len(seen)  # a key is in one run: the anti-join let only new ones in
+        for r in batch(k).collect():
+            for x in r["text"].split("\n"):
+                seen[x].add(r["doc_id"])
+        store.add(line_dedup.line_hashes(batch(k), 20))
+        shape.append([len(x) for x in store.levels])
+        for path in (p for level in store.levels for p in level):
+            for part in {r["f"] for r in store._read([path]).select(F.input_file_name().alias("f")).distinct().collect()}:
+                hashes = [r["line_hash"] for r in spark.read.parquet(part).collect()]
+                assert hashes == sorted(hashes)
+    assert shape == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1]]  # compacted
+    found = {r["line_hash"]: r["n_docs"] for r in store._counted(store.runs()).collect()}
+    assert sorted(found.values()) == sorted(map(len, seen.values()))
     got = sorted(r["last_doc"] for r in store.repeated(3).collect())
     assert got == sorted(max(v) for v in seen.values() if len(v) >= 3)
 
 
+def test_line_dedup_compacts_in_the_query_and_any_number_of_batches_agrees(spark, data):
+    docs = table(spark, data, "documents").select("doc_id", "text")
+    assert line_dedup.BATCHES >= line_dedup.FANOUT
+    want = sorted(map(tuple, line_dedup.dedup(docs, batches=1).collect()))
+    for batches, fanout in ((line_dedup.BATCHES, line_dedup.FANOUT), (5, 3)):
+        assert sorted(map(tuple, line_dedup.dedup(docs, batches=batches, fanout=fanout).collect())) == want
+
+
 def test_line_dedup_on_odd_rows(spark, odd, none):
     out = {r["doc_id"]: r for r in line_dedup.dedup(odd).collect()}
     assert out[1]["n_lines"] == 1 and out[1]["kept_text"] == "" and out[9]["n_dropped"] == 0
-    assert out[7]["kept_text"] == "\none".strip() or out[7]["n_dropped"] == 2
+    # SENTENCE alone is a line of document None, whose key stays in 9; three times over it is no line of 7 to 9
+    assert out[7]["kept_text"] == "one" and out[7]["n_dropped"] == 2 and out[None]["n_dropped"] == 1 and out[None]["kept_text"] == ""
+    assert out[5]["n_dropped"] == 0 and out[4]["n_lines"] == 1
     assert line_dedup.dedup(none).count() == 0
     kept = line_dedup.stage(spark, odd, "")
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.where("doc_id = 7").first()["n_chars"] == 4 - 1 or kept.where("doc_id = 7").count() == 1
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert [tuple(r) for r in kept.where("doc_id = 7").select("text", "n_chars").collect()] == [("one", 3)]
+    assert kept.where("doc_id is null").count() == 0 and kept.where("doc_id = 5").count() == 2
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    a, b = "a line that is long enough to count", "another line that is long enough"
+    rows = [(1, f"{a}\nx"), (1, f"y\n{a}\n{a}"), (1, f"y\n{a}\n{a}"), (2, f"{a}\n{b}"), (3, f" {a.upper()} "), (4, b)]
+    got = [tuple(r) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "kept_text", "n_lines", "n_dropped").collect()]
+    assert sorted(got) == [(1, "x", 2, 1), (1, "y", 3, 2), (1, "y", 3, 2), (2, b, 2, 1), (3, f" {a.upper()} ", 1, 0), (4, b, 1, 0)]
 
 
 # ---------------------------------------------------------------- 8
@@ -459,13 +565,30 @@ def test_archive_round_trip_and_index(spark):
     rows = [(1, "http://www.b.example.com:80/x?q=1", big), (2, "https://a.example.org/", big), (3, None, None), (4, "http://b.example.com/x?q=1", "small"), (5, "::bad", "small"), (6, "http://u/ é", big)]
     pages = spark.createDataFrame([(*r, 7) for r in rows], "page_id long, url string, html string, digest int")
     archive = warc.write(pages)
-    got = {r["page_id"]: r for r in warc.read_all(archive).collect()}
+    got = {r["page_id"]: r for r in warc.read(archive, warc.lookup(archive, warc.url_keys(pages))).collect()}
     digest = hashlib.sha1(big.encode()).hexdigest()
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {1: ("revisit", 6), 2: ("revisit", 6), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
     assert got[1]["payload_digest"] == digest and got[1]["payload_bytes"] == len(big.encode()) and got[3]["payload_bytes"] == 0
     assert sorted(x[0] for x in warc.find(archive, "http://b.example.com/x?q=1")) == ["1", "4"] and warc.find(archive, "http://none/") == []
     assert warc.surt("http://www.B.example.com:8080/p?x") == "com,example,b:8080)/p?x"
-    assert warc.read_all(warc.write(pages.limit(0))).count() == 0
+    nothing = warc.write(pages.limit(0))
+    assert warc.read(nothing, warc.lookup(nothing, warc.url_keys(pages))).count() == 0 and warc.find(nothing, "http://u/") == []
+
+
+def test_lookups_of_keys_that_reach_over_blocks_and_files(spark):
+    """A third of all captures have one key; repeated and null page_ids and a very long page are kept."""
+    url = lambda i: "http://hot.example/" if i % 3 == 0 else f"http://h{i % 40}.example/p{i // 80}"
+    rows = [(i, url(i), f"<p>{i % 50}</p>") for i in range(9_000)] + [(None, "http://n/", "x" * 1500), (7, "http://n/", "x" * 1500), (7, "http://n/", "x" * 1500), (8, "http://long/", "y" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    archive = warc.write(pages)
+    assert archive.directory.count() > 9 and archive.files == sorted(archive.files) and len(warc.holders(archive.files, warc.surt(url(0)))) > 1
+    got = Counter(tuple(r) for r in warc.read(archive, warc.lookup(archive, warc.url_keys(pages))).select("page_id", "payload_bytes", "record_type").collect())
+    want = Counter((i, len(h), "response") for i, _, h in rows)  # a null id is always a response, and 7 is the head of its payload
+    assert got == want
+    some = spark.createDataFrame([(u,) for u in ("http://h1.example/p0", "http://none/", "http://hot.example/")], "url string")
+    found = Counter(r["page_id"] for r in warc.read(archive, warc.lookup(archive, warc.url_keys(some))).collect())
+    assert found == Counter(i for i, u, _ in rows if u in ("http://h1.example/p0", "http://hot.example/"))
+    assert Counter(int(x[0]) for x in warc.find(archive, "http://hot.example/")) == Counter(range(0, 9_000, 3))
 
 
 # ---------------------------------------------------------------- 10
@@ -553,5 +676,46 @@ def test_an_item_of_very_frequent_words_is_found(spark):
     assert got == {(i, 0) for i in range(30)} | {(200, 1)}
 
 
-def test_lcs():
-    assert decontam.lcs(np.array([1, 2, 3, 4]), np.array([2, 9, 4, 3])) == 2 and decontam.lcs(np.array([1, 1]), np.array([1, 1, 1])) == 2
+def plain_lcs(a, b):
+    before = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(before[j] + 1 if x == y else max(before[j + 1], now[j]))
+        before = now
+    return before[-1]
+
+
+def test_lcs_and_its_bound():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        item, text = rng.integers(0, 9, rng.integers(1, 15)).astype(np.int32), rng.integers(-1, 12, rng.integers(1, 40)).astype(np.int32)
+        t, reach = decontam.Target.of(item), int(min(rng.integers(1, 20), len(text)))
+        kind = np.minimum(np.searchsorted(t.kinds, text), len(t.kinds) - 1)
+        place = np.flatnonzero(t.kinds[kind] == text)
+        bound = decontam.overlaps(place, kind[place], t.often, len(text), reach)
+        assert bound.tolist() == [sum((Counter(item.tolist()) & Counter(text[s : s + reach].tolist())).values()) for s in range(len(text) - reach + 1)]
+        assert decontam.lcs(t.where, len(item), kind[place].tolist()) == plain_lcs(item.tolist(), text.tolist())
+
+
+def test_verbatim_items_of_every_length_are_found(spark):
+    """Items of 1 to 60 words in long documents, in words that all documents use; recall of exact occurrences is 1."""
+    rng = np.random.default_rng(12)
+    vocab = [f"{a}{b}{c}" for a in "bdgkmprstv" for b in "aeiou" for c in ("n", "ra", "lo", "st", "mi", "ku")]
+    say = lambda n: [str(w) for w in rng.choice(vocab, n)]
+    items = {n: say(n) for n in range(1, 61)}
+    docs = []
+    for i in range(180):
+        body, n = say(int(rng.integers(150, 900))), i % 60 + 1
+        at = int(rng.integers(0, len(body)))
+        docs.append((i, " ".join([*body[:at], *items[n], *body[at:]])))
+    flat = {i: f" {t} " for i, t in docs}
+    want = {(i, n) for i, t in flat.items() for n, item in items.items() if f" {' '.join(item)} " in t}
+    frame = spark.createDataFrame([*docs, (None, docs[59][1]), (5, docs[5][1]), (500, None), (501, " ".join(say(30_000)) + " " + " ".join(items[33]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame, bench).collect()]
+    assert want <= set(got) and len(got) == len(set(got)) and {(None, 60), (501, 33)} <= set(got)
+    extra = {(i, n) for i, n in got if i is not None and i < 500} - want
+    assert all(n >= decontam.MIN_WORDS and plain_lcs(items[n], flat[i].split()) >= 0.8 * n - 1e-9 for i, n in extra)
+
+
