@@ -120,6 +120,47 @@ def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return pages.select(key, html).mapInPandas(run, f"`{key}` {kind_of}, table_no int, row_no int, cells array<string>")
 
 
+def office_tables(docs: DataFrame) -> DataFrame:
+    """(path, page, table_no, row_no, cells) of the tables in docx and pptx files; page is the slide, or 1. docs: rows of read()."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [
+                (path, page, t, r, cells)
+                for path, what, content in zip(pdf["path"], pdf["kind"], pdf["content"])
+                for page, tables in enumerate(_office(what, bytes(content)), 1)
+                for t, table in enumerate(tables)
+                for r, cells in enumerate(table)
+            ]
+            yield pd.DataFrame(rows, columns=["path", "page", "table_no", "row_no", "cells"])
+
+    wanted = docs.where(F.col("kind").isin("docx", "pptx")).select("path", "kind", "content")
+    return wanted.mapInPandas(run, "path string, page int, table_no int, row_no int, cells array<string>")
+
+
+def _office(what: str, content: bytes) -> Iterator[list[list[list[str]]]]:
+    """The tables of each part. Word and slide markup differ in the namespace only."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    parts = r"word/document\.xml" if what == "docx" else r"ppt/slides/slide\d+\.xml"
+    named = lambda node, name: (x for x in node.iter() if x.tag.rpartition("}")[2] == name)
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for name in sorted((n for n in z.namelist() if re.fullmatch(parts, n)), key=lambda n: int("0" + "".join(re.findall(r"\d+", n)))):
+            root = ElementTree.fromstring(z.read(name))
+            text = lambda cell: re.sub(r"\s+", " ", " ".join("".join(t.text or "" for t in named(p, "t")) for p in named(cell, "p"))).strip()
+            yield [[[text(c) for c in row if c.tag.rpartition("}")[2] == "tc"] for row in table if row.tag.rpartition("}")[2] == "tr"] for table in named(root, "tbl")]
+
+
+def rejections(docs: DataFrame, assessed: DataFrame) -> DataFrame:
+    """(path, kind, sha256, n_words, reason) of documents that were judged irrelevant: what is kept of them. assessed: (path, n_words,
+    probability, decision) of relevance.assess()."""
+    out = assessed.where("decision = 'IRRELEVANT'").select("path", "n_words", F.round("probability", 3).alias("_p"))
+    reason = F.concat(F.lit("relevance "), F.col("_p").cast("string"), F.lit(" is at or below the limit"))
+    return docs.select("path", "kind", "sha256").join(out, "path").select("path", "kind", "sha256", "n_words", reason.alias("reason"))
+
+
 def header_row(rows: DataFrame, keys: list[str], scan: int = 10, least: int = 3) -> DataFrame:
     """(keys, header_no, header): the first row with enough text cells and no number among them; else the first row."""
     text = F.filter("cells", lambda c: (F.trim(c) != "") & number_cell(c).isNull())

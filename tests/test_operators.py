@@ -312,3 +312,23 @@ def test_quantiles_of_groups_equal_numpy(spark):
     for g, found in got.items():
         assert found == pytest.approx(np.quantile([v for k, v in rows if k == g and v is not None], at).tolist())
     assert relational.quantiles(df.limit(0), [], "v", at).count() == 0
+
+
+def test_tables_of_office_files_and_rejected_documents(spark, tmp_path):
+    import zipfile
+
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    word = '<w:document xmlns:w="urn:w"><w:body><w:p><w:r><w:t>Title</w:t></w:r></w:p><w:tbl>' + "".join(f"<w:tr>{cell(a)}{cell(b)}</w:tr>" for a, b in (("TRAIT", "VALUE"), ("A &amp; B", "1,5"))) + "</w:tbl></w:body></w:document>"
+    slide = lambda t: f'<p:sld xmlns:p="urn:p" xmlns:a="urn:a"><a:tbl><a:tr><a:tc><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody></a:tc></a:tr></a:tbl></p:sld>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", word)
+    with zipfile.ZipFile(tmp_path / "b.pptx", "w") as z:
+        z.writestr("ppt/presentation.xml", "<p/>")
+        for i in (1, 2, 10):
+            z.writestr(f"ppt/slides/slide{i}.xml", slide(f"s{i}"))
+    docs = documents.read(spark, f"file://{tmp_path}")
+    got = {(r["path"][-6:], r["page"], r["table_no"], r["row_no"]): r["cells"] for r in documents.office_tables(docs).collect()}
+    assert got == {("a.docx", 1, 0, 0): ["TRAIT", "VALUE"], ("a.docx", 1, 0, 1): ["A & B", "1,5"], ("b.pptx", 1, 0, 0): ["s1"], ("b.pptx", 2, 0, 0): ["s2"], ("b.pptx", 3, 0, 0): ["s10"]}
+    judged = docs.select("path", F.lit(7).alias("n_words"), F.lit(0.12345).alias("probability"), F.when(F.col("kind") == "docx", "IRRELEVANT").otherwise("RELEVANT").alias("decision"))
+    stub = documents.rejections(docs, judged).collect()
+    assert len(stub) == 1 and stub[0]["kind"] == "docx" and len(stub[0]["sha256"]) == 64 and stub[0]["reason"] == "relevance 0.123 is at or below the limit"
