@@ -522,6 +522,45 @@ def test_languages_of_held_out_rows(spark):
     assert len(held) > 100 and (held["lang"] == held["lang_pred"]).mean() > 0.97
 
 
+def test_language_query_equals_plain_trees(spark, data):
+    """The query's own rows against context trees in dictionaries, byte by byte."""
+    rows = table(spark, data, "documents").select("doc_id", "text", "lang").collect()
+    train = [(r["lang"], r["text"].lower().encode()) for r in rows if r["lang"] and r["text"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    used, langs = {b for _, t in train for b in t}, sorted({x for x, _ in train})
+    seen, every = defaultdict(Counter), Counter()
+    for lang, t in train:
+        raw = b"\0\0\0" + t
+        for i in range(3, len(raw)):
+            for k in range(4):
+                seen[lang, raw[i - k : i]][raw[i]] += 1
+                every[raw[i - k : i]] += 1
+    size = {key: (sum(c.values()), len(c)) for key, c in seen.items()}
+
+    def bits(lang, data_):
+        raw = bytes(3) + bytes(b if b in used else 0 for b in data_)
+        total = 0.0
+        for i in range(3, len(raw)):
+            p = 1 / 256
+            for k in range(4):
+                ctx = raw[i - k : i]
+                if k == 3 and every[ctx] < 3 or (lang, ctx) not in size:
+                    continue
+                n, kinds = size[lang, ctx]
+                c = seen[lang, ctx].get(raw[i], 0) if raw[i] else 0
+                p = c / (n + kinds) if c else p * kinds / (n + kinds)
+            total -= math.log2(p)
+        return total
+
+    got = {r["doc_id"]: r for r in queries.QUERIES["op8_language_id"](spark, data).collect()}
+    some = [r for r in rows if r["text"] and any(x.isalpha() for x in r["text"])][:25]
+    for r in some:
+        raw = r["text"].lower().encode()[:50_000]
+        rate = {x: bits(x, raw) / len(raw) for x in langs}
+        best = min(langs, key=lambda x: (rate[x], x))
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / sum(2 ** (4 * (rate[best] - rate[x])) for x in langs), rel=1e-3)
+
+
 def test_code_lengths_equal_a_plain_tree():
     texts_ = {"a": ["abracadabra abra", "cadabra"], "b": ["zzzyx zyx", "xyzzy"]}
     found = pd.concat(language_id._grams([pd.DataFrame({"lang": k, "text": v}) for k, v in texts_.items()]))
