@@ -55,12 +55,13 @@ def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool =
     one row for each range, of which there are as many as shuffle partitions, gives the offsets."""
     parted = in_ranges(df, order, descending)
     rows = sorted(tuple(r) for r in parted.groupBy("_p").agg(*[F.sum(c).alias(k) for k, c in sums.items()]).collect())
-    before, total = {}, [0] * len(sums)
+    before, total = [], [0] * len(sums)
     for p, *parts in rows:
-        before[p], total = list(total), [a + b for a, b in zip(total, parts)]
+        before.append((p, *total))
+        total = [a + b for a, b in zip(total, parts)]
+    schema = "_p int" + "".join(f", _before{i} long" for i in range(len(sums)))
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, schema))  # a row for each range
     w = Window.partitionBy("_p").orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = parted
-    for i, (name, c) in enumerate(sums.items()):
-        start = F.create_map(*[x for p, v in before.items() for x in (F.lit(p), F.lit(v[i]))])[F.col("_p")] if before else F.lit(0)
-        out = out.withColumn(name, F.sum(F.col(c)).over(w) + start)
-    return out.drop("_p"), dict(zip(sums, total))
+    out = parted.join(starts, "_p")
+    out = out.withColumns({name: F.sum(F.col(c)).over(w) + F.col(f"_before{i}") for i, (name, c) in enumerate(sums.items())})
+    return out.drop("_p", *[f"_before{i}" for i in range(len(sums))]), dict(zip(sums, total))
