@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, hmm_score, knn_quality, language_id, line_dedup, packing, quality_rules, simhash, substring_dedup, warc
+from . import decontam, filter_audit, hmm_score, hnsw, knn_quality, language_id, line_dedup, packing, periodic, quality_rules, simhash, substring_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.query,
     "op9_warc_index": warc.query,
     "op10_decontamination": decontam.query,
+    "op11_periodic_runs": periodic.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_hnsw": hnsw.query,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op4_substring_dedup": substring_dedup.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
     "op9_warc_index": warc.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
