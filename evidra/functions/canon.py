@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # fixed values: texts that mean "missing", and the relative and absolute tolerance of equal numbers
 MISSING = ("", "nan", "none", "null", "nat")
@@ -69,12 +73,19 @@ def signature_keys(columns: dict[str, str]) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
 
 
-# fixed values: letters with marks and what they are without
-_MARKED = "àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų"
-_PLAIN = "aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu"
+def fold_text(t: str) -> str:
+    """Compatibility decomposition (NFKD) without combining marks, lower case, white space collapsed."""
+    plain = "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
+    return " ".join(plain.lower().split())
+
+
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(fold_text, na_action="ignore")
 
 
 def fold(c: Column) -> Column:
-    """Lower case, marks removed (also separate combining marks), white space collapsed."""
-    low = F.translate(F.lower(c), _MARKED, _PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\p{M}", ""), r"\s+", " "))
+    """fold_text() of a column. Texts of ASCII letters alone stay in the JVM; only the others go through Arrow batches."""
+    ascii_only = F.octet_length(c) == F.length(c)
+    plain = F.trim(F.regexp_replace(F.lower(c), r"[\t-\r\x1c-\x1f ]+", " "))
+    return F.when(ascii_only, plain).otherwise(_decomposed(F.when(~ascii_only, c)))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .canon import fold
 
+#: What a word is made of, in any script: letters, numbers and the underscore.
+WORD = r"[\p{L}\p{N}_]"
+
 
 def shape(c: Column) -> Column:
     """Each character's class: A, a, 9, or itself."""
@@ -29,12 +32,12 @@ def _put(acc: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(\w+)"), 1)
+    return F.regexp_extract_all(c, F.lit(f"({WORD}+)"), 1)
 
 
 def char_ngrams(c: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """All n-grams of folded tokens padded with one space at both ends; digits count as 0."""
-    tokens = F.regexp_extract_all(F.regexp_replace(fold(c), r"\d", "0"), F.lit(r"(\w+|[/%])"), 1)
+    tokens = F.regexp_extract_all(F.regexp_replace(fold(c), r"\p{Nd}", "0"), F.lit(f"({WORD}+|[/%])"), 1)
     padded = F.transform(tokens, lambda t: F.concat(F.lit(" "), t, F.lit(" ")))
     return F.flatten(F.flatten(F.array(*[F.transform(padded, _grams(n)) for n in sizes])))
 

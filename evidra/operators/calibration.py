@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import running
-
-
-GRAIN = 1 << 62  #: of hashes that draw samples
+from ..session import pinned, previous, running
 
 
 def bayes_ceiling(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -42,25 +42,30 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return r.agg(F.try_divide(area, F.sum("p") * F.sum("n")).alias("auc"))
 
 
+def auc_by(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
+    """(group, p, n, auc) for each group: running sums go by ranges of (group, score), so that no group has to fit in a task; what came
+    before a group is known from one row a group, of which there should be few."""
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = rows.groupBy(F.struct(F.col(group).alias("g"), F.col(score).cast("double").alias("s")).alias("o")).agg(
+        F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n")
+    )
+    run, _ = running(counts, "o", {"tp": "p"}, descending=True)
+    # twice the area in pairs, in whole numbers: positives above each negative, ties by half
+    part = run.groupBy(F.col("o.g").alias(group)).agg(
+        F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("n") * (2 * F.col("tp") - F.col("p"))).alias("_pairs"), F.max("tp").alias("_end")
+    )
+    before = F.col("_end") - F.col("p")
+    return part.select(group, "p", "n", F.try_divide(F.col("_pairs") / 2 - before * F.col("n"), F.col("p") * F.col("n")).alias("auc"))
+
+
 def flags(df: DataFrame, thresholds: list, record: str) -> DataFrame:
     """(record, one boolean for each threshold), null without a value."""
     return df.select(record, *[t.passes().alias(t.name) for t in thresholds])
 
 
-def best_cut(score: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> float:
-    """The median of the middles between neighbouring scores where a cut is most accurate. score: distinct and rising; pos, neg: rows."""
-    used = pos + neg > 0
-    score, pos, neg = score[used], pos[used], neg[used]
-    if len(score) < 2:
-        return float(score[0]) if len(score) else 0.0
-    cuts = (score[1:] + score[:-1]) / 2
-    hits = np.cumsum(neg)[:-1] + pos.sum() - np.cumsum(pos)[:-1]
-    return float(np.median(cuts[hits == hits.max()]))
-
-
 def split(n: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """[fold, value]: rows of each value dealt to k folds at random; each row is in one."""
-    return rng.multinomial(n, [1 / k] * k).T
+    """[value, fold]: rows of each value dealt to k folds at random; each row is in one."""
+    return rng.multinomial(n, [1 / k] * k)
 
 
 def max_margin(x: np.ndarray, y: np.ndarray, c: float = 100.0, rounds: int = 3000) -> tuple[np.ndarray, float]:
@@ -81,80 +86,231 @@ def max_margin(x: np.ndarray, y: np.ndarray, c: float = 100.0, rounds: int = 300
     return w[:-1], float(w[-1])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 100) -> np.ndarray:
-    """Offset and weights of a ridge logistic regression (offset free), by Newton's method."""
-    z = np.column_stack([np.ones(len(x)), x])
-    ridge = np.eye(z.shape[1]) * l2
-    ridge[0, 0] = 0
-    w = np.zeros(z.shape[1])
+def logistics(x: np.ndarray, y: np.ndarray, used: np.ndarray, l2: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset and weights, mean, deviation) of a ridge logistic regression (offset free) for each row of used, which marks its rows of x;
+    all by Newton's method side by side. x is standardised by the rows that a model uses; x may also hold one table a model.
+
+    A model whose rows are of one label gives that label (probability next to 0 or 1); one without rows gives one half.
+    """
+    many = np.broadcast_to(x, (len(used), *x.shape)) if x.ndim == 2 else x
+    n = np.maximum(used.sum(1), 1)[:, None]
+    mean = np.einsum("mn,mnd->md", used, many) / n
+    sd = np.sqrt(np.maximum(np.einsum("mn,mnd->md", used, (many - mean[:, None]) ** 2) / n, 0))
+    sd = np.where(sd > 0, sd, 1.0)
+    z = np.concatenate([np.ones((*many.shape[:2], 1)), (many - mean[:, None]) / sd[:, None]], 2)
+    w = np.zeros((len(used), z.shape[2]))
+    ridge = np.diag([0.0, *[l2] * (z.shape[2] - 1)])
+    ones, rows = (used * y).sum(1), used.sum(1)
+    live = np.flatnonzero((ones > 0) & (ones < rows))
+    w[(ones == rows) & (rows > 0), 0], w[(ones == 0) & (rows > 0), 0] = 30.0, -30.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        gradient = z.T @ (p - y) + ridge @ w
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-12 * np.eye(len(w)), gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-10:
+        if not len(live):
             break
-    return w
+        p = 1 / (1 + np.exp(-np.clip(np.einsum("mnd,md->mn", z[live], w[live]), -500, 500)))
+        gradient = np.einsum("mnd,mn->md", z[live], (p - y) * used[live]) + w[live] @ ridge
+        curvature = np.einsum("mnd,mn,mne->mde", z[live], p * (1 - p) * used[live], z[live]) + ridge + 1e-12 * np.eye(z.shape[2])
+        step = np.linalg.solve(curvature, gradient[:, :, None])[:, :, 0]
+        w[live] -= step
+        live = live[np.abs(step).max(1) >= 1e-10]
+    return w, mean, sd
+
+
+def fold_counts(df: DataFrame, score: str, label: str, k: int, repeats: int, seed: int) -> DataFrame:
+    """(o: struct<r, s>, p0.., n0..): of each repeat and distinct score the rows of either label in each fold. Rows are counted by score
+    first and the counts are dealt, each label by itself, as their score and repeat say."""
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isNotNull()).groupBy((F.col(score).cast("double") + 0.0).alias("s"))
+    counts = rows.agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
+    names = [f"{c}{f}" for c in "pn" for f in range(k)]
+
+    def deal(batches):
+        for pdf in batches:
+            out = []
+            for s, p, n in zip(pdf["s"].tolist(), pdf["p"].tolist(), pdf["n"].tolist()):
+                bits = int(np.float64(s).view(np.uint64))
+                for r in range(repeats):
+                    out.append((r, s, *split(np.array([p, n]), k, np.random.default_rng([seed, r, bits])).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["r", "s", *names])
+
+    dealt = counts.mapInPandas(deal, "r int, s double" + "".join(f", {c} long" for c in names))
+    return dealt.select(F.struct("r", "s").alias("o"), *names)
 
 
 def cross_validate(df: DataFrame, score: str, label: str, k: int = 5, repeats: int = 50, seed: int = 0) -> DataFrame:
-    """(repeat, cut, accuracy): severity cuts by repeated stratified folds, one task a repeat.
+    """(repeat, fold, cut, accuracy): severity cuts by repeated folds. A row is taken for label 1 above the cut; of the middles between
+    neighbouring scores, the cut is the median of those that are most accurate on the other folds, and its accuracy is that on the fold.
 
-    The scores are grouped by value and label first, so that a repeat gets counts, not rows; folds split the counts.
+    Every fold's hits at every middle follow from running sums over ranges of (repeat, score), in one pass for all; the median of a
+    plateau is found by its rank in a second one. What is known of all repeats and folds is one row each.
     """
-    counts = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y")).agg(
-        F.count(F.lit(1)).alias("n")
+    spark = df.sparkSession
+    folds = list(range(k))
+    grid = pinned(fold_counts(df, score, label, k, repeats, seed), "cuts")
+    names = [f"{c}{f}" for c in "pn" for f in folds]
+    totals = {r["r"]: r for r in grid.groupBy(F.col("o.r").alias("r")).agg(*[F.sum(c).alias(c) for c in names]).collect()}
+    if not totals:
+        return spark.createDataFrame([], "repeat int, fold int, cut double, accuracy double")
+    before, sums = [], dict.fromkeys(names, 0)
+    for r in sorted(totals):
+        before.append((r, *[sums[c] for c in names], *[totals[r][c] for c in names]))
+        sums = {c: sums[c] + totals[r][c] for c in names}
+    known = spark.createDataFrame(before, "r int" + "".join(f", {x}_{c} long" for x in ("b", "t") for c in names))
+    run, _ = running(previous(grid, "o", ["o"]), "o", {f"c_{c}": c for c in names})
+    run = run.where(F.col("_was_o.r") == F.col("o.r")).withColumn("r", F.col("o.r")).join(F.broadcast(known), "r")
+    # up to the score before, of either label and fold
+    low = {c: F.col(f"c_{c}") - F.col(c) - F.col(f"b_{c}") for c in names}
+    other = lambda c, f, of: sum((of(f"{c}{g}") for g in folds if g != f), F.lit(0))
+    hits = [other("n", f, low.get) + other("p", f, lambda c: F.col(f"t_{c}")) - other("p", f, low.get) for f in folds]
+    middles = run.select("r", ((F.col("_was_o.s") + F.col("o.s")) / 2).alias("m"), F.posexplode(F.array(*hits)).alias("f", "hits"))
+    middles = pinned(middles.select("r", "f", "m", "hits"), "middles")
+    best = middles.groupBy("r", "f").agg(F.max("hits").alias("hits"))  # a row a repeat and fold
+    plateau = middles.join(F.broadcast(best), ["r", "f", "hits"]).select(F.struct("r", "f", "m").alias("o"), F.lit(1).alias("one"))
+    ranked, _ = running(plateau, "o", {"rank": "one"})
+    widths = {(r["r"], r["f"]): r["n"] for r in plateau.groupBy("o.r", "o.f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    places, start = [], 0
+    for r, f in sorted(widths):
+        n = widths[r, f]
+        places.append((r, f, start + (n + 1) // 2, start + n // 2 + 1))
+        start += n
+    places = F.broadcast(spark.createDataFrame(places, "r int, f int, lower long, upper long"))
+    ranked = ranked.select("o.r", "o.f", "o.m", "rank").join(places, ["r", "f"]).where("rank in (lower, upper)")
+    # a single score leaves no middle: it is the cut itself
+    cuts = {(r["r"], r["f"]): r["cut"] for r in ranked.groupBy("r", "f").agg(F.avg("m").alias("cut")).collect()}
+    lone = None if cuts else grid.agg(F.max("o.s")).first()[0]
+    rows = [(r, [cuts.get((r, f), lone) for f in folds]) for r in sorted(totals)]
+    judged = grid.withColumn("r", F.col("o.r")).join(F.broadcast(spark.createDataFrame(rows, "r int, cuts array<double>")), "r")
+    right = [F.sum(F.when(F.col("o.s") > F.col("cuts")[f], F.col(f"p{f}")).otherwise(F.col(f"n{f}"))) for f in folds]
+    all_of = [F.sum(F.col(f"p{f}") + F.col(f"n{f}")) for f in folds]
+    done = judged.groupBy("r", "cuts").agg(F.array(*[F.try_divide(a, b) for a, b in zip(right, all_of)]).alias("accuracy"))
+    return done.select(F.col("r").alias("repeat"), F.posexplode(F.arrays_zip("cuts", "accuracy")).alias("fold", "x")).select(
+        "repeat", "fold", F.col("x.cuts").alias("cut"), F.col("x.accuracy").alias("accuracy")
     )
-    grid = counts.join(df.sparkSession.range(repeats).select(F.col("id").alias("repeat")).hint("broadcast"))
-
-    def run(key, pdf):
-        import pandas as pd
 
-        rng = np.random.default_rng(seed + key[0])
-        wide = pdf.pivot_table(index="s", columns="y", values="n", aggfunc="sum", fill_value=0).sort_index()
-        s = wide.index.to_numpy(float)
-        pos, neg = (wide[c].to_numpy(np.int64) if c in wide else np.zeros(len(s), np.int64) for c in (1, 0))
-        p, q, hits, cuts = split(pos, k, rng), split(neg, k, rng), 0, []
-        for f in range(k):
-            cuts.append(best_cut(s, pos - p[f], neg - q[f]))
-            hits += int(p[f][s > cuts[-1]].sum() + q[f][s <= cuts[-1]].sum())
-        return pd.DataFrame({"repeat": [key[0]], "cut": [float(np.median(cuts))], "accuracy": [hits / max(1, int((pos + neg).sum()))]})
 
-    return grid.groupBy("repeat").applyInPandas(run, "repeat long, cut double, accuracy double")
-
-
-def out_of_fold(df: DataFrame, record: str, features: list[str], label: str, k: int = 5, repeats: int = 10, l2: float = 1.0, seed: int = 0, sample: int = 20_000) -> DataFrame:
-    """(record, p_fail): mean out-of-fold probability of a standardised logistic model.
+def cut_summary(validated: DataFrame) -> DataFrame:
+    """One row: mean accuracy and its deviation over all folds, the median cut and its 5th and 95th hundredth."""
+    q = F.percentile("cut", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    out = validated.agg(F.avg("accuracy").alias("accuracy"), F.stddev_pop("accuracy").alias("accuracy_sd"), q.alias("q"))
+    return out.select("accuracy", "accuracy_sd", F.col("q")[1].alias("cut_median"), F.col("q")[0].alias("cut_p05"), F.col("q")[2].alias("cut_p95"))
+
+
+@dataclass
+class Folds:
+    """Logistic models of repeated folds, fitted to all rows: model r * k + f is fitted without fold f of repeat r."""
+
+    record: str
+    features: list[str]
+    k: int
+    repeats: int
+    seed: int
+    weights: np.ndarray  #: [model, 1 + features], of features centred and scaled by centre and scale
+    centre: np.ndarray
+    scale: np.ndarray
+    rounds: int
+
+    def fold(self, r: int) -> Column:
+        return _fold(self.seed + r, self.record, self.k)
+
+    def probabilities(self) -> Column:
+        """An array with the probability that each model gives."""
+        x = [F.lit(1.0), *[(F.col(f).cast("double") - float(c)) / float(s) for f, c, s in zip(self.features, self.centre, self.scale)]]
+        return F.array(*[1 / (1 + F.exp(-sum((v * float(a) for v, a in zip(x[1:], w[1:])), x[0] * float(w[0])))) for w in self.weights])
+
+
+def _fold(seed: int, record: str, k: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(record)), F.lit(k)).cast("int")
+
+
+def _summed(rows: DataFrame, sums, width: int, models: int) -> np.ndarray:
+    """[model, number]: what sums(batch) gives, added up. A task adds up its batches and sends one row for each model and number; of
+    these there are as many in the end as the models have numbers, whatever the rows."""
+
+    def run(batches):
+        total = np.zeros((models, width))
+        for pdf in batches:
+            total += sums(pdf)
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+    out = np.zeros(models * width)
+    for r in rows.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out.reshape(models, width)
+
+
+def fit_folds(df: DataFrame, record: str, features: list[str], label: str, k: int = 5, repeats: int = 10, l2: float = 1.0, seed: int = 0, rounds: int = 50) -> Folds:
+    """Newton's method over all rows with a label and all features: in each round every model's gradient and curvature are summed in
+    one pass over the rows, for all folds and repeats at once; only models that still move are computed. The ridge is on weights of
+    features standardised by the rows that the model is fitted to, and the offset is free. A record's fold is a hash of its id."""
+    d, models = len(features), repeats * k
+    x = [F.col(f).cast("double").alias(f) for f in features]
+    rows = df.where(F.col(label).isNotNull()).select(record, *x, F.col(label).cast("int").alias("_y")).na.drop(subset=features)
+    rows = pinned(rows.select(*features, "_y", *[_fold(seed + r, record, k).alias(f"_f{r}") for r in range(repeats)]), "folds")
+    first = rows.agg(F.count(F.lit(1)), *[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
+    if not first[0]:
+        return Folds(record, features, k, repeats, seed, np.zeros((models, d + 1)), np.zeros(d), np.ones(d), 0)
+    centre = np.array(first[1 : d + 1], float)
+    scale = np.array([v if v > 0 else 1.0 for v in first[d + 1 :]], float)
+    names = [f"_f{r}" for r in range(repeats)]
+
+    def parts(pdf):
+        z = np.column_stack([np.ones(len(pdf)), (pdf[features].to_numpy(float) - centre) / scale])
+        folds = pdf[names].to_numpy()
+        used = (folds[:, :, None] != np.arange(k)).reshape(len(pdf), models).astype(float)
+        return z, pdf["_y"].to_numpy(float), used
+
+    def moments(pdf):
+        z, y, used = parts(pdf)
+        return np.column_stack([used.sum(0), used.T @ y, used.T @ z[:, 1:], used.T @ (z[:, 1:] ** 2)])
+
+    m = _summed(rows, moments, 2 + 2 * d, models)
+    n = np.maximum(m[:, :1], 1)
+    spread = np.sqrt(np.maximum(m[:, 2 + d :] / n - (m[:, 2 : 2 + d] / n) ** 2, 0))
+    spread = np.where(spread > 1e-9, spread, 1.0)
+    w = np.zeros((models, d + 1))
+    w[(m[:, 1] == m[:, 0]) & (m[:, 0] > 0), 0], w[(m[:, 1] == 0) & (m[:, 0] > 0), 0] = 30.0, -30.0
+    live, done = np.flatnonzero((m[:, 1] > 0) & (m[:, 1] < m[:, 0])), 0
+    for done in range(1, rounds + 1):
+        if not len(live):
+            break
 
-    A record's fold is a hash of its id, so that each fold is fitted on a bounded sample (a parameter) and scores every record.
-    """
-    rows = df.where(F.col(label).isNotNull())
-    for f in features:
-        rows = rows.where(F.col(f).isNotNull())
-    n = rows.count()
-    if not n:
-        return df.sparkSession.createDataFrame([], f"{record} {dict(df.dtypes)[record]}, p_fail double")
-    total = F.lit(0.0)
-    for r in range(repeats):
-        fold = F.pmod(F.xxhash64(F.lit(seed + r), F.col(record)), F.lit(k))
-        part = GRAIN if n <= sample else GRAIN * sample // n
-        got = rows.where(F.pmod(F.xxhash64(F.lit(-1 - r), F.col(record)), F.lit(GRAIN)) < part)
-        pdf = got.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("int").alias("_y"), fold.alias("_f")).toPandas()
-        p = F.lit(0.5)
-        for f in range(k):
-            part = pdf[pdf["_f"] != f]
-            if part["_y"].nunique() < 2:
-                p = F.when(fold == f, F.lit(float(part["_y"].mean()) if len(part) else 0.5)).otherwise(p)
-                continue
-            x = part[features].to_numpy(float)
-            mean, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
-            w = logistic((x - mean) / sd, part["_y"].to_numpy(float), l2)
-            z = F.lit(float(w[0]))
-            for name, a, m, s in zip(features, w[1:], mean, sd):
-                z = z + F.lit(float(a)) * (F.col(name) - F.lit(float(m))) / F.lit(float(s))
-            p = F.when(fold == f, 1 / (1 + F.exp(-z))).otherwise(p)
-        total = total + p
-    return rows.select(record, (total / repeats).alias("p_fail"))
+        def derivatives(pdf, w=w.copy(), live=live):
+            z, y, used = parts(pdf)
+            p = 1 / (1 + np.exp(-np.clip(z @ w[live].T, -500, 500)))
+            used = used[:, live]
+            gradient = ((p - y[:, None]) * used).T @ z
+            curvature = np.einsum("bi,bm,bj->mij", z, p * (1 - p) * used, z, optimize=True)
+            return np.concatenate([gradient, curvature.reshape(len(live), -1)], 1)
+
+        got = _summed(rows, derivatives, (d + 1) * (d + 2), len(live))
+        ridge = np.zeros((len(live), d + 1))
+        ridge[:, 1:] = l2 * spread[live] ** 2
+        gradient = got[:, : d + 1] + ridge * w[live]
+        curvature = got[:, d + 1 :].reshape(-1, d + 1, d + 1) + ridge[:, :, None] * np.eye(d + 1) + 1e-12 * np.eye(d + 1)
+        step = np.linalg.solve(curvature, gradient[:, :, None])[:, :, 0]
+        w[live] -= step
+        live = live[np.abs(step).max(1) >= 1e-9]
+    return Folds(record, features, k, repeats, seed, w, centre, scale, done)
+
+
+def out_of_fold(df: DataFrame, record: str, features: list[str], label: str, k: int = 5, repeats: int = 10, l2: float = 1.0, seed: int = 0) -> DataFrame:
+    """(record, p_fail): mean over the repeats of the probability by the model that was fitted without the record's fold."""
+    models = fit_folds(df, record, features, label, k, repeats, l2, seed)
+    rows = df.where(F.col(label).isNotNull()).na.drop(subset=features)
+    p = rows.select(record, models.probabilities().alias("_p"), *[models.fold(r).alias(f"_f{r}") for r in range(repeats)])
+    return p.select(record, (sum((F.get("_p", F.col(f"_f{r}") + r * k) for r in range(repeats)), F.lit(0.0)) / repeats).alias("p_fail"))
+
+
+def overtraining(df: DataFrame, record: str, features: list[str], label: str, k: int = 5, repeats: int = 10, l2: float = 1.0, seed: int = 0) -> DataFrame:
+    """One row: the mean area under the ROC of all models over the rows they were fitted to and over those held out, the latter's
+    deviation, and the gap."""
+    models = fit_folds(df, record, features, label, k, repeats, l2, seed)
+    rows = df.where(F.col(label).isNotNull()).na.drop(subset=features)
+    held = F.array(*[models.fold(r) for r in range(repeats)])
+    each = rows.select(F.col(label).cast("int").alias("y"), held.alias("_f"), F.posexplode(models.probabilities()).alias("model", "p"))
+    each = each.select("y", "p", F.struct("model", (F.get("_f", (F.col("model") / k).cast("int")) == F.col("model") % k).alias("held_out")).alias("g"))
+    areas = auc_by(each, "g", "p", "y").select(F.col("g.held_out").alias("held_out"), "auc")
+    of = lambda test: F.when(F.col("held_out") == test, F.col("auc"))
+    out = areas.agg(F.avg(of(False)).alias("train_auc"), F.avg(of(True)).alias("test_auc"), F.stddev_pop(of(True)).alias("test_sd"))
+    return out.withColumn("gap", F.col("train_auc") - F.col("test_auc"))
 
 
 def ambiguous(p, band: tuple[float, float] = (0.35, 0.65)):

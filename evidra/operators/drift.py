@@ -14,13 +14,10 @@ STABLE, MODERATE = 0.1, 0.25
 
 
 def edges(df: DataFrame, columns: list[str]) -> dict[str, list[float]]:
-    """Inner decile edges of each numeric column, exact with linear interpolation."""
-    out = {}
-    for c in columns:
-        row = quantiles(df, [], c, [i / 10 for i in range(1, 10)]).first()
-        if row is not None:
-            out[c] = sorted(set(row))
-    return out
+    """Inner decile edges of each numeric column, exact with linear interpolation, all from the same passes over long rows."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
+    long = df.select(F.explode(cells).alias("c")).select("c.*")
+    return {r[0]: sorted(set(r[1:])) for r in quantiles(long, ["column"], "x", [i / 10 for i in range(1, 10)]).collect()}
 
 
 def bin_of(c: Column, cuts: list[float]) -> Column:
@@ -31,29 +28,90 @@ def bin_of(c: Column, cuts: list[float]) -> Column:
     return F.when(c.isNotNull(), out)
 
 
-def proportions(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """(column, bin, p) of every column in one pass."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), bin_of(F.col(c).cast("double"), e).alias("bin")) for c, e in cuts.items()])
-    n = df.select(F.explode(cells).alias("x")).select("x.*").where("bin is not null").groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
+FINGERPRINT = "column string, kind string, type string, bin int, edge double, level string, n long, total long, mean double, sd double"
 
-    return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("column"))).drop("n")
+
+def binned(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """(column, bin, n, sum) of every column in one pass."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), bin_of(F.col(c).cast("double"), e).alias("bin"), F.col(c).cast("double").alias("x")) for c, e in cuts.items()])
+    rows = df.select(F.explode(cells).alias("x")).select("x.*").where("bin is not null")
+    return rows.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum"))
+
+
+def levels(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n, total, levels) of columns of at most MAX_LEVELS levels."""
+    from . import profile
+
+    n = profile.value_counts(df, columns).where("value is not null")
+    per = n.groupBy("column").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("levels")).where(F.col("levels") <= MAX_LEVELS)
+    return n.join(F.broadcast(per), "column")  # a row a column
+
+
+def fingerprint(df: DataFrame, numeric: list[str], nominal: list[str] = ()) -> DataFrame:
+    """What is kept of a run to compare the next one with, a few rows a column: of numeric columns each decile bin with its upper edge and
+    rows, the mean and deviation; of nominal ones each level and its rows; of every column its type."""
+    kinds, rows = dict(df.dtypes), []
+    rows += [(c, "type", kinds[c], None, None, None, None, None, None, None) for c in df.columns]
+    if numeric:
+        cuts = edges(df, list(numeric))
+        found = {(r["column"], r["bin"]): r["n"] for r in binned(df, cuts).collect()} if cuts else {}
+        moments = df.agg(*[g(F.col(c).cast("double")).alias(f"{n}_{c}") for c in cuts for n, g in (("m", F.avg), ("s", F.stddev_samp))]).first() if cuts else {}
+        for c, e in cuts.items():
+            total = sum(n for (name, _), n in found.items() if name == c)
+            rows += [(c, "bin", kinds[c], i, e[i] if i < len(e) else None, None, found.get((c, i), 0), total, moments[f"m_{c}"], moments[f"s_{c}"]) for i in range(len(e) + 1)]
+    if nominal:
+        rows += [(r["column"], "level", kinds[r["column"]], None, None, r["value"], r["n"], r["total"], None, None) for r in levels(df, list(nominal)).collect()]
+    return df.sparkSession.createDataFrame(rows, FINGERPRINT)
+
+
+def since(fingerprint: DataFrame, current: DataFrame, floor: float = FLOOR) -> DataFrame:
+    """(column, kind, value, mean_shift_sd, worst, status): stability of numeric and variation of nominal columns against a stored
+    fingerprint, whose run is not read again; worst and status are those of the whole table. Empty bins count as the floor. Columns that
+    are gone are left out here; schema_since() names them."""
+    spark, there = current.sparkSession, set(current.columns)
+    old = [r for r in fingerprint.collect() if r["column"] in there]  # a few rows a column
+    cuts: dict[str, list[float]] = {}
+    for r in sorted((r for r in old if r["kind"] == "bin"), key=lambda r: r["bin"]):
+        cuts.setdefault(r["column"], [])
+        if r["edge"] is not None:
+            cuts[r["column"]].append(r["edge"])
+    nominal = sorted({r["column"] for r in old if r["kind"] == "level"})
+    was = spark.createDataFrame([tuple(r) for r in old if r["kind"] != "type"], FINGERPRINT)
+    out = None
+    if cuts:
+        now = binned(current, cuts)
+        totals = now.groupBy("column").agg(F.sum("n").alias("now_total"), F.sum("sum").alias("now_sum"))
+        j = was.where("kind = 'bin'").join(F.broadcast(now.select("column", "bin", F.col("n").alias("now_n"))), ["column", "bin"], "left")
+        j = j.join(F.broadcast(totals), "column", "left")
+        e = F.greatest(F.col("n") / F.col("total"), F.lit(floor))
+        a = F.greatest(F.coalesce(F.col("now_n") / F.col("now_total"), F.lit(0.0)), F.lit(floor))
+        shift = F.when(F.first("sd") > 0, (F.first("now_sum") / F.first("now_total") - F.first("mean")) / F.first("sd"))
+        out = j.groupBy("column").agg(F.lit("psi").alias("kind"), F.sum((a - e) * F.log(a / e)).alias("value"), shift.alias("mean_shift_sd"))
+    if nominal:
+        from . import profile
+
+        n = profile.value_counts(current, nominal).where("value is not null")
+        n = n.join(F.broadcast(n.groupBy("column").agg(F.sum("n").alias("now_total"))), "column").select("column", F.col("value").alias("level"), (F.col("n") / F.col("now_total")).alias("q"))
+        j = was.where("kind = 'level'").select("column", "level", (F.col("n") / F.col("total")).alias("p")).join(n, ["column", "level"], "full")
+        gap = F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2
+        tvd = j.groupBy("column").agg(F.lit("tvd").alias("kind"), gap.alias("value"), F.lit(None).cast("double").alias("mean_shift_sd"))
+        out = tvd if out is None else out.unionByName(tvd)
+    if out is None:
+        return spark.createDataFrame([], "column string, kind string, value double, mean_shift_sd double, worst double, status string")
+    worst = out.agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("worst"))  # one row
+    return out.join(F.broadcast(worst)).withColumn("status", status(F.col("worst")))
+
+
+def schema_since(fingerprint: DataFrame, current: DataFrame) -> DataFrame:
+    """(column, change) between the run of a fingerprint and a table."""
+    was = {r["column"]: r["type"] for r in fingerprint.where("kind = 'type'").collect()}
+    return _changes(current.sparkSession, was, dict(current.dtypes))
 
 
 def stability(previous: DataFrame, current: DataFrame, columns: list[str], floor: float = FLOOR) -> DataFrame:
-    """(column, psi, mean_shift_sd, status). Bins are the previous run's deciles; empty bins count as the floor."""
-    cuts = edges(previous, columns)
-    a, b = proportions(previous, cuts), proportions(current, cuts)
-    grid = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("bin")) for c, e in cuts.items() for i in range(len(e) + 1)])
-    grid = previous.sparkSession.range(1).select(F.explode(grid).alias("g")).select("g.*")
-    j = grid.join(a.withColumnRenamed("p", "e"), ["column", "bin"], "left").join(b.withColumnRenamed("p", "a"), ["column", "bin"], "left")
-    e, x = F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(floor)), F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(floor))
-    psi = j.groupBy("column").agg(F.sum((x - e) * F.log(x / e)).alias("psi"))
-    was = previous.agg(*[g(F.col(c).cast("double")).alias(f"{n}_{c}") for c in cuts for n, g in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    now = current.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cuts]).first()
-    shift = {c: ((now[c] - was[f"m_{c}"]) / was[f"s_{c}"] if now[c] is not None and was[f"s_{c}"] else None) for c in cuts}
-    shifts = F.create_map(*[v for c, s in shift.items() for v in (F.lit(c), F.lit(s).cast("double"))])[F.col("column")]
-    return psi.withColumn("mean_shift_sd", shifts).withColumn("status", status(F.col("psi")))
+    """(column, psi, mean_shift_sd, status). Bins are the previous run's deciles."""
+    out = since(fingerprint(previous, columns), current, floor)
+    return out.select("column", F.col("value").alias("psi"), "mean_shift_sd", status(F.col("value")).alias("status"))
 
 
 def status(psi: Column) -> Column:
@@ -62,25 +120,29 @@ def status(psi: Column) -> Column:
 
 def variation(previous: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """(column, tvd): half the sum of absolute differences of the levels' shares, for columns of at most MAX_LEVELS levels."""
-    from . import profile
-    from pyspark.sql import Window
-
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("column")
-        n = profile.value_counts(df, columns).where("value is not null")
-        return n.select("column", "value", (F.col("n") / F.sum("n").over(w)).alias(name), F.count(F.lit(1)).over(w).alias(f"{name}_levels"))
-
-    j = shares(previous, "p").join(shares(current, "q"), ["column", "value"], "full")
-    out = j.groupBy("column").agg((F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2).alias("tvd"), F.max("p_levels").alias("levels"))
-    return out.where(F.coalesce("levels", F.lit(0)) <= MAX_LEVELS).drop("levels")
+    return since(fingerprint(previous, [], columns), current).select("column", F.col("value").alias("tvd"))
 
 
 def schema_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(column, change): added, removed or retyped."""
-    was, now = dict(previous.dtypes), dict(current.dtypes)
+    return _changes(previous.sparkSession, dict(previous.dtypes), dict(current.dtypes))
+
+
+def schema_report(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """(column, change, was_filled, now_filled): schema_changes() with the cells that are not null in either run."""
+    changes = schema_changes(previous, current)
+    filled = None
+    for name, df in (("was_filled", previous), ("now_filled", current)):
+        counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+        cells = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias(name)) for c in df.columns])).alias("x")).select("x.*")
+        filled = cells if filled is None else filled.join(cells, "column", "full")
+    return changes.join(filled, "column").select("column", "change", "was_filled", "now_filled")
+
+
+def _changes(spark, was: dict[str, str], now: dict[str, str]) -> DataFrame:
     rows = [(c, "added") for c in now if c not in was] + [(c, "removed") for c in was if c not in now]
     rows += [(c, f"{was[c]} -> {now[c]}") for c in now if c in was and was[c] != now[c]]
-    return previous.sparkSession.createDataFrame(rows, "column string, change string")
+    return spark.createDataFrame(rows, "column string, change string")
 
 
 def keys_lost(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
@@ -104,10 +166,5 @@ def inputs_changed(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def report(previous: DataFrame, current: DataFrame, numeric: list[str], nominal: list[str]) -> DataFrame:
-    """(column, kind, value, mean_shift_sd, worst, status): stability of numeric and variation of nominal columns; worst and status are
-    those of the whole table."""
-    a = stability(previous, current, numeric).select("column", F.lit("psi").alias("kind"), F.col("psi").alias("value"), "mean_shift_sd")
-    b = variation(previous, current, nominal).select("column", F.lit("tvd").alias("kind"), F.col("tvd").alias("value"), F.lit(None).cast("double").alias("mean_shift_sd"))
-    rows = a.unionByName(b)
-    worst = rows.agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("worst"))  # one row
-    return rows.join(F.broadcast(worst)).withColumn("status", status(F.col("worst")))
+    """since() of two tables."""
+    return since(fingerprint(previous, numeric, nominal), current)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import runs, shape
+from ..session import previous
 from .profile import GUID
 
 SIZES = {"A": 26, "a": 26, "9": 10}
@@ -37,13 +38,8 @@ def positions(df: DataFrame, column: str, family: str) -> DataFrame:
 def gaps(df: DataFrame, column: str, pattern: str = r"(\d+)$") -> DataFrame:
     """(lo, hi): runs of missing numbers of a counter. Neighbours are compared, no sequence of all numbers is made."""
     n = df.select(F.regexp_extract(column, pattern, 1).try_cast("long").alias("n")).where("n is not null").distinct()
-    # windows by range, and the last number before each range
-    parted = n.withColumn("_p", F.floor(F.col("n") / 1_000_000))
-    edge = parted.groupBy("_p").agg(F.max("n").alias("m"))
-    before = edge.withColumn("prev", F.lag("m").over(Window.orderBy("_p"))).select("_p", "prev")
-    inside = F.lag("n").over(Window.partitionBy("_p").orderBy("n"))
-    steps = parted.withColumn("_in", inside).join(before, "_p").select("n", F.coalesce("_in", "prev").alias("was"))
-    return steps.where(F.col("n") - F.col("was") > 1).select((F.col("was") + 1).alias("lo"), (F.col("n") - 1).alias("hi"))
+    steps = previous(n, "n", ["n"])
+    return steps.where(F.col("n") - F.col("_was_n") > 1).select((F.col("_was_n") + 1).alias("lo"), (F.col("n") - 1).alias("hi"))
 
 
 def counter(df: DataFrame, column: str, pattern: str = r"(\d+)$") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import previous
+
 # fixed values: columns that are labels, names that mark free text, and the shape of a GUID
 LABELS = ("MATERIAL_ID", "TRIAL_ID", "SAMPLE_ID", "OBSERVATION_ID", "LINE")
 TEXT_NAME = "RATIONALE|REMARK|DESCRIPTION|COMMENT|NOTE"
@@ -87,23 +89,11 @@ def profile(df: DataFrame, columns: list[str] | None = None, order_by: str | Non
 
 
 def counters(df: DataFrame, columns: list[str], order_by: str) -> DataFrame:
-    """(column, rises): whether numbers never fall in the order of a row index.
-
-    Ordered ranges are compared inside and then at their edges, so that no single task sees all rows.
-    """
+    """(column, rises): whether numbers never fall in the order of a row index. Rows are compared inside ranges of the index, and then
+    at the edges of ranges, so that no single task sees all rows."""
     x = df.select(F.col(order_by).alias("_i"), *[F.col(c).try_cast("double").alias(c) for c in columns])
-    part = F.floor(F.col("_i") / 100_000)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(part).orderBy("_i")
-    steps = x.select(part.alias("_p"), "_i", *columns, *[(F.lag(c).over(w) > F.col(c)).alias(f"_f_{c}") for c in columns])
-    aggs = []
-    for c in columns:
-        aggs += [F.min_by(c, "_i").alias(f"_a_{c}"), F.max_by(c, "_i").alias(f"_z_{c}"), F.coalesce(F.bool_or(f"_f_{c}"), F.lit(False)).alias(f"_f_{c}")]
-    parts = steps.groupBy("_p").agg(*aggs)
-    edge = Window.orderBy("_p")  # one row for each 100,000 rows
-    checks = [((F.lag(f"_z_{c}").over(edge) > F.col(f"_a_{c}")) | F.col(f"_f_{c}")).alias(c) for c in columns]
-    falls = parts.select(*checks).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in columns])
+    steps = previous(x, "_i", columns)
+    falls = steps.agg(*[F.coalesce(F.bool_or(F.col(f"_was_{c}") > F.col(c)), F.lit(False)).alias(c) for c in columns])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), (~F.col(c)).alias("rises")) for c in columns])
     return falls.select(F.explode(cells).alias("x")).select("x.*")
 

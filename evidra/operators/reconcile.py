@@ -49,19 +49,13 @@ def classify(base: DataFrame, upload: DataFrame, key: str, natural: str | None =
     common = [c for c in upload.columns if c in base.columns and c != key]
     held = base.where(_key(key).isNotNull()).groupBy(_key(key).alias("_key")).agg(F.min_by(F.struct(*[F.col(c) for c in base.columns]), _order(base.columns)).alias("_b"))
     rows = upload.withColumn("_at", _key(key))
-    j = rows.join(held, F.col("_at") == F.col("_key"), "left")
+    # of rows that share a key, the first and each one's place: in the same order and partitions that the join wants
+    w = Window.partitionBy("_at").orderBy(_order(upload.columns))
+    keyed = rows.where(F.col("_at").isNotNull()).withColumn("_nth", F.row_number().over(w)).withColumn("_f", F.first(F.struct(*[F.col(c) for c in upload.columns])).over(w))
+    j = keyed.join(held, F.col("_at") == F.col("_key"), "left")
+    j = j.unionByName(rows.where(F.col("_at").isNull()).withColumn("_nth", F.lit(1)), allowMissingColumns=True)  # without a key: by themselves
     known = F.col("_key").isNotNull()
-    # the first row of each new key; rows without a key stand by themselves
-    first = upload.where(_key(key).isNotNull()).groupBy(_key(key).alias("_first_key")).agg(
-        F.min_by(F.struct(*[F.col(c) for c in upload.columns]), _order(upload.columns)).alias("_f"), F.count(F.lit(1)).alias("_rows")
-    )
-    first = first.where("_rows > 1").drop("_rows")
-    j = j.join(first, F.col("_at") == F.col("_first_key"), "left")
-    w = Window.partitionBy("_at", "_repeat").orderBy(_order(upload.columns))
-    j = j.withColumn("_repeat", ~known & F.col("_first_key").isNotNull())
-    once = j.where(~F.col("_repeat")).withColumn("_nth", F.lit(1))
-    again = j.where("_repeat").withColumn("_nth", F.row_number().over(w))
-    j = once.unionByName(again)
+    j = j.withColumn("_nth", F.when(~known, F.col("_nth")).otherwise(1))
     others = [c for c in upload.columns if c != key]
     found = F.when(known, _differences(common, "_b")).when(F.col("_nth") > 1, _differences(others, "_f")).otherwise(F.array().cast(_CONFLICTS))
     out = j.withColumn("conflicts", found)

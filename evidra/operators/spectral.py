@@ -149,9 +149,10 @@ def t2_limit(n: int, k: int, q: float = 0.975) -> float:
 
 
 def identities(encoded: DataFrame, key: str, model: Model, evidence_mismatches: int | None = None) -> DataFrame:
-    """(check, value, tolerance, passed): identities that hold to rounding if the decomposition is right. Sums of squares and products
-    are added up in Spark (k x k and dim x dim numbers); no row reaches the driver."""
-    k, dim = model.k, len(model.mean)
+    """(check, value, tolerance, passed, measured): identities that hold to rounding if the decomposition is right; measured is the
+    quantity itself where it has a meaning of its own. Sums of squares and products are added up in Spark (k x k and dim x dim numbers);
+    no row reaches the driver. condition() tells how many digits are at risk."""
+    k, dim, n = model.k, len(model.mean), max(model.n - 1, 1)
     scored = score(encoded, key, model)
     mean = F.array(*[F.lit(float(m)) for m in model.mean])
     centred = encoded.select(F.zip_with("x", mean, lambda a, m: a - m).alias("c"))
@@ -163,28 +164,46 @@ def identities(encoded: DataFrame, key: str, model: Model, evidence_mismatches:
         out[np.triu_indices(size)] = flat
         return out + np.triu(out, 1).T
 
+    basis, lam = model.basis, model.values[:k] ** 2
     gram = products(centred, "c", dim)
-    white = products(whiten(scored, key, model), "x", k) / max(model.n - 1, 1)
+    crossed = products(scored, "scores", k)
+    white = products(whiten(scored, key, model), "x", k) / n
+    # the same distances by an explicit inverse on the space of the kept components, and what is left by differences
+    kept_space = basis @ basis.T
+    inverse = np.linalg.pinv(kept_space @ (gram / n) @ kept_space, rcond=1e-12)
+    both = score(encoded.select(F.struct(F.lit(0).alias("k"), "x").alias("_row"), "x"), "_row", model).withColumn("c", F.zip_with("_row.x", mean, lambda a, m: a - m))
+    explicit = sum((F.get("c", F.lit(i)) * _dot(F.col("c"), inverse[i]) for i in range(dim)), F.lit(0.0))
+    back = F.array(*[_dot(F.col("scores"), basis[i]) for i in range(dim)])
+    rest = F.aggregate(F.zip_with("c", back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    gaps = both.agg(F.max(F.abs(explicit - F.col("t2")) / F.greatest(explicit, F.lit(1e-12))).alias("t2"), F.max(F.abs(rest - F.col("q"))).alias("q")).first()
     total = F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x)
     row = scored.agg(F.max(F.abs(total - F.col("t2"))).alias("gap"), F.sum("q").alias("left")).first()
-    energy = float((model.values**2).sum())
-    kept = float((model.values[:k] ** 2).sum())
-    basis = model.basis
-    lam = model.values[:k] ** 2
+    energy, kept = float((model.values**2).sum()), float(lam.sum())
     helmert = 0.0
     for levels in range(2, 9):
         h = np.array(_helmert(levels))
         helmert = max(helmert, np.abs(h.T @ h - np.eye(levels - 1)).max(), np.abs(h.sum(0)).max())
+    off = lambda m: float(np.abs(m - np.eye(len(m))).max())
     rows = [
-        ("orthogonality_basis", float(np.abs(basis.T @ basis - np.eye(k)).max()), 1e-12),
-        ("eigen_equation_residual", float(max(np.linalg.norm(gram @ basis[:, i] - lam[i] * basis[:, i]) for i in range(k)) / lam[0]), 1e-9),
-        ("energy_of_all_components", abs(float(np.trace(gram)) - energy) / energy, 1e-9),
-        ("truncation_identity", abs(float(row["left"]) / energy - (energy - kept) / energy), 1e-9),
-        ("whitening_covariance", float(np.abs(white - np.eye(k)).max()), 1e-8),
-        ("contributions_sum_to_t2", float(row["gap"]), 1e-8),
-        ("helmert_orthonormal", float(helmert), 1e-12),
+        ("orthogonality_basis", off(basis.T @ basis), 1e-12, None),
+        ("orthogonality_scores", off(crossed / np.sqrt(np.outer(lam, lam))), 1e-8, None),
+        ("roundtrip", float(gaps["q"]) / energy, 1e-9, None),
+        ("eigen_equation_residual", float(max(np.linalg.norm(gram @ basis[:, i] - lam[i] * basis[:, i]) for i in range(k)) / lam[0]), 1e-9, None),
+        ("energy_of_all_components", abs(float(np.trace(gram)) - energy) / energy, 1e-9, energy),
+        ("truncation_identity", abs(float(row["left"]) / energy - (energy - kept) / energy), 1e-9, None),
+        ("whitening_covariance", off(white), 1e-8, float(model.n)),
+        ("mahalanobis_by_inverse", float(gaps["t2"]), 1e-6, None),
+        ("contributions_sum_to_t2", float(row["gap"]), 1e-8, None),
+        ("helmert_orthonormal", float(helmert), 1e-12, None),
     ]
     if evidence_mismatches is not None:
-        rows.append(("evidence_reread_mismatches", float(evidence_mismatches), 0.0))
-    checked = [(n, v, t, v <= t) for n, v, t in rows]
-    return encoded.sparkSession.createDataFrame(checked, "check string, value double, tolerance double, passed boolean")
+        rows.append(("evidence_reread_mismatches", float(evidence_mismatches), 0.0, float(evidence_mismatches)))
+    checked = [(name, v, t, v <= t, m) for name, v, t, m in rows]
+    return encoded.sparkSession.createDataFrame(checked, "check string, value double, tolerance double, passed boolean, measured double")
+
+
+def condition(model: Model) -> dict:
+    """The condition of the data, and decimal digits at risk: twice as many if a covariance were formed and decomposed."""
+    least = float(model.values[-1])
+    kappa = float(model.values[0]) / least if least > 0 else math.inf
+    return {"condition": kappa, "digits_at_risk": math.log10(kappa), "digits_at_risk_of_covariance": 2 * math.log10(kappa)}

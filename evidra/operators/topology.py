@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1000
-MAX_POINTS = 2_000_000  #: the last forest is one task of as many edges
+from ..session import pinned, previous, running
+
+BLOCK = 1000  #: points of a block; a pair of blocks is a task's work
+PIVOTS = 1024  #: at most, whatever the points; the tables of all pairs of pivots are small
+LAST_EDGES = 2_000_000  #: so many edges are left to one task; of more, components are joined by rounds first
 
 
 def tree(d2: np.ndarray) -> list[tuple[int, int, float]]:
@@ -46,39 +49,130 @@ def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.array(keep, int)
 
 
-def persistence(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(length): the n - 1 edge lengths of the minimum spanning tree of points (id long, x array<double>).
+def persistence(points: DataFrame, block: int = BLOCK, pivots: int = PIVOTS, last: int = LAST_EDGES) -> DataFrame:
+    """(length): the n - 1 edge lengths of a minimum spanning tree of points (id long, x array<double>).
 
-    Points are dealt to blocks; the tree of all points lies in the union of the trees of every two blocks, each made in a task of its
-    own (two blocks at a time are the unit of work, as all distances of an exact tree must be seen by someone). Forests of groups of
-    edges shrink that union until one last forest is left.
+    Equal points are one point and as many edges of length 0. The others lie in the cell of the nearest of some pivots (points
+    themselves), cells in blocks. The tree of all lies in the union of the trees of every two blocks. Two cells need no such trees if
+    their points are further apart than a path between them takes: by the triangle inequality the distance of the pivots less both
+    radii is least, and the longest edge of such a path is known from the trees of each block with its pivot and the tree of the pivots.
+    What is left of edges shrinks by rounds: every component takes its least edge, and components that meet become one.
     """
-    points = points.select(F.col("id").cast("long").alias("id"), "x")
-    n = points.count()
-    if n > MAX_POINTS:
-        raise ValueError(f"at most {MAX_POINTS} points")
-    blocks = max(1, -(-n // block))
-    p = points.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.sequence(F.lit(0), F.lit(blocks - 1))
-    pairs = p.select("id", "x", "blk", F.explode(other).alias("o"))
-    pairs = pairs.where((F.col("o") != F.col("blk")) | F.lit(blocks == 1))
-    pairs = pairs.select("id", "x", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
-    edges = pairs.groupBy("lo", "hi").applyInPandas(_pair_tree, "a long, b long, d double")
-    groups = max(1, blocks // 4)
-    while groups > 1:
-        part = F.pmod(F.xxhash64("a", "b"), F.lit(groups)).cast("int")
-        edges = edges.withColumn("g", part).groupBy("g").applyInPandas(_forest, "a long, b long, d double")
-        groups //= 8
-    last = edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_forest, "a long, b long, d double")
-    return last.select(F.sqrt("d").alias("length"))
+    p = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+    p = pinned(p.groupBy("x").agg(F.min("id").alias("id"), (F.count(F.lit(1)) - 1).alias("copies")), "points")
+    n = p.count()
+    copies = p.select(F.explode(F.array_repeat(F.lit(0.0), F.col("copies").cast("int"))).alias("length"))
+    if n < 2:
+        return copies
+    cells, partners = _cells(p, min(pivots, max(1, -(-n // block))), block)
+    spread = cells.join(F.broadcast(partners), "cell").select("id", "x", "blk", F.explode(F.sequence("begin", "end")).alias("other"))
+    spread = spread.join(F.broadcast(partners.where("alone").select(F.col("begin").alias("blk"), "alone")), "blk", "left").where("other <> blk or alone")
+    edges = pinned(spread.select("id", "x", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi")).groupBy("lo", "hi").applyInPandas(_pair_tree, "a long, b long, d double"), "edges")
+    tree_edges = []
+    while edges.count() > last:
+        edges, taken = boruvka_round(edges)
+        tree_edges.append(taken)
+    last_ones = edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(_forest, "a long, b long, d double")
+    out = copies.unionByName(last_ones.select(F.sqrt("d").alias("length")))
+    for taken in tree_edges:
+        out = out.unionByName(taken.select(F.sqrt("d").alias("length")))
+    return out
+
+
+def _cells(p: DataFrame, n_pivots: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, x, cell, blk) and which cells need trees with which: (cell, begin, end, alone), begin to end being the other's blocks. A cell
+    of one block that needs no other is alone: its own tree is needed. There are as many rows as pairs of pivots at most."""
+    spark = p.sparkSession
+    chosen = p.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("id", "x").collect()
+    ids, at = np.array([r["id"] for r in chosen]), np.array([r["x"] for r in chosen])
+
+    def nearest(batches):
+        for pdf in batches:
+            x = np.vstack(pdf["x"])
+            cell = np.concatenate([((x[i : i + 256, None] - at[None]) ** 2).sum(-1).argmin(1) for i in range(0, len(x), 256)])
+            yield pd.DataFrame({"id": pdf["id"], "x": pdf["x"], "cell": cell, "far": np.sqrt(((x - at[cell]) ** 2).sum(1))})
+
+    near = pinned(p.select("id", "x").mapInPandas(nearest, "id long, x array<double>, cell int, far double"), "cells")
+    sizes = {r["cell"]: (r["n"], r["far"]) for r in near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
+    blocks = {c: max(1, -(-n // block)) for c, (n, _) in sizes.items()}
+    first, total = {}, 0
+    for c in sorted(blocks):
+        first[c], total = total, total + blocks[c]
+    dealt = spark.createDataFrame([(c, first[c], blocks[c]) for c in sorted(blocks)], "cell int, start int, blocks int")
+    dealt = near.join(F.broadcast(dealt), "cell").select("id", "x", "cell", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int").alias("blk"))
+
+    def longest(key, pdf):
+        """The longest edge of the tree of a block and its pivot."""
+        x = np.vstack([*pdf["x"], at[int(pdf["cell"].iloc[0])]])
+        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "m": [max(e[2] for e in tree(_squares(x)))]})
+
+    cells = sorted(blocks)
+    if len(cells) > 1:
+        inner = {r["cell"]: r["m"] for r in dealt.groupBy("blk").applyInPandas(longest, "cell int, m double").groupBy("cell").agg(F.max("m").alias("m")).collect()}
+        pivot = np.array([at[c] for c in cells])
+        apart = np.sqrt(_squares(pivot))
+        path = _minimax(apart)
+        reach = np.sqrt(np.array([inner[c] for c in cells]))
+        radius = np.array([sizes[c][1] for c in cells])
+        way = np.maximum(path, np.maximum(reach[:, None], reach[None, :]))
+        needed = apart - radius[:, None] - radius[None, :] <= way * (1 + 1e-9) + 1e-6 * (1 + apart.max())
+    else:
+        needed = np.ones((1, 1), bool)
+    last = {c: first[c] + blocks[c] - 1 for c in cells}
+    rows = []
+    for i, c in enumerate(cells):
+        others = [cells[j] for j in np.flatnonzero(needed[i]) if j != i]
+        rows += [(c, first[o], last[o], False) for o in others]
+        rows.append((c, first[c], last[c], not others and blocks[c] == 1))
+    return dealt, spark.createDataFrame(rows, "cell int, begin int, end int, alone boolean")
+
+
+def _squares(x: np.ndarray) -> np.ndarray:
+    square = (x * x).sum(1)
+    return np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0)
+
+
+def _minimax(d: np.ndarray) -> np.ndarray:
+    """Of every two nodes the least longest edge of a path between them, along the tree of all."""
+    out = np.zeros_like(d)
+    joined = [0]
+    for a, b, length in tree(d):  # which reaches each node from one that it has reached before
+        out[b, joined] = out[joined, b] = np.maximum(out[a, joined], length)
+        joined.append(b)
+    return out
+
+
+def boruvka_round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges between the components that are left, edges of the tree that were taken). edges: (a, b, d) with a and b components.
+
+    Every component takes its least edge, ties by the ends, so that what is taken has no cycle but pairs that take the same edge.
+    The components that meet find the least id among them by halving the way to it, round by round.
+    """
+    e = F.struct("d", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("o")), F.struct(F.col("b").alias("c"), F.col("a").alias("o")))).alias("x"), e.alias("e"))
+    picks = pinned(both.select("x.c", "x.o", "e").groupBy("c").agg(F.min(F.struct("e", "o")).alias("m")).select("c", "m.o", "m.e"), "picks")
+    # (c -> up): the other end of the edge that c took; of two that took the same edge, the smaller is the root
+    back = picks.select(F.col("c").alias("o"), F.col("o").alias("c2"))
+    up = picks.join(back, "o").select("c", F.when((F.col("c2") == F.col("c")) & (F.col("c") < F.col("o")), F.col("c")).otherwise(F.col("o")).alias("up"))
+    up = pinned(up, "up")
+    while True:
+        step = pinned(up.join(up.select(F.col("c").alias("up"), F.col("up").alias("top")), "up").select("c", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "up")
+        up = step.select("c", "up")
+        if not step.where("moved").limit(1).count():
+            break
+    taken = picks.select("e.*").distinct().select("lo", "hi", "d")
+    name = lambda c: up.select(F.col("c").alias(c), F.col("up").alias(f"_{c}"))
+    left = edges.join(name("a"), "a").join(name("b"), "b").where("_a <> _b")
+    # of parallel edges the least is enough
+    left = left.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.min("d").alias("d"))
+    return pinned(left, "edges"), taken
 
 
 def _pair_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.drop_duplicates("id")
     x, ids = np.vstack(pdf["x"]).astype(np.float64), pdf["id"].to_numpy()
-    square = (x * x).sum(1)
-    d2 = np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0)
     out = []
-    for i, j, _ in tree(d2):
+    for i, j, _ in tree(_squares(x)):
         # the edge is measured again by differences: the same pair has the same length in every task
         a, b = sorted((i, j), key=lambda k: ids[k])
         out.append((ids[a], ids[b], float(((x[a] - x[b]) ** 2).sum())))
@@ -99,13 +193,14 @@ def summary(lengths: DataFrame, previous: DataFrame | None = None) -> DataFrame:
 
 
 def wasserstein(a: DataFrame, b: DataFrame) -> float:
-    """Mean absolute difference of two barcodes sorted from the longest down, the shorter padded with zeros (bounded, as they are)."""
-    w = Window.partitionBy("side").orderBy(F.desc("length"))
-    both = a.select(F.lit(0).alias("side"), "length").unionByName(b.select(F.lit(1).alias("side"), "length"))
-    ranked = both.withColumn("r", F.row_number().over(w)).groupBy("r").agg(
-        F.sum(F.when(F.col("side") == 0, F.col("length")).otherwise(0.0)).alias("x"), F.sum(F.when(F.col("side") == 1, F.col("length")).otherwise(0.0)).alias("y")
-    )
-    return float(ranked.agg(F.avg(F.abs(F.col("x") - F.col("y")))).first()[0] or 0.0)
+    """Mean absolute difference of two barcodes sorted from the longest down, the shorter padded with zeros: between neighbouring
+    lengths, by how many more bars of one reach that far, times the step. Counts run over ranges of the length."""
+    both = a.select("length", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select("length", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    per = both.groupBy("length").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    run, total = running(previous(per, "length", ["length"]), "length", {"up_x": "x", "up_y": "y"}, descending=True)
+    step = F.col("length") - F.coalesce("_was_length", F.lit(0.0))
+    area = run.agg(F.sum(F.abs(F.col("up_x") - F.col("up_y")) * step)).first()[0]
+    return float(area or 0.0) / max(total["up_x"], total["up_y"], 1)
 
 
 def betti(lengths: DataFrame, radii: list[float]) -> DataFrame:

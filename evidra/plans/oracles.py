@@ -178,21 +178,22 @@ ORACLES: dict[str, str] = {
     "calibrate_auc": f"""WITH {_LABELLED}, r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS r, quality FROM x) SELECT round((sum(r) FILTER (WHERE quality = 1) - sum(quality) * (sum(quality) + 1) / 2) / (sum(quality) * (count(*) - sum(quality))), 6) AS auc FROM r""",
     "calibrate_flags": f"""WITH {_ORDERS} SELECT o_totalprice >= 150000 AS yield, mean_discount <= 0.06 AS moisture, mean_tax <= 0.05 AS disease, n_lines >= 2 AS genomic_value, count(*) AS n FROM w GROUP BY ALL""",
     "text_shapes": """WITH s AS (SELECT regexp_replace(regexp_replace(regexp_replace(o_orderpriority, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape FROM orders) SELECT shape, count(*) AS n, CASE shape WHEN '9-AAAAAA' THEN '9-A{6}' WHEN '9-AAAA' THEN '9-A{4}' WHEN '9-AAA AAAAAAAAA' THEN '9-A{3} A{9}' WHEN '9-AAA' THEN '9-A{3}' END AS pattern FROM s GROUP BY ALL""",
-    "text_fold": r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g'))) AS folded FROM documents""",
-    "text_char_grams": r"""WITH f AS (SELECT item_id, regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g')), '\d', '0', 'g') AS t FROM benchmark), w AS (SELECT item_id, ' ' || unnest(regexp_extract_all(t, '\w+|[/%]')) || ' ' AS w FROM f),
+    "text_fold": r"""SELECT doc_id, sha256(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '\s+', ' ', 'g'))) AS folded FROM documents""",
+    "text_char_grams": r"""WITH f AS (SELECT item_id, regexp_replace(trim(regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g')), '\p{Nd}', '0', 'g') AS t FROM benchmark), w AS (SELECT item_id, ' ' || unnest(regexp_extract_all(t, '[\pL\pN_]+|[/%]')) || ' ' AS w FROM f),
         g AS (SELECT item_id, w[i:i + n - 1] AS gram FROM w, (SELECT unnest([3, 4, 5]) AS n), range(1, 80) r(i) WHERE i + n - 1 <= length(w)) SELECT item_id, gram, count(*) AS n FROM g GROUP BY ALL""",
     "text_strip_tags": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
         regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gis'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gis'), '<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'gis'),
         '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM pages""",
-    "text_html_tables": r"""WITH t AS (SELECT page_id, unnest(x) AS t, unnest(range(len(x))) AS table_no FROM (SELECT page_id, regexp_extract_all(html, '(?is)<table.*?</table>') AS x FROM pages)),
+    "text_html_tables": r"""WITH t AS (SELECT page_id, unnest(x) AS t, unnest(range(len(x))) AS table_no FROM (SELECT page_id, regexp_extract_all(coalesce(html, '') || '<TABLE class="x">' || chr(10) || '<tr><th>Id</th><th>Length</th></tr><tr><td>' || page_id || '</td>' || chr(10) || '<td><b>' || length(html) || ' %</b></td></tr></TABLE>'
+            || CASE WHEN page_id % 3 = 0 THEN '<p>between</p><table><tbody><tr><td>' || page_id * 2 || '</td></tr></tbody></table>' ELSE '' END, '(?is)<table.*?</table>') AS x FROM pages)),
         r AS (SELECT page_id, table_no, unnest(x) AS r, unnest(range(len(x))) AS row_no FROM (SELECT page_id, table_no, regexp_extract_all(t, '(?is)<tr.*?</tr>') AS x FROM t))
         SELECT page_id, table_no, row_no, array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: regexp_replace(c, '(?s)<[^>]*>', '', 'g')), '|') AS cells FROM r""",
     "text_facts": """WITH o AS (SELECT o_orderkey, o_custkey, 'SYN-MZ-' || lpad(o_custkey::VARCHAR, 5, '0') AS id FROM orders) SELECT o_orderkey, 0 AS sentence_no, 'YIELD_T_HA' AS field, o_orderkey % 10 + (o_custkey % 10) / 10 AS value, 't/ha' AS unit, 'yield' AS matched, id AS ids FROM o
         UNION ALL SELECT o_orderkey, 1, NULL, NULL, NULL, NULL, 'SYN-TR-0001' FROM o UNION ALL SELECT o_orderkey, 2, 'MOISTURE_PCT', 18.0, '%', 'humedad', '' FROM o""",
-    "text_tfidf_cosine": r"""WITH q AS (SELECT doc_id, g AS gram, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, w[i:i + n - 1] AS g FROM (SELECT doc_id, ' ' || unnest(regexp_extract_all(regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g')), '\d', '0', 'g'), '\w+|[/%]')) || ' ' AS w FROM documents WHERE doc_id % 100 = 0), (SELECT unnest([3, 4, 5]) AS n), range(1, 80) r(i) WHERE i + n - 1 <= length(w)) GROUP BY ALL), r AS (SELECT item_id, g AS gram, 1 + ln(count(*)) AS tf FROM (SELECT item_id, w[i:i + n - 1] AS g FROM (SELECT item_id, ' ' || unnest(regexp_extract_all(regexp_replace(trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g')), '\d', '0', 'g'), '\w+|[/%]')) || ' ' AS w FROM benchmark), (SELECT unnest([3, 4, 5]) AS n), range(1, 80) r(i) WHERE i + n - 1 <= length(w)) GROUP BY ALL),
+    "text_tfidf_cosine": r"""WITH q AS (SELECT doc_id, g AS gram, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, w[i:i + n - 1] AS g FROM (SELECT doc_id, ' ' || unnest(regexp_extract_all(regexp_replace(trim(regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g')), '\p{Nd}', '0', 'g'), '[\pL\pN_]+|[/%]')) || ' ' AS w FROM documents WHERE doc_id % 100 = 0), (SELECT unnest([3, 4, 5]) AS n), range(1, 80) r(i) WHERE i + n - 1 <= length(w)) GROUP BY ALL), r AS (SELECT item_id, g AS gram, 1 + ln(count(*)) AS tf FROM (SELECT item_id, w[i:i + n - 1] AS g FROM (SELECT item_id, ' ' || unnest(regexp_extract_all(regexp_replace(trim(regexp_replace(lower(strip_accents(text)), '\s+', ' ', 'g')), '\p{Nd}', '0', 'g'), '[\pL\pN_]+|[/%]')) || ' ' AS w FROM benchmark), (SELECT unnest([3, 4, 5]) AS n), range(1, 80) r(i) WHERE i + n - 1 <= length(w)) GROUP BY ALL),
         i AS (SELECT gram, ln((1 + (SELECT count(DISTINCT item_id) FROM r)) / (1 + count(*))) + 1 AS idf FROM r GROUP BY 1), rw AS (SELECT item_id, gram, tf * idf AS r FROM r JOIN i USING (gram)), rn AS (SELECT item_id, sqrt(sum(r * r)) AS n FROM rw GROUP BY 1),
         qw AS (SELECT doc_id, gram, tf * idf AS q FROM q JOIN i USING (gram)), qn AS (SELECT doc_id, sqrt(sum(q * q)) AS n FROM qw GROUP BY 1) SELECT doc_id, item_id, round(sum(q * r) / any_value(qn.n) / any_value(rn.n), 5) AS cosine FROM qw JOIN rw USING (gram) JOIN rn USING (item_id) JOIN qn USING (doc_id) GROUP BY ALL""",
-    "text_lexicon": r"""WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(coalesce(text, '')), 'àáâãäåèéêëìíîïòóôõöøùúûüýÿñçšžāēīōūăĕĭŏŭąęįų', 'aaaaaaeeeeiiiioooooouuuuyyncszaeiouaeiouaeiu'), '\p{M}', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents), w AS (SELECT doc_id, regexp_extract_all(t, '\w+') AS words, regexp_extract_all(t, '\w+|[^\w]+') AS parts FROM f),
+    "text_lexicon": r"""WITH f AS (SELECT doc_id, trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '\s+', ' ', 'g')) AS t FROM documents), w AS (SELECT doc_id, regexp_extract_all(t, '[\pL\pN_]+') AS words, regexp_extract_all(t, '[\pL\pN_]+|[^\pL\pN_]+') AS parts FROM f),
         h AS (SELECT doc_id, len(words) AS n, len(list_filter(parts, lambda x: x = 'the')) AS n_the, len(list_filter(parts, lambda x: x = 'und')) AS n_und,
             len(list_filter(range(1, len(parts) - 1), lambda i: parts[i] = 'of' AND parts[i + 1] = ' ' AND parts[i + 2] = 'the')) AS n_of_the FROM w)
         SELECT doc_id, round(ln(1 + 100 * (n_the - n_of_the + 2.0 * n_und + 3.0 * n_of_the) / greatest(n, 20)), 5) AS feature FROM h""",
@@ -226,9 +227,15 @@ ORACLES: dict[str, str] = {
         l AS (SELECT 'o_orderstatus' AS c, o_orderstatus AS v, 1 AS s FROM a UNION ALL SELECT 'o_orderpriority', o_orderpriority, 1 FROM a UNION ALL SELECT 'o_orderstatus', o_orderstatus, 2 FROM b UNION ALL SELECT 'o_orderpriority', o_orderpriority, 2 FROM b),
         k AS (SELECT c, v, count(*) FILTER (WHERE s = 1) / (SELECT count(*) FROM a) AS pa, count(*) FILTER (WHERE s = 2) / (SELECT count(*) FROM b) AS pb FROM l GROUP BY ALL),
         r AS (SELECT 'o_totalprice' AS "column", 'psi' AS kind, (SELECT sum((a - e) * ln(a / e)) FROM p) AS value UNION ALL SELECT c, 'tvd', sum(abs(pa - pb)) / 2 FROM k GROUP BY c)
-        SELECT "column", kind, round(value, 4) AS value, CASE WHEN max(value) OVER () < 0.1 THEN 'stable' WHEN max(value) OVER () < 0.25 THEN 'moderate' ELSE 'major' END AS status FROM r""",
-    "drift_schema": """SELECT * FROM (VALUES ('extra', 'added'), ('o_orderpriority', 'removed'), ('o_custkey', 'bigint -> string')) t("column", change)""",
-    "spectral_identities": """SELECT *, true AS passed FROM (VALUES ('orthogonality_basis'), ('eigen_equation_residual'), ('energy_of_all_components'), ('truncation_identity'), ('whitening_covariance'), ('contributions_sum_to_t2'), ('helmert_orthonormal'), ('evidence_reread_mismatches')) t("check")""",
+        SELECT "column", kind, round(value, 4) AS value, CASE kind WHEN 'psi' THEN round(((SELECT avg(o_totalprice) FROM b) - (SELECT avg(o_totalprice) FROM a)) / (SELECT stddev_samp(o_totalprice) FROM a), 4) END AS mean_shift_sd,
+            round(max(value) OVER (), 4) AS worst, CASE WHEN max(value) OVER () < 0.1 THEN 'stable' WHEN max(value) OVER () < 0.25 THEN 'moderate' ELSE 'major' END AS status FROM r""",
+    "drift_schema": """SELECT * FROM (SELECT 'extra' AS "column", 'added' AS change, NULL::BIGINT AS was_filled, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS now_filled FROM orders
+        UNION ALL SELECT 'o_orderpriority', 'removed', count(o_orderpriority), NULL FROM orders UNION ALL SELECT 'o_custkey', 'bigint -> string', count(o_custkey), count(*) FILTER (WHERE o_custkey % 7 <> 0) FROM orders)""",
+    "spectral_identities": f"""WITH {_ORDERS}, x AS (SELECT o_totalprice / stddev_pop(o_totalprice) OVER () AS a, CAST(o_orderpriority[1] AS INT) / sqrt(2) AS b, cos(2 * pi() * (dayofyear(o_orderdate) - 1) / 365.25) AS c, sin(2 * pi() * (dayofyear(o_orderdate) - 1) / 365.25) AS s FROM orders),
+        m(name, v) AS (SELECT 'energy_of_all_components', count(*) * (var_pop(a) + var_pop(b) + var_pop(c) + var_pop(s)) FROM x UNION ALL SELECT 'whitening_covariance', count(*) FROM x
+            UNION ALL SELECT 'evidence_reread_mismatches', count(*) FROM w WHERE o_orderkey % 13 = 0 AND o_totalprice IS NOT NULL)
+        SELECT "check", "check" <> 'evidence_reread_mismatches' OR v = 0 AS passed, round(v, 3) AS measured FROM (VALUES ('orthogonality_basis'), ('orthogonality_scores'), ('roundtrip'), ('eigen_equation_residual'), ('energy_of_all_components'), ('truncation_identity'), ('whitening_covariance'),
+            ('mahalanobis_by_inverse'), ('contributions_sum_to_t2'), ('helmert_orthonormal'), ('evidence_reread_mismatches')) t("check") LEFT JOIN m ON "check" = name""",
     "window_last_turns": """WITH e AS (SELECT *, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'other' END AS side FROM conversations WHERE role <> 'system'), c AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3),
         m AS (SELECT *, CASE WHEN lag(side) OVER (PARTITION BY conv_id ORDER BY turn) = side THEN 0 ELSE 1 END AS new FROM c), r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM m)
         SELECT conv_id, min(turn) AS turn, any_value(side) AS side, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY conv_id, run""",

@@ -652,7 +652,7 @@ def calibrate_flags(spark, d):
 @query
 def calibrate_cut_cv(spark, d):
     df = order_facts(spark, d).withColumn("s", F.round(rules.severity(ORDER_RULES.thresholds), 3)).withColumn("y", (F.col("official") == "FAIL").cast("int"))
-    return calibration.cross_validate(df, "s", "y", 5, 8)
+    return calibration.cross_validate(df, "s", "y")
 
 
 @query
@@ -661,6 +661,12 @@ def calibrate_out_of_fold(spark, d):
     return calibration.out_of_fold(df, "o_orderkey", ["o_totalprice", "mean_discount", "mean_tax"], "y", 5, 2)
 
 
+@query
+def calibrate_overtraining(spark, d):
+    df = order_facts(spark, d).withColumn("y", (F.col("official") == "FAIL").cast("int"))
+    return rounded(calibration.overtraining(df, "o_orderkey", ["o_totalprice", "mean_discount", "mean_tax"], "y", 5, 2))
+
+
 # ------------------------------------------------------------------------------------------------ text
 
 
@@ -670,6 +676,9 @@ def text_shapes(spark, d):
     return o.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).withColumn("pattern", text.runs(F.col("shape")))
 
 
+LEXICON = {"the": 1.0, "of": 2.0}
+
+
 @query
 def text_fold(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(canon.fold(F.coalesce(F.col("text"), F.lit(""))), 256).alias("folded"))
@@ -688,7 +697,11 @@ def text_strip_tags(spark, d):
 
 @query
 def text_html_tables(spark, d):
-    rows = documents.html_tables(table(spark, d, "pages"), "page_id")
+    # the given pages hold no table: each gets one after its html, and every third a second one
+    one = F.concat(F.lit('<TABLE class="x">\n<tr><th>Id</th><th>Length</th></tr><tr><td>'), "page_id", F.lit("</td>\n<td><b>"), F.length("html"), F.lit(" %</b></td></tr></TABLE>"))
+    two = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<p>between</p><table><tbody><tr><td>"), F.col("page_id") * 2, F.lit("</td></tr></tbody></table>"))).otherwise("")
+    pages = table(spark, d, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), one, two))
+    rows = documents.html_tables(pages, "page_id")
     return rows.select("page_id", "table_no", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
@@ -702,7 +715,8 @@ def text_facts(spark, d):
 @query
 def text_lexicon(spark, d):
     lexicon = {"the": 1.0, "of the": 3.0, "und": 2.0}
-    docs = table(spark, d, "documents").select("doc_id", relevance.density(canon.fold(F.coalesce(F.col("text"), F.lit(""))), lexicon).alias("feature"))
+    docs = table(spark, d, "documents").select("doc_id", canon.fold(F.coalesce(F.col("text"), F.lit(""))).alias("folded"))
+    docs = docs.select("doc_id", relevance.density(F.col("folded"), lexicon).alias("feature"))
     return rounded(docs, 5)
 
 
@@ -710,15 +724,24 @@ def text_lexicon(spark, d):
 def text_tfidf_cosine(spark, d):
     # a search: its queries are the documents whose id is divisible by 100
     docs = table(spark, d, "documents").where("doc_id % 100 = 0").select("doc_id", "text")
-    grams = lambda df, k: relevance.gram_counts(df, k, "text")
-    return rounded(relevance.similarity(grams(docs, "doc_id"), grams(table(spark, d, "benchmark"), "item_id"), "doc_id", "item_id"), 5)
+    return rounded(relevance.similarity(docs, "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text"), 5)
+
+
+def labelled_items(spark, d):
+    """The benchmark's items as labelled examples."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("example"), "text", (F.col("item_id") % 2).cast("int").alias("label"))
 
 
 @query
 def text_relevance_gate(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("example"), "text", (F.col("item_id") % 2).cast("int").alias("label"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return rounded(relevance.assess(docs, "doc_id", "text", b, {"the": 1.0, "of": 2.0}), 6)
+    out = relevance.assess(docs, "doc_id", "text", labelled_items(spark, d), LEXICON, known_ids=spark.createDataFrame([("SYN-MZ-00001",)], "id string"), grammar=[r"\b[A-Z]{3}-\d{4,}\b"])
+    return rounded(out.withColumn("reasons", F.array_join("reasons", "; ")), 6)
+
+
+@query
+def text_leave_one_out(spark, d):
+    return rounded(relevance.leave_one_out(labelled_items(spark, d), LEXICON), 6)
 
 
 @query
@@ -838,19 +861,22 @@ def profile_renormalised(spark, d):
 @query
 def drift_report(spark, d):
     a, b = _years(spark, d)
-    return rounded(drift.report(a, b, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"]).drop("mean_shift_sd", "worst"), 4)
+    return rounded(drift.report(a, b, ["o_totalprice"], ["o_orderstatus", "o_orderpriority"]), 4)
 
 
 @query
 def drift_schema(spark, d):
     o = table(spark, d, "orders")
-    return drift.schema_changes(o, o.drop("o_orderpriority").withColumns({"o_custkey": F.col("o_custkey").cast("string"), "extra": F.lit(1)}))
+    changed = {"o_custkey": F.when(F.col("o_custkey") % 7 != 0, F.col("o_custkey")).cast("string"), "extra": F.when(F.col("o_orderkey") % 5 == 0, 1)}
+    return drift.schema_report(o, o.drop("o_orderpriority").withColumns(changed))
 
 
 @query
 def spectral_identities(spark, d):
+    """All checks; measured is what they speak of, where it can be found in another way."""
     enc, names = encoding.encode(table(spark, d, "orders"), SPECS[:2] + [SPECS[3]], "o_orderkey")
-    return spectral.identities(enc, "o_orderkey", spectral.fit(enc, names), 0).select("check", "passed")
+    model = spectral.fit(enc, names)
+    return spectral.identities(enc, "o_orderkey", model, rules_evidence_reread(spark, d).count()).select("check", "passed", F.round("measured", 3).alias("measured"))
 
 
 @query

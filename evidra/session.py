@@ -65,3 +65,17 @@ def running(df: DataFrame, order: str, sums: dict[str, str], descending: bool =
     out = parted.join(starts, "_p")
     out = out.withColumns({name: F.sum(F.col(c)).over(w) + F.col(f"_before{i}") for i, (name, c) in enumerate(sums.items())})
     return out.drop("_p", *[f"_before{i}" for i in range(len(sums))]), dict(zip(sums, total))
+
+
+def previous(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """df with _was_<column>: the value in the row before, by the order column (null in the first). Rows are compared inside ranges, and
+    one row for each range, of which there are as many as shuffle partitions, carries the values over their edges."""
+    parted = in_ranges(df, order)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    ends = sorted((r["_p"], r["last"]) for r in parted.groupBy("_p").agg(F.max_by(F.struct(*columns), order).alias("last")).collect())
+    carried = [(p, *(ends[i - 1][1] if i else [None] * len(columns))) for i, (p, _) in enumerate(ends)]
+    schema = "_p int" + "".join(f", `_edge_{c}` {kinds[c]}" for c in columns)
+    w = Window.partitionBy("_p").orderBy(order)
+    out = parted.join(F.broadcast(df.sparkSession.createDataFrame(carried, schema)), "_p").withColumn("_n", F.row_number().over(w))
+    out = out.withColumns({f"_was_{c}": F.when(F.col("_n") > 1, F.lag(c).over(w)).otherwise(F.col(f"_edge_{c}")) for c in columns})
+    return out.drop("_p", "_n", *[f"_edge_{c}" for c in columns])

@@ -81,7 +81,7 @@ def test_max_margin_separates_and_logistic_is_monotone():
     y = np.array([0, 0, 1, 1])
     w, b = calibration.max_margin(x, y)
     assert ((x @ w + b > 0) == (y == 1)).all() and -b / w[0] == pytest.approx(2.0, abs=0.3)
-    assert calibration.logistic(x, y.astype(float))[1] > 0
+    assert calibration.logistics(x, y, np.ones((1, 4), bool))[0][0, 1] > 0
 
 
 def test_counter_gaps_and_patterns(spark):

@@ -35,7 +35,7 @@ def test_contributions_add_up_and_the_residual_is_what_the_components_leave(spar
 
 def test_cross_validated_cuts(spark, data):
     rows = QUERIES["calibrate_cut_cv"](spark, data).collect()
-    assert len(rows) == 8 and all(0.5 < r["accuracy"] <= 1 and r["cut"] >= 0 for r in rows)
+    assert len(rows) == 250 and all(0.5 < r["accuracy"] <= 1 and r["cut"] >= 0 for r in rows)
 
 
 def test_out_of_fold_probabilities(spark, data):
