@@ -2,7 +2,7 @@
 
 Texts become hashed counts of word shapes, pairs of shapes, words and immediate repeats; TF-IDF of a bounded labelled sample and its
 truncated SVD (randomised range finder) give latent vectors. The labelled vectors (at most 2 * PER_CLASS of them) are broadcast; every
-document gets its exact cosines with all of them, block by block, and its K nearest vote with their similarity as weight.
+document gets its exact cosines with all of them, block by block, and its K nearest vote with the square of their similarity as weight.
 
 The sample is balanced: at most about PER_CLASS ids a label, chosen by a hash of the id; whole texts. An id with several labels takes
 the largest, one with several texts the least; null labels are no labels. Null text is empty: texts without words score 0, as nothing speaks for them. Without labels of both kinds
@@ -79,9 +79,9 @@ class Features:
 class Neighbours:
     idf: np.ndarray
     basis: np.ndarray  #: [feature, dim]
-    vectors: np.ndarray  #: [labelled text, dim], unit length
+    vectors: np.ndarray  #: [labelled text, dim], unit length; none if the labels are of one kind
     labels: np.ndarray
-    prior: float
+    prior: float  #: share of label 1
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -130,11 +130,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     return rows.groupBy("_id").agg(F.first("label").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text")).select("label", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dims: int = DIMS, seed: int = 3) -> Neighbours | None:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dims: int = DIMS, seed: int = 3) -> Neighbours:
     got = sample(docs, labels, per_class).mapInPandas(_counts, "label int, counts binary").toPandas()
     got = got.sort_values(["label", "counts"]).reset_index(drop=True)  # ids play no part
-    if got["label"].nunique() < 2:
-        return None
+    if got["label"].nunique() < 2:  # nothing to tell apart
+        prior = float((got["label"] == 1).mean()) if len(got) else 0.5
+        return Neighbours(np.zeros(FEATURES, np.float32), np.zeros((FEATURES, dims), np.float32), np.zeros((0, dims), np.float32), np.zeros(0, int), prior)
     counts = np.vstack([np.frombuffer(x, "<f4") for x in got["counts"]])
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.2).astype(np.float32)
     x = weigh(counts, idf)
@@ -143,22 +144,25 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dims: in
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
     basis = (q @ vt[:dims].T).astype(np.float32)
-    return Neighbours(idf, basis, unit(x @ basis).astype(np.float32), got["label"].to_numpy(), float(got["label"].mean()))
+    return Neighbours(idf, basis, unit(x @ basis).astype(np.float32), got["label"].to_numpy(), float((got["label"] == 1).mean()))
 
 
 def vote(sims: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
-    """Share of label 1 among the k nearest, weighted by similarity; ties of the k-th by index."""
-    k = min(k, sims.shape[1])
-    near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < sims.shape[1] else np.broadcast_to(np.arange(k), sims.shape)
+    """Share of label 1 among the k nearest, weighted by squared similarity; ties of the k-th by index."""
+    n = sims.shape[1]
+    k = min(k, n)
+    near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(k), sims.shape)
+    edge = np.take_along_axis(sims, near, 1).min(1)
+    for i in np.flatnonzero((sims >= edge[:, None]).sum(1) > k):  # more reach the edge than fit
+        above, tied = np.flatnonzero(sims[i] > edge[i]), np.flatnonzero(sims[i] == edge[i])
+        near[i] = np.concatenate([above, tied[: k - len(above)]])
     w = np.maximum(np.take_along_axis(sims, near, 1), 0) ** 2 + 1e-9
     return (w * (labels[near] == 1)).sum(1) / w.sum(1)
 
 
-def classify(docs: DataFrame, model: Neighbours | None, k: int = K, fallback: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, model: Neighbours, k: int = K) -> DataFrame:
     """(doc_id, score). A score depends on the text alone, so that a labelled text is one of its own neighbours."""
     kind = dict(docs.dtypes)["doc_id"]
-    if model is None:
-        return docs.select("doc_id", F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit(0.0)).otherwise(F.lit(fallback)).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,8 +171,8 @@ def classify(docs: DataFrame, model: Neighbours | None, k: int = K, fallback: fl
             texts, out = pdf["text"].tolist(), np.empty(len(pdf))
             for lo, hi in blocks(texts):
                 counts = features.matrix(texts[lo:hi])
-                sims = unit(weigh(counts, m.idf) @ m.basis) @ m.vectors.T
-                out[lo:hi] = np.where(counts.any(1), vote(sims, m.labels, k), 0.0)
+                voted = vote(unit(weigh(counts, m.idf) @ m.basis) @ m.vectors.T, m.labels, k) if len(m.labels) else m.prior
+                out[lo:hi] = np.where(counts.any(1), voted, 0.0)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": out})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -213,7 +213,23 @@ def test_quality_on_odd_rows(spark, odd, none):
     assert out.count() == 14 and out.where("score < 0 or score > 1 or score is null").count() == 0
     assert {r["score"] for r in out.where("doc_id in (1, 2, 3)").collect()} == {0.0}
     assert knn_quality.classify(none, model).count() == 0
-    assert knn_quality.fit(odd, labels.where("quality = 1")) is None and knn_quality.classify(odd, None).count() == 14
+
+
+@pytest.mark.parametrize(("kind", "score"), [("quality = 1", 1.0), ("quality = 0", 0.0), ("quality is null", 0.5)])
+def test_labels_of_one_kind_or_none(spark, odd, kind, score):
+    """Texts with words score the share of label 1, texts without words (null, empty, white space) 0."""
+    labels = spark.createDataFrame([(5, 1), (7, 1), (12, 0), (10, 0), (None, 1), (4, None)], "doc_id long, quality int").where(kind)
+    got = knn_quality.classify(odd, knn_quality.fit(odd, labels)).collect()
+    assert len(got) == 14 and all(r["score"] == (0.0 if r["doc_id"] in (1, 2, 3) else score) for r in got)
+
+
+def test_ties_of_the_last_vote_go_by_index():
+    rng = np.random.default_rng(3)
+    sims, labels = rng.integers(0, 6, (40, 3000)) / 5, rng.integers(0, 2, 3000)
+    for s, got in zip(sims, knn_quality.vote(sims, labels, 25)):
+        near = np.lexsort((np.arange(3000), -s))[:25]
+        w = s[near] ** 2 + 1e-9
+        assert got == pytest.approx((w * labels[near]).sum() / w.sum())
 
 
 # ---------------------------------------------------------------- 4
