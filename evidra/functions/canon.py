@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,12 +74,20 @@ def signature_keys(columns: dict[str, str]) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit("second"), text)]
 
 
-def fold_text(t: str) -> str:
-    """Compatibility decomposition (NFKD) without combining marks, lower case, white space collapsed."""
+@lru_cache(100_000)
+def _fold_word(t: str) -> str:
     plain = "".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch))
     return " ".join(plain.lower().split())
 
 
+def fold_text(t: str) -> str:
+    """Compatibility decomposition (NFKD) without combining marks, lower case, white space collapsed. Nothing in this reaches over white
+    space, so that words are folded one by one, frequent ones once."""
+    if t.isascii():
+        return " ".join(t.lower().split())
+    return " ".join(filter(None, map(_fold_word, t.split())))
+
+
 @F.pandas_udf(StringType())
 def _decomposed(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text, na_action="ignore")

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..session import pinned, previous, running
 
 
+FEW_ROWS = 1_000  #: of a value, that are dealt one by one
+
+
 def bayes_ceiling(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """One row: the most labels that any function of the features can get right, and inputs with several labels."""
     n = df.where(F.col(label).isNotNull()).groupBy(*features, label).agg(F.count(F.lit(1)).alias("n"))
@@ -63,9 +66,20 @@ def flags(df: DataFrame, thresholds: list, record: str) -> DataFrame:
     return df.select(record, *[t.passes().alias(t.name) for t in thresholds])
 
 
-def split(n: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """[value, fold]: rows of each value dealt to k folds at random; each row is in one."""
-    return rng.multinomial(n, [1 / k] * k)
+def split(values: np.ndarray, n: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """[value, fold]: n rows of each value dealt to k folds at random, each row to one; the same in whatever batch a value comes."""
+    bits = (values + 0.0).view(np.uint64)
+    out = np.zeros((len(n), k), np.int64)
+    few = np.flatnonzero(n <= FEW_ROWS)
+    at = np.repeat(few, n[few])
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(n[few]) - n[few], n[few])
+    h = bits[at] * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(seed * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+    np.add.at(out, (at, (h % np.uint64(k)).astype(np.int64)), 1)
+    for i in np.flatnonzero(n > FEW_ROWS):
+        out[i] = np.random.default_rng([seed, int(bits[i])]).multinomial(n[i], [1 / k] * k)
+    return out
 
 
 def max_margin(x: np.ndarray, y: np.ndarray, c: float = 100.0, rounds: int = 3000) -> tuple[np.ndarray, float]:
@@ -124,12 +138,10 @@ def fold_counts(df: DataFrame, score: str, label: str, k: int, repeats: int, see
 
     def deal(batches):
         for pdf in batches:
-            out = []
-            for s, p, n in zip(pdf["s"].tolist(), pdf["p"].tolist(), pdf["n"].tolist()):
-                bits = int(np.float64(s).view(np.uint64))
-                for r in range(repeats):
-                    out.append((r, s, *split(np.array([p, n]), k, np.random.default_rng([seed, r, bits])).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["r", "s", *names])
+            s, p, n = (pdf[c].to_numpy() for c in ("s", "p", "n"))
+            for r in range(repeats):
+                dealt = [split(s, c, k, 2 * (seed * repeats + r) + label) for label, c in ((1, p), (0, n))]
+                yield pd.DataFrame({"r": r, "s": s} | dict(zip(names, np.concatenate(dealt, 1).T)))
 
     dealt = counts.mapInPandas(deal, "r int, s double" + "".join(f", {c} long" for c in names))
     return dealt.select(F.struct("r", "s").alias("o"), *names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,10 @@ FINGERPRINT = "column string, kind string, type string, bin int, edge double, le
 
 
 def binned(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """(column, bin, n, sum) of every column in one pass."""
+    """(column, bin, n, mean, var) of every column in one pass."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), bin_of(F.col(c).cast("double"), e).alias("bin"), F.col(c).cast("double").alias("x")) for c, e in cuts.items()])
     rows = df.select(F.explode(cells).alias("x")).select("x.*").where("bin is not null")
-    return rows.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sum"))
+    return rows.groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
 
 
 def levels(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,54 +52,65 @@ def levels(df: DataFrame, columns: list[str]) -> DataFrame:
 def fingerprint(df: DataFrame, numeric: list[str], nominal: list[str] = ()) -> DataFrame:
     """What is kept of a run to compare the next one with, a few rows a column: of numeric columns each decile bin with its upper edge and
     rows, the mean and deviation; of nominal ones each level and its rows; of every column its type."""
-    kinds, rows = dict(df.dtypes), []
-    rows += [(c, "type", kinds[c], None, None, None, None, None, None, None) for c in df.columns]
-    if numeric:
-        cuts = edges(df, list(numeric))
-        found = {(r["column"], r["bin"]): r["n"] for r in binned(df, cuts).collect()} if cuts else {}
-        moments = df.agg(*[g(F.col(c).cast("double")).alias(f"{n}_{c}") for c in cuts for n, g in (("m", F.avg), ("s", F.stddev_samp))]).first() if cuts else {}
-        for c, e in cuts.items():
-            total = sum(n for (name, _), n in found.items() if name == c)
-            rows += [(c, "bin", kinds[c], i, e[i] if i < len(e) else None, None, found.get((c, i), 0), total, moments[f"m_{c}"], moments[f"s_{c}"]) for i in range(len(e) + 1)]
+    return df.sparkSession.createDataFrame(_fingerprint(df, list(numeric), list(nominal)), FINGERPRINT)
+
+
+def _fingerprint(df: DataFrame, numeric: list[str], nominal: list[str]) -> list[tuple]:
+    kinds = dict(df.dtypes)
+    rows = [(c, "type", kinds[c], None, None, None, None, None, None, None) for c in df.columns]
+    cuts = edges(df, numeric) if numeric else {}
+    parts: dict[str, dict[int, tuple]] = {c: {} for c in cuts}
+    for r in binned(df, cuts).collect() if cuts else []:
+        parts[r["column"]][r["bin"]] = (r["n"], r["mean"], r["var"])
+    for c, e in cuts.items():
+        total = sum(n for n, _, _ in parts[c].values())
+        mean = sum(n * m for n, m, _ in parts[c].values()) / total
+        squares = sum(n * (v + (m - mean) ** 2) for n, m, v in parts[c].values())
+        sd = math.sqrt(squares / (total - 1)) if total > 1 else None
+        rows += [(c, "bin", kinds[c], i, e[i] if i < len(e) else None, None, parts[c].get(i, (0,))[0], total, mean, sd) for i in range(len(e) + 1)]
     if nominal:
-        rows += [(r["column"], "level", kinds[r["column"]], None, None, r["value"], r["n"], r["total"], None, None) for r in levels(df, list(nominal)).collect()]
-    return df.sparkSession.createDataFrame(rows, FINGERPRINT)
+        rows += [(r["column"], "level", kinds[r["column"]], None, None, r["value"], r["n"], r["total"], None, None) for r in levels(df, nominal).collect()]
+    return rows
 
 
 def since(fingerprint: DataFrame, current: DataFrame, floor: float = FLOOR) -> DataFrame:
     """(column, kind, value, mean_shift_sd, worst, status): stability of numeric and variation of nominal columns against a stored
     fingerprint, whose run is not read again; worst and status are those of the whole table. Empty bins count as the floor. Columns that
     are gone are left out here; schema_since() names them."""
+    return _since([tuple(r) for r in fingerprint.collect()], current, floor)  # a few rows a column
+
+
+def _since(old: list[tuple], current: DataFrame, floor: float = FLOOR) -> DataFrame:
     spark, there = current.sparkSession, set(current.columns)
-    old = [r for r in fingerprint.collect() if r["column"] in there]  # a few rows a column
+    bins = sorted((r for r in old if r[1] == "bin" and r[0] in there), key=lambda r: (r[0], r[3]))
+    was_levels = {(r[0], r[5]): r[6] / r[7] for r in old if r[1] == "level" and r[0] in there}
     cuts: dict[str, list[float]] = {}
-    for r in sorted((r for r in old if r["kind"] == "bin"), key=lambda r: r["bin"]):
-        cuts.setdefault(r["column"], [])
-        if r["edge"] is not None:
-            cuts[r["column"]].append(r["edge"])
-    nominal = sorted({r["column"] for r in old if r["kind"] == "level"})
-    was = spark.createDataFrame([tuple(r) for r in old if r["kind"] != "type"], FINGERPRINT)
-    out = None
-    if cuts:
-        now = binned(current, cuts)
-        totals = now.groupBy("column").agg(F.sum("n").alias("now_total"), F.sum("sum").alias("now_sum"))
-        j = was.where("kind = 'bin'").join(F.broadcast(now.select("column", "bin", F.col("n").alias("now_n"))), ["column", "bin"], "left")
-        j = j.join(F.broadcast(totals), "column", "left")
-        e = F.greatest(F.col("n") / F.col("total"), F.lit(floor))
-        a = F.greatest(F.coalesce(F.col("now_n") / F.col("now_total"), F.lit(0.0)), F.lit(floor))
-        shift = F.when(F.first("sd") > 0, (F.first("now_sum") / F.first("now_total") - F.first("mean")) / F.first("sd"))
-        out = j.groupBy("column").agg(F.lit("psi").alias("kind"), F.sum((a - e) * F.log(a / e)).alias("value"), shift.alias("mean_shift_sd"))
-    if nominal:
+    for r in bins:
+        cuts.setdefault(r[0], []).extend([r[4]] if r[4] is not None else [])
+    rows = []
+    now: dict[str, dict[int, tuple]] = {c: {} for c in cuts}
+    for r in binned(current, cuts).collect() if cuts else []:
+        now[r["column"]][r["bin"]] = (r["n"], r["mean"])
+    for c in cuts:
+        own = [r for r in bins if r[0] == c]
+        total = sum(n for n, _ in now[c].values())
+        psi = 0.0
+        for r in own:
+            e, a = max(r[6] / r[7], floor), max(now[c].get(r[3], (0,))[0] / total if total else 0.0, floor)
+            psi += (a - e) * math.log(a / e)
+        shift = (sum(n * m for n, m in now[c].values()) / total - own[0][8]) / own[0][9] if total and own[0][9] else None
+        rows.append((c, "psi", psi, shift))
+    schema = "column string, kind string, value double, mean_shift_sd double"
+    out = spark.createDataFrame(rows, schema)
+    if was_levels:
         from . import profile
 
-        n = profile.value_counts(current, nominal).where("value is not null")
-        n = n.join(F.broadcast(n.groupBy("column").agg(F.sum("n").alias("now_total"))), "column").select("column", F.col("value").alias("level"), (F.col("n") / F.col("now_total")).alias("q"))
-        j = was.where("kind = 'level'").select("column", "level", (F.col("n") / F.col("total")).alias("p")).join(n, ["column", "level"], "full")
+        # what the current run holds may be many levels: they stay a table
+        n = profile.value_counts(current, sorted({c for c, _ in was_levels})).where("value is not null")
+        n = n.join(F.broadcast(n.groupBy("column").agg(F.sum("n").alias("total"))), "column").select("column", F.col("value").alias("level"), (F.col("n") / F.col("total")).alias("q"))
+        j = spark.createDataFrame([(c, v, p) for (c, v), p in was_levels.items()], "column string, level string, p double").join(n, ["column", "level"], "full")
         gap = F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))) / 2
-        tvd = j.groupBy("column").agg(F.lit("tvd").alias("kind"), gap.alias("value"), F.lit(None).cast("double").alias("mean_shift_sd"))
-        out = tvd if out is None else out.unionByName(tvd)
-    if out is None:
-        return spark.createDataFrame([], "column string, kind string, value double, mean_shift_sd double, worst double, status string")
+        out = out.unionByName(j.groupBy("column").agg(F.lit("tvd").alias("kind"), gap.alias("value"), F.lit(None).cast("double").alias("mean_shift_sd")))
     worst = out.agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("worst"))  # one row
     return out.join(F.broadcast(worst)).withColumn("status", status(F.col("worst")))
 
@@ -110,7 +123,7 @@ def schema_since(fingerprint: DataFrame, current: DataFrame) -> DataFrame:
 
 def stability(previous: DataFrame, current: DataFrame, columns: list[str], floor: float = FLOOR) -> DataFrame:
     """(column, psi, mean_shift_sd, status). Bins are the previous run's deciles."""
-    out = since(fingerprint(previous, columns), current, floor)
+    out = _since(_fingerprint(previous, columns, []), current, floor)
     return out.select("column", F.col("value").alias("psi"), "mean_shift_sd", status(F.col("value")).alias("status"))
 
 
@@ -120,7 +133,7 @@ def status(psi: Column) -> Column:
 
 def variation(previous: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """(column, tvd): half the sum of absolute differences of the levels' shares, for columns of at most MAX_LEVELS levels."""
-    return since(fingerprint(previous, [], columns), current).select("column", F.col("value").alias("tvd"))
+    return _since(_fingerprint(previous, [], columns), current).select("column", F.col("value").alias("tvd"))
 
 
 def schema_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -167,4 +180,4 @@ def inputs_changed(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def report(previous: DataFrame, current: DataFrame, numeric: list[str], nominal: list[str]) -> DataFrame:
     """since() of two tables."""
-    return since(fingerprint(previous, numeric, nominal), current)
+    return _since(_fingerprint(previous, numeric, nominal), current)

@@ -124,35 +124,37 @@ ACCURACY = 10_000  #: of the sketch: its ranks are off by one in as many at most
 def quantiles(df: DataFrame, keys: list[str], column: str, at: list[float]) -> DataFrame:
     """(keys, q0, q1, ...): exact quantiles with linear interpolation, for groups of any size.
 
-    A sketch brackets each quantile between two values; what lies below is counted, and only values inside a bracket, a few in
-    ten thousand, are ranked. That the ranks fall inside is checked; if they don't, or if there are many groups, all values are ranked.
+    A sketch brackets each quantile between two values. Only values inside a bracket, a few in ten thousand, are told apart; the others
+    are counted by the gap between brackets that they lie in. Running sums over those few give the ranks. That the ranks fall inside
+    the brackets is checked; if they don't, or if there are many groups, all values are ranked.
     """
-    key = F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_"))
+    spark, key = df.sparkSession, F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_"))
     x = F.col(column).cast("double")
     rows = df.where(x.isNotNull()).select(key.alias("_k"), x.alias("_x"))
     near = 3.0 / ACCURACY
     cuts = [min(1.0, max(0.0, q + d)) for q in at for d in (-near, near)]
     sketch = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_total"), F.percentile_approx("_x", cuts, ACCURACY).alias("_b"))
-    sketch = pinned(sketch, "brackets")
-    if sketch.count() > FEW_GROUPS:
+    groups = sketch.limit(FEW_GROUPS + 1).collect()
+    if len(groups) > FEW_GROUPS:
         return _ranged_quantiles(df, keys, column, at)
-    low, high = (lambda i: F.col("_b")[2 * i]), (lambda i: F.col("_b")[2 * i + 1])
-    held = rows.join(F.broadcast(sketch), "_k")
-    below = held.groupBy("_k").agg(*[F.count_if(F.col("_x") < low(i)).alias(f"_under{i}") for i in range(len(at))])
-    inside = F.array(*[F.when(F.col("_x").between(low(i), high(i)), F.lit(i)) for i in range(len(at))])
-    few = held.select("_k", "_x", F.explode(F.filter(inside, lambda i: i.isNotNull())).alias("_i")).groupBy("_k", "_i", "_x").agg(F.count(F.lit(1)).alias("_n"))
-    run = F.sum("_n").over(Window.partitionBy("_k", "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = few.withColumn("_run", run).join(F.broadcast(sketch.drop("_b").join(below, "_k")), "_k")
+    held = rows.join(F.broadcast(spark.createDataFrame(groups, sketch.schema)), "_k")
+    inside = F.lit(False)
+    for i in range(len(at)):
+        inside = inside | F.col("_x").between(F.col("_b")[2 * i], F.col("_b")[2 * i + 1])
+    held = held.select("_k", "_total", "_x", F.size(F.filter("_b", lambda cut: cut < F.col("_x"))).alias("_gap"), F.when(inside, F.col("_x")).alias("_in"))
+    few = held.groupBy("_k", "_total", "_gap", "_in").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_least"))
+    run = F.sum("_n").over(Window.partitionBy("_k").orderBy("_least").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = few.withColumn("_run", run)  # ranks from 0: this value has those from _run - _n to _run - 1
     picks = []
     for i, q in enumerate(at):
         place = (F.col("_total") - 1) * F.lit(float(q))
-        last = F.col(f"_under{i}") + F.col("_run")  # ranks from 0: this value has those from last - _n to last - 1
         for name, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            picks.append(F.max(F.when((F.col("_i") == i) & (last - F.col("_n") <= rank) & (rank < last), F.col("_x"))).alias(f"_{name}{i}"))
-    found = pinned(ranked.groupBy("_k", "_total").agg(*picks), "quantiles")
-    if found.where(" or ".join(f"_lo{i} is null or _hi{i} is null" for i in range(len(at)))).limit(1).count():
+            picks.append(F.max(F.when((F.col("_run") - F.col("_n") <= rank) & (rank < F.col("_run")), F.col("_in"))).alias(f"_{name}{i}"))
+    found = ranked.groupBy("_k", "_total").agg(*picks)
+    got = found.collect()  # a row a group
+    if any(v is None for r in got for v in r[2:]):
         return _ranged_quantiles(df, keys, column, at)
-    return _between(found, keys, at)
+    return _between(spark.createDataFrame(got, found.schema), keys, at)
 
 
 def _between(found: DataFrame, keys: list[str], at: list[float]) -> DataFrame:
