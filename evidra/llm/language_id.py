@@ -5,7 +5,9 @@ sample of labelled texts; frozen, it gives the exact code length of every whole
 lower-cased first. Ties go to the language that sorts first. Null text, or a text without a letter, is ``und`` with score 0; if
 nothing can be learned, every text is ``und``. Rows are judged one by one (repeated rows, null ids and other columns do no harm).
 
-The driver counts languages, collects the grams of the sample (bounded by it) and builds one dense table, a state for each context.
+The driver counts languages, collects the grams of the sample (bounded by it) and builds the trees: a state for each context, which keeps
+only the symbols seen after it, a code length each, and what it costs to escape to the shorter context. Trees of more than MODEL_BYTES
+are built again with the rarer contexts of three bytes left to their suffixes, so that what is broadcast has that bound.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ ORDER = 3
 PAD = bytes(ORDER)
 MIN_SCORE = 0.3  #: the pipeline's least share of likelihood; four equal languages have 0.25
 BLOCK = 1 << 20
+MODEL_BYTES = 128_000_000  #: of code lengths and escapes
 
 
 @dataclass
@@ -31,8 +34,35 @@ class Trees:
     langs: list[str]
     lut: np.ndarray  #: byte to symbol, 0 for bytes that the sample lacks
     a: int  #: number of symbols
-    state: np.ndarray  #: code of the last three symbols to state
-    bits: np.ndarray  #: [state * a + symbol, language]: code length in bits
+    state: np.ndarray  #: code of the last three symbols to state; at most 257 ** 3 of them
+    lower: np.ndarray  #: state to that of the context without its first byte, -1 for the empty one
+    escape: np.ndarray  #: [state, language]: bits of leaving for the shorter context
+    words: np.ndarray  #: [state, 64 symbols each]: a bit for every symbol seen
+    base: np.ndarray  #: [state, 64 symbols each]: symbols seen before these
+    bits: np.ndarray  #: [symbol seen in a state, language]: code length in bits
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.state, self.lower, self.escape, self.words, self.base, self.bits))
+
+    def cost(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """[position, language]: bits of each symbol in its state, by its own length or by escapes down to a state that has it."""
+        out = np.zeros((len(state), len(self.langs)), np.float32)
+        word, one = symbol >> 6, np.uint64(1) << (symbol & 63).astype(np.uint64)
+        at = np.arange(len(state))
+        while len(at):
+            have = self.words[state, word]
+            seen = have & one != 0
+            i = self.base[state, word] + np.bitwise_count(have & (one - np.uint64(1)))
+            out[at[seen]] += self.bits[i[seen]]
+            miss = ~seen
+            at, state, word, one = at[miss], state[miss], word[miss], one[miss]
+            out[at] += self.escape[state]
+            state = self.lower[state]
+            out[at[state < 0]] += 8  # any byte
+            left = state >= 0
+            at, state, word, one = at[left], state[left], word[left], one[left]
+        return out
 
 
 def train_rows(docs: DataFrame, per_lang: int) -> DataFrame:
@@ -59,55 +89,62 @@ def fit(docs: DataFrame, per_lang: int = 1500, min_context: int = 3) -> Trees |
     """min_context: contexts of three bytes seen fewer times fall back to their shorter suffix."""
     rows = train_rows(docs, per_lang).mapInPandas(_grams, "lang string, gram long, n long")
     found = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return build(found, min_context) if len(found) else None
+    return build(found, min_context) if (found["gram"] & 255 != 0).any() else None
 
 
-def build(found: pd.DataFrame, min_context: int) -> Trees:
-    gram = found["gram"].to_numpy(np.int64)
-    found = found[(gram & 255) != 0]  # padding is context, never predicted
-    gram = found["gram"].to_numpy(np.int64)
+def build(found: pd.DataFrame, min_context: int, limit: int = MODEL_BYTES) -> Trees:
+    found = found[(found["gram"].to_numpy(np.int64) & 255) != 0]  # padding is context, never predicted
+    gram, n = found["gram"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
     langs = sorted(found["lang"].unique())
     which = np.searchsorted(langs, found["lang"].to_numpy(str))
-    n = found["n"].to_numpy(np.float64)
     used = np.unique(np.concatenate([gram >> s & 255 for s in (24, 16, 8, 0)]))
     used = used[used != 0]
     lut = np.zeros(256, np.int32)
     lut[used] = np.arange(1, len(used) + 1)
     a = len(used) + 1
     s3, s2, s1, s0 = (lut[gram >> s & 255].astype(np.int64) for s in (24, 16, 8, 0))
-    ctx3, ctx2, ctx1 = (s3 * a + s2) * a + s1, s2 * a + s1, s1
-    total3 = np.bincount(ctx3, n, a**3)
-    seen3 = np.flatnonzero(total3 >= min_context)
-    seen2 = np.flatnonzero(np.bincount(ctx2, n, a * a) > 0)
-    # states: order 0, the a contexts of order 1, the seen ones of order 2, the seen ones of order 3
-    state2 = np.tile(1 + np.arange(a), a)
-    state2[seen2] = 1 + a + np.arange(len(seen2))
-    state3 = np.tile(state2, a).astype(np.int32)
-    state3[seen3] = 1 + a + len(seen2) + np.arange(len(seen3))
-    bits = np.empty(((1 + a + len(seen2) + len(seen3)) * a, len(langs)), np.float32)
-
-    def refine(lower: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """P(symbol) of one order from counts [context, symbol] and the shorter context's P."""
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(total > 0, np.where(counts > 0, counts / (total + kinds), lower * kinds / (total + kinds)), lower)
-
-    def dense(ctx: np.ndarray, rows: np.ndarray, mine: np.ndarray, size: int) -> np.ndarray:
-        at = np.full(size, -1)
-        at[rows] = np.arange(len(rows))
-        keep = mine & (at[ctx] >= 0)
-        return np.bincount(at[ctx[keep]] * a + s0[keep], n[keep], len(rows) * a).reshape(len(rows), a)
-
-    for k in range(len(langs)):
-        mine = which == k
-        p0 = refine(np.full((1, a), 1 / 256), np.bincount(s0[mine], n[mine], a).reshape(1, a))
-        p1 = refine(np.repeat(p0, a, 0), dense(ctx1, np.arange(a), mine, a))
-        p2 = refine(p1[seen2 % a], dense(ctx2, seen2, mine, a * a))
-        low3 = state2[seen3 % (a * a)]
-        p12 = np.vstack([p1, p2])
-        p3 = refine(p12[low3 - 1], dense(ctx3, seen3, mine, a**3))
-        bits[:, k] = -np.log2(np.vstack([p0, p1, p2, p3])).reshape(-1)
-    return Trees(langs, lut, a, state3, bits)
+    contexts = [np.zeros(len(gram), np.int64), s1, s2 * a + s1, (s3 * a + s2) * a + s1]
+    ctx3, of3 = np.unique(contexts[3], return_inverse=True)
+    total3 = np.bincount(of3, n, len(ctx3))
+    while True:
+        # what is kept: all contexts of up to two bytes, and those of three that are frequent enough
+        rows = [np.arange(len(gram))] * 3 + [np.flatnonzero(total3[of3] >= min_context)]
+        pairs = [np.unique(c[r] * a + s0[r]) for c, r in zip(contexts, rows)]
+        states = [np.unique(k // a) for k in pairs]
+        if 4 * len(langs) * sum(map(len, [*pairs, *states])) <= limit or not len(pairs[3]):
+            break
+        min_context *= 2
+    first = np.concatenate([[0], np.cumsum([len(c) for c in states])])
+    total = int(first[-1])
+    lower = np.full(total, -1, np.int64)
+    escape = np.zeros((total, len(langs)), np.float32)
+    words = np.zeros((total, (a + 63) // 64), np.uint64)
+    bits, below = [], None
+    for order, (ctx, r, keys, own) in enumerate(zip(contexts, rows, pairs, states)):
+        counts = np.zeros((len(keys), len(langs)))
+        np.add.at(counts, (np.searchsorted(keys, ctx[r] * a + s0[r]), which[r]), n[r])
+        state, symbol = np.searchsorted(own, keys // a), keys % a
+        starts = np.flatnonzero(np.r_[True, state[1:] != state[:-1]]) if len(keys) else np.empty(0, np.int64)
+        if len(keys):
+            all_of, kinds = np.add.reduceat(counts, starts), np.add.reduceat((counts > 0).astype(float), starts)
+            leave = np.where(all_of > 0, kinds / np.maximum(all_of + kinds, 1), 1.0)  # a context that a language lacks costs it nothing
+            shorter = own % a ** max(order - 1, 0) if order else own
+            p = 1 / 256 if not order else below[2][np.searchsorted(below[0], (keys // a % a ** (order - 1)) * a + symbol)]
+            p = np.where(counts > 0, counts / np.maximum(all_of + kinds, 1)[state], leave[state] * p)
+            escape[first[order] : first[order + 1]] = -np.log2(leave)
+            if order:
+                lower[first[order] : first[order + 1]] = first[order - 1] + np.searchsorted(below[1], shorter)
+            np.bitwise_or.at(words, (first[order] + state, symbol >> 6), np.uint64(1) << (symbol & 63).astype(np.uint64))
+            bits.append(-np.log2(p).astype(np.float32))
+            below = (keys, own, p)
+    ends = np.cumsum(np.bitwise_count(words).astype(np.int64).ravel())
+    base = (ends - np.bitwise_count(words).ravel()).reshape(words.shape)
+    # contexts that are not kept go to the longest suffix that is
+    state = np.zeros(a**3, np.int32)
+    state.reshape(a * a, a)[:, states[1]] = first[1] + np.arange(len(states[1]))
+    state.reshape(a, a * a)[:, states[2]] = first[2] + np.arange(len(states[2]))
+    state[states[3]] = first[3] + np.arange(len(states[3]))
+    return Trees(langs, lut, a, state, lower, escape, words, base, np.concatenate(bits))
 
 
 def code_lengths(model: Trees, texts: list[bytes]) -> np.ndarray:
@@ -118,10 +155,9 @@ def code_lengths(model: Trees, texts: list[bytes]) -> np.ndarray:
     def flush(first: int, group: list[bytes]) -> None:
         sym = model.lut[np.frombuffer(PAD + PAD.join(group) + b"\0", np.uint8)]
         code = (sym[:-3] * model.a + sym[1:-2]) * model.a + sym[2:-1]
-        row = model.state[code].astype(np.int64) * model.a + sym[3:]
         ends = np.cumsum([len(t) + ORDER for t in group])
         begin = ends - np.array([len(t) + ORDER for t in group])
-        cost = model.bits[row]  # position p holds the byte p of the text, then three paddings
+        cost = model.cost(model.state[code].astype(np.int64), sym[3:])  # position p holds the byte p of the text, then three paddings
         cuts = np.column_stack([begin, begin + [len(t) for t in group]]).reshape(-1)
         sums = np.add.reduceat(np.vstack([cost, np.zeros((1, cost.shape[1]), np.float32)]), cuts, axis=0, dtype=np.float64)[::2]
         out[first : first + len(group)] = np.where((np.array([len(t) for t in group]) > 0)[:, None], sums, 0)

@@ -605,6 +605,48 @@ def test_code_lengths_equal_a_plain_tree():
         assert language_id.code_lengths(model, [b"", data])[1] == pytest.approx([bits("a", data), bits("b", data)], rel=1e-5)
 
 
+def test_sixty_languages_in_several_scripts_and_a_bound_on_the_trees():
+    rng = np.random.default_rng(7)
+    starts = [0x61, 0x3B1, 0x430, 0x5D0, 0x627, 0x905, 0x3042, 0xAC00, 0x4E00, 0x10D0]
+    texts_ = {}
+    for k in range(60):
+        letters = [chr(starts[k % 10] + x) for x in rng.permutation(22)[:14]]
+        p = rng.dirichlet(np.ones(14) / 2)
+        texts_[f"l{k:02}"] = [" ".join("".join(rng.choice(letters, rng.integers(2, 8), p=p)) for _ in range(60)) for _ in range(3)]
+    found = pd.concat(language_id._grams([pd.DataFrame({"lang": x, "text": v[:2]}) for x, v in texts_.items()]))
+    found = found.groupby(["lang", "gram"], as_index=False).sum()
+    model, small = language_id.build(found, 1), language_id.build(found, 1, 1_500_000)
+    assert len(model.langs) == 60 and small.bits.nbytes + small.escape.nbytes <= 1_500_000 < model.bits.nbytes
+    assert model.bits.nbytes < 0.2 * len(model.lower) * model.a * 60 * 4  # of a table of all states and symbols
+    counts = defaultdict(Counter)
+    for x, v in texts_.items():
+        for t in v[:2]:
+            raw = b"\0\0\0" + t.encode()
+            for i in range(3, len(raw)):
+                for k in range(4):
+                    counts[x, raw[i - k : i]][raw[i]] += 1
+
+    def bits(x, data):
+        total, raw = 0.0, b"\0\0\0" + data
+        for i in range(3, len(raw)):
+            p = 1 / 256
+            for k in range(4):
+                c = counts[x, raw[i - k : i]]
+                n, d = sum(c.values()), len(c)
+                if n:
+                    p = c[raw[i]] / (n + d) if c[raw[i]] else p * d / (n + d)
+            total -= math.log2(p)
+        return total
+
+    held = [v[2].encode() for v in texts_.values()]
+    for m, least in ((model, 58), (small, 55)):
+        got = language_id.code_lengths(m, held)
+        assert (got.argmin(1) == np.arange(60)).sum() >= least
+        if m is model:
+            for i in (0, 11, 37):
+                assert got[i] == pytest.approx([bits(x, held[i]) for x in model.langs], rel=1e-4)
+
+
 def test_language_of_odd_rows(spark, odd, none):
     out = {r["doc_id"]: r for r in language_id.identify(odd, language_id.fit(odd)).collect()}
     assert out[1]["lang_pred"] == out[2]["lang_pred"] == out[3]["lang_pred"] == "und" and out[4]["lang_pred"] == "en"
