@@ -82,24 +82,6 @@ def split(values: np.ndarray, n: np.ndarray, k: int, seed: int) -> np.ndarray:
     return out
 
 
-def max_margin(x: np.ndarray, y: np.ndarray, c: float = 100.0, rounds: int = 3000) -> tuple[np.ndarray, float]:
-    """Weights and offset of a linear support vector machine (hinge loss, offset penalised as a weight), by dual coordinate ascent."""
-    z = np.column_stack([x, np.ones(len(x))]) * np.where(y == 1, 1.0, -1.0)[:, None]
-    alpha, w, norm = np.zeros(len(z)), np.zeros(z.shape[1]), (z * z).sum(1)
-    rng = np.random.default_rng(0)
-    for _ in range(rounds):
-        moved = 0.0
-        for i in rng.permutation(len(z)):
-            step = np.clip(alpha[i] + (1 - z[i] @ w) / norm[i], 0, c) - alpha[i]
-            if step:
-                alpha[i] += step
-                w += step * z[i]
-                moved = max(moved, abs(step))
-        if moved < 1e-9:
-            break
-    return w[:-1], float(w[-1])
-
-
 def logistics(x: np.ndarray, y: np.ndarray, used: np.ndarray, l2: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(offset and weights, mean, deviation) of a ridge logistic regression (offset free) for each row of used, which marks its rows of x;
     all by Newton's method side by side. x is standardised by the rows that a model uses; x may also hold one table a model.
@@ -325,5 +307,123 @@ def overtraining(df: DataFrame, record: str, features: list[str], label: str, k:
     return out.withColumn("gap", F.col("train_auc") - F.col("test_auc"))
 
 
+@dataclass
+class Margins:
+    """Maximum-margin separators: one for each fold (fitted without it) and, last, one of all rows. Label 1 where weights . x > cut, with
+    the first weight 1 (or -1 where it points the other way)."""
+
+    record: str
+    features: list[str]
+    k: int
+    repeats: int
+    seed: int
+    weights: np.ndarray  #: [model, features], not scaled
+    offset: np.ndarray
+    objective: np.ndarray  #: half the squared weights plus c times the hinge losses
+    gap: np.ndarray  #: how much less the objective could be at most, as a share of it
+    passes: int
+
+    def scaled(self) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, cut) divided by the size of the first weight."""
+        first = np.where(np.abs(self.weights[:, :1]) > 0, np.abs(self.weights[:, :1]), 1.0)
+        return self.weights / first, -self.offset / first[:, 0]
+
+
+OFFSET_RIDGE = 1e-6  #: on the offset, so that the dual has no equality to keep
+STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
+
+
+def fit_margins(df: DataFrame, record: str, features: list[str], label: str, c: float = 100.0, k: int = 5, repeats: int = 1, seed: int = 0, tolerance: float = 1e-3, passes: int = 200) -> Margins:
+    """Linear support vector machines over all rows, of all folds and of all rows at once.
+
+    The hinge is rounded off over a band, in which Newton's method applies: a pass over the rows sums each model's gradient and curvature,
+    another one its loss at several lengths of the step. Every pass also gives a feasible point of the dual (how far each row is into
+    the band), so that the difference of primal and dual bounds what is left to gain; the band is narrowed until that is small enough.
+    """
+    d, models = len(features), repeats * k + 1
+    x = [F.col(f).cast("double").alias(f) for f in features]
+    rows = df.where(F.col(label).isNotNull()).select(record, *x, F.col(label).cast("int").alias("_y")).na.drop(subset=features)
+    names = [f"_f{r}" for r in range(repeats)]
+    rows = pinned(rows.select(*features, "_y", *[_fold(seed + r, record, k).alias(f"_f{r}") for r in range(repeats)]), "margins")
+    first = rows.agg(F.count(F.lit(1)), *[F.max(F.abs(f)) for f in features]).first()
+    scale = np.array([v if v else 1.0 for v in first[1:]], float)
+    ridge = np.array([*(1 / scale**2), OFFSET_RIDGE])  # of weights on features over their scale
+
+    def parts(pdf):
+        z = np.column_stack([pdf[features].to_numpy(float) / scale, np.ones(len(pdf))])
+        folds = pdf[names].to_numpy()
+        used = np.column_stack([(folds[:, :, None] != np.arange(k)).reshape(len(pdf), models - 1), np.ones(len(pdf), bool)])
+        return z, np.where(pdf["_y"].to_numpy() == 1, 1.0, -1.0), used.astype(float)
+
+    w, best, gap = np.zeros((models, d + 1)), np.full(models, np.inf), np.full(models, np.inf)
+    kept = w.copy()
+    band, done = np.full(models, 4.0), 0  # all rows lie in the first one
+    live = np.arange(models) if first[0] else np.empty(0, int)
+    gap[np.setdiff1d(np.arange(models), live)] = best[np.setdiff1d(np.arange(models), live)] = 0.0
+    while len(live) and done < passes:
+
+        def derivatives(pdf, w=w[live], band=band[live], live=live):
+            z, y, used = parts(pdf)
+            left = (1 - y[:, None] * (z @ w.T)) * 1.0
+            used = used[:, live]
+            into = np.clip(left / band, 0, 1) * used
+            curved = ((left > 0) & (left < band)) * used / band
+            loss = np.maximum(left, 0) * used
+            smooth = (np.where(left < band, np.maximum(left, 0) ** 2 / (2 * band), left - band / 2)) * used
+            curvature = np.einsum("bi,bm,bj->mij", z, curved, z, optimize=True).reshape(len(live), -1)
+            return np.column_stack([loss.sum(0), smooth.sum(0), (into * (y > 0)[:, None]).T @ z, (into * (y < 0)[:, None]).T @ z, curvature])
+
+        got = _summed(rows, derivatives, 2 + 2 * (d + 1) + (d + 1) ** 2, len(live))
+        own = w[live]
+        half = (ridge * own * own).sum(1) / 2
+        primal, smooth = half + c * got[:, 0], half + c * got[:, 1]
+        up, down = c * got[:, 2 : 3 + d], c * got[:, 3 + d : 4 + 2 * d]  # of either label; the last is how far all its rows are in
+        pull = up - down
+        # the label that is further in is drawn back, so that nothing of the offset is left
+        least = np.minimum(up[:, -1], down[:, -1])
+        fair = up * (least / np.maximum(up[:, -1], 1e-300))[:, None] - down * (least / np.maximum(down[:, -1], 1e-300))[:, None]
+        dual = 2 * least - (fair[:, :-1] ** 2 / ridge[:-1]).sum(1) / 2
+        better = primal < best[live]
+        best[live], kept[live] = np.where(better, primal, best[live]), np.where(better[:, None], own, kept[live])
+        lowest = np.maximum(best[live] - np.maximum(dual, 0), 0) / np.maximum(best[live], 1e-300)
+        gap[live] = np.minimum(gap[live], lowest)
+        gradient = ridge * own - pull
+        curvature = c * got[:, 4 + 2 * d :].reshape(-1, d + 1, d + 1) + (ridge + 1e-6 * (up + down)[:, -1:])[:, :, None] * np.eye(d + 1)
+        step = -np.linalg.solve(curvature, gradient[:, :, None])[:, :, 0]
+        tried = own[:, None] + step[:, None] * np.array(STEPS)[None, :, None]
+
+        def losses(pdf, tried=tried, band=band[live], live=live):
+            z, y, used = parts(pdf)
+            left = 1 - y[:, None, None] * np.einsum("bi,msi->bms", z, tried, optimize=True)
+            wide = band[None, :, None]
+            smooth = np.where(left < wide, np.maximum(left, 0) ** 2 / (2 * wide), left - wide / 2)
+            return (smooth * used[:, live][:, :, None]).sum(0)
+
+        value = (ridge * tried * tried).sum(2) / 2 + c * _summed(rows, losses, len(STEPS), len(live))
+        done += 2
+        pick = value.argmin(1)
+        lower = value[np.arange(len(live)), pick]
+        moved = smooth - lower > 1e-4 * tolerance * np.maximum(smooth, 1e-300)
+        w[live] = np.where((lower < smooth)[:, None], tried[np.arange(len(live)), pick], own)
+        band[live] = np.where(moved, band[live], band[live] / 4)  # settled in this band
+        live = live[(gap[live] > tolerance) & (band[live] > 1e-12)]
+    out = kept[:, :d] / scale
+    return Margins(record, features, k, repeats, seed, out, kept[:, d], best, gap, done)
+
+
+def margin_cv(df: DataFrame, record: str, features: list[str], label: str, c: float = 100.0, k: int = 5, repeats: int = 1, seed: int = 0) -> DataFrame:
+    """(repeat, fold, weights, cut, accuracy, gap): separators fitted on the other folds, their first weight scaled to 1, and how they do on
+    the fold; the row without repeat and fold is that of all rows."""
+    m = fit_margins(df, record, features, label, c, k, repeats, seed)
+    rows = df.where(F.col(label).isNotNull()).na.drop(subset=features)
+    weights, cut = m.scaled()
+    says = [sum((F.col(f).cast("double") * float(v) for f, v in zip(features, w)), F.lit(0.0)) > F.lit(float(t)) for w, t in zip(weights, cut)]
+    right = [(s == (F.col(label) == 1)).cast("double") for s in says]
+    held = [F.avg(F.when(_fold(seed + i // k, record, k) == i % k, right[i])) for i in range(repeats * k)]
+    got = rows.agg(*held, F.avg(right[-1])).first()
+    out = [(i // k if i < repeats * k else None, i % k if i < repeats * k else None, weights[i].tolist(), float(cut[i]), got[i], float(m.gap[i])) for i in range(len(cut))]
+    return df.sparkSession.createDataFrame(out, "repeat int, fold int, weights array<double>, cut double, accuracy double, gap double")
+
+
 def ambiguous(p, band: tuple[float, float] = (0.35, 0.65)):
     return p.between(*band)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import quality, recompute
+from .relational import quantiles
 
 MATERIAL, TRIAL, ENTRY = "MATERIAL_GUID", "TRIAL_GUID", "TRIAL_ENTRY_GUID"
 
@@ -127,14 +128,22 @@ def genomic_means(tm: DataFrame, genomics: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------------------------ checks across sources
 
-FINDING = ("check", "severity", "checked", "found", "statement")
+FINDING = ("check", "severity", "checked", "found", "median", "largest", "worst", "statement")
+#: fixed values: the names of the checks
+CHECKS = (
+    "referential_integrity", "trial_gbv_reconciliation", "trial_resistance_reconciliation", "operations_vs_observations", "trial_design_environments", "genomics_qc", "data_gap",
+)
 
 
 def _finding(row: DataFrame, name: str, words: str, bad: str = "warning") -> DataFrame:
-    """row: one row of (checked, found). words: a format of found and checked, in this order."""
+    """row: one row of (checked, found), and median, largest and worst where differences are compared. words: a format of found and
+    checked, in this order."""
+    none = {"median": "double", "largest": "double", "worst": "array<string>"}
     return row.select(
         F.lit(name).alias("check"), F.when(F.col("found") > 0, bad).otherwise("info").alias("severity"),
-        F.col("checked").cast("long").alias("checked"), F.col("found").cast("long").alias("found"), F.format_string(words, F.col("found"), F.col("checked")).alias("statement"),
+        F.col("checked").cast("long").alias("checked"), F.col("found").cast("long").alias("found"),
+        *[F.col(c) if c in row.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()],
+        F.format_string(words, F.col("found"), F.col("checked")).alias("statement"),
     )
 
 
@@ -145,18 +154,22 @@ def unknown_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("_k").isNull()).alias("found"))
 
 
-def beyond(j: DataFrame, reported: str, recomputed: str, tolerance: float) -> DataFrame:
-    gap = F.abs(F.col(reported) - F.col(recomputed))
-    return j.agg(F.count(F.lit(1)).alias("checked"), F.count_if(gap > tolerance).alias("found"))
+def beyond(j: DataFrame, reported: str, recomputed: str, tolerance: float, key: str = TRIAL) -> DataFrame:
+    """One row: rows of both, those that differ by more than the tolerance, the median and the largest difference, and the worst three
+    of these as ``key: difference``."""
+    gaps = j.select(F.col(key).cast("string").alias("_k"), F.abs(F.col(reported) - F.col(recomputed)).alias("gap"))
+    counts = gaps.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("gap") > tolerance).alias("found"), F.max("gap").alias("largest"))
+    middle = quantiles(gaps, [], "gap", [0.5]).agg(F.max("q0").alias("median"))
+    worst = gaps.where(F.col("gap") > tolerance).orderBy(F.desc("gap"), "_k").limit(3)  # three rows
+    named = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("gap")).alias("g"), "_k"))), lambda x: F.concat(x["_k"], F.lit(": "), F.round(-x["g"], 4).cast("string")))
+    return counts.join(F.broadcast(middle)).join(F.broadcast(worst.agg(named.alias("worst"))))
 
 
 def findings(tm: DataFrame, trials: DataFrame, materials: DataFrame, genomics: DataFrame, operations: DataFrame | None, gaps: list[str] = (), tolerance_gbv: float = 1.0, tolerance_pct: float = 5.0) -> DataFrame:
-    """(check, severity, checked, found, statement): references, genomic summaries, operations without observation, single environments,
+    """(check, severity, checked, found, median, largest, worst, statement): references, genomic summaries, operations without observation, single environments,
     genomic quality, and one row for each known gap. Checks whose columns are absent are left out."""
-    out = [
-        _finding(unknown_keys(tm, materials, MATERIAL), "referential_integrity.materials", "%d of %d observed materials are missing from their master table", "critical"),
-        _finding(unknown_keys(tm, trials, TRIAL), "referential_integrity.trials", "%d of %d observed trials are missing from their master table", "critical"),
-    ]
+    lost = unknown_keys(tm, materials, MATERIAL).unionByName(unknown_keys(tm, trials, TRIAL)).agg(F.sum("checked").alias("checked"), F.sum("found").alias("found"))
+    out = [_finding(lost, "referential_integrity", "%d of %d observed materials and trials are missing from their master table", "critical")]
     again = genomic_means(tm, genomics)
     j = trials.join(again, TRIAL)
     if "GENOMIC_BREEDING_VALUE_MEAN" in trials.columns and "gbv_recomputed" in again.columns:
@@ -176,8 +189,8 @@ def findings(tm: DataFrame, trials: DataFrame, materials: DataFrame, genomics: D
         failed = F.coalesce(F.col("QC_STATUS_LID") != "PASS", F.lit(True))
         out.append(_finding(genomics.agg(F.count(F.lit(1)).alias("checked"), F.count_if(failed).alias("found")), "genomics_qc", "%d of %d genomic samples did not pass"))
     if gaps:
-        rows = [("data_gap", "info", 0, 0, g) for g in gaps]
-        out.append(tm.sparkSession.createDataFrame(rows, "check string, severity string, checked long, found long, statement string"))
+        rows = [("data_gap", "info", 0, 0, None, None, None, g) for g in gaps]
+        out.append(tm.sparkSession.createDataFrame(rows, "check string, severity string, checked long, found long, median double, largest double, worst array<string>, statement string"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -204,10 +217,11 @@ def issues(recommendations: DataFrame, tm: DataFrame, trials: DataFrame, materia
     empty = materials.agg(F.bool_or(known).alias("_any"), F.count(F.lit(1)).alias("_n")).where("not _any and _n > 0")
     lost = materials.select(MATERIAL).join(F.broadcast(empty))
     out.append(quality.issue(lost, "completeness.pedigree_empty", "completeness", "info", F.lit(None).cast("string"), "not_fixable"))
+    # each with what it means and what to do about it
     bad = references.where("share < 1").withColumn("_missing", F.col("n_references") - F.col("n_resolved"))
     out.append(_counted(bad, "_missing", "reference", "integrity.referential", "linkage"))
     out.append(_counted(compared.where("outside_tolerance > 0"), "outside_tolerance", "field", "consistency.summary_recomputed", "aggregation"))
-    return quality.union(out)
+    return quality.explained(quality.union(out))
 
 
 def _counted(bad: DataFrame, n: str, name: str, id: str, category: str) -> DataFrame:

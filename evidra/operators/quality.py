@@ -1,7 +1,9 @@
-"""Data issues with their root cause, one frame each, in one schema: id, category, severity, count, affected, evidence, fix_status."""
+"""Data issues, one frame each, in one schema: id, category, severity, count, affected, evidence, fix_status; explained() adds what they
+are called and mean."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,44 @@ def union(issues: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, issues)
 
 
+@dataclass(frozen=True)
+class Text:
+    """What an issue is called, where it comes from, what is done about it, what that means, and what to ask whoever knows."""
+
+    title: str
+    root_cause: str
+    fix: str
+    impact: str
+    question: str | None = None
+
+
+TEXTS = {
+    "linkage.orphans": Text("Operations of an unknown trial", "the trial key of the operation is in no trial table", "moved to the only trial of the same material and place, where there is one", "orphans count for no trial", "Which trial do these operations belong to?"),
+    "temporal.year": Text("Operations dated in another year than their trial", "the year of the date and of the trial differ by a constant", "the offset is kept beside the date, which stays as it is", "dates of these trials are no feature of a model"),
+    "status.planned": Text("Planned operations whose date has passed", "the status was never updated", "flagged as not reported", "nobody can tell whether they were done", "Were these operations carried out?"),
+    "completeness.price": Text("Records without a price", "the export has an empty cell", "left empty", "totals leave them out"),
+    "design.no_trial_master": Text("Place and year of trials are unknown", "the drop has no trial master", "the year is taken from the sowing date, the place stays empty", "effects of place and year cannot be told apart", "Can the trial master be shared?"),
+    "decision.breeder_decision_empty": Text("No decision has been recorded", "the decision column is empty", "decisions are recorded in the override log", "suggestions have nothing to be measured by"),
+    "completeness.genotyped_without_trials": Text("Candidates with markers but without trials", "they are in no field bridge yet", "shown as amber with that reason", "nothing is claimed about their performance"),
+    "design.commercial_checks": Text("Checks are references, not candidates", "their entries are marked as checks", "used for comparison with the checks' yield only", "they get no colour"),
+    "operations.delayed": Text("Operations done late", "the actual date lies after the planned one", "reported", "a delay excludes no trial"),
+    "operations.missed": Text("Operations that were not done", "their status is missed", "trials that missed their irrigation are not used", "their candidates are judged by fewer trials"),
+    "operations.recorded_offline": Text("Records that came on paper or by message", "somebody typed them in", "the original can be uploaded and is checked against the record", "errors of typing are possible", "Are the originals at hand?"),
+    "completeness.pedigree_empty": Text("No parents are known", "both parent columns are empty in the export", "lineage is shown as unavailable", "nothing can be inferred from relatives"),
+    "integrity.referential": Text("References between the tables", "some references name keys that are missing", "checked at every build", "no join drops a row in silence"),
+    "consistency.summary_recomputed": Text("Reported summaries recomputed from plots", "some summaries differ by more than their rounding", "both values are shown", "decisions rest on numbers that can be reproduced", "How was the summary computed?"),
+    "provenance.conflict": Text("Uploads that contradict an export", "the same key has another value", "the export stays, the upload is kept as evidence", "somebody has to look", "Which value is right?"),
+    "provenance.duplicate": Text("Uploads of rows that are already there", "the same rows came twice", "ignored", "none"),
+}
+
+
+def explained(issues: DataFrame, texts: dict[str, Text] = TEXTS) -> DataFrame:
+    """issues with title, root_cause, fix, impact and question; those of an id without texts stay null."""
+    rows = [(i, t.title, t.root_cause, t.fix, t.impact, t.question) for i, t in texts.items()]
+    table = issues.sparkSession.createDataFrame(rows, "id string, title string, root_cause string, fix string, impact string, question string")
+    return issues.join(F.broadcast(table), "id", "left")  # a row for each kind of issue
+
+
 def summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("fix_status").agg(F.count(F.lit(1)).alias("n_issues"), F.sum("count").alias("n_records"))
 

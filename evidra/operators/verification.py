@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, numbers
+from . import facts
 
 # fixed values: number words that must occur in the evidence as words
 NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "dozen", "hundred", "thousand", "half", "double", "twice")
@@ -49,6 +50,26 @@ def check(rows: DataFrame, answer: str, evidence: str, colour: str | None = None
     return out.withColumn("status", status)
 
 
+def cited_values(answers: DataFrame, key: str, text: str, evidence: DataFrame) -> DataFrame:
+    """(key, sentence_no, field, value, unit, stored, status) of every value that an answer states. evidence: (key, field, value_num),
+    which may hold several values of a field.
+
+    A value is supported if a stored one is what it rounds to at the decimals that were printed (percent signs and units aside),
+    contradicted if the field has other values only, and unknown if the key has no value of the field.
+    """
+    said = facts.extract(answers, key, text).where(F.col("value").isNotNull())
+    digits = F.length(F.regexp_extract("printed", r"[.,](\d+)$", 1))
+    said = said.withColumn("_half", 0.5 * F.pow(F.lit(10.0), -digits) + 1e-9)
+    held = evidence.select(F.col(key).alias("_k"), F.col("field").alias("_f"), F.col("value_num").cast("double").alias("_v")).where("_v is not null")
+    # of the stored values of a field the nearest: one row a value that was said
+    lists = held.groupBy("_k", "_f").agg(F.collect_set("_v").alias("_all"))
+    j = said.join(lists, (F.col(key) == F.col("_k")) & (F.col("field") == F.col("_f")), "left")
+    near = F.array_min(F.transform("_all", lambda v: F.struct(F.abs(v - F.col("value")).alias("gap"), v.alias("v"))))
+    j = j.withColumn("_near", near)
+    status = F.when(F.col("_near").isNull(), "unknown").when(F.col("_near.gap") <= F.col("_half"), "supported").otherwise("contradicted")
+    return j.select(key, "sentence_no", "field", "value", "unit", F.col("_near.v").alias("stored"), status.alias("status"))
+
+
 def fallback(record: Column, colour: Column, reason: Column) -> Column:
     """A sentence that only says what was decided."""
     return F.concat(record, F.lit(" is "), colour, F.lit(": "), reason, F.lit("."))

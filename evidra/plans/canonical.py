@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import canonical, recompute, relational
 from ..operators.canonical import ENTRY, MATERIAL, TRIAL
-from ..session import table
+from ..session import folder, table
+from . import build
 
 
 class Drop:
@@ -33,6 +34,7 @@ class Drop:
             F.when((F.col("o_orderpriority") == "1-URGENT") & (key % 50 == 1), "MISSED").when(F.col("o_orderpriority") == "2-HIGH", "Delayed").otherwise("DONE").alias("STATUS_LID"),
             F.when(F.col("o_custkey") % 5 == 0, "paper").otherwise("APP").alias("RECORDED_VIA"), (F.col("o_custkey") % 100).alias(MATERIAL),
         )
+        self.recorded = ops
         self.operations = canonical.linked_operations(ops, self.bridge)
         self.excluded = recompute.excluded_records(self.operations, TRIAL, F.col("OPERATION_TYPE_LID"), F.col("STATUS_LID"), ["irrigation"])
         self.master = sup.where("s_suppkey % 17 <> 3").select(
@@ -117,7 +119,8 @@ def canonical_genomic_means(spark, d):
 
 def canonical_findings(spark, d):
     x = Drop(spark, d)
-    return canonical.findings(x.trial_material(), x.summary, x.materials(), x.genomics, x.operations, ["operations source is partial"])
+    out = canonical.findings(x.trial_material(), x.summary, x.materials(), x.genomics, x.operations, ["operations source is partial"])
+    return _six(out.withColumn("worst", F.array_join("worst", ", ")))
 
 
 def canonical_recomputation(spark, d):
@@ -127,7 +130,23 @@ def canonical_recomputation(spark, d):
 def canonical_issues(spark, d):
     x = Drop(spark, d)
     out = canonical.issues(x.recommendations, x.trial_material(), x.trials(), x.materials(), x.operations, x.references(), x.compared())
-    return out.select("id", "category", "severity", "count", F.array_join("affected", ",").alias("affected"), "fix_status")
+    return out.select("id", "category", "severity", "count", F.array_join("affected", ",").alias("affected"), "fix_status", (F.col("question").isNotNull() & F.col("title").isNotNull()).alias("asks"))
+
+
+def canonical_incremental(spark, d):
+    """The model after an upload that takes a seventh of the materials from the master: what each table holds, and whether it was built."""
+    x = Drop(spark, d)
+    store = build.Build(spark, folder(spark, "build"), build.CANONICAL, ("master",))
+    sources = {"bridge": x.bridge, "observations": x.observations, "operations": x.recorded, "master": x.master, "recommendations": x.recommendations, "genomics": x.genomics, "summary": x.summary}
+    store.update(sources)
+    outcome = store.update({"master": x.master.where(F.col(MATERIAL) % 7 != 1), "genomics": x.genomics.orderBy(F.desc(MATERIAL))})
+    tables, out = store.current(), None
+    for name in ("materials", "long_view", "candidates", "genomic_means", "trial_material"):
+        df = tables[name]
+        known = F.count("candidate_id") if "candidate_id" in df.columns else F.lit(None).cast("long")
+        one = df.agg(F.lit(name).alias("table"), F.lit(name in outcome.built).alias("built"), F.count(F.lit(1)).alias("n"), known.alias("known"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def canonical_verdict_counts(spark, d):
@@ -141,7 +160,7 @@ def canonical_verdict_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     canonical_trial_material, canonical_trials, canonical_materials, canonical_candidates, canonical_long_view, canonical_master_columns, canonical_first_operation,
-    canonical_genomic_means, canonical_findings, canonical_recomputation, canonical_issues, canonical_verdict_counts,
+    canonical_genomic_means, canonical_findings, canonical_recomputation, canonical_issues, canonical_incremental, canonical_verdict_counts,
 )}
 
 _DROP = """
@@ -176,9 +195,14 @@ _TRIALS = """tr AS (SELECT b.t, n_entries, n_materials, n_checks, n_reps, sow, d
 
 
 def _found(check: str, rows: str, words: str, bad: str = "warning") -> str:
-    """rows: a query of (checked, found)."""
+    """rows: a query of (checked, found), or of (k, gap, tol) for differences."""
     before, middle, after = words.split("%d")
-    return f"""SELECT '{check}' AS "check", CASE WHEN found > 0 THEN '{bad}' ELSE 'info' END AS severity, checked::BIGINT AS checked, found::BIGINT AS found, '{before}' || found || '{middle}' || checked || '{after}' AS statement FROM ({rows})"""
+    more = "NULL::DOUBLE AS median, NULL::DOUBLE AS largest, NULL::VARCHAR AS worst"
+    if " gap" in rows:
+        top = f"SELECT k, gap FROM ({rows}) WHERE gap > tol ORDER BY gap DESC, k::VARCHAR LIMIT 3"
+        rows = f"""SELECT count(*) AS checked, count(*) FILTER (WHERE gap > tol) AS found, round(median(gap), 6) AS median, round(max(gap), 6) AS largest, (SELECT coalesce(string_agg(k || ': ' || round(gap, 4)::DOUBLE, ', ' ORDER BY gap DESC, k::VARCHAR), '') FROM ({top})) AS worst FROM ({rows})"""
+        more = "median, largest, worst"
+    return f"""SELECT '{check}' AS "check", CASE WHEN found > 0 THEN '{bad}' ELSE 'info' END AS severity, checked::BIGINT AS checked, found::BIGINT AS found, {more}, '{before}' || found || '{middle}' || checked || '{after}' AS statement FROM ({rows})"""
 
 
 def _issue(id: str, category: str, severity: str, rows: str, fix: str) -> str:
@@ -202,18 +226,20 @@ ORACLES = {
     "canonical_first_operation": f"""WITH {_DROP} SELECT su.t AS "TRIAL_GUID", strftime(d, '%Y-%m-%d') AS "PLANTING_DATE" FROM su LEFT JOIN (SELECT t, min(planned) AS d FROM ops WHERE kind = 'sowing' GROUP BY t) x ON su.t = x.t""",
     "canonical_genomic_means": f"""WITH {_DROP} SELECT t AS "TRIAL_GUID", round(g, 6) AS gbv_recomputed, round(r, 6) AS resistant_pct_recomputed FROM gm""",
     "canonical_findings": f"WITH {_DROP} " + " UNION ALL ".join([
-        _found("referential_integrity.materials", "SELECT count(*) AS checked, count(*) FILTER (WHERE m NOT IN (SELECT m FROM master)) AS found FROM (SELECT DISTINCT m FROM tm)", "%d of %d observed materials are missing from their master table", "critical"),
-        _found("referential_integrity.trials", "SELECT count(*) AS checked, count(*) FILTER (WHERE t NOT IN (SELECT t FROM su)) AS found FROM (SELECT DISTINCT t FROM tm)", "%d of %d observed trials are missing from their master table", "critical"),
-        _found("trial_gbv_reconciliation", "SELECT count(*) AS checked, count(*) FILTER (WHERE abs(4500 - g) > 1) AS found FROM gm JOIN su USING (t)", "%d of %d trials report another mean breeding value than their materials have"),
-        _found("trial_resistance_reconciliation", "SELECT count(*) AS checked, count(*) FILTER (WHERE abs(rp - r) > 5) AS found FROM gm JOIN su USING (t)", "%d of %d trials report another resistant share than their materials have"),
+        _found("referential_integrity", "SELECT sum(n) AS checked, sum(bad) AS found FROM (SELECT count(*) AS n, count(*) FILTER (WHERE m NOT IN (SELECT m FROM master)) AS bad FROM (SELECT DISTINCT m FROM tm) UNION ALL SELECT count(*), count(*) FILTER (WHERE t NOT IN (SELECT t FROM su)) FROM (SELECT DISTINCT t FROM tm))", "%d of %d observed materials and trials are missing from their master table", "critical"),
+        _found("trial_gbv_reconciliation", "SELECT t AS k, abs(4500 - g) AS gap, 1 AS tol FROM gm JOIN su USING (t)", "%d of %d trials report another mean breeding value than their materials have"),
+        _found("trial_resistance_reconciliation", "SELECT t AS k, abs(rp - r) AS gap, 5 AS tol FROM gm JOIN su USING (t)", "%d of %d trials report another resistant share than their materials have"),
         _found("operations_vs_observations", "SELECT count(*) AS checked, count(*) FILTER (WHERE x.t IS NULL) AS found FROM ops LEFT JOIN (SELECT DISTINCT t, m FROM tm) x ON ops.t = x.t AND ops.m = x.m", "%d of %d operations name a material without observation in that trial"),
         _found("trial_design_environments", "SELECT count(*) AS checked, count(*) FILTER (WHERE n = 1) AS found FROM (SELECT m, count(DISTINCT (location, year)) AS n FROM tm JOIN su USING (t) GROUP BY m)", "%d of %d candidates were seen in a single place and year"),
         _found("genomics_qc", "SELECT count(*) AS checked, count(*) FILTER (WHERE NOT ok) AS found FROM ge", "%d of %d genomic samples did not pass"),
-        """SELECT 'data_gap', 'info', 0, 0, 'operations source is partial'""",
+        """SELECT 'data_gap', 'info', 0, 0, NULL, NULL, NULL, 'operations source is partial'""",
     ]),
     "canonical_recomputation": f"""WITH {_DROP} SELECT 'recomputed_summary' AS "check", CASE WHEN count(*) FILTER (WHERE diff > tol) > 0 THEN 'warning' ELSE 'info' END AS severity, field,
         count(*) FILTER (WHERE diff > tol) AS outside_tolerance FROM cmp GROUP BY field""",
-    "canonical_issues": f"WITH {_DROP}, {_TRIALS} " + " UNION ALL ".join([
+    "canonical_incremental": f"""WITH {_DROP}, kept AS (SELECT * FROM mat WHERE m % 7 <> 1) SELECT 'materials' AS "table", true AS built, count(*) AS n, count(s_name) AS known FROM kept
+        UNION ALL SELECT 'long_view', true, count(*), count(s_name) FROM tm LEFT JOIN kept ON tm.m = kept.m UNION ALL SELECT 'candidates', false, count(*), NULL FROM cand
+        UNION ALL SELECT 'genomic_means', false, count(*), NULL FROM gm UNION ALL SELECT 'trial_material', false, count(*), NULL FROM tm""",
+    "canonical_issues": f"WITH {_DROP}, {_TRIALS}, i AS (" + " UNION ALL ".join([
         _issue("design.no_trial_master", "design", "warning", "SELECT t AS a FROM tr", "not_fixable"),
         _issue("completeness.genotyped_without_trials", "completeness", "info", "SELECT m AS a FROM rec WHERE used IS NULL", "none_needed"),
         _issue("design.commercial_checks", "design", "info", "SELECT m AS a FROM mat WHERE role = 'check'", "none_needed"),
@@ -225,7 +251,7 @@ ORACLES = {
         """SELECT 'integrity.referential', 'linkage', CASE WHEN sum(bad) > 0 THEN 'warning' ELSE 'info' END, coalesce(sum(bad), 0)::BIGINT, coalesce(string_agg(r, ',' ORDER BY r) FILTER (WHERE bad > 0), ''), CASE WHEN sum(bad) > 0 THEN 'proposed' ELSE 'none_needed' END
             FROM (SELECT 'bridge -> master' AS r, count(*) FILTER (WHERE m NOT IN (SELECT m FROM master)) AS bad FROM bridge UNION ALL SELECT 'observation -> bridge', count(*) FILTER (WHERE e NOT IN (SELECT e FROM bridge)) FROM obs)""",
         """SELECT 'consistency.summary_recomputed', 'aggregation', CASE WHEN count(*) > 0 THEN 'warning' ELSE 'info' END, count(*), coalesce(string_agg(DISTINCT field, ',' ORDER BY field), ''), CASE WHEN count(*) > 0 THEN 'proposed' ELSE 'none_needed' END FROM cmp WHERE diff > tol""",
-    ]),
+    ]) + ") SELECT *, id IN ('design.no_trial_master', 'operations.recorded_offline', 'consistency.summary_recomputed') AS asks FROM i",
     "canonical_verdict_counts": """WITH x AS (SELECT o_custkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'P' THEN 'HOLD' WHEN 'O' THEN 'PASS' END END, CASE WHEN o_orderkey % 5 = 0 THEN 'EXCLUDED' ELSE 'HOLD' END) AS v,
         o_orderkey % 7 <> 0 AND o_totalprice > 200000 AS amb, o_orderkey % 11 <> 0 AND NOT o_totalprice > 50000 AS unexplained FROM orders)
         SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE v = 'PASS') AS n_pass, count(*) FILTER (WHERE v = 'HOLD') AS n_hold, count(*) FILTER (WHERE v = 'FAIL') AS n_fail, count(*) FILTER (WHERE v = 'EXCLUDED') AS n_excluded,

@@ -135,6 +135,10 @@ ORACLES: dict[str, str] = {
     "serve_colour_counts": f"""WITH {_PARTS} SELECT colour, count(*) AS n FROM h GROUP BY 1""",
     "serve_text_search": """SELECT 'customer' AS kind, CAST(c_custkey AS VARCHAR) AS id, 'c_name' AS matched FROM customer WHERE contains(lower(c_name), '0000007') UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), 's_name' FROM supplier WHERE contains(lower(s_name), '0000007')
         UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), 'n_name' FROM nation WHERE contains(lower(n_name), '0000007')""",
+    "serve_index_search": r"""WITH t AS (SELECT 'customer' AS kind, c_custkey::VARCHAR AS id, 'c_name' AS field, c_name AS t FROM customer UNION ALL SELECT 'customer', c_custkey::VARCHAR, 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, 's_name', s_name FROM supplier
+            UNION ALL SELECT 'item', item_id::VARCHAR, 'text', text FROM benchmark UNION ALL SELECT 'document', doc_id::VARCHAR, 'text', text FROM documents),
+        f AS (SELECT * REPLACE (regexp_replace(lower(strip_accents(t)), '\s+', ' ', 'g') AS t) FROM t WHERE t IS NOT NULL)
+        SELECT kind, id, field, contains(t, 'uber')::BIGINT + contains(t, '000017')::BIGINT + contains(t, 'er t')::BIGINT AS needles FROM f WHERE needles > 0""",
     "serve_app_list": """WITH x AS (SELECT c_custkey, c_acctbal, count(*) OVER () AS total FROM customer WHERE c_mktsegment ILIKE '%u%' AND c_name ILIKE '%1%') SELECT * FROM x ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 10""",
     "serve_quarantine_flags": """WITH x AS (SELECT l_returnflag AS kind, CASE WHEN l_discount > 0.08 THEN 'M' WHEN l_tax > 0.06 THEN 'D' ELSE 'X' END AS s, l_linestatus FROM lineitem) SELECT kind, count(*) FILTER (WHERE s = 'D') AS n_delayed, count(*) FILTER (WHERE s = 'M') AS n_missed, count(*) FILTER (WHERE l_linestatus = 'O') AS n_offline FROM x GROUP BY 1""",
     "serve_read_only_sql": """SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
@@ -197,6 +201,15 @@ ORACLES: dict[str, str] = {
         h AS (SELECT doc_id, len(words) AS n, len(list_filter(parts, lambda x: x = 'the')) AS n_the, len(list_filter(parts, lambda x: x = 'und')) AS n_und,
             len(list_filter(range(1, len(parts) - 1), lambda i: parts[i] = 'of' AND parts[i + 1] = ' ' AND parts[i + 2] = 'the')) AS n_of_the FROM w)
         SELECT doc_id, round(ln(1 + 100 * (n_the - n_of_the + 2.0 * n_und + 3.0 * n_of_the) / greatest(n, 20)), 5) AS feature FROM h""",
+    "verify_cited_values": """WITH o AS (SELECT o_orderkey AS n, floor(o_totalprice / 1000 * 10 + 0.5) / 10 AS r, o_totalprice / 1000 AS k FROM orders),
+        y AS (SELECT 'YIELD_T_HA' AS field, CASE WHEN abs(CASE WHEN n % 4 = 0 THEN round((k + 0.3)::DECIMAL(18, 6), 1) ELSE r::DECIMAL(18, 1) END - k::DECIMAL(18, 6)) <= 0.05 THEN 'supported' ELSE 'contradicted' END AS status FROM o)
+        SELECT field, status, count(*) AS n FROM y GROUP BY ALL UNION ALL SELECT 'MOISTURE_PCT', 'supported', count(*) FROM o UNION ALL SELECT 'PLANT_HEIGHT_CM', 'unknown', count(*) FROM o WHERE n % 5 = 0""",
+    "audit_ledger": """SELECT 'as appended' AS state, 0 AS faults UNION ALL SELECT 'batch ' || o_orderkey % 4, count(*) FROM orders GROUP BY o_orderkey % 4""",
+    "serve_context": """WITH b AS (SELECT o_orderstatus AS s, log2(sum(count(*)) OVER () / count(*)) AS bits FROM orders GROUP BY 1),
+        i AS (SELECT o_custkey, 'order ' || o_orderkey || ' is ' || o_orderstatus || CASE WHEN o_orderkey % 3 = 0 THEN ', and its priority was judged to be high' ELSE '' END AS t, bits, o_orderpriority = '1-URGENT' AS u FROM orders JOIN b ON o_orderstatus = s),
+        c AS (SELECT *, ceil(length(t) / 4) AS c FROM i), r AS (SELECT *, sum(c) OVER w AS run, row_number() OVER w AS nth FROM c WINDOW w AS (PARTITION BY o_custkey ORDER BY u DESC, bits / c DESC, t ROWS UNBOUNDED PRECEDING))
+        SELECT o_custkey, coalesce(string_agg(t, '; ' ORDER BY nth) FILTER (WHERE run <= 40), '') AS lines, coalesce(sum(c) FILTER (WHERE run <= 40), 0)::BIGINT AS tokens, count(*) FILTER (WHERE run <= 40) AS n_items, count(*) FILTER (WHERE run > 40) AS n_left_out,
+            sum(c)::BIGINT AS tokens_of_all, round(1 - coalesce(sum(c) FILTER (WHERE run <= 40), 0) / sum(c), 6) AS saved FROM r GROUP BY 1""",
     "verify_repeated_warnings": """SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id, event_id % 3""",
     "quality_order_violations": """WITH p AS (SELECT l_orderkey, min(l_shipdate) FILTER (WHERE l_returnflag = 'A') AS a, min(l_shipdate) FILTER (WHERE l_returnflag = 'N') AS n, min(l_shipdate) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) SELECT l_orderkey FROM p WHERE n < a OR r < a""",
     "quality_single_environment": """SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT (year(o_orderdate), o_orderpriority)) = 1""",

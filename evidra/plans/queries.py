@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canon, encoding, text
-from ..operators import audit, calibration, drift, facts, identifiers, neighbours, profile, quality, reconcile, recompute, relational, relevance, rules, spectral, topology, verification
-from ..session import table
+from ..operators import audit, calibration, drift, facts, identifiers, ledger, neighbours, profile, quality, reconcile, recompute, relational, relevance, rules, search, spectral, topology, verification
+from ..session import folder, table
 from ..sources import documents
 from . import canonical, serve
 
@@ -471,6 +471,37 @@ def serve_text_search(spark, d):
     return relational.search(tables, "0000007")
 
 
+@query
+def serve_index_search(spark, d):
+    """The same by an index, which also holds the texts of documents and benchmark items."""
+    tables = {
+        "customer": (table(spark, d, "customer"), "c_custkey", ["c_name", "c_mktsegment"]),
+        "supplier": (table(spark, d, "supplier"), "s_suppkey", ["s_name"]),
+        "item": (table(spark, d, "benchmark"), "item_id", ["text"]),
+        "document": (table(spark, d, "documents"), "doc_id", ["text"]),
+    }
+    index = search.TextIndex(spark, folder(spark, "text-index"))
+    for name in ("customer", "supplier", "document", "item"):  # four uploads
+        index.add(search.entity_texts({name: tables[name]}))
+    out = index.search("Über")
+    for needle in ("000017", "ER T"):
+        out = out.unionByName(index.search(needle))
+    return out.groupBy("kind", "id", "field").agg(F.count(F.lit(1)).alias("needles"))
+
+
+@query
+def serve_context(spark, d):
+    """Of each customer's orders, as evidence lines, what 40 tokens take; urgent ones are required, rare states bring more bits."""
+    o = table(spark, d, "orders")
+    n = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))  # a row a state
+    total = n.agg(F.sum("n").alias("total"))
+    bits = n.join(F.broadcast(total)).select("o_orderstatus", F.log2(F.col("total") / F.col("n")).alias("bits"))
+    line = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" is "), "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, F.lit(", and its priority was judged to be high")).otherwise(""))
+    items = o.join(F.broadcast(bits), "o_orderstatus").select("o_custkey", line.alias("line"), "bits", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    out = serve.context(items, "o_custkey", "line", "bits", 40, "urgent")
+    return rounded(out.withColumn("lines", F.array_join("lines", "; ")))
+
+
 @query
 def serve_app_list(spark, d):
     df = table(spark, d, "customer").where(F.col("c_mktsegment").ilike("%u%") & F.col("c_name").ilike("%1%"))
@@ -661,6 +692,16 @@ def calibrate_out_of_fold(spark, d):
     return calibration.out_of_fold(df, "o_orderkey", ["o_totalprice", "mean_discount", "mean_tax"], "y", 5, 2)
 
 
+@query
+def calibrate_margins(spark, d):
+    """Weights of the relative shortfalls that tell failed orders best from held ones."""
+    short = [t.shortfall().alias(t.name) for t in ORDER_RULES.thresholds]
+    df = order_facts(spark, d).where("official <> 'PASS'").select("o_orderkey", *short, (F.col("official") == "FAIL").cast("int").alias("y"))
+    names = [t.name for t in ORDER_RULES.thresholds]
+    df = df.na.fill(0.0, names)
+    return calibration.margin_cv(df, "o_orderkey", names, "y", c=1.0).select("repeat", "fold", F.array_join(F.transform("weights", lambda w: F.round(w, 4).cast("string")), ",").alias("weights"), F.round("cut", 4).alias("cut"), "accuracy", (F.col("gap") <= 0.01).alias("certified"))
+
+
 @query
 def calibrate_overtraining(spark, d):
     df = order_facts(spark, d).withColumn("y", (F.col("official") == "FAIL").cast("int"))
@@ -752,6 +793,33 @@ def verify_turn_numbers(spark, d):
     return verification.check(a, "text", "evidence").select("conv_id", "turn", F.array_join(F.array_sort("unknown_numbers"), ",").alias("unknown_numbers"), F.array_join(F.array_sort("unknown_words"), ",").alias("unknown_words"), "status")
 
 
+@query
+def verify_cited_values(spark, d):
+    """Statements about every order's price in thousands, its lines and its weight, of which some are rounded, some wrong and some of a
+    field that is not stored."""
+    o = table(spark, d, "orders")
+    n, k = F.col("o_orderkey"), F.col("o_totalprice") / 1000
+    price = F.when(n % 4 == 0, F.format_string("%.1f", k + 0.3)).otherwise(F.format_string("%.1f", F.floor(k * 10 + 0.5) / 10))
+    answers = o.select("o_orderkey", F.concat(F.lit("The yield is "), price, F.lit(" t/ha. Moisture was "), (n % 7).cast("string"), F.when(n % 5 == 0, F.lit(" %. Plant height 3 cm!")).otherwise(F.lit(" %."))).alias("text"))
+    cells = F.array(F.struct(F.lit("YIELD_T_HA").alias("field"), k.alias("value_num")), F.struct(F.lit("MOISTURE_PCT").alias("field"), (n % 7).cast("double").alias("value_num")))
+    evidence = o.select("o_orderkey", F.explode(cells).alias("x")).select("o_orderkey", "x.*")
+    out = verification.cited_values(answers, "o_orderkey", "text", evidence)
+    return out.groupBy("field", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def audit_ledger(spark, d):
+    """Four appended batches of orders: what they hold, and that nothing is found wrong with them."""
+    ledger_ = ledger.Ledger(spark, folder(spark, "ledger"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    for part in range(4):
+        ledger_.append(o.where(F.col("o_orderkey") % 4 == part))
+    whole = ledger_.verify(ledger_.head()).agg(F.lit("as appended").alias("state"), F.count(F.lit(1)).alias("faults"))
+    rows = ledger_.read()
+    sums = rows.groupBy("batch").agg(F.concat(F.lit("batch "), F.first("batch").cast("string")).alias("state"), F.count(F.lit(1)).alias("faults")).drop("batch")
+    return whole.unionByName(sums)
+
+
 @query
 def verify_repeated_warnings(spark, d):
     w = table(spark, d, "events").select("user_id", "event_id", F.concat("event_type", F.lit(" value above limit "), (F.col("event_id") % 3).cast("string")).alias("message"))

@@ -88,3 +88,24 @@ def cards(decided: DataFrame, rows: DataFrame, key: str, trial: str, verdict: st
     )
     out = decided.join(per, F.col(key) == F.col("_k"), "left").drop("_k")
     return out.withColumns({"n_trials": F.coalesce("n_trials", F.lit(0)), "n_fail": F.coalesce("n_fail", F.lit(0))})
+
+
+def context(items: DataFrame, key: str, text: str, bits: str, budget: int, required: str | None = None) -> DataFrame:
+    """(key, lines, tokens, n_items, n_left_out, tokens_of_all, saved): of each key's items as much information as a budget of tokens takes.
+
+    An item costs a quarter of its characters in tokens, rounded up, and brings bits. Required items (a boolean column) come first, then
+    those that bring most a token; items are taken in that order as long as all so far fit, in one pass of a window. A required item
+    that alone exceeds the budget is left out as any other. saved is the share of tokens that is not sent.
+    """
+    cost = F.ceil(F.length(F.coalesce(F.col(text), F.lit(""))) / 4).cast("long")
+    first = F.coalesce(F.col(required), F.lit(False)) if required else F.lit(False)
+    rows = items.where(F.length(text) > 0).select(F.col(key), F.col(text).alias("_t"), cost.alias("_c"), first.alias("_first"), F.coalesce(F.col(bits).cast("double"), F.lit(0.0)).alias("_b"))
+    order = Window.partitionBy(key).orderBy(F.desc("_first"), F.desc(F.col("_b") / F.col("_c")), "_t")
+    rows = rows.withColumn("_run", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(order))
+    fits = F.col("_run") <= budget
+    taken = F.array_sort(F.collect_list(F.when(fits, F.struct("_n", "_t"))))  # within the budget, hence bounded
+    out = rows.groupBy(key).agg(
+        F.transform(taken, lambda x: x["_t"]).alias("lines"), F.coalesce(F.sum(F.when(fits, F.col("_c"))), F.lit(0)).alias("tokens"), F.count_if(fits).alias("n_items"),
+        F.count_if(~fits).alias("n_left_out"), F.sum("_c").alias("tokens_of_all"),
+    )
+    return out.withColumn("saved", 1 - F.col("tokens") / F.col("tokens_of_all"))

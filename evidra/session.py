@@ -27,19 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pinned(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the folder of spark.checkpoint.dir and read again: what is read twice is the same rows in the same files,
-    whatever a second run of the plan would give. Only a local session may go without that setting."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path under that of spark.checkpoint.dir. Only a local session may go without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="evidra-")
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def pinned(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the folder of spark.checkpoint.dir and read again: what is read twice is the same rows in the same files,
+    whatever a second run of the plan would give."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_ranges(df: DataFrame, order: str, descending: bool = False) -> DataFrame:

@@ -136,3 +136,60 @@ def test_betti_curve_and_distance_of_barcodes(spark):
     want = np.abs(a - np.r_[b, np.zeros(50)]).mean()
     assert topology.wasserstein(*frames) == pytest.approx(want) == topology.wasserstein(*frames[::-1]) and topology.wasserstein(frames[0], frames[0]) == 0
     assert [(r["radius"], r["components"]) for r in topology.betti(frames[0], [0.0, 2.0, 100.0]).collect()] == [(t, int((a > t).sum()) + 1) for t in (0.0, 2.0, 100.0)]
+
+
+def primal(x, y, w, b, c):
+    return (w @ w + calibration.OFFSET_RIDGE * b * b) / 2 + c * np.maximum(1 - np.where(y == 1, 1, -1) * (x @ w + b), 0).sum()
+
+
+def plain_margin(x, y, c, rounds=4000):
+    """Dual coordinate ascent in memory, with the same ridge on the offset: the objective at its weights."""
+    z = np.column_stack([x, np.full(len(x), calibration.OFFSET_RIDGE**-0.5)]) * np.where(y == 1, 1.0, -1.0)[:, None]
+    alpha, w, norm, rng = np.zeros(len(z)), np.zeros(z.shape[1]), (z * z).sum(1), np.random.default_rng(0)
+    for _ in range(rounds):
+        for i in rng.permutation(len(z)):
+            step = np.clip(alpha[i] + (1 - z[i] @ w) / norm[i], 0, c) - alpha[i]
+            alpha[i] += step
+            w += step * z[i]
+    return primal(x, y, w[:-1], w[-1] * calibration.OFFSET_RIDGE**-0.5, c), alpha.sum() - w @ w / 2
+
+
+def test_widest_margin_of_separable_rows(spark):
+    """The separator of two clusters is known: half way between the nearest points."""
+    data = [(i, float(v), float(u), int(v > 2)) for i, (v, u) in enumerate([(0, 0), (1, 0), (1, 1), (3, 0), (3, 1), (5, 2), (4, -3), (0, 4)])]
+    m = calibration.fit_margins(spark.createDataFrame(data, "id int, a double, b double, y int"), "id", ["a", "b"], "y", k=2, tolerance=1e-4)
+    weights, cut = m.scaled()
+    assert weights[-1].tolist() == pytest.approx([1, 0], abs=1e-2) and cut[-1] == pytest.approx(2, abs=1e-2) and m.gap.max() <= 1e-4
+
+
+def test_margins_of_overlapping_rows_carry_a_certificate(spark, rows):
+    m = calibration.fit_margins(rows, "id", ["a", "b", "c"], "y", c=0.5, k=3, repeats=1, seed=3)
+    pdf = rows.where("a is not null and y is not null").select("*", calibration._fold(3, "id", 3).alias("f")).toPandas()
+    assert m.gap.max() <= 1e-3 and len(m.gap) == 4
+    for i in range(4):
+        part = pdf[pdf["f"] != i] if i < 3 else pdf
+        x, y = part[["a", "b", "c"]].to_numpy(), part["y"].to_numpy()
+        value = primal(x, y, m.weights[i], m.offset[i], 0.5)
+        assert value == pytest.approx(m.objective[i], rel=1e-6)
+        rng = np.random.default_rng(i)
+        for size in (1e-3, 1e-2, 0.1):  # no neighbour is better by more than the gap says
+            for _ in range(30):
+                other = primal(x, y, m.weights[i] * (1 + size * rng.normal(size=3)), m.offset[i] + size * rng.normal(), 0.5)
+                assert other >= value * (1 - m.gap[i]) - 1e-9
+    cv = {(r["repeat"], r["fold"]): r for r in calibration.margin_cv(rows, "id", ["a", "b", "c"], "y", c=0.5, k=3, seed=3).collect()}
+    for f in range(3):
+        part = pdf[pdf["f"] == f]
+        want = ((part[["a", "b", "c"]].to_numpy() @ m.weights[f] + m.offset[f] > 0) == (part["y"] == 1)).mean()
+        assert cv[0, f]["accuracy"] == pytest.approx(want) and cv[0, f]["weights"][0] == pytest.approx(1)
+    assert cv[None, None]["accuracy"] > 0.6
+
+
+def test_margins_lie_between_the_bounds_of_dual_ascent_in_memory(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 2)) + np.repeat([[0.0, 0.0], [1.5, 1.0]], 30, 0)
+    y = np.repeat([0, 1], 30)
+    df = spark.createDataFrame([(i, *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y))], "id int, a double, b double, y int")
+    m = calibration.fit_margins(df, "id", ["a", "b"], "y", c=1.0, k=2, tolerance=1e-4)
+    value, dual = plain_margin(x, y, 1.0, 300)
+    assert dual - 1e-6 <= m.objective[-1] <= value * (1 + 1e-3) and m.gap[-1] <= 1e-4
+    assert calibration.fit_margins(df.limit(0), "id", ["a", "b"], "y", k=2).objective.tolist() == [0.0] * 3
