@@ -77,3 +77,18 @@ def test_barcode_equals_a_spanning_tree_of_all_distances(spark, data):
         inside[j], best = True, np.minimum(best, d[j])
     got = sorted(r["length"] for r in QUERIES["topology_barcode"](spark, data).collect())
     assert got == pytest.approx(sorted(deaths), abs=2e-6)
+
+
+def test_margins_are_certified(spark, data):
+    rows = QUERIES["calibrate_margins"](spark, data).collect()
+    assert len(rows) == 6 and all(r["certified"] and 0.5 <= r["accuracy"] <= 1 for r in rows) and [r["fold"] for r in rows if r["repeat"] is None] == [None]
+
+
+def test_overtraining_is_the_difference_of_two_areas(spark, data):
+    r = QUERIES["calibrate_overtraining"](spark, data).first()
+    assert 0.4 < r["test_auc"] <= 1 and r["gap"] == pytest.approx(r["train_auc"] - r["test_auc"], abs=2e-6)
+
+
+def test_leave_one_out_judges_every_item(spark, data):
+    rows = QUERIES["text_leave_one_out"](spark, data).collect()
+    assert len(rows) == spark.read.parquet(f"{data}/benchmark.parquet").count() and all(0 < r["probability"] < 1 for r in rows)
