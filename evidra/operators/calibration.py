@@ -329,7 +329,6 @@ class Margins:
         return self.weights / first, -self.offset / first[:, 0]
 
 
-OFFSET_RIDGE = 1e-6  #: on the offset, so that the dual has no equality to keep
 STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 
 
@@ -345,19 +344,20 @@ def fit_margins(df: DataFrame, record: str, features: list[str], label: str, c:
     rows = df.where(F.col(label).isNotNull()).select(record, *x, F.col(label).cast("int").alias("_y")).na.drop(subset=features)
     names = [f"_f{r}" for r in range(repeats)]
     rows = pinned(rows.select(*features, "_y", *[_fold(seed + r, record, k).alias(f"_f{r}") for r in range(repeats)]), "margins")
-    first = rows.agg(F.count(F.lit(1)), *[F.max(F.abs(f)) for f in features]).first()
-    scale = np.array([v if v else 1.0 for v in first[1:]], float)
-    ridge = np.array([*(1 / scale**2), OFFSET_RIDGE])  # of weights on features over their scale
+    first = rows.agg(F.count(F.lit(1)), *[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
+    centre = np.array([v or 0.0 for v in first[1 : d + 1]], float)
+    scale = np.array([v if v else 1.0 for v in first[d + 1 :]], float)
+    ridge = np.array([*(1 / scale**2), 0.0])  # of weights on standardised features; the offset is free
 
     def parts(pdf):
-        z = np.column_stack([pdf[features].to_numpy(float) / scale, np.ones(len(pdf))])
+        z = np.column_stack([(pdf[features].to_numpy(float) - centre) / scale, np.ones(len(pdf))])
         folds = pdf[names].to_numpy()
         used = np.column_stack([(folds[:, :, None] != np.arange(k)).reshape(len(pdf), models - 1), np.ones(len(pdf), bool)])
         return z, np.where(pdf["_y"].to_numpy() == 1, 1.0, -1.0), used.astype(float)
 
-    w, best, gap = np.zeros((models, d + 1)), np.full(models, np.inf), np.full(models, np.inf)
-    kept = w.copy()
-    band, done = np.full(models, 4.0), 0  # all rows lie in the first one
+    w, best, bound = np.zeros((models, d + 1)), np.full(models, np.inf), np.zeros(models)
+    gap, kept = np.full(models, np.inf), w.copy()
+    band, damp, done = np.full(models, 4.0), np.full(models, 1e-6), 0  # all rows lie in the first band
     live = np.arange(models) if first[0] else np.empty(0, int)
     gap[np.setdiff1d(np.arange(models), live)] = best[np.setdiff1d(np.arange(models), live)] = 0.0
     while len(live) and done < passes:
@@ -385,11 +385,12 @@ def fit_margins(df: DataFrame, record: str, features: list[str], label: str, c:
         dual = 2 * least - (fair[:, :-1] ** 2 / ridge[:-1]).sum(1) / 2
         better = primal < best[live]
         best[live], kept[live] = np.where(better, primal, best[live]), np.where(better[:, None], own, kept[live])
-        lowest = np.maximum(best[live] - np.maximum(dual, 0), 0) / np.maximum(best[live], 1e-300)
-        gap[live] = np.minimum(gap[live], lowest)
+        bound[live] = np.maximum(bound[live], dual)
+        gap[live] = np.maximum(best[live] - bound[live], 0) / np.maximum(best[live], 1e-300)
         gradient = ridge * own - pull
-        curvature = c * got[:, 4 + 2 * d :].reshape(-1, d + 1, d + 1) + (ridge + 1e-6 * (up + down)[:, -1:])[:, :, None] * np.eye(d + 1)
+        curvature = c * got[:, 4 + 2 * d :].reshape(-1, d + 1, d + 1) + (ridge + damp[live][:, None] * (up + down)[:, -1:] + 1e-12)[:, :, None] * np.eye(d + 1)
         step = -np.linalg.solve(curvature, gradient[:, :, None])[:, :, 0]
+        promised = -(gradient * step).sum(1) / 2
         tried = own[:, None] + step[:, None] * np.array(STEPS)[None, :, None]
 
         def losses(pdf, tried=tried, band=band[live], live=live):
@@ -403,18 +404,21 @@ def fit_margins(df: DataFrame, record: str, features: list[str], label: str, c:
         done += 2
         pick = value.argmin(1)
         lower = value[np.arange(len(live)), pick]
-        moved = smooth - lower > 1e-4 * tolerance * np.maximum(smooth, 1e-300)
         w[live] = np.where((lower < smooth)[:, None], tried[np.arange(len(live)), pick], own)
-        band[live] = np.where(moved, band[live], band[live] / 4)  # settled in this band
+        # settled in this band once most of what is missing is the band's own; steps that bring nothing of what they promise are damped
+        settled = (smooth - dual <= 0.5 * (primal - smooth)) | (promised <= 1e-10 * smooth)
+        good = smooth - lower > 0.1 * promised
+        damp[live] = np.where(settled, 1e-9, np.clip(np.where(good, damp[live] / 10, damp[live] * 10), 1e-9, 1e6))
+        band[live] = np.where(settled, band[live] / 10, band[live])
         live = live[(gap[live] > tolerance) & (band[live] > 1e-12)]
     out = kept[:, :d] / scale
-    return Margins(record, features, k, repeats, seed, out, kept[:, d], best, gap, done)
+    return Margins(record, features, k, repeats, seed, out, kept[:, d] - out @ centre, best, gap, done)
 
 
-def margin_cv(df: DataFrame, record: str, features: list[str], label: str, c: float = 100.0, k: int = 5, repeats: int = 1, seed: int = 0) -> DataFrame:
+def margin_cv(df: DataFrame, record: str, features: list[str], label: str, c: float = 100.0, k: int = 5, repeats: int = 1, seed: int = 0, tolerance: float = 1e-3) -> DataFrame:
     """(repeat, fold, weights, cut, accuracy, gap): separators fitted on the other folds, their first weight scaled to 1, and how they do on
     the fold; the row without repeat and fold is that of all rows."""
-    m = fit_margins(df, record, features, label, c, k, repeats, seed)
+    m = fit_margins(df, record, features, label, c, k, repeats, seed, tolerance)
     rows = df.where(F.col(label).isNotNull()).na.drop(subset=features)
     weights, cut = m.scaled()
     says = [sum((F.col(f).cast("double") * float(v) for f, v in zip(features, w)), F.lit(0.0)) > F.lit(float(t)) for w, t in zip(weights, cut)]

@@ -139,19 +139,19 @@ def test_betti_curve_and_distance_of_barcodes(spark):
 
 
 def primal(x, y, w, b, c):
-    return (w @ w + calibration.OFFSET_RIDGE * b * b) / 2 + c * np.maximum(1 - np.where(y == 1, 1, -1) * (x @ w + b), 0).sum()
+    return w @ w / 2 + c * np.maximum(1 - np.where(y == 1, 1, -1) * (x @ w + b), 0).sum()
 
 
-def plain_margin(x, y, c, rounds=4000):
-    """Dual coordinate ascent in memory, with the same ridge on the offset: the objective at its weights."""
-    z = np.column_stack([x, np.full(len(x), calibration.OFFSET_RIDGE**-0.5)]) * np.where(y == 1, 1.0, -1.0)[:, None]
+def plain_margin(x, y, c, rounds=300, wide=30.0):
+    """Dual coordinate ascent in memory, the offset as the weight of a wide constant: the objective at its weights."""
+    z = np.column_stack([x, np.full(len(x), wide)]) * np.where(y == 1, 1.0, -1.0)[:, None]
     alpha, w, norm, rng = np.zeros(len(z)), np.zeros(z.shape[1]), (z * z).sum(1), np.random.default_rng(0)
     for _ in range(rounds):
         for i in rng.permutation(len(z)):
             step = np.clip(alpha[i] + (1 - z[i] @ w) / norm[i], 0, c) - alpha[i]
             alpha[i] += step
             w += step * z[i]
-    return primal(x, y, w[:-1], w[-1] * calibration.OFFSET_RIDGE**-0.5, c), alpha.sum() - w @ w / 2
+    return primal(x, y, w[:-1], w[-1] * wide, c)
 
 
 def test_widest_margin_of_separable_rows(spark):
@@ -184,12 +184,11 @@ def test_margins_of_overlapping_rows_carry_a_certificate(spark, rows):
     assert cv[None, None]["accuracy"] > 0.6
 
 
-def test_margins_lie_between_the_bounds_of_dual_ascent_in_memory(spark):
+def test_margins_are_no_worse_than_dual_ascent_in_memory(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 2)) + np.repeat([[0.0, 0.0], [1.5, 1.0]], 30, 0)
     y = np.repeat([0, 1], 30)
     df = spark.createDataFrame([(i, *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y))], "id int, a double, b double, y int")
-    m = calibration.fit_margins(df, "id", ["a", "b"], "y", c=1.0, k=2, tolerance=1e-4)
-    value, dual = plain_margin(x, y, 1.0, 300)
-    assert dual - 1e-6 <= m.objective[-1] <= value * (1 + 1e-3) and m.gap[-1] <= 1e-4
+    m = calibration.fit_margins(df, "id", ["a", "b"], "y", c=1.0, k=2)
+    assert m.objective[-1] <= plain_margin(x, y, 1.0) * (1 + 1e-3) and m.gap.max() <= 1e-3
     assert calibration.fit_margins(df.limit(0), "id", ["a", "b"], "y", k=2).objective.tolist() == [0.0] * 3

