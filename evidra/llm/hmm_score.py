@@ -8,7 +8,8 @@ the model is bounded, re-estimated on the driver and broadcast. The last round u
 every training word, as a table (word x state) in Spark, and each word has emissions of its own. A word that was never seen has the
 weight of a count of zero, so that each text has a true probability. Scores come from one scaled forward recursion over each whole
 text; the emissions of the HEAD most frequent words are broadcast, those of all others are joined by word, once for each group of
-texts, so that nothing that grows with the corpus is broadcast.
+texts, so that nothing that grows with the corpus is broadcast. Recursions step through many texts side by side; a text of more than
+LONG tokens is cut in stretches, which products of transfer matrices join exactly, so that one long text is no longer way than many short.
 
 Tokens are lower-cased (A-Z) words and one end a text; words are told apart by a 64-bit hash. Null text is empty. Rows are scored one
 by one: repeated rows get equal scores, null ids are kept (and count as training rows by the crc of an empty id). With no training rows
@@ -36,6 +37,7 @@ CLASSES = 8192
 HEAD = 131_072
 LENGTHS = 24
 BATCH_TOKENS = 400_000
+LONG, STRETCH = 8_192, 1_024  #: tokens of a text that is cut in stretches, and of a stretch
 GROUP_CHARS = 5_000_000
 FOLD_ROWS = 1_500_000
 UNKNOWN = 1  #: class of words that were never seen, once the classes are untied
@@ -265,15 +267,16 @@ def _steps(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return obs, active
 
 
-def _ahead(obs: np.ndarray, active: np.ndarray, hmm: Hmm, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Emissions [state, token], the scale of each token and, with keep, the scaled forward messages."""
+def _ahead(obs: np.ndarray, active: np.ndarray, hmm: Hmm, keep: bool, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Emissions [state, token], the scale of each token and, with keep, the scaled forward messages. first: the states' shares before
+    the first token of each sequence, if they are not the start's."""
     b = np.ascontiguousarray(hmm.emit[obs].T)
     back, scale = np.ascontiguousarray(hmm.move.T), np.empty(len(obs))
     alpha = np.empty_like(b) if keep else None
     a, lo = None, 0
     for m in active.tolist():
         hi = lo + m
-        a = hmm.start[:, None] * b[:, lo:hi] if a is None else back.dot(a[:, :m]) * b[:, lo:hi]
+        a = (hmm.start[:, None] if first is None else first) * b[:, lo:hi] if a is None else back.dot(a[:, :m]) * b[:, lo:hi]
         s = scale[lo:hi]
         np.add.reduce(a, 0, out=s)
         a /= s
@@ -283,21 +286,9 @@ def _ahead(obs: np.ndarray, active: np.ndarray, hmm: Hmm, keep: bool) -> tuple[n
     return b, scale, alpha
 
 
-def forward(seqs: list[np.ndarray], hmm: Hmm) -> np.ndarray:
-    """Natural log likelihood of each sequence (in falling order of length)."""
-    obs, active = _steps(seqs)
-    logs = np.log(_ahead(obs, active, hmm, False)[1])
-    score, lo = np.zeros(len(seqs)), 0
-    for m in active.tolist():
-        score[:m] += logs[lo : lo + m]
-        lo += m
-    return score
-
-
-def expectations(seqs: list[np.ndarray], hmm: Hmm, size: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-    """Log likelihood and expected counts: starts, moves, emissions [class, state]. seqs in falling order of length."""
-    obs, active = _steps(seqs)
-    b, scale, alpha = _ahead(obs, active, hmm, True)
+def _backwards(obs: np.ndarray, active: np.ndarray, b: np.ndarray, scale: np.ndarray, alpha: np.ndarray, hmm: Hmm, size: int, ends: np.ndarray | None = None) -> tuple:
+    """Log likelihood, gamma of the first tokens, moves, emissions, and the messages that arrive at the first tokens. ends: what arrives at
+    the last token of each sequence, if it is no end of a text."""
     b /= scale
     k = len(alpha)
     gamma, moves, last, hi = np.empty_like(alpha), np.zeros((k, k)), np.empty((k, 0)), len(obs)
@@ -305,13 +296,88 @@ def expectations(seqs: list[np.ndarray], hmm: Hmm, size: int) -> tuple[float, np
         lo, r = hi - m, last.shape[1]
         beta = gamma[:, lo:hi]
         beta[:, :r] = hmm.move.dot(last)
-        beta[:, r:] = 1  # texts that end here
+        beta[:, r:] = 1 if ends is None else ends[:, r:m]  # sequences that end here
         moves += alpha[:, lo : lo + r].dot(last.T)
         last = b[:, lo:hi] * beta
         hi = lo
     gamma *= alpha
     emit = np.column_stack([np.bincount(obs, g, size) for g in gamma])
-    return float(np.log(scale).sum()), gamma[:, : active[0]].sum(1), moves * hmm.move, emit
+    return float(np.log(scale).sum()), gamma[:, : active[0]], moves, emit, last
+
+
+def stretches(seq: np.ndarray, hmm: Hmm) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A long sequence in stretches that need not wait for each other, and for each of them the states' shares before its first token, the
+    forward message at the end of the one before, and the backward message at its end.
+
+    A stretch is the product of its tokens' transfer matrices, a message for each state that it may start from, all stretches side by
+    side. With these, states x states each, messages pass from stretch to stretch.
+    """
+    parts = [seq[i : i + STRETCH] for i in range(0, len(seq), STRETCH)]
+    obs, active = _steps(parts)
+    b, k, n = np.ascontiguousarray(hmm.emit[obs].T), len(hmm.start), len(parts)
+    back, whole = np.ascontiguousarray(hmm.move.T), np.empty((k, n, k))
+    a, lo = None, 0
+    for m in active.tolist():
+        hi = lo + m
+        if a is None:
+            a = np.repeat(back[:, None, :], n, 1)
+            a[:, 0] = hmm.start[:, None]  # before the first stretch there is no state
+        else:
+            whole[:, m : a.shape[1]] = a[:, m:]  # stretches that have ended
+            a = back.dot(a[:, :m].reshape(k, -1)).reshape(k, m, k)
+        a = a * b[:, lo:hi, None]
+        a /= a.sum((0, 2))[None, :, None]
+        lo = hi
+    whole[:, : a.shape[1]] = a
+    before, ends = np.zeros((k, n)), np.ones((k, n))
+    for i in range(1, n):
+        x = whole[:, i - 1, 0] if i == 1 else whole[:, i - 1] @ before[:, i - 1]
+        before[:, i] = x / x.sum()
+    for i in range(n - 1, 0, -1):
+        x = whole[:, i].T @ ends[:, i]
+        ends[:, i - 1] = x / (x @ before[:, i])
+    first = back @ before
+    first[:, 0] = hmm.start
+    return parts, first, before, ends
+
+
+def _long(seqs: list[np.ndarray]) -> int:
+    """How many of the sequences, in falling order of length, are cut in stretches."""
+    return sum(len(s) > LONG for s in seqs)
+
+
+def forward(seqs: list[np.ndarray], hmm: Hmm) -> np.ndarray:
+    """Natural log likelihood of each sequence (in falling order of length)."""
+    long = _long(seqs)
+    score = np.zeros(len(seqs))
+    for i, seq in enumerate(seqs[:long]):
+        parts, first, _, _ = stretches(seq, hmm)
+        score[i] = np.log(_ahead(*_steps(parts), hmm, False, first)[1]).sum()
+    if long == len(seqs):
+        return score
+    obs, active = _steps(seqs[long:])
+    logs, lo = np.log(_ahead(obs, active, hmm, False)[1]), 0
+    for m in active.tolist():
+        score[long : long + m] += logs[lo : lo + m]
+        lo += m
+    return score
+
+
+def expectations(seqs: list[np.ndarray], hmm: Hmm, size: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood and expected counts: starts, moves, emissions [class, state]. seqs in falling order of length."""
+    long, k = _long(seqs), len(hmm.start)
+    like, start, moves, emit = 0.0, np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+    for seq in seqs[:long]:
+        parts, first, before, ends = stretches(seq, hmm)
+        obs, active = _steps(parts)
+        x = _backwards(obs, active, *_ahead(obs, active, hmm, True, first), hmm, size, ends)
+        # a stretch's first token follows the last one of the stretch before
+        like, start, moves, emit = like + x[0], start + x[1][:, 0], moves + x[2] + before[:, 1:].dot(x[4][:, 1:].T), emit + x[3]
+    if long < len(seqs):
+        obs, active = _steps(seqs[long:])
+        x = _backwards(obs, active, *_ahead(obs, active, hmm, True), hmm, size)
+        like, start, moves, emit = like + x[0], start + x[1].sum(1), moves + x[2], emit + x[3]
+    return like, start, moves * hmm.move, emit
 
 
 # ------------------------------------------------------------------------------------------------ training

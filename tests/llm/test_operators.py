@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -91,6 +92,32 @@ def test_forward_recursion_equals_the_sum_over_paths():
     assert like == pytest.approx(sum(map(brute, seqs))) and start.sum() == pytest.approx(3) and moves.sum() == pytest.approx(4) and emit.sum() == pytest.approx(7)
 
 
+def test_stretches_of_long_texts_give_what_one_recursion_gives(monkeypatch):
+    rng = np.random.default_rng(1)
+    hmm = hmm_score.Hmm(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4) / 3, 4), rng.dirichlet(np.ones(30) / 3, 4).T + 1e-9)
+    seqs = [rng.integers(0, 30, n).astype(np.int32) for n in (5000, 1291, 1290, 700, 64, 33, 2, 1)]
+    plain, counts = hmm_score.forward(seqs, hmm), hmm_score.expectations(seqs, hmm, 30)
+    monkeypatch.setattr(hmm_score, "LONG", 60)
+    for size in (64, 43, 2):
+        monkeypatch.setattr(hmm_score, "STRETCH", size)
+        assert hmm_score.forward(seqs, hmm) == pytest.approx(plain, rel=1e-11)
+        for a, b in zip(hmm_score.expectations(seqs, hmm, 30), counts):
+            assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    assert counts[3].sum() == pytest.approx(sum(map(len, seqs))) and counts[2].sum() == pytest.approx(sum(len(s) - 1 for s in seqs))
+
+
+def test_one_long_text_takes_about_as_long_as_many_short_ones():
+    rng = np.random.default_rng(1)
+    hmm = hmm_score.Hmm(rng.dirichlet(np.ones(4)), rng.dirichlet(np.ones(4), 4), rng.dirichlet(np.ones(500), 4).T)
+    tokens = rng.integers(0, 500, 300_000).astype(np.int32)
+    took = []
+    for seqs in ([tokens], np.split(tokens, 300)):
+        began = time.process_time()
+        hmm_score.expectations(seqs, hmm, 500)
+        took.append(time.process_time() - began)
+    assert took[0] < 4 * took[1]
+
+
 def test_hmm_training_raises_the_likelihood_and_odd_rows_are_scored(spark, odd, none):
     rows = hmm_score.coded(odd)
     counts = hmm_score.count_words(rows).persist()
