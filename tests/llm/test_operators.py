@@ -535,6 +535,13 @@ def test_line_dedup_compacts_in_the_query_and_any_number_of_batches_agrees(spark
         assert sorted(map(tuple, line_dedup.dedup(docs, batches=batches, fanout=fanout).collect())) == want
 
 
+def test_lines_whose_first_hash_is_the_same_stay_apart(spark, odd, monkeypatch):
+    want = sorted(map(str, line_dedup.dedup(odd).select("doc_id", "kept_text", "n_dropped").collect()))
+    plain = line_dedup.hashes_of
+    monkeypatch.setattr(line_dedup, "hashes_of", lambda key: [F.lit(7).cast("long").alias("line_hash"), plain(key)[1]])
+    assert sorted(map(str, line_dedup.dedup(odd, batches=3).select("doc_id", "kept_text", "n_dropped").collect())) == want
+
+
 def test_line_dedup_on_odd_rows(spark, odd, none):
     out = {r["doc_id"]: r for r in line_dedup.dedup(odd).collect()}
     assert out[1]["n_lines"] == 1 and out[1]["kept_text"] == "" and out[9]["n_dropped"] == 0
