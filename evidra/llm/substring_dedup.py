@@ -25,6 +25,7 @@ from .common import Memo, table, text_bytes
 WINDOW = 35
 CHUNK_BYTES = 6_000_000
 BUCKET_CHUNK_BYTES = 12_000_000
+PARTITIONS_EACH = 4  #: partitions of chunks at most, for each shuffle partition of the session
 BASE = 0x9E3779B97F4A7C15  # odd
 
 
@@ -128,7 +129,8 @@ def spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     # rows of one id, or of none, are spread by the text; only rows that are alike in both stay together
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("long")
     rows = docs.select(chunk.alias("chunk"), F.col("doc_id").cast("string").alias("doc_id"), "text")
-    rows = rows.repartition(n_chunks, "chunk")
+    # a partition may hold several chunks, which are worked on one at a time
+    rows = rows.repartition(min(n_chunks, PARTITIONS_EACH * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "chunk")
     flags = repeated_windows(rows, size, bits)
 
     def apply(key, pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
