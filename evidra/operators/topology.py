@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pinned, previous, running
+from .relational import quantiles
 
 BLOCK = 1000  #: points of a block; a pair of blocks is a task's work
 PIVOTS = 1024  #: at most, whatever the points; the tables of all pairs of pivots are small
@@ -186,8 +187,8 @@ def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def summary(lengths: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """One row: n_edges, longest, groups (edges over Q3 + 3 IQR, plus one) and the Wasserstein distance from an earlier barcode."""
-    q = lengths.agg(F.percentile("length", F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()["q"]
-    cut = q[1] + 3 * (q[1] - q[0]) if q else 0.0
+    q = quantiles(lengths, [], "length", [0.25, 0.75]).first()
+    cut = q["q1"] + 3 * (q["q1"] - q["q0"]) if q else 0.0
     out = lengths.agg(F.count(F.lit(1)).alias("n_edges"), F.max("length").alias("longest"), (F.count_if(F.col("length") > cut) + 1).alias("groups"))
     return out.withColumn("wasserstein", F.lit(wasserstein(lengths, previous)) if previous is not None else F.lit(None).cast("double"))
 

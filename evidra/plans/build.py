@@ -15,8 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import canonical, profile, recompute
+from ..operators import canonical, detect, profile, recompute
 from ..operators.canonical import TRIAL
+from ..sources import tabular
+from . import serve
 
 
 @dataclass(frozen=True)
@@ -99,3 +101,43 @@ CANONICAL = {
     "long_view": Table(("trial_material", "summary", "materials"), canonical.long_view),
     "genomic_means": Table(("trial_material", "genomics"), canonical.genomic_means),
 }
+
+
+# fixed values: sources as they are recognised, and what the model calls them
+SOURCES = {
+    "trial_germplasm_bridge": "bridge", "observations": "observations", "field_operations": "operations", "germplasm": "master",
+    "candidate_recommendations": "recommendations", "genomics": "genomics", "trial_recommendations": "summary", "trait_dictionary": "traits",
+}
+TYPES = {
+    "NUMBER_VALUE": "double", "REPLICATION_NO": "int", "PLANNED_DATE": "timestamp", "ACTUAL_DATE": "timestamp", "GENOMIC_BREEDING_VALUE": "double",
+    "N_TRIALS": "int", "N_TRIALS_USED": "int", "YIELD_VS_CHECK_PCT": "double", "START_YEAR": "int",
+}
+
+
+def sources_in(spark: SparkSession, directory: str, recursive: bool = False) -> dict[str, DataFrame]:
+    """The model's sources among the files of a directory: recognised by their headers, files of one source put together (rows that several
+    hold count once), typed, and plots with the code of their trait. Files that are not recognised are left out."""
+    found: dict[str, DataFrame] = {}
+    for path in tabular.discover(spark, directory, recursive):
+        for df in tabular.read_file(spark, path).values():
+            df = df.select(*[c for c in df.columns if not c.startswith("_")])
+            name = SOURCES.get(detect.detect(df.columns).source)
+            if name:
+                found[name] = found[name].unionByName(df, allowMissingColumns=True) if name in found else df
+    found = {n: tabular.typed(df.distinct(), TYPES) for n, df in found.items()}
+    traits = found.pop("traits", None)
+    if traits is not None and "observations" in found and "TRAIT_CODE" not in found["observations"].columns:
+        codes = traits.groupBy("TRAIT_GUID").agg(F.min("TRAIT_CODE").alias("TRAIT_CODE"))
+        found["observations"] = found["observations"].join(codes, "TRAIT_GUID", "left")
+    return found
+
+
+def from_directory(spark: SparkSession, directory: str, root: str, recursive: bool = False) -> tuple[Build, Outcome]:
+    """Files to model in one call: what the sources of a directory allow is built, or brought up to date, and published at once."""
+    build = Build(spark, root, CANONICAL)
+    return build, build.update(sources_in(spark, directory, recursive))
+
+
+def catalog(build: Build) -> serve.Catalog:
+    """The published tables for read-only SQL."""
+    return serve.Catalog(build.spark, build.current())

@@ -62,9 +62,14 @@ class Catalog:
         unknown = names - {t.lower() for t in self.tables} - ctes
         if unknown or re.search(r"UnresolvedTableValuedFunction|'UnresolvedTVF", text):
             raise ValueError(f"unknown tables: {sorted(unknown) or 'table functions'}")
-        for name, df in self.tables.items():
-            df.createOrReplaceTempView(name)
-        return self.spark.sql(q).limit(limit)
+        used = [n for n in self.tables if n.lower() in names]
+        for name in used:
+            self.tables[name].createOrReplaceTempView(name)
+        try:
+            return self.spark.sql(q).limit(limit)  # resolved here: the views are not needed any more
+        finally:
+            for name in used:
+                self.spark.catalog.dropTempView(name)
 
     def names(self) -> list[str]:
         return sorted(self.tables)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detect
+from ..session import pinned
 
 DELIMITERS = (",", ";", "\t", "|")
 HEAD_CHARS = 64_000
@@ -97,7 +98,8 @@ def read_xlsx(spark: SparkSession, path: str, upload: bool = False) -> dict[str,
                         head = [normalise_header(h or "") or f"UNNAMED_{i}" for i, h in enumerate(rows[0])]
                         yield pd.DataFrame({"sheet": sheet.title, "columns": json.dumps(head), "row": [json.dumps(dict(zip(head, r))) for r in rows[1:]]})
 
-    flat = spark.read.format("binaryFile").load(path).select("content").mapInPandas(sheets, "sheet string, columns string, row string").persist()
+    flat = spark.read.format("binaryFile").load(path).select("content").mapInPandas(sheets, "sheet string, columns string, row string")
+    flat = pinned(flat, "sheets")  # each workbook is opened once
     out = {}
     for r in flat.groupBy("sheet").agg(F.first("columns").alias("c")).collect():
         import json

@@ -57,3 +57,42 @@ def test_a_failed_update_changes_nothing(spark, tmp_path):
     assert store.update({"t": df.unionAll(df)}).built == ["twice"] and store.current()["twice"].count() == 4
     newer = build.Build(spark, f"file://{tmp_path}/s", {"twice": build.Table(("t",), doubled, "2")})
     assert newer.update({}).built == ["twice"] and newer.update({}).kept == ["twice"]
+
+
+def test_from_a_directory_to_a_served_model(spark, data, tmp_path):
+    """The sources as CSV files with the headers that they are recognised by; a second file of one source adds to it."""
+    x = Drop(spark, data)
+    drop = tmp_path / "drop"
+
+    def save(name, df, columns):
+        df = df.select(*[F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
+        (drop / name).parent.mkdir(parents=True, exist_ok=True)
+        df.toPandas().to_csv(drop / name, index=False, sep=";")
+
+    from evidra.operators.detect import SIGNATURES
+
+    plots = x.observations.withColumn("TRAIT_GUID", F.concat(F.lit("t-"), "TRAIT_CODE")).drop("TRAIT_CODE")
+    extra = ["TRIAL_ENTRY_RELATIONSHIP_GUID", "TRAIT_GUID", "NUMBER_VALUE"]
+    plots = plots.withColumn("OBSERVATION_ID", F.monotonically_increasing_id())
+    save("plots a.csv", plots.where("NUMBER_VALUE > 20"), [*SIGNATURES["observations"][0], *extra])
+    save("plots b.csv", plots.where("NUMBER_VALUE <= 21"), [*SIGNATURES["observations"][0], *extra])
+    codes = spark.createDataFrame([(f"t-{c}", c) for c in build.TRAITS], "TRAIT_GUID string, TRAIT_CODE string")
+    save("traits.csv", codes, SIGNATURES["trait_dictionary"][0])
+    save("bridge.csv", x.bridge, SIGNATURES["trial_germplasm_bridge"][0])
+    save("ops.csv", x.recorded, SIGNATURES["field_operations"][0])
+    save("master.csv", x.master, SIGNATURES["germplasm"][0])
+    save("candidates.csv", x.recommendations, SIGNATURES["candidate_recommendations"][0])
+    (drop / "notes.csv").write_text("some;other\n1;2\n")
+    store, outcome = build.from_directory(spark, f"file://{drop}", f"file://{tmp_path}/store")
+    assert {"materials", "trials", "candidates", "trial_material"} <= set(outcome.built) and "long_view" not in outcome.built  # no summary of trials came
+    tables = store.current()
+    numbers = ["TRIAL_GUID", "MATERIAL_GUID", "YIELD_T_HA", "MOISTURE_PCT", "DISEASE_SCORE", "CHECK_YIELD_T_HA"]
+    got, want = (df.select(*[F.round(F.col(c).cast("double"), 6).alias(c) for c in numbers], "role", "used").toPandas() for df in (tables["trial_material"], x.trial_material()))
+    assert_same(got, want)
+    assert tables["materials"].groupBy("role").count().collect() and tables["materials"].count() == x.materials().count()
+    sql = build.catalog(store)
+    assert sql.sql("select count(*) as n from trials").first()["n"] == x.trials().count()
+    assert not [t for t in spark.catalog.listTables() if t.name in tables]
+    with pytest.raises(ValueError):
+        sql.sql("select * from elsewhere")
+    assert build.from_directory(spark, f"file://{drop}", f"file://{tmp_path}/store")[1].built == []
