@@ -159,6 +159,9 @@ ORACLES: dict[str, str] = {
         n AS (SELECT source, shape, count(*) AS n, count(DISTINCT v) AS n_distinct, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS share FROM s GROUP BY source, shape) SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, shape) <= 5""",
     "identifier_positions": """WITH c AS (SELECT DISTINCT s_name FROM supplier), p AS (SELECT i AS pos, s_name[i + 1] AS ch FROM c, range(0, 18) t(i)), n AS (SELECT pos, ch, count(*) AS n FROM p GROUP BY ALL), q AS (SELECT *, n / sum(n) OVER (PARTITION BY pos) AS p FROM n)
         SELECT CAST(pos AS INT) AS pos, CASE WHEN regexp_matches(min(ch), '[A-Z]') THEN 'A' WHEN regexp_matches(min(ch), '[a-z]') THEN 'a' WHEN regexp_matches(min(ch), '[0-9]') THEN '9' ELSE min(ch) END AS class, count(*) AS n_symbols, round(-sum(p * log2(p)), 6) + 0.0 AS entropy, CASE WHEN count(*) = 1 THEN min(ch) END AS symbol FROM q GROUP BY pos""",
+    "view_patterns": """WITH v AS (SELECT 'customer' AS name, 'Customer#' AS head, CASE WHEN c_custkey % 37 < 2 THEN 'Customer#' || lpad((c_custkey + 5000000)::VARCHAR, 9, '0') ELSE c_name END AS v FROM customer UNION ALL SELECT 'supplier', 'Supplier#', s_name FROM supplier),
+        n AS (SELECT name, v, CAST(regexp_extract(v, '([0-9]+)$', 1) AS BIGINT) AS n FROM v), s AS (SELECT name, regexp_replace(regexp_replace(regexp_replace(v, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape, n, v FROM n)
+        SELECT name, shape, 'Aa{7}#9{9}' AS pattern, count(*) AS n, count(DISTINCT v) AS n_distinct, 1.0::DOUBLE AS share, min(n) AS least, max(n) AS largest, max(n) - min(n) + 1 - count(DISTINCT n) AS n_gaps FROM s GROUP BY name, shape""",
     "identifier_gaps": """WITH n AS (SELECT DISTINCT CASE WHEN c_custkey % 37 < 2 THEN c_custkey + 5000000 ELSE CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) END AS n FROM customer), s AS (SELECT n, lag(n) OVER (ORDER BY n) AS was FROM n) SELECT was + 1 AS lo, n - 1 AS hi FROM s WHERE n - was > 1""",
     "identifier_counter": """WITH n AS (SELECT DISTINCT CASE WHEN c_custkey % 37 < 2 THEN c_custkey + 5000000 ELSE CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) END AS n FROM customer) SELECT min(n) AS least, max(n) AS largest, count(*) AS n_distinct, max(n) - min(n) + 1 - count(*) AS n_gaps, max(n) - min(n) + 1 = count(*) AS contiguous FROM n""",
     "drift_stability": f"""WITH {_YEARS}, q AS (SELECT unnest(quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM a), g AS (SELECT i AS bin FROM range(0, 10) t(i)),

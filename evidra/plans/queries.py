@@ -12,7 +12,7 @@ from ..functions import canon, encoding, text
 from ..operators import audit, calibration, drift, facts, identifiers, ledger, neighbours, profile, quality, reconcile, recompute, relational, relevance, rules, search, spectral, topology, verification
 from ..session import folder, table
 from ..sources import documents
-from . import canonical, serve
+from . import canonical, serve, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(canonical.QUERIES)
 
@@ -576,6 +576,12 @@ def _counted(spark, d):
     return table(spark, d, "customer").select(F.when(n % 37 < 2, F.concat(F.lit("Customer#"), F.lpad((n + 5_000_000).cast("string"), 9, "0"))).otherwise(F.col("c_name")).alias("c_name"))
 
 
+@query
+def view_patterns(spark, d):
+    columns = {"customer": (_counted(spark, d), "c_name"), "supplier": (table(spark, d, "supplier"), "s_name")}
+    return rounded(views.patterns(columns))
+
+
 @query
 def identifier_gaps(spark, d):
     return identifiers.gaps(_counted(spark, d), "c_name")

@@ -127,3 +127,21 @@ def test_streams_drop_repeats_and_count_by_window(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("rows").count() == 3
     assert sorted((str(r["start"]), r["k"], r["n"]) for r in spark.table("counts").collect()) == [("2024-01-01 00:00:00", "a", 3), ("2024-01-01 00:02:00", "b", 1)]
+
+
+def test_reports_of_a_build(spark):
+    from evidra.plans import views
+
+    found = spark.createDataFrame([("a", "info", 9), ("b", "critical", 1), ("c", "warning", 2), ("d", "warning", 5)], "id string, severity string, count long")
+    assert [r["id"] for r in views.issues(found).collect()] == ["b", "d", "c", "a"]
+    decided = spark.createDataFrame([(1, "SYN-TR-0001", "PASS"), (2, "SYN-TR-0002", "FAIL")], "g int, TRIAL_ID string, verdict string")
+    tested = spark.createDataFrame([(1, "m1"), (1, "m1"), (1, "m2")], "g int, m string")
+    facts_ = spark.createDataFrame([("doc1", {"trial_id": ["SYN-TR-0001"]}), ("doc1", {"trial_id": ["SYN-TR-0001", "SYN-TR-0002"]}), ("doc2", {"trial_id": ["syn-tr-0001"]})], "document string, ids map<string, array<string>>")
+    rows = views.trials(decided, tested, facts_, "g", "TRIAL_ID", "m").collect()
+    got = {r["g"]: (r["n_materials"], r["n_documents"]) for r in rows}
+    assert len(rows) == 2 and {r["verdict"] for r in rows} == {"PASS", "FAIL"}
+    assert got == {1: (2, 2), 2: (0, 1)}
+    runs = spark.createDataFrame([("r1", "load", 2.0), ("r2", "load", 1.0), ("r2", "decide", 3.0)], "run string, stage string, seconds double")
+    checks = spark.createDataFrame([("roundtrip", 1e-15, True)], "check string, value double, passed boolean")
+    moved = spark.createDataFrame([("x", 0.3, "major")], "column string, value double, status string")
+    assert sorted(tuple(r) for r in views.diagnostics(runs, checks, moved).collect()) == [("drift", "x", 0.3, False), ("numeric", "roundtrip", 1e-15, True), ("run", "decide", 3.0, True), ("run", "load", 1.0, True)]
