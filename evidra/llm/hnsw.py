@@ -39,8 +39,8 @@ class Graph:
     """Vectors (one a class) and for each level an array of links, nodes numbered from the top level down."""
 
     def __init__(self, vectors: np.ndarray, links: list[np.ndarray] | None = None, width: int = 2 * LINKS) -> None:
-        longest = np.sqrt((vectors * vectors).sum(1).max())
-        unit = vectors / longest
+        unit = vectors / np.abs(vectors).max()  # squares stay finite
+        unit /= np.sqrt((unit * unit).sum(1).max())
         rest = np.sqrt(np.maximum(0, 1 - (unit * unit).sum(1)))
         self.x = np.concatenate([unit, rest[:, None]], 1).astype(np.float32)
         self.links, self.width = links or [], width
@@ -154,18 +154,42 @@ class Graph:
                     chosen = self.spread(ids, near, self.width // 2)
                     self.links[level][nodes, : chosen.shape[1]] = chosen
                     self.link_back(nodes, chosen, level)
+        self.connect()
         return self
 
+    def connect(self) -> None:
+        """Gives every node a way from the first one on the lowest level: vectors that lie much closer to each other than to all others may
+        have linked among themselves only. What no way leads to is linked from the nearest node that has a place free."""
+        links, n = self.links[0], len(self.x)
+        met, fresh = np.zeros(n, bool), np.array([0])
+        while True:
+            while len(fresh):
+                met[fresh] = True
+                ahead = np.unique(links[fresh])
+                fresh = ahead[(ahead >= 0) & ~met[ahead]]
+            if met.all():
+                break
+            lone = int(np.flatnonzero(~met)[0])
+            free = np.flatnonzero(met & (links < 0).any(1))
+            if not len(free):
+                links = np.concatenate([links, np.full((n, 1), -1, links.dtype)], 1)
+                free = np.flatnonzero(met)
+            near = int(free[(self.x[free] @ self.x[lone]).argmax()])
+            links[near, int((links[near] < 0).argmax())] = lone
+            fresh = np.array([lone])
+        self.links[0] = links
+
     def search(self, q: np.ndarray, beam: int) -> np.ndarray:
         """Ids of the nodes found for each query of as many components as the vectors had, -1 where there are fewer than beam."""
-        length = np.sqrt((q * q).sum(1, keepdims=True))
-        q = np.concatenate([q / length, np.zeros((len(q), 1))], 1).astype(np.float32)
+        q = q / np.abs(q).max(1, keepdims=True)
+        q = np.concatenate([q / np.sqrt((q * q).sum(1, keepdims=True)), np.zeros((len(q), 1))], 1).astype(np.float32)
         out = []
         for a in range(0, len(q), BATCH):
             part = q[a : a + BATCH]
             at = np.zeros((len(part), 1), np.int64)
             for level in range(len(self.links) - 1, 0, -1):
                 at = self.around(part, at, level, 1)[0]
+            at = np.concatenate([at, np.where(at == 0, -1, 0)], 1) if beam > 1 else at  # from the first node there is a way to all
             out.append(self.around(part, at, 0, beam)[0])
         return np.concatenate(out)
 
@@ -224,8 +248,9 @@ def build_index(rows: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, links:
 
 def _loaded(row, links: int) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     vectors = np.frombuffer(row["vectors"]).reshape(-1, row["dim"])
-    flat = [np.frombuffer(x, np.int32).reshape(-1, 2 * links) for x in row["links"]]
     sizes = np.frombuffer(row["sizes"], np.int64)
+    # the lowest level holds all nodes, and may be wider
+    flat = [np.frombuffer(x, np.int32).reshape((len(sizes), -1) if not level else (-1, 2 * links)) for level, x in enumerate(row["links"])]
     return Graph(vectors, flat, 2 * links), vectors, np.r_[0, np.cumsum(sizes)], np.frombuffer(row["ids"], np.int64)
 
 

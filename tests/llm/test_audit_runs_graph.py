@@ -202,6 +202,16 @@ def test_copies_ties_lengths_and_vectors_that_take_no_part(spark):
     assert hnsw.neighbours(df.limit(0), F.col("id") % 20 == 0, 20).count() == 0 and hnsw.neighbours(df.where("vec_id = 0"), F.col("id") % 20 == 0, 20).count() == 0
 
 
+def test_very_long_and_very_short_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.choice([-200, 0, 150])]) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = {i: np.array(v) for i, v in rows}
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in hnsw.neighbours(df, F.col("id") % 20 == 0, 5).collect()}
+    for i in (0, 20, 40, 60):
+        assert [got[i, r] for r in range(1, 6)] == [j for _, j in sorted((-float((x[i] * x[j]).sum()), j) for j in x if j != i)[:5]]
+
+
 def test_a_third_of_all_rows_being_one_vector_is_one_node(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in (np.ones(8) if i % 3 == 0 else rng.normal(size=8))]) for i in range(3000)]
