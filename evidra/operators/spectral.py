@@ -55,7 +55,8 @@ def fit(encoded: DataFrame, names: list[str], energy: float = 0.95) -> Model | N
         for pdf in batches:
             for lo in range(0, len(pdf), 4096):
                 r = np.linalg.qr(np.vstack([r, np.vstack(pdf["x"].iloc[lo : lo + 4096]) - mean]), mode="r")
-        yield pd.DataFrame({"r": list(r)})
+        if len(r):  # a partition without rows has no triangle: an empty column of lists has no type that Arrow could take
+            yield pd.DataFrame({"r": list(r)})
 
     small = encoded.select("x").mapInPandas(triangle, "r array<double>")
     # a second level, so that the driver sees few rows however many partitions there are
@@ -71,8 +72,10 @@ def fit(encoded: DataFrame, names: list[str], energy: float = 0.95) -> Model | N
 def _stack(batches: Iterator[pd.DataFrame], dim: int) -> Iterator[pd.DataFrame]:
     r = np.empty((0, dim))
     for pdf in batches:
-        r = np.linalg.qr(np.vstack([r, np.vstack(pdf["x"])]), mode="r")
-    yield pd.DataFrame({"r": list(r)})
+        if len(pdf):
+            r = np.linalg.qr(np.vstack([r, np.vstack(pdf["x"])]), mode="r")
+    if len(r):
+        yield pd.DataFrame({"r": list(r)})
 
 
 def _dot(x: Column, v: np.ndarray) -> Column:
