@@ -13,7 +13,10 @@ have no trigram, are looked for in all texts.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from ..session import in_ranges
 
 BLOCK = 4_096
 FANOUT = 4
+CHARS = 2_000_000  #: of texts whose trigrams are listed together; a longer text is taken in pieces
 TEXTS = "no long, run long, kind string, id string, field string, text string, folded string"
 LISTS = "gram string, block long, numbers array<long>"
 
@@ -30,6 +34,48 @@ def trigrams(text: str) -> list[str]:
     return sorted({text[i : i + 3] for i in range(len(text) - 2)})
 
 
+def _listed(no: np.ndarray, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct trigrams of some texts, where each one's list ends, and the lists of numbers, one behind the other."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(t) for t in texts])
+    of = np.repeat(np.arange(len(texts)), lengths)
+    inside = of[2:] == of[:-2]
+    symbols, code = np.unique(points, return_inverse=True)
+    n, code = len(symbols), code.astype(np.int64)
+    keys, gram = np.unique(((code[:-2] * n + code[1:-1]) * n + code[2:])[inside], return_inverse=True)
+    gram, at = np.divmod(np.unique(gram.astype(np.int64) * len(texts) + of[2:][inside]), len(texts))
+    spelt = symbols[np.column_stack([keys // (n * n), keys // n % n, keys % n])].astype(np.uint32).tobytes().decode("utf-32-le")
+    ends = np.cumsum(np.bincount(gram, minlength=len(keys)))
+    return [spelt[i : i + 3] for i in range(0, len(spelt), 3)], ends, no[at]
+
+
+def _lists(block: int, chars: int):
+    """Of batches of (no, folded) parts of the lists (gram, block, places), each out of so many characters at most. A text's place in its
+    block is its number less the block's first."""
+
+    def part(held: list[tuple[int, str]]) -> pa.RecordBatch:
+        grams, ends, places = _listed(np.array([no % block for no, _ in held], np.int32), [t for _, t in held])
+        rows = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(places, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(np.full(len(grams), held[0][0] // block), pa.int64()), rows], names=["gram", "block", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for no, text in zip(batch.column("no").to_pylist(), batch.column("folded")):
+                whole = text.as_py()
+                for i in range(0, len(whole) - 2, chars):
+                    piece = whole[i : i + chars + 2]  # the next piece begins with its last two characters
+                    if held and (size + len(piece) > chars + 2 or no // block != held[0][0] // block):
+                        yield part(held)
+                        held, size = [], 0
+                    held.append((no, piece))
+                    size += len(piece)
+        if held:
+            yield part(held)
+
+    return run
+
+
 class TextIndex:
     """An index in a folder. What counts is named by the newest record, so that a failed update changes nothing."""
 
@@ -56,7 +102,7 @@ class TextIndex:
     def add(self, texts: DataFrame) -> None:
         """texts: (kind, id, field, text), each key once."""
         was = self.state()
-        rows = texts.where(F.col("text").isNotNull()).select("kind", F.col("id").cast("string").alias("id"), "field", "text", fold(F.col("text")).alias("folded"))
+        rows = texts.where(F.col("text").isNotNull()).select("kind", F.col("id").cast("string").alias("id"), "field", "text")
         parted = in_ranges(rows.withColumn("_k", F.struct("kind", "id", "field")), "_k")
         counts = sorted((r["_p"], r["n"]) for r in parted.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a range
         starts, start = [], was["next"]
@@ -69,13 +115,14 @@ class TextIndex:
         nth = F.row_number().over(Window.partitionBy("_p").orderBy("_k"))
         run = was["run"] + 1
         numbered = parted.join(first, "_p").withColumn("no", F.col("_start") + nth - 1).withColumn("run", F.lit(run).cast("long"))
-        path = self._write(numbered.select("no", "run", "kind", "id", "field", "text", "folded").sortWithinPartitions("no"), "texts")
+        # folded behind the sampling of ranges, which would fold all texts once more
+        path = self._write(numbered.sortWithinPartitions("no").select("no", "run", "kind", "id", "field", "text", fold(F.col("text")).alias("folded")), "texts")
         stored = self.spark.read.schema(TEXTS).parquet(path)
-        at = F.sequence(F.lit(1), F.length("folded") - 2)
-        grams = F.when(F.length("folded") >= 3, F.array_distinct(F.transform(at, lambda i: F.substring("folded", i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-        each = stored.select("no", F.explode(grams).alias("gram"))
-        # a list holds as many numbers as a block at most
-        lists = each.groupBy("gram", F.floor(F.col("no") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list("no")).alias("numbers"))
+        # the trigrams of a task's texts come as parts of lists, not as a row for each text and trigram; a list holds as many numbers as
+        # a block at most
+        parts = stored.select("no", "folded").mapInArrow(_lists(BLOCK, CHARS), "gram string, block long, places array<int>")
+        places = F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))
+        lists = parts.groupBy("gram", "block").agg(F.transform(places, lambda x: F.col("block") * BLOCK + x).alias("numbers"))
         kept = [*was["lists"], self._write(self._sorted(lists), "lists")]
         if len(kept) > self.fanout:  # runs share at most one block of numbers with the next
             merged = self.spark.read.schema(LISTS).parquet(*kept).groupBy("gram", "block").agg(F.array_sort(F.flatten(F.collect_list("numbers"))).alias("numbers"))

@@ -1,9 +1,10 @@
 """What showed only on larger tables or on other partitions of them."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from evidra.operators import spectral
+from evidra.operators import search, spectral
 
 
 def test_spectra_of_partitions_without_rows(spark):
@@ -14,3 +15,29 @@ def test_spectra_of_partitions_without_rows(spark):
         x = np.array([r["x"] for r in few.collect()])
         assert model.n == 100 and np.allclose(model.values, np.linalg.svd(x - x.mean(0), compute_uv=False))
         assert spectral.identities(df, "k", model).where("not passed").count() == 0
+
+
+def test_lists_of_long_texts_come_in_parts():
+    texts = ["abcabc", "", "ab", "a" * 90, "grüße 𝄞𝄞𝄞 мир", "the quick brown fox jumps over the lazy dog and the cat " * 3, "abc", "xyz abc"]
+    want = {}
+    for no, t in enumerate(texts):
+        for g in search.trigrams(t):
+            want.setdefault((g, no // 4), set()).add(no % 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["no", "folded"])
+    got = {}
+    for part in search._lists(4, 40)(iter([batch.slice(0, 5), batch.slice(5)])):
+        for row in part.to_pylist():
+            assert len(row["places"]) == len(set(row["places"]))
+            got.setdefault((row["gram"], row["block"]), set()).update(row["places"])
+    assert got == want
+    assert list(search._lists(4, 40)(iter([]))) == []
+
+
+def test_an_index_makes_no_row_for_each_text_and_trigram(spark, tmp_path):
+    index = search.TextIndex(spark, f"file://{tmp_path}/i")
+    plans = []
+    whole = index._sorted
+    index._sorted = lambda lists: plans.append(lists._jdf.queryExecution().executedPlan().toString()) or whole(lists)
+    index.add(spark.range(30).select(F.lit("k").alias("kind"), "id", F.lit("f").alias("field"), F.format_string("the same words %d", "id").alias("text")))
+    assert len(plans) == 1 and "Generate" not in plans[0] and "MapInArrow" in plans[0]
+    assert index.search("same words 7").count() == 1
