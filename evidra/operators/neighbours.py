@@ -10,23 +10,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 QUERY_BLOCK_BYTES = 8_000_000
+GATHERED = 131_072  #: points of a task that are put in order together
+LEAF, AT_ONCE = 256, 1024  #: queries or points of a box; points that a box of queries meets at a time
 
 
 def _best(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k least of each row, ties by the smaller id."""
-    if d.shape[1] > k:
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        keep = (d <= edge).any(0)
-        d, ids = d[:, keep], ids[:, keep]
-    order = np.lexsort((ids, d), axis=1)[:, :k]
-    return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+    if d.shape[1] <= k:
+        order = np.lexsort((ids, d), axis=1)
+        return np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+    row, column = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])  # k or more of each row
+    d, ids = d[row, column], ids[row, column]
+    order = np.lexsort((ids, d, row))
+    first = order[np.searchsorted(row, np.arange(row[-1] + 1))[:, None] + np.arange(k)]
+    return d[first], ids[first]
+
+
+def _leaves(x: np.ndarray, size: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows, cut in halves along the widest side until so few are left, and where each leaf begins (and the last ends)."""
+    left, order, ends = [np.arange(len(x))], [], [0]
+    while left:
+        rows = left.pop()
+        if len(rows) <= size:
+            order.append(rows)
+            ends.append(ends[-1] + len(rows))
+            continue
+        part = x[rows]
+        rows = rows[np.argpartition(part[:, np.ptp(part, 0).argmax()], len(rows) // 2)]
+        left += [rows[len(rows) // 2 :], rows[: len(rows) // 2]]
+    return np.concatenate(order), np.array(ends)
+
+
+def _boxes(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.minimum.reduceat(x, ends[:-1]), np.maximum.reduceat(x, ends[:-1])
+
+
+def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances; in few dimensions by differences, so that equal pairs are equal in the last bit."""
+    if q.shape[1] <= 16:
+        d = np.zeros((len(q), len(p)))
+        for i in range(q.shape[1]):
+            gap = q[:, i, None] - p[None, :, i]
+            d += gap * gap
+        return d
+    d = np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * q @ p.T, 0.0)
+    close = d < 1e-6  # cancellation: these are computed by differences
+    if close.any():
+        a, c = np.nonzero(close)
+        d[a, c] = ((q[a] - p[c]) ** 2).sum(1)
+    return d
+
+
+def _gathered(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, x) of so many points at a time."""
+    ids, x, n = [], [], 0
+    for pdf in batches:
+        for lo in range(0, len(pdf), size):
+            few = pdf.iloc[lo : lo + size]
+            if n and n + len(few) > size:
+                yield np.concatenate(ids), np.vstack(x)
+                ids, x, n = [], [], 0
+            ids.append(few["id"].to_numpy(np.int64))
+            x.append(np.vstack(few["x"]).astype(np.float64))
+            n += len(few)
+    if n:
+        yield np.concatenate(ids), np.vstack(x)
+
+
+def nearest(qid: np.ndarray, q: np.ndarray, chunks: Iterator[tuple[np.ndarray, np.ndarray]], k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, squared distances, ids) of the k nearest of chunks of points, inf where there are fewer.
+
+    Queries and points lie in boxes of LEAF. A box of queries meets the points' boxes nearest first, AT_ONCE points at a time, and no
+    box that is further away than the worst of its k-th neighbours so far; a box as far as that is met, as a tie goes by the id.
+    """
+    order, q_ends = _leaves(q)
+    qid, q = qid[order], q[order]
+    q_low, q_high = _boxes(q, q_ends)
+    best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    for ids, p in chunks:
+        order, p_ends = _leaves(p)
+        ids, p = ids[order], p[order]
+        p_low, p_high = _boxes(p, p_ends)
+        slack = 1e-9 * (1 + (q * q).sum(1).max() + (p * p).sum(1).max()) if q.shape[1] > 16 else 0.0
+        for g, (lo, hi) in enumerate(zip(q_ends[:-1], q_ends[1:])):
+            far = (np.maximum(0, np.maximum(p_low - q_high[g], q_low[g] - p_high)) ** 2).sum(1) * (1 - 1e-12) - slack
+            turn = np.argsort(far, kind="stable")
+            for i in range(0, len(turn), AT_ONCE // LEAF):
+                worst = best_d[lo:hi, -1].max()
+                met = [j for j in turn[i : i + AT_ONCE // LEAF] if far[j] <= worst]
+                if not met:
+                    break
+                at = np.concatenate([np.arange(p_ends[j], p_ends[j + 1]) for j in met])
+                d = _distances(q[lo:hi], p[at])
+                if exclude_self:
+                    d[qid[lo:hi, None] == ids[None, at]] = np.inf
+                near = lo + np.flatnonzero((d <= best_d[lo:hi, -1:]).any(1))
+                if len(near):
+                    d = d[near - lo]
+                    best_d[near], best_i[near] = _best(np.hstack([best_d[near], d]), np.hstack([best_i[near], np.broadcast_to(ids[at], d.shape)]), k)
+    return qid, best_d, best_i
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """(id, neighbour, distance2, rank) for queries (id, x) against points (id, x), ids being longs.
 
     Queries are taken in blocks of bounded size; each block is broadcast and every partition of points keeps its own k best, which a
-    window per query merges: partitions x k rows a query are shuffled, never a pair of all with all.
+    window per query merges: partitions x k rows a query are shuffled, never a pair of all with all. A task holds GATHERED points, its block of
+    queries and LEAF x AT_ONCE distances, whatever the tables.
     """
     spark = queries.sparkSession
     n, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
@@ -41,20 +131,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = Fals
         shared = spark.sparkContext.broadcast((rows["id"].to_numpy(np.int64), np.vstack(rows["x"]).astype(np.float64)))
 
         def local(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            qid, q = shared.value
-            best_d, best_i = np.full((len(qid), 0), np.inf), np.zeros((len(qid), 0), np.int64)
-            for pdf in batches:
-                for lo in range(0, len(pdf), 2048):
-                    p = np.vstack(pdf["x"].iloc[lo : lo + 2048]).astype(np.float64)
-                    ids = pdf["id"].iloc[lo : lo + 2048].to_numpy(np.int64)
-                    d = np.maximum((q * q).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * q @ p.T, 0.0)
-                    close = d < 1e-6  # cancellation: these are computed by differences
-                    if close.any():
-                        a, c = np.nonzero(close)
-                        d[a, c] = ((q[a] - p[c]) ** 2).sum(1)
-                    if exclude_self:
-                        d[qid[:, None] == ids[None, :]] = np.inf
-                    best_d, best_i = _best(np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(ids, d.shape)]), k)
+            qid, best_d, best_i = nearest(*shared.value, _gathered(batches, GATHERED), k, exclude_self)
             ok = np.isfinite(best_d)
             if ok.any():
                 r = np.repeat(qid, best_d.shape[1]).reshape(best_d.shape)

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from evidra.operators import search, spectral
+from evidra.operators import neighbours, search, spectral
 
 
 def test_spectra_of_partitions_without_rows(spark):
@@ -41,3 +41,22 @@ def test_an_index_makes_no_row_for_each_text_and_trigram(spark, tmp_path):
     index.add(spark.range(30).select(F.lit("k").alias("kind"), "id", F.lit("f").alias("field"), F.format_string("the same words %d", "id").alias("text")))
     assert len(plans) == 1 and "Generate" not in plans[0] and "MapInArrow" in plans[0]
     assert index.search("same words 7").count() == 1
+
+
+def test_neighbours_in_bounded_memory():
+    rng = np.random.default_rng(3)
+    q, p = rng.normal(size=(3000, 2)).round(1), rng.normal(size=(9000, 2)).round(1)  # many ties
+    ids, qid = rng.permutation(9000), np.arange(3000)
+    seen, whole = [], neighbours._distances
+    neighbours._distances = lambda a, b: seen.append(len(a) * len(b)) or whole(a, b)
+    try:
+        got_q, d, i = neighbours.nearest(qid, q, iter([(ids[:5000], p[:5000]), (ids[5000:], p[5000:])]), 5, True)
+    finally:
+        neighbours._distances = whole
+    assert max(seen) <= neighbours.LEAF * neighbours.AT_ONCE and sum(seen) < 0.7 * 3000 * 9000
+    for row in range(0, 3000, 50):
+        dist = whole(q[got_q[row]][None], p)[0]
+        want = [j for j in np.lexsort((ids, dist)) if ids[j] != got_q[row]][:5]
+        assert ids[want].tolist() == i[row].tolist() and dist[want].tolist() == d[row].tolist()
+    _, d, i = neighbours.nearest(qid[:2], q[:2], iter([(ids[:3], p[:3])]), 5, False)
+    assert np.isfinite(d).sum(1).tolist() == [3, 3]
