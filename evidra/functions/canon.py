@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -88,9 +88,14 @@ def fold_text(t: str) -> str:
     return " ".join(filter(None, map(_fold_word, t.split())))
 
 
-@F.pandas_udf(StringType())
-def _decomposed(texts: pd.Series) -> pd.Series:
-    return texts.map(fold_text, na_action="ignore")
+FOLDED_AT_ONCE = 256  #: texts of a batch that are Python strings at a time
+
+
+@F.arrow_udf(StringType())
+def _decomposed(texts: pa.Array) -> pa.Array:
+    parts = [texts.slice(i, FOLDED_AT_ONCE) for i in range(0, len(texts), FOLDED_AT_ONCE)]
+    done = [pa.array([None if t is None else fold_text(t) for t in part.to_pylist()], pa.string()) for part in parts]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def fold(c: Column) -> Column:

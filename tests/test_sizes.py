@@ -1,9 +1,12 @@
 """What showed only on larger tables or on other partitions of them."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from evidra.functions import canon
 from evidra.operators import neighbours, search, spectral
 
 
@@ -60,3 +63,16 @@ def test_neighbours_in_bounded_memory():
         assert ids[want].tolist() == i[row].tolist() and dist[want].tolist() == d[row].tolist()
     _, d, i = neighbours.nearest(qid[:2], q[:2], iter([(ids[:3], p[:3])]), 5, False)
     assert np.isfinite(d).sum(1).tolist() == [3, 3]
+
+
+def test_a_batch_is_folded_some_texts_at_a_time(spark):
+    text = "grüße an alle " * 200
+    batch = pa.array([text, None] * 5000, pa.string())
+    tracemalloc.start()
+    out = canon._decomposed.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 10_000 and out[0].as_py() == canon.fold_text(text) and out.null_count == 5000
+    assert peak < 0.2 * batch.nbytes  # Arrow's own buffers aside
+    df = spark.createDataFrame([(1, "Grüße"), (2, None), (3, "ab"), (4, "ﬁne  Ế")], "id int, t string").repartition(3)
+    assert {r[0]: r[1] for r in df.select("id", canon.fold(F.col("t"))).collect()} == {1: "gruße", 2: None, 3: "ab", 4: "fine e"}
