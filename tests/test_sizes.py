@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidra.functions import canon
-from evidra.operators import neighbours, search, spectral
+from evidra.operators import facts, neighbours, search, spectral
 
 
 def test_spectra_of_partitions_without_rows(spark):
@@ -76,3 +76,11 @@ def test_a_batch_is_folded_some_texts_at_a_time(spark):
     assert peak < 0.2 * batch.nbytes  # Arrow's own buffers aside
     df = spark.createDataFrame([(1, "Grüße"), (2, None), (3, "ab"), (4, "ﬁne  Ế")], "id int, t string").repartition(3)
     assert {r[0]: r[1] for r in df.select("id", canon.fold(F.col("t"))).collect()} == {1: "gruße", 2: None, 3: "ab", 4: "fine e"}
+
+
+def test_a_summary_extracts_facts_once(spark):
+    docs = spark.createDataFrame([(1, "SYN-MZ-00009 and SYN-MZ-00002.\n\nSYN-MZ-00009: yield is 4 t/ha."), (2, "Yield was 3. Moisture 12 %."), (3, "nothing")], "id int, text string")
+    out = facts.summary(facts.extract(docs, "id"), "id", 1)
+    assert {r["id"]: (r["entities"], r["n_facts"], r["fields"]) for r in out.collect()} == {1: (["SYN-MZ-00002"], 1, ["YIELD_T_HA"]), 2: ([], 2, ["MOISTURE_PCT", "YIELD_T_HA"])}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
