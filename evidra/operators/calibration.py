@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pinned, previous, running
@@ -46,19 +48,48 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def auc_by(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
-    """(group, p, n, auc) for each group: running sums go by ranges of (group, score), so that no group has to fit in a task; what came
-    before a group is known from one row a group, of which there should be few."""
+    """(group, p, n, auc) for each group. Distinct scores are dealt once to sorted ranges of (group, score), so that no group has to fit in
+    a task; a range tells of each of its groups the pairs inside and how many rows of either label it has, and what lies above a range
+    is known from these few rows."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    counts = rows.groupBy(F.struct(F.col(group).alias("g"), F.col(score).cast("double").alias("s")).alias("o")).agg(
+    counts = rows.groupBy(F.col(group).alias("g"), F.col(score).cast("double").alias("s")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n")
     )
-    run, _ = running(counts, "o", {"tp": "p"}, descending=True)
-    # twice the area in pairs, in whole numbers: positives above each negative, ties by half
-    part = run.groupBy(F.col("o.g").alias(group)).agg(
-        F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("n") * (2 * F.col("tp") - F.col("p"))).alias("_pairs"), F.max("tp").alias("_end")
-    )
-    before = F.col("_end") - F.col("p")
-    return part.select(group, "p", "n", F.try_divide(F.col("_pairs") / 2 - before * F.col("n"), F.col("p") * F.col("n")).alias("auc"))
+    order = [F.col("g").desc(), F.col("s").desc()]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = counts.schema["g"].dataType.simpleString()
+    parts = counts.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_pairs, f"g {kind}, s double, p long, n long, pairs long")
+    above = F.coalesce(F.sum("p").over(Window.partitionBy("g").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = parts.withColumn("pairs", F.col("pairs") + 2 * above * F.col("n")).groupBy("g").agg(*[F.sum(c).alias(c) for c in ("p", "n", "pairs")])
+    return whole.select(F.col("g").alias(group), "p", "n", F.try_divide(F.col("pairs") / 2, F.col("p") * F.col("n")).alias("auc"))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (g, s, p, n) one row for each g: its first s, sums of p and n, and twice the pairs, in whole numbers: positives above each
+    negative, ties by half."""
+    own, p, n, pairs = None, 0, 0, 0  # the group that is open, as a row of its own
+
+    def closed() -> pa.RecordBatch:
+        rest = [pa.array([v], pa.int64()) for v in (p, n, pairs)]
+        return pa.RecordBatch.from_arrays([*own, *rest], names=["g", "s", "p", "n", "pairs"])
+
+    for batch in batches:
+        groups, up, down = batch.column("g"), batch.column("p").to_numpy(), batch.column("n").to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            key, end, beyond = groups[at].as_py(), at, batch.num_rows
+            while beyond - end > 1:  # a group's rows lie side by side
+                middle = (end + beyond) // 2
+                end, beyond = (middle, beyond) if groups[middle].as_py() == key else (end, middle)
+            if own is None or own[0][0].as_py() != key:
+                if own is not None:
+                    yield closed()
+                own, p, n, pairs = [groups.take(pa.array([at])), batch.column("s").take(pa.array([at]))], 0, 0, 0
+            here, below = up[at:beyond], down[at:beyond]
+            pairs += int((below * (2 * (p + np.cumsum(here)) - here)).sum())
+            p, n, at = p + int(here.sum()), n + int(below.sum()), beyond
+    if own is not None:
+        yield closed()
 
 
 def flags(df: DataFrame, thresholds: list, record: str) -> DataFrame:
@@ -200,6 +231,7 @@ class Folds:
     centre: np.ndarray
     scale: np.ndarray
     rounds: int
+    rows: DataFrame  #: what they were fitted to, as written: (features, _y, _f0, _f1, ..: the fold in each repeat)
 
     def fold(self, r: int) -> Column:
         return _fold(self.seed + r, self.record, self.k)
@@ -240,7 +272,7 @@ def fit_folds(df: DataFrame, record: str, features: list[str], label: str, k: in
     rows = pinned(rows.select(*features, "_y", *[_fold(seed + r, record, k).alias(f"_f{r}") for r in range(repeats)]), "folds")
     first = rows.agg(F.count(F.lit(1)), *[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
     if not first[0]:
-        return Folds(record, features, k, repeats, seed, np.zeros((models, d + 1)), np.zeros(d), np.ones(d), 0)
+        return Folds(record, features, k, repeats, seed, np.zeros((models, d + 1)), np.zeros(d), np.ones(d), 0, rows)
     centre = np.array(first[1 : d + 1], float)
     scale = np.array([v if v > 0 else 1.0 for v in first[d + 1 :]], float)
     names = [f"_f{r}" for r in range(repeats)]
@@ -271,8 +303,8 @@ def fit_folds(df: DataFrame, record: str, features: list[str], label: str, k: in
             p = 1 / (1 + np.exp(-np.clip(z @ w[live].T, -500, 500)))
             used = used[:, live]
             gradient = ((p - y[:, None]) * used).T @ z
-            curvature = np.einsum("bi,bm,bj->mij", z, p * (1 - p) * used, z, optimize=True)
-            return np.concatenate([gradient, curvature.reshape(len(live), -1)], 1)
+            curvature = (p * (1 - p) * used).T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
+            return np.concatenate([gradient, curvature], 1)
 
         got = _summed(rows, derivatives, (d + 1) * (d + 2), len(live))
         ridge = np.zeros((len(live), d + 1))
@@ -282,7 +314,7 @@ def fit_folds(df: DataFrame, record: str, features: list[str], label: str, k: in
         step = np.linalg.solve(curvature, gradient[:, :, None])[:, :, 0]
         w[live] -= step
         live = live[np.abs(step).max(1) >= 1e-9]
-    return Folds(record, features, k, repeats, seed, w, centre, scale, done)
+    return Folds(record, features, k, repeats, seed, w, centre, scale, done, rows)
 
 
 def out_of_fold(df: DataFrame, record: str, features: list[str], label: str, k: int = 5, repeats: int = 10, l2: float = 1.0, seed: int = 0) -> DataFrame:
@@ -297,11 +329,11 @@ def overtraining(df: DataFrame, record: str, features: list[str], label: str, k:
     """One row: the mean area under the ROC of all models over the rows they were fitted to and over those held out, the latter's
     deviation, and the gap."""
     models = fit_folds(df, record, features, label, k, repeats, l2, seed)
-    rows = df.where(F.col(label).isNotNull()).na.drop(subset=features)
-    held = F.array(*[models.fold(r) for r in range(repeats)])
-    each = rows.select(F.col(label).cast("int").alias("y"), held.alias("_f"), F.posexplode(models.probabilities()).alias("model", "p"))
-    each = each.select("y", "p", F.struct("model", (F.get("_f", (F.col("model") / k).cast("int")) == F.col("model") % k).alias("held_out")).alias("g"))
-    areas = auc_by(each, "g", "p", "y").select(F.col("g.held_out").alias("held_out"), "auc")
+    held = F.array(*[F.col(f"_f{r}") for r in range(repeats)])
+    each = models.rows.select(F.col("_y").alias("y"), held.alias("_f"), F.posexplode(models.probabilities()).alias("model", "p"))
+    # one number for a model and whether it never saw the row
+    each = each.select("y", "p", (2 * F.col("model") + (F.get("_f", (F.col("model") / k).cast("int")) == F.col("model") % k).cast("int")).alias("g"))
+    areas = auc_by(each, "g", "p", "y").select((F.col("g") % 2 == 1).alias("held_out"), "auc")
     of = lambda test: F.when(F.col("held_out") == test, F.col("auc"))
     out = areas.agg(F.avg(of(False)).alias("train_auc"), F.avg(of(True)).alias("test_auc"), F.stddev_pop(of(True)).alias("test_sd"))
     return out.withColumn("gap", F.col("train_auc") - F.col("test_auc"))

@@ -1,5 +1,6 @@
 """What showed only on larger tables or on other partitions of them."""
 
+import os
 import tracemalloc
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidra.functions import canon
-from evidra.operators import facts, neighbours, search, spectral
+from evidra.operators import calibration, facts, neighbours, search, spectral
 
 
 def test_spectra_of_partitions_without_rows(spark):
@@ -84,3 +85,25 @@ def test_a_summary_extracts_facts_once(spark):
     assert {r["id"]: (r["entities"], r["n_facts"], r["fields"]) for r in out.collect()} == {1: (["SYN-MZ-00002"], 1, ["YIELD_T_HA"]), 2: ([], 2, ["MOISTURE_PCT", "YIELD_T_HA"])}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_areas_need_one_sort_and_no_table(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), float(s), int(y)) for g, s, y in zip(rng.integers(0, 3, 600), rng.integers(0, 90, 600) / 7, rng.integers(0, 2, 600))]
+    rows += [(None, 1.0, 1), (None, 2.0, 0), (7, 1.0, 1), (0, None, 1), (0, 1.0, None)]
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # groups go over batches and ranges
+    try:
+        for group in (F.col("g"), F.struct("g")):
+            df = spark.createDataFrame(rows, "g int, s double, y int").select(group.alias("g"), "s", "y")
+            got = {r["g"] if not isinstance(r["g"], tuple) else r["g"][0]: r for r in calibration.auc_by(df, "g", "s", "y").collect()}
+            assert set(got) == {None, 0, 1, 2, 7} and got[7]["auc"] is None
+            for g in (None, 0, 1, 2):
+                up, down = ([s for h, s, y in rows if h == g and s is not None and y == label] for label in (1, 0))
+                area = sum((a > b) + (a == b) / 2 for a in up for b in down) / (len(up) * len(down))
+                assert (got[g]["p"], got[g]["n"]) == (len(up), len(down)) and abs(got[g]["auc"] - area) < 1e-12
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert set(os.listdir(root)) == before  # nothing was written on the way
