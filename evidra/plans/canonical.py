@@ -3,26 +3,30 @@ suppliers are materials (every tenth a check), and orders are field operations."
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import canonical, recompute, relational
 from ..operators.canonical import ENTRY, MATERIAL, TRIAL
-from ..session import folder, table
+from ..session import folder, pinned, table
 from . import build
 
 
 class Drop:
-    """The sources of the drop under the data model's names."""
+    """The sources of the drop under the data model's names. kept: what a query reads many times is made once and written."""
 
-    def __init__(self, spark: SparkSession, d: str) -> None:
+    def __init__(self, spark: SparkSession, d: str, kept: bool = False) -> None:
+        self._keep = pinned if kept else lambda df, name: df
         li, sup, orders = (table(spark, d, n) for n in ("lineitem", "supplier", "orders"))
         entry = F.col("l_orderkey") * 10 + F.col("l_linenumber")
         keyed = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias(MATERIAL))
         role = F.when(F.col(MATERIAL) % 10 == 0, "CHECK").otherwise("TRIAL_ENTRY")
-        self.bridge = keyed.select(
+        bridge = keyed.select(
             entry.alias(ENTRY), (F.col("l_orderkey") % 500).alias(TRIAL), MATERIAL, role.alias("ENTRY_ROLE_LID"), F.col("l_linenumber").alias("REPLICATION_NO"), F.col("l_orderkey").alias("FIELD_ENTITY_ID")
         )
+        self.bridge = self._keep(bridge, "bridge")
         trait = F.when(F.col("l_returnflag") == "A", "YIELD_T_HA").when(F.col("l_returnflag") == "N", "MOISTURE_PCT").otherwise("DISEASE_SCORE")
         # every 23rd plot names an entry that the bridge lacks
         self.observations = li.select((entry + F.when(F.col("l_orderkey") % 23 == 0, 10_000_000_000).otherwise(0)).alias("TRIAL_ENTRY_RELATIONSHIP_GUID"), trait.alias("TRAIT_CODE"), F.col("l_quantity").alias("NUMBER_VALUE"))
@@ -35,7 +39,7 @@ class Drop:
             F.when(F.col("o_custkey") % 5 == 0, "paper").otherwise("APP").alias("RECORDED_VIA"), (F.col("o_custkey") % 100).alias(MATERIAL),
         )
         self.recorded = ops
-        self.operations = canonical.linked_operations(ops, self.bridge)
+        self.operations = self._keep(canonical.linked_operations(ops, self.bridge), "operations")
         self.excluded = recompute.excluded_records(self.operations, TRIAL, F.col("OPERATION_TYPE_LID"), F.col("STATUS_LID"), ["irrigation"])
         self.master = sup.where("s_suppkey % 17 <> 3").select(
             F.col("s_suppkey").alias(MATERIAL), F.col("s_name").alias("MATERIAL_ID"), *[F.lit(None).cast("string").alias(c) for c in ("FEMALE_PARENT_MATERIAL_GUID", "MALE_PARENT_MATERIAL_GUID")]
@@ -53,8 +57,12 @@ class Drop:
             t.alias(TRIAL), F.concat(F.lit("T"), t.cast("string")).alias("TRIAL_ID"), F.lit(4500.0).alias("GENOMIC_BREEDING_VALUE_MEAN"), (t % 60).cast("double").alias("RESISTANT_MATERIAL_PCT"), (t % 4).alias("location"), (t % 2 + 2020).alias("START_YEAR")
         )
 
+    @cached_property
+    def _trial_material(self) -> DataFrame:
+        return self._keep(canonical.trial_material(self.observations, self.bridge, self.excluded, ["YIELD_T_HA", "MOISTURE_PCT", "DISEASE_SCORE"]), "trial_material")
+
     def trial_material(self) -> DataFrame:
-        return canonical.trial_material(self.observations, self.bridge, self.excluded, ["YIELD_T_HA", "MOISTURE_PCT", "DISEASE_SCORE"])
+        return self._trial_material
 
     def trials(self) -> DataFrame:
         return canonical.trials(self.bridge, self.operations, self.trial_material(), self.excluded)
@@ -118,7 +126,7 @@ def canonical_genomic_means(spark, d):
 
 
 def canonical_findings(spark, d):
-    x = Drop(spark, d)
+    x = Drop(spark, d, kept=True)
     out = canonical.findings(x.trial_material(), x.summary, x.materials(), x.genomics, x.operations, ["operations source is partial"])
     return _six(out.withColumn("worst", F.array_join("worst", ", ")))
 

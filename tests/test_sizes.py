@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import canon
 from evidra.operators import calibration, facts, neighbours, search, spectral
+from evidra.plans import canonical
 
 
 def test_spectra_of_partitions_without_rows(spark):
@@ -107,3 +108,8 @@ def test_areas_need_one_sort_and_no_table(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert set(os.listdir(root)) == before  # nothing was written on the way
+
+
+def test_findings_read_the_lines_once(spark, data, capsys):
+    canonical.QUERIES["canonical_findings"](spark, data).explain()
+    assert "FileScan parquet [l_" not in capsys.readouterr().out  # what they share is written before
