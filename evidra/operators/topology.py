@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..session import pinned, previous, running
 from .relational import quantiles
 
-BLOCK = 1000  #: points of a block; a pair of blocks is a task's work
+BLOCK = 1000  #: points of a block
+TEAMS, TEAM = 12, 64  #: blocks go in so many teams, of so many blocks at most; a pair of teams is a task's work, so that a point is sent once a team
+TASK_EDGES = 500_000  #: beyond so many edges a task drops those that close a cycle
 PIVOTS = 1024  #: at most, whatever the points; the tables of all pairs of pivots are small
 LAST_EDGES = 2_000_000  #: so many edges are left to one task; of more, components are joined by rounds first
 
@@ -57,6 +59,8 @@ def persistence(points: DataFrame, block: int = BLOCK, pivots: int = PIVOTS, las
     themselves), cells in blocks. The tree of all lies in the union of the trees of every two blocks. Two cells need no such trees if
     their points are further apart than a path between them takes: by the triangle inequality the distance of the pivots less both
     radii is least, and the longest edge of such a path is known from the trees of each block with its pivot and the tree of the pivots.
+    Blocks meet in pairs of teams, and what their trees leave is one forest a task. So points and edges travel as often as there are
+    teams: that grows with the input as long as teams can grow, and work with the pairs of blocks.
     What is left of edges shrinks by rounds: every component takes its least edge, and components that meet become one.
     """
     p = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
@@ -66,9 +70,34 @@ def persistence(points: DataFrame, block: int = BLOCK, pivots: int = PIVOTS, las
     if n < 2:
         return copies
     cells, partners = _cells(p, min(pivots, max(1, -(-n // block))), block)
-    spread = cells.join(F.broadcast(partners), "cell").select("id", "x", "blk", F.explode(F.sequence("begin", "end")).alias("other"))
-    spread = spread.join(F.broadcast(partners.where("alone").select(F.col("begin").alias("blk"), "alone")), "blk", "left").where("other <> blk or alone")
-    edges = pinned(spread.select("id", "x", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi")).groupBy("lo", "hi").applyInPandas(_pair_tree, "a long, b long, d double"), "edges")
+    reach: dict[int, list[tuple[int, int, bool]]] = {}
+    for r in partners.collect():  # as many as pairs of pivots at most
+        reach.setdefault(r["cell"], []).append((r["begin"], r["end"], r["alone"]))
+    size = min(TEAM, max(1, -(-max(end for of in reach.values() for _, end, _ in of) // TEAMS)))
+    teams = [(c, sorted({t for begin, end, _ in of for t in range(begin // size, end // size + 1)})) for c, of in reach.items()]
+    met = cells.join(F.broadcast(p.sparkSession.createDataFrame(teams, "cell int, teams array<int>")), "cell")
+    spread = met.select("id", "x", "cell", "blk", (F.col("blk") / size).cast("int").alias("team"), F.explode("teams").alias("other"))
+    spread = spread.select("id", "x", "cell", "blk", F.least("team", "other").alias("lo"), F.greatest("team", "other").alias("hi"))
+
+    def trees(key, pdf):
+        """What is left of the trees of the pairs of blocks that two teams have to try."""
+        ids, x, blk = pdf["id"].to_numpy(), np.vstack(pdf["x"]).astype(np.float64), pdf["blk"].to_numpy()
+        rows = {int(b): np.flatnonzero(blk == b) for b in np.unique(blk)}
+        found, many = [], 0
+        for i, at in rows.items():
+            of = reach[int(pdf["cell"].iat[at[0]])]
+            for j in rows:
+                apart = {i // size, j // size} == set(key)
+                if apart and any(begin <= j <= end and (i < j or (i == j and alone)) for begin, end, alone in of):
+                    both = at if i == j else np.concatenate([at, rows[j]])
+                    found.append(_pair_tree(ids[both], x[both]))
+                    many += len(found[-1])
+                    if many > TASK_EDGES + len(pdf):
+                        found = [_forest(pd.concat(found))]
+                        many = len(found[0])
+        return _forest(pd.concat(found)) if found else pd.DataFrame({"a": [], "b": [], "d": []})
+
+    edges = pinned(spread.groupBy("lo", "hi").applyInPandas(trees, "a long, b long, d double"), "edges")
     tree_edges = []
     while edges.count() > last:
         edges, taken = boruvka_round(edges)
@@ -169,15 +198,12 @@ def boruvka_round(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pinned(left, "edges"), taken
 
 
-def _pair_tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.drop_duplicates("id")
-    x, ids = np.vstack(pdf["x"]).astype(np.float64), pdf["id"].to_numpy()
-    out = []
-    for i, j, _ in tree(_squares(x)):
-        # the edge is measured again by differences: the same pair has the same length in every task
-        a, b = sorted((i, j), key=lambda k: ids[k])
-        out.append((ids[a], ids[b], float(((x[a] - x[b]) ** 2).sum())))
-    return pd.DataFrame(out, columns=["a", "b", "d"])
+def _pair_tree(ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    ends = np.array([e[:2] for e in tree(_squares(x))], int).reshape(-1, 2)
+    swapped = ids[ends[:, 0]] > ids[ends[:, 1]]
+    ends[swapped] = ends[swapped][:, ::-1]
+    # edges are measured again by differences: the same pair has the same length in every task
+    return pd.DataFrame({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]], "d": ((x[ends[:, 0]] - x[ends[:, 1]]) ** 2).sum(1)})
 
 
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidra.functions import canon
-from evidra.operators import calibration, facts, neighbours, search, spectral
+from evidra.operators import calibration, facts, neighbours, search, spectral, topology
 from evidra.plans import canonical
 
 
@@ -113,3 +113,15 @@ def test_areas_need_one_sort_and_no_table(spark):
 def test_findings_read_the_lines_once(spark, data, capsys):
     canonical.QUERIES["canonical_findings"](spark, data).explain()
     assert "FileScan parquet [l_" not in capsys.readouterr().out  # what they share is written before
+
+
+def test_blocks_of_a_barcode_meet_in_teams(spark, monkeypatch):
+    monkeypatch.setattr(topology, "TASK_EDGES", 50)
+    x = np.random.default_rng(8).normal(size=(320, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root))
+    got = sorted(r["length"] for r in topology.persistence(df, block=10).collect())
+    assert np.allclose(got, np.sqrt(sorted(d for _, _, d in topology.tree(((x[:, None] - x[None]) ** 2).sum(-1)))))
+    (edges,) = [f for f in set(os.listdir(root)) - before if f.startswith("edges-")]
+    assert spark.read.parquet(f"file://{root}/{edges}").count() < 5000  # each pair of blocks by itself leaves about 9,400
