@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
 from . import quality, recompute
 from .relational import quantiles
 
@@ -67,8 +68,9 @@ def linked_operations(operations: DataFrame, bridge: DataFrame) -> DataFrame:
 def trial_material(observations: DataFrame, bridge: DataFrame, excluded: DataFrame, traits: list[str]) -> DataFrame:
     """One row a trial, material and role: means of its traits over plots, replicates, yield against the trial's checks, and whether it
     counts. excluded: (trial) whose results may not be used. traits: the trait codes, one column each."""
-    entries = bridge.groupBy(ENTRY).agg(F.min(F.struct(TRIAL, MATERIAL, "ENTRY_ROLE_LID", F.col("REPLICATION_NO").alias("_rep"))).alias("_e")).select(ENTRY, "_e.*")
-    plots = observations.drop(TRIAL, MATERIAL).join(entries, F.col("TRIAL_ENTRY_RELATIONSHIP_GUID") == F.col(ENTRY))
+    n = observations.count()  # both sides are dealt by the entry to partitions of so many plots that a task can sort
+    entries = dealt(bridge, ENTRY, n).groupBy(ENTRY).agg(F.min(F.struct(TRIAL, MATERIAL, "ENTRY_ROLE_LID", F.col("REPLICATION_NO").alias("_rep"))).alias("_e")).select(ENTRY, "_e.*")
+    plots = dealt(observations.drop(TRIAL, MATERIAL), "TRIAL_ENTRY_RELATIONSHIP_GUID", n).join(entries, F.col("TRIAL_ENTRY_RELATIONSHIP_GUID") == F.col(ENTRY))
     means = [F.avg(F.when(F.col("TRAIT_CODE") == t, F.col("NUMBER_VALUE"))).alias(t) for t in traits]
     tm = plots.groupBy(TRIAL, MATERIAL, F.col("ENTRY_ROLE_LID").alias("role")).agg(*means, F.count_distinct("_rep").alias("n_reps"))
     if "YIELD_T_HA" in traits:
@@ -97,10 +99,11 @@ def trials(bridge: DataFrame, operations: DataFrame | None, tm: DataFrame, exclu
 
 
 def candidates(recommendations: DataFrame, tm: DataFrame, lab: DataFrame | None = None) -> DataFrame:
-    """The candidates' metrics out of trials: a ratio of means over usable trials, means of the rest, and lab columns as lab_*."""
+    """The candidates' metrics out of trials: a ratio of means over usable trials, means of the rest, and lab columns as lab_*. tm: one row
+    a trial, material and role, as trial_material() gives it, so that rows of a material and role are its trials."""
     mine = tm.where("role = 'TRIAL_ENTRY'")
     used = F.col("used")
-    aggs = [F.count_distinct(TRIAL).alias("n_trials"), F.count_distinct(F.when(used, F.col(TRIAL))).alias("n_trials_used")]
+    aggs = [F.count(TRIAL).alias("n_trials"), F.count(F.when(used, F.col(TRIAL))).alias("n_trials_used")]
     if "YIELD_T_HA" in tm.columns:
         own, check = F.avg(F.when(used, F.col("YIELD_T_HA"))), F.avg(F.when(used, F.col("CHECK_YIELD_T_HA")))
         aggs += [F.try_divide(100 * own, check).alias("yield_vs_check_pct"), own.alias("MEAN_YIELD_T_HA")]

@@ -35,14 +35,15 @@ def current_state(df: DataFrame, keys: list[str], seq: str, columns: list[str])
 
 def references(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
     """(reference, n_references, n_resolved, share): non-null references that the parent table holds."""
-    parents = parent.select(F.col(parent_key).alias("_p")).where("_p is not null").distinct()
-    counts = child.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_c")).agg(F.count(F.lit(1)).alias("n"))
-    j = counts.join(parents, F.col("_c") == F.col("_p"), "left")
-    return j.agg(
+    named = child.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.lit(1).alias("_n"), F.lit(False).alias("_held"))
+    held = parent.where(F.col(parent_key).isNotNull()).select(F.col(parent_key).alias("_k"), F.lit(0).alias("_n"), F.lit(True).alias("_held"))
+    # the keys of both tables meet in one aggregate: nothing is sorted, and a task holds each key once
+    keys = named.unionByName(held).groupBy("_k").agg(F.sum("_n").alias("n"), F.bool_or("_held").alias("_held"))
+    return keys.agg(
         F.lit(name).alias("reference"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_references"),
-        F.coalesce(F.sum(F.when(F.col("_p").isNotNull(), F.col("n"))), F.lit(0)).alias("n_resolved"),
-        F.try_divide(F.coalesce(F.sum(F.when(F.col("_p").isNotNull(), F.col("n"))), F.lit(0)), F.sum("n")).alias("share"),
+        F.coalesce(F.sum(F.when(F.col("_held"), F.col("n"))), F.lit(0)).alias("n_resolved"),
+        F.try_divide(F.coalesce(F.sum(F.when(F.col("_held"), F.col("n"))), F.lit(0)), F.sum("n")).alias("share"),
     )
 
 

@@ -46,6 +46,16 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS = 500_000  #: rows of a partition that dealt() aims at
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """df dealt by key to as many partitions as that many rows need, so that a task's memory does not grow with the table. Few rows are
+    left to Spark, which makes at least a partition for each core."""
+    n = -(-rows // ROWS)
+    return df.repartition(n, key) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def in_ranges(df: DataFrame, order: str, descending: bool = False) -> DataFrame:
     """df with _p, the number of the range of its order column that a row lies in. Ranges are sampled anew by each run of a plan, so
     that the rows are written with their range's number before anything is counted by it."""

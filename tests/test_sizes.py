@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from evidra import session
 from evidra.functions import canon
-from evidra.operators import calibration, facts, neighbours, search, spectral, topology
+from evidra.operators import calibration, facts, neighbours, relational, search, spectral, topology
 from evidra.plans import canonical
 
 
@@ -125,3 +126,27 @@ def test_blocks_of_a_barcode_meet_in_teams(spark, monkeypatch):
     assert np.allclose(got, np.sqrt(sorted(d for _, _, d in topology.tree(((x[:, None] - x[None]) ** 2).sum(-1)))))
     (edges,) = [f for f in set(os.listdir(root)) - before if f.startswith("edges-")]
     assert spark.read.parquet(f"file://{root}/{edges}").count() < 5000  # each pair of blocks by itself leaves about 9,400
+
+
+def test_references_are_counted_without_a_join(spark):
+    child = spark.createDataFrame([(1,), (1,), (2,), (5,), (None,)], "k int")
+    parent = spark.createDataFrame([(1,), (1,), (2,), (9,), (None,)], "p long")
+    none, nothing = child.where("k > 99"), parent.where("p > 99")
+    got = [tuple(relational.references(a, "k", b, "p", "r").first()) for a, b in ((child, parent), (child, nothing), (none, parent), (none, nothing))]
+    assert got == [("r", 4, 3, 0.75), ("r", 4, 0, 0.0), ("r", 0, 0, None), ("r", 0, 0, None)]
+    plan = relational.references(child, "k", parent, "p", "r")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
+
+
+def test_plots_meet_their_entries_in_partitions_of_bounded_size(spark, data, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    sizes = lambda df: sorted(tuple(r) for r in df.select("TRIAL_GUID", "MATERIAL_GUID", "role", "n_reps", "used", F.round("YIELD_T_HA", 6)).collect())
+    few = canonical.Drop(spark, data).trial_material()
+    assert "RepartitionByExpression" not in plan(few)  # few rows are left to Spark
+    n = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    monkeypatch.setattr(session, "ROWS", n // 20)
+    many = canonical.Drop(spark, data).trial_material()
+    assert f", {-(-n // (n // 20))}" in "".join(line for line in plan(many).splitlines() if "RepartitionByExpression" in line)
+    assert sizes(many) == sizes(few)
+    # a trial is a row already, so that no row is copied for each count
+    assert "Expand" not in plan(canonical.Drop(spark, data).candidates())
