@@ -85,7 +85,7 @@ def fold_text(t: str) -> str:
     space, so that words are folded one by one, frequent ones once."""
     if t.isascii():
         return " ".join(t.lower().split())
-    return " ".join(filter(None, map(_fold_word, t.split())))
+    return " ".join(filter(None, [w.lower() if w.isascii() else _fold_word(w) for w in t.split()]))
 
 
 FOLDED_AT_ONCE = 256  #: texts of a batch that are Python strings at a time

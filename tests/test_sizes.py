@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidra import session
 from evidra.functions import canon
-from evidra.operators import calibration, facts, neighbours, relational, search, spectral, topology
+from evidra.operators import calibration, facts, neighbours, relational, relevance, search, spectral, topology
 from evidra.plans import canonical
 
 
@@ -150,3 +150,36 @@ def test_plots_meet_their_entries_in_partitions_of_bounded_size(spark, data, mon
     assert sizes(many) == sizes(few)
     # a trial is a row already, so that no row is copied for each count
     assert "Expand" not in plan(canonical.Drop(spark, data).candidates())
+
+
+def test_known_ids_travel_to_the_texts(spark, monkeypatch):
+    texts = ["see syn-mz-00042 now", "--Syn-MZ-00042", "SYN-MZ-00042-b", "xSYN-MZ-00042", "_AB_12_", "ab_12", "", None, "ß ab_1 straße ab_12", "(SYN-MZ-00042)", "ıd ab-_"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    examples = spark.createDataFrame([(1, "the yield of maize", 1), (2, "a hotel bill", 0)], "example int, text string, label int")
+    known = spark.createDataFrame([("SYN-MZ-00042",), ("AB_12",), ("AB_12_",), ("AB-_",), (None,)], "id string")
+    many = known.unionByName(spark.range(30).select(F.format_string("ID%d", "id").alias("id")))
+    assess = lambda ids: relevance.assess(docs, "i", "t", examples, {"yield": 1.0}, ids)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    got = rows(assess(known))
+    assert [r[0] for r in got if "names an id that is known" in r[-1]] == [0, 1, 4, 5, 8, 9, 10] and rows(assess(many)) == got
+    plan = assess(known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # no row for each id of a text
+    monkeypatch.setattr(relevance, "KNOWN_IDS", 3)
+    assert "Join" in assess(known)._jdf.queryExecution().optimizedPlan().toString() and rows(assess(known)) == got
+
+
+def test_ngrams_of_new_tokens_are_looked_up_at_once(monkeypatch):
+    reference = relevance.Reference(["the yield of maize / 12 %", "the hotel bill", "поле зерно 今日は", "", "𝄞𝄞 maize maize"])
+    tokens = relevance.tokens_of("the maized hotels 99 % поле 今日 z ẑ 𝄞 bill the the")
+    want = sorted(reference.index[g] for t in tokens for g in relevance.grams_of(t) if g in reference.index)
+    assert reference.packed is not None and sorted(reference._met(tokens)) == want and len(want) > 20
+    found = reference._found(tokens)
+    whole = reference.cosines(tokens)
+    monkeypatch.setattr(relevance, "TOKENS_AT_ONCE", 2)
+    monkeypatch.setattr(relevance, "KNOWN_TOKENS", 3)
+    assert reference.cosines(tokens).tolist() == whole.tolist() and len(reference.known) <= 6
+    reference.packed = None  # as with a reference of too many characters
+    plain = reference._found(tokens)
+    ends = np.cumsum(plain[1])[:-1]
+    assert plain[1].tolist() == found[1].tolist() and [sorted(x) for x in np.split(plain[0], ends)] == [sorted(x) for x in np.split(found[0], ends)]
+    assert relevance.Reference([]).cosines(tokens).tolist() == [] and relevance.Reference([""]).cosines(tokens).tolist() == [0.0]
