@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fixed
+from ..session import pinned
 
 OPS = {
     ">=": lambda a, b: a >= b,
@@ -315,28 +316,28 @@ def diagnose(df: DataFrame, rules: TrialRules, record: str, official: str, k: in
     """A root cause for each disagreement with the official verdict: WEIGHTING, BOUNDARY, LABEL_CONFLICT or MISSING_FACTOR.
 
     Disagreeing records (those that meet the condition ``only``, if there is one) are the queries of a nearest-neighbour search over
-    all labelled records, in z-scores of the criteria.
+    all labelled records, in z-scores of the criteria. Records are written once; verdicts are compared by their 64-bit hash.
     """
     from dataclasses import replace
 
     from . import neighbours
 
     fields = [t.field for t in rules.thresholds] + ([rules.extra.field] if rules.extra else [])
-    rows = df.where(F.col(official).isNotNull()).withColumn("_asked", only if only is not None else F.lit(True))
-    stats = rows.agg(*[g(F.col(f)).alias(f"{n}{i}") for i, f in enumerate(fields) for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    z = F.array(*[F.coalesce(F.try_divide(F.col(f) - F.lit(stats[f"m{i}"]), F.lit(stats[f"s{i}"])), F.lit(0.0)) for i, f in enumerate(fields)])
     weighted = replace(rules, mode="weighted_severity")
-    rows = rows.select(
+    rows = df.where(F.col(official).isNotNull()).select(
         F.col(record).alias("id"), F.col(official).alias("official"), rules.verdict().alias("computed"), weighted.verdict().alias("weighted"),
-        severity(rules.thresholds).alias("severity"), z.alias("x"), "_asked",
+        severity(rules.thresholds).alias("severity"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(fields)],
+        (only if only is not None else F.lit(True)).alias("_asked"),
     )
+    rows, x = pinned(rows, "records"), [f"_x{i}" for i in range(len(fields))]
+    stats = rows.agg(*[g(c).alias(f"{n}{c}") for c in x for n, g in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    z = {c: F.coalesce(F.try_divide(F.col(c) - F.lit(stats[f"m{c}"]), F.lit(stats[f"s{c}"])), F.lit(0.0)) + F.lit(0.0) for c in x}
+    rows = rows.withColumns(z)
     wrong = rows.where("official <> computed and _asked").drop("_asked")
-    near = neighbours.knn(wrong.select("id", "x"), rows.select("id", "x"), k, exclude_self=True)
-    near = near.join(rows.select(F.col("id").alias("neighbour"), F.col("official").alias("label")), "neighbour")
-    votes = near.join(wrong.select("id", "official", "computed"), "id").groupBy("id").agg(
-        F.count_if(F.col("label") == F.col("computed")).alias("like_engine"), F.count_if(F.col("label") == F.col("official")).alias("like_official")
-    )
-    out = wrong.drop("x").join(votes, "id", "left")
+    near = neighbours.near_places(rows.select("id", F.xxhash64("official").alias("label"), *x), wrong.select(*x), x, k + 1)
+    others = F.slice(F.filter("near", lambda r: r["id"] != F.col("id")), 1, k)
+    like = lambda verdict: F.size(F.filter("_others", lambda r: r["label"] == F.xxhash64(verdict)))
+    out = wrong.join(near, x).withColumn("_others", others).withColumns({"like_engine": like("computed"), "like_official": like("official")})
     inside = F.col("severity").between(*band) if band and rules.mode == "severity" else F.lit(False)
     cause = (
         F.when(F.lit(rules.mode != "weighted_severity") & (F.col("weighted") == F.col("official")), "WEIGHTING")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidra import session
 from evidra.functions import canon
-from evidra.operators import calibration, facts, neighbours, relational, relevance, search, spectral, topology
+from evidra.operators import calibration, facts, neighbours, relational, relevance, rules, search, spectral, topology
 from evidra.plans import canonical
 
 
@@ -183,3 +183,50 @@ def test_ngrams_of_new_tokens_are_looked_up_at_once(monkeypatch):
     ends = np.cumsum(plain[1])[:-1]
     assert plain[1].tolist() == found[1].tolist() and [sorted(x) for x in np.split(plain[0], ends)] == [sorted(x) for x in np.split(found[0], ends)]
     assert relevance.Reference([]).cosines(tokens).tolist() == [] and relevance.Reference([""]).cosines(tokens).tolist() == [0.0]
+
+
+def test_neighbours_by_cells_equal_all_distances(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 150)  # many cells, so that queries cross their bounds
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=3000).round(1), rng.integers(0, 4, 3000), rng.normal(size=3000)])
+    x[:400] = x[0]  # one place of many rows
+    x[400:900, 2] = 0.0
+    x[2990:] += 50  # far from everything, in a place each
+    rows = spark.createDataFrame([(int(i), int(i) % 3, *map(float, r)) for i, r in zip(rng.permutation(3000), x)], "id long, label long, a double, b double, c double").repartition(7)
+    table = {r["id"]: (r["label"], np.array(r[2:])) for r in rows.collect()}
+    ids = np.array(sorted(table))
+    points = np.array([table[i][1] for i in ids])
+    cells = neighbours.Cells.cut(["a", "b", "c"], points, 20)
+    assert cells.n == 20 and np.bincount(cells.of(points)).min() > 0 and neighbours.Cells.cut(["a"], np.ones((9, 1)), 5).n == 1
+    out = neighbours.near_places(rows, rows.where("id % 2 = 0").select("a", "b", "c"), ["a", "b", "c"], 6).collect()
+    assert sorted(tuple(r)[:3] for r in out) == sorted({tuple(map(float, table[i][1])) for i in ids if i % 2 == 0})
+    for r in out:
+        d = neighbours._distances(np.array([tuple(r)[:3]]), points)[0]
+        want = np.lexsort((ids, d))[:6]
+        assert [(n["distance2"], n["id"], n["label"]) for n in r["near"]] == [(d[j], ids[j], table[ids[j]][0]) for j in want]
+    few = neighbours.near_places(rows.where("id < 3"), rows.where("id < 2").select("a", "b", "c"), ["a", "b", "c"], 6).collect()
+    assert {len(r["near"]) for r in few} == {3} and neighbours.near_places(rows.limit(0), rows.limit(0).select("a", "b", "c"), ["a", "b", "c"], 6).count() == 0
+
+
+def test_records_are_computed_once_for_their_diagnosis(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    rng = np.random.default_rng(9)
+    facts = [(i, str(rng.choice(["PASS", "FAIL", "HOLD"])), float(rng.normal()), float(rng.integers(3))) for i in range(300)]
+    df = spark.createDataFrame(facts, "id long, official string, a double, b double").mapInPandas(counted, "id long, official string, a double, b double")
+    criteria = rules.TrialRules([rules.Threshold("one", "a", ">=", 0.0, 1.0, "high", "low"), rules.Threshold("two", "b", "<=", 1.0, 1.0, "few", "many")], weighted_cut=0.2, cut=0.3, mode="severity")
+    got = {r["id"]: r for r in rules.diagnose(df, criteria, "id", "official").collect()}
+    assert read.value == 300
+    x = np.array([r[2:] for r in facts])
+    z = (x - x.mean(0)) / x.std(0)
+    assert len(got) > 100
+    for i, r in got.items():
+        d = ((z - z[i]) ** 2).sum(1)
+        d[i] = np.inf
+        near = [facts[j][1] for j in np.lexsort((np.arange(300), d.round(9)))[:5]]
+        assert (r["like_engine"], r["like_official"]) == (near.count(r["computed"]), near.count(r["official"])) and r["official"] == facts[i][1] != r["computed"]
