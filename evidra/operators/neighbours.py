@@ -69,6 +69,15 @@ def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return d
 
 
+def _outside(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of queries to boxes."""
+    d = np.zeros((len(q), len(low)))
+    for x, a, b in zip(q.T, low.T, high.T):
+        gap = np.maximum(np.maximum(a - x[:, None], x[:, None] - b), 0)
+        d += gap * gap
+    return d
+
+
 def _gathered(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, x) of so many points at a time."""
     ids, x, n = [], [], 0
@@ -92,7 +101,8 @@ def nearest(
     squared distance of each query are of interest.
 
     Queries and points lie in boxes of LEAF. A box of queries meets the points' boxes nearest first, AT_ONCE points at a time, and no
-    box that is further away than the worst of its k-th neighbours so far; a box as far as that is met, as a tie goes by the id.
+    box that is further away than the worst of its k-th neighbours so far; a box as far as that is met, as a tie goes by the id. In few
+    dimensions only those of its queries meet them whose own k-th neighbour is as far.
     """
     order, q_ends = _leaves(q)
     qid, q = qid[order], q[order]
@@ -104,22 +114,30 @@ def nearest(
         order, p_ends = _leaves(p)
         ids, p = ids[order], p[order]
         p_low, p_high = _boxes(p, p_ends)
-        slack = 1e-9 * (1 + (q * q).sum(1).max() + (p * p).sum(1).max()) if q.shape[1] > 16 else 0.0
+        few = q.shape[1] <= 16
+        slack = 0.0 if few else 1e-9 * (1 + (q * q).sum(1).max() + (p * p).sum(1).max())
         for g, (lo, hi) in enumerate(zip(q_ends[:-1], q_ends[1:])):
             far = (np.maximum(0, np.maximum(p_low - q_high[g], q_low[g] - p_high)) ** 2).sum(1) * (1 - 1e-12) - slack
             turn = np.argsort(far, kind="stable")
             for i in range(0, len(turn), AT_ONCE // LEAF):
-                worst = best_d[lo:hi, -1].max()
-                met = [j for j in turn[i : i + AT_ONCE // LEAF] if far[j] <= worst]
-                if not met:
+                worst = best_d[lo:hi, -1]
+                met = turn[i : i + AT_ONCE // LEAF]
+                met = met[far[met] <= worst.max()]
+                if not len(met):
                     break
+                near = np.arange(lo, hi)
+                if few and (i or within is not None):  # the queries of a box by themselves
+                    hit = _outside(q[lo:hi], p_low[met], p_high[met]) * (1 - 1e-12) <= worst[:, None]
+                    near, met = near[hit.any(1)], met[hit.any(0)]
+                    if not len(near):
+                        continue
                 at = np.concatenate([np.arange(p_ends[j], p_ends[j + 1]) for j in met])
-                d = _distances(q[lo:hi], p[at])
+                d = _distances(q[near], p[at])
                 if exclude_self:
-                    d[qid[lo:hi, None] == ids[None, at]] = np.inf
-                near = lo + np.flatnonzero((d <= best_d[lo:hi, -1:]).any(1))
-                if len(near):
-                    d = d[near - lo]
+                    d[qid[near, None] == ids[None, at]] = np.inf
+                some = (d <= best_d[near, -1:]).any(1)
+                if some.any():
+                    near, d = near[some], d[some]
                     best_d[near], best_i[near] = _best(np.hstack([best_d[near], d]), np.hstack([best_i[near], np.broadcast_to(ids[at], d.shape)]), k)
     best_d[best_i == NONE] = np.inf
     return qid, best_d, best_i
@@ -275,9 +293,9 @@ def near_places(rows: DataFrame, asked: DataFrame, columns: list[str], k: int) -
         q, worst, sizes, found = near(rows, queries)
         others, met = [], []
         for a in range(0, len(q), AT_ONCE):
-            part = q[a : a + AT_ONCE, None]
+            part = q[a : a + AT_ONCE]
             with np.errstate(invalid="ignore"):
-                far = (np.maximum(0, np.maximum(low - part, part - high)) ** 2).sum(2) * (1 - 1e-12) - slack
+                far = _outside(part, low, high) * (1 - 1e-12) - slack
             hit = (far <= worst[a : a + AT_ONCE, None]) & np.isfinite(low[:, 0])
             hit[:, cell] = False
             others.append(np.nonzero(hit)[1])

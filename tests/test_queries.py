@@ -25,6 +25,14 @@ def test_mismatch_causes_name_every_mismatch_that_was_asked_for(spark, data):
     assert set(got) <= {"WEIGHTING", "BOUNDARY", "LABEL_CONFLICT", "MISSING_FACTOR"} and rules.diagnose is not None
 
 
+def test_mismatch_causes_cover_every_mismatch(spark, data):
+    from evidra.plans import queries
+
+    rows = QUERIES["rules_mismatch_causes"](spark, data).collect()
+    df = queries.order_facts(spark, data).withColumn("computed", queries.replace(queries.ORDER_RULES, mode="severity").verdict())
+    assert sum(r["n_all"] for r in rows) == df.where("official <> computed").count() > 10 * sum(r["n"] for r in rows)
+
+
 def test_contributions_add_up_and_the_residual_is_what_the_components_leave(spark, data):
     rows = QUERIES["spectral_contributions"](spark, data).collect()
     assert all(r["adds_up"] and r["t2"] >= 0 and r["q"] >= 0 for r in rows) and len({r["o_orderkey"] for r in rows}) == len(rows)
