@@ -317,6 +317,33 @@ def fit_folds(df: DataFrame, record: str, features: list[str], label: str, k: in
     return Folds(record, features, k, repeats, seed, w, centre, scale, done, rows)
 
 
+def logistic(rows: DataFrame, features: list[str], label: str, l2: float = 1.0, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset and weights, mean, deviation) of logistics() for one model of all rows, whose sums a pass a step adds up."""
+    d = len(features)
+    n, ones, *first = rows.agg(F.count(F.lit(1)), F.sum(label), *[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
+    w = np.zeros(d + 1)
+    if not n:
+        return w, np.zeros(d), np.ones(d)
+    mean, sd = np.array(first[:d], float), np.array([v if v > 0 else 1.0 for v in first[d:]], float)
+    if ones in (0, n):
+        w[0] = 30.0 if ones else -30.0
+        return w, mean, sd
+    ridge = np.diag([0.0, *[l2] * d])
+    for _ in range(rounds):
+
+        def derivatives(pdf, w=w.copy()):
+            z = np.column_stack([np.ones(len(pdf)), (pdf[features].to_numpy(float) - mean) / sd])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+            return np.r_[(p - pdf[label].to_numpy(float)) @ z, ((p * (1 - p))[:, None] * z).T.dot(z).ravel()][None]
+
+        got = _summed(rows, derivatives, (d + 1) * (d + 2), 1)[0]
+        step = np.linalg.solve(got[d + 1 :].reshape(d + 1, d + 1) + ridge + 1e-12 * np.eye(d + 1), got[: d + 1] + ridge @ w)
+        w -= step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w, mean, sd
+
+
 def out_of_fold(df: DataFrame, record: str, features: list[str], label: str, k: int = 5, repeats: int = 10, l2: float = 1.0, seed: int = 0) -> DataFrame:
     """(record, p_fail): mean over the repeats of the probability by the model that was fitted without the record's fold."""
     models = fit_folds(df, record, features, label, k, repeats, l2, seed)

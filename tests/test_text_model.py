@@ -162,3 +162,46 @@ def test_the_gate_query_equals_plain_python(spark, data):
         f = plain_features([*items, (0, docs[i] or "", 2)], everyone, len(items))
         module.LEXICON = weights
         assert (rows[i]["feature"], rows[i]["delta"]) == pytest.approx(tuple(f), abs=2e-6)
+
+
+def test_examples_in_blocks_equal_examples_at_once(spark, monkeypatch):
+    df = spark.createDataFrame([*EXAMPLES, (10, None, 0), (11, "the hotel", 2)], "example int, text string, label int")
+    docs = [(i, t, i == 3) for i, t in enumerate([*TEXTS, None, "see syn-mz-00042 now", "GUID ABC-1234", "one two", "the yield trial in the field урожай поле зерно", "match of football and a hotel invoice total"])] + [(None, "a yield", True)]
+    docs = spark.createDataFrame(docs, "i int, t string, has_table boolean")
+    known = spark.createDataFrame([("SYN-MZ-00042",)], "id string")
+    rows = lambda: sorted((tuple(r) for r in relevance.assess(docs, "i", "t", df, LEXICON, known, [r"\b[A-Z]{3}-\d{4}\b"], "has_table").collect()), key=str)
+    whole, alone = rows(), [tuple(r) for r in relevance.leave_one_out(df, LEXICON).collect()]
+    monkeypatch.setattr(relevance, "EXAMPLES", 3)
+    monkeypatch.setattr(relevance, "PAIRS", 20)
+    blocks = relevance.Blocks.dealt(df, LEXICON)
+    assert blocks.texts == 10 and blocks.n == 4 and len({r["block"] for r in blocks.examples.select("block").collect()}) > 1
+    got = rows()
+    assert len(got) == len(whole) == docs.count() and len({r[3] for r in whole}) > 3
+    for a, b in zip(got, whole):
+        assert a[:2] + a[5:] == b[:2] + b[5:] and a[2:5] == pytest.approx(b[2:5], abs=1e-9)
+    for a, b in zip([tuple(r) for r in relevance.leave_one_out(df, LEXICON).collect()], alone):
+        assert (a[:2], a[3]) == (b[:2], b[3]) and a[2] == pytest.approx(b[2], abs=1e-9)
+
+
+def test_no_labelled_example_is_left_out_of_the_model(spark):
+    """The only examples of the domain are 2 of 1,502, and both count."""
+    rows = [(i, f"invoice {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} hotel", 0) for i in range(1500)] + [(1500, "maize breeding yield", 1), (1501, "zerno урожай поле", 1)]
+    df = spark.createDataFrame(rows, "example int, text string, label int")
+    docs = spark.createDataFrame([(1, "зерно урожай поле поле урожай"), (2, "the maize breeding yield was good"), (3, "the hotel sent an invoice to us")], "i int, t string")
+    got = {r["i"]: r for r in relevance.assess(docs, "i", "t", df, {"yield": 1.0}).collect()}
+    everyone = range(len(rows))
+    for i, t in [(r["i"], r["t"]) for r in docs.collect()]:
+        assert got[i]["delta"] == pytest.approx(plain_features([*rows, (0, t, 2)], everyone, len(rows))[1], abs=1e-9)
+    assert got[1]["delta"] > 0 and got[2]["delta"] > 0 and got[3]["delta"] < 0
+
+
+def test_one_model_of_many_rows_equals_models_side_by_side(spark):
+    from evidra.operators import calibration
+
+    x = np.random.default_rng(2).normal(size=(200, 2)) * [1, 30] + [0, 7]
+    for y in ((x[:, 0] + np.sin(x[:, 1]) > 0).astype(int), np.ones(200, int), np.zeros(200, int)):
+        df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "a double, b double, y int").repartition(5)
+        want = calibration.logistics(x, y, np.ones((1, 200), bool))
+        for got, one in zip(calibration.logistic(df, ["a", "b"], "y"), want):
+            assert got == pytest.approx(one[0], abs=1e-7)
+    assert [v.tolist() for v in calibration.logistic(df.limit(0), ["a", "b"], "y")] == [[0, 0, 0], [0, 0], [1, 1]]
